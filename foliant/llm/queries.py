@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, packing, quality, simhash, tokens, topk
+from foliant.llm import chat, packing, quality, simhash, tokens, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.orc_token_digests(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.severity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "badness", "cutoff")
@@ -52,7 +57,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk_search, op2_orc_tokens, op6_quality_rules, op7_simhash_dedup, op9_bestfit_packing, op10_chat_format)
+    f.__name__: f for f in (op1_topk_search, op2_orc_tokens, op5_ordinal_toxicity, op6_quality_rules, op7_simhash_dedup, op9_bestfit_packing, op10_chat_format)
 }
 
 ORACLE_SQL: dict[str, str] = {
