@@ -31,8 +31,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length:
         enc, end = encoder(tokenizer_path), end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
-            for doc, key, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "row_key", "text"))):
-                ids = enc.encode(text or "") + end
+            encoded = enc.encode_all([t or "" for t in batch.column("text").to_pylist()])
+            for doc, key, ids in zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), encoded):
+                ids += end
                 n = len(ids) // 4
                 at, piece = 0, 0
                 while at < n:

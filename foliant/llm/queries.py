@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, hmm, packing, quality, simhash, substrings, tokens, topk, toxicity
+from foliant.llm import chat, hmm, packing, pieces, quality, simhash, substrings, tokens, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.orc_token_digests(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_piece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk_search, op2_orc_tokens, op4_hmm_scores, op5_ordinal_toxicity, op6_quality_rules, op7_simhash_dedup, op8_suffix_dedup, op9_bestfit_packing, op10_chat_format)
+    f.__name__: f for f in (op1_topk_search, op2_orc_tokens, op3_piece_n_best, op4_hmm_scores, op5_ordinal_toxicity, op6_quality_rules, op7_simhash_dedup, op8_suffix_dedup, op9_bestfit_packing, op10_chat_format)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -21,8 +21,10 @@ from foliant.llm.common import map_batches, shared_folder
 
 #: Where any text may be cut: before a space with other characters than white space on both sides.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Words kept per Python worker before it starts afresh: about 220 MB.
-REMEMBERED_WORDS = 1_000_000
+#: Words kept per Python worker before it starts afresh: about 180 MB.
+REMEMBERED_WORDS = 800_000
+#: Characters of the texts that are encoded together.
+CHARS_AT_ONCE = 1_000_000
 
 
 class WordEncoder:
@@ -56,23 +58,35 @@ class WordEncoder:
             out.update(zip(some, found if len(found) == len(some) else self._encoded([" " + w for w in some])))
         return out
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *words = text.split(" ")
-        if _safe(first):
-            try:
-                return self._encoded([first])[0] + b"".join(map(self._known.__getitem__, words))
-            except KeyError:
-                pass
-        if not (_safe(first) and all(map(_safe, words))):
-            first, *words = _CUT.split(text)
-        if len(self._known) > self._remembered:
-            self._known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self._known]
-        found = self._encoded_words(new)
-        self._known.update((w, ids) for w, ids in found.items() if " " not in w and _safe(w))
-        return self._encoded([first])[0] + b"".join([found[w] if w in found else self._known[w] for w in words])
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids; a few texts at a time, so that what is new in them is encoded together."""
+        out, start, size = [], 0, 0
+        for end, text in enumerate(texts, 1):
+            size += len(text)
+            if size > CHARS_AT_ONCE or end == len(texts):
+                out += self._encode_some(texts[start:end])
+                start, size = end, 0
+        return out
+
+    def _encode_some(self, texts: list[str]) -> list[bytes]:
+        known = self._known
+        cut = [t.split(" ") for t in texts]
+        firsts = {w[0] for w in cut}
+        new = set().union(*(w[1:] for w in cut)).difference(known)
+        odd = {w for w in firsts | new if not _safe(w)}
+        if odd:
+            cut = [w if odd.isdisjoint(w) else _CUT.split(t) for t, w in zip(texts, cut)]
+            firsts = {w[0] for w in cut}
+            new = set().union(*(w[1:] for w in cut)).difference(known)
+        if len(known) > self._remembered:
+            known.clear()
+            new = set().union(*(w[1:] for w in cut))
+        head = dict(zip(firsts, self._encoded(list(firsts))))
+        found = self._encoded_words(list(new))
+        plain = {w: ids for w, ids in found.items() if " " not in w and _safe(w)}
+        known.update(plain)
+        get = known.__getitem__ if len(plain) == len(found) else lambda w: found[w] if w in found else known[w]
+        return [head[w[0]] + b"".join(map(get, w[1:])) for w in cut]
 
 
 def _safe(word: str) -> bool:
@@ -115,7 +129,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         enc, part, pos = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            ids = [enc.encode(t or "") + end for t in batch.column("text").to_pylist()]
+            ids = [x + end for x in enc.encode_all([t or "" for t in batch.column("text").to_pylist()])]
             n = len(ids)
             yield pa.record_batch(
                 [
@@ -150,13 +164,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, part int, pos long, n_tokens long, ids array<int>").orc(path)
 
 
-def token_starts(tokens: DataFrame) -> DataFrame:
+def token_starts(tokens: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """tokens with start: the ids of all documents before each, in (part, pos) order, without one task for all.
 
-    Rows are summed within their part; the sums of the parts, one small row each, are added up on their own.
+    sizes: where part and n_tokens can be had more cheaply. Rows are summed within their part; the sums of the parts, one small row each, are added up on their own.
     """
     by_part = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    parts = tokens.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
+    parts = (sizes or tokens).groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("part", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("base"))
     within = tokens.withColumn("inside", F.coalesce(F.sum("n_tokens").over(by_part), F.lit(0)))
@@ -183,5 +197,6 @@ def orc_token_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 0, pat
 
     path = path or f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, path, tokenizer_path, end_id)
-    tokens = crc_of_ids(read_token_files(docs.sparkSession, path), ["doc_id", "part", "pos", "n_tokens"])
-    return token_starts(tokens).select("doc_id", "start", "n_tokens", "ids_crc32")
+    files = read_token_files(docs.sparkSession, path)
+    tokens = crc_of_ids(files, ["doc_id", "part", "pos", "n_tokens"])
+    return token_starts(tokens, files).select("doc_id", "start", "n_tokens", "ids_crc32")
