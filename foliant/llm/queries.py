@@ -68,8 +68,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(rows.unionByName(more))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk_search, op2_orc_tokens, op3_piece_n_best, op4_hmm_scores, op5_ordinal_toxicity, op6_quality_rules, op7_simhash_dedup, op8_suffix_dedup, op9_bestfit_packing, op10_chat_format)
+    f.__name__: f for f in (op1_topk_search, op2_orc_tokens, op3_piece_n_best, op4_hmm_scores, op5_ordinal_toxicity, op6_quality_rules, op7_simhash_dedup, op8_suffix_dedup, op9_bestfit_packing, op10_chat_format, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {

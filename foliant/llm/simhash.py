@@ -144,7 +144,7 @@ def near_links(prints: DataFrame, distance: int = 4, parts: int = 3) -> DataFram
 def near_groups(prints: DataFrame, distance: int = 4) -> DataFrame:
     """fp, root of every distinct fingerprint of prints: equal roots are one group of links."""
     distinct = written(prints.select("fp").distinct(), "distinct-fingerprints")
-    parts = 3 if distinct.count() <= FEWEST_FOR_TWO_PARTS else 2
+    parts = 2 if distinct.count() > FEWEST_FOR_TWO_PARTS else 3 if distance < 6 else 4
     groups = components(near_links(distinct, distance, parts))
     return distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 

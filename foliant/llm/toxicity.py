@@ -161,13 +161,13 @@ def train(docs: DataFrame, labels: DataFrame, grades: int = GRADES) -> OrdinalMo
     return fit(data, features, grades)
 
 
-def severity(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
-    """docs' columns but text, and expected_severity (the expected grade), p_toxic (of grade 1 or more), grade, toxic.
+def severity(docs: DataFrame, model: OrdinalModel | None, keep_text: bool = False) -> DataFrame:
+    """docs' columns (text only if keep_text), and expected_severity (the expected grade), p_toxic (of grade 1 or more), grade, toxic.
 
     grade is the likeliest. Null and empty texts have no features and so the least severity; without a model (None)
     severity is null and toxic false. Whole texts count.
     """
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if keep_text or c != "text"]
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,4 +196,4 @@ def severity(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
             yield pa.record_batch([*(batch.column(k) for k in kept), *found], names=[*kept, "expected_severity", "p_toxic", "grade", "toxic"])
 
     schema = [*(f"`{k}` {kinds[k]}" for k in kept), "expected_severity double, p_toxic double, grade int, toxic boolean"]
-    return map_batches(docs.select(*[F.col(f"`{k}`") for k in kept], "text"), run, ", ".join(schema))
+    return map_batches(docs, run, ", ".join(schema))
