@@ -175,9 +175,11 @@ def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 5, distance: int
     rows = prints.where("fp <> 0").join(near_groups(prints.where("fp <> 0"), distance), "fp")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     firsts = rows.groupBy("root").agg(F.min(rank).alias("first"))
-    losers = rows.withColumn("rank", rank).join(firsts, "root").where("rank <> first").select(F.col("doc_id").alias("lost"), F.col("h").alias("lost_h"))
-    again = prints.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("twice"), F.col("h").alias("twice_h"))
-    own = F.xxhash64(docs["text"])
-    kept = docs.join(losers.distinct(), docs["doc_id"].eqNullSafe(F.col("lost")) & (own == F.col("lost_h")), "left_anti")
-    repeated = kept["doc_id"].eqNullSafe(F.col("twice")) & (F.xxhash64(kept["text"]) == F.col("twice_h"))
-    return kept.join(again, repeated, "left_anti").unionByName(kept.join(again, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
+    losers = rows.withColumn("rank", rank).join(firsts, "root").where("rank <> first").select("doc_id", "h").distinct()
+    again = prints.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
+
+    def among(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return df.join(keys, df["doc_id"].eqNullSafe(keys["doc_id"]) & (F.xxhash64(df["text"]) == keys["h"]), how)
+
+    kept = among(docs, losers, "left_anti")
+    return among(kept, again, "left_anti").unionByName(among(kept, again, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import encode_text, map_batches, partitions, written
@@ -336,7 +336,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, text_column: bool = False) -> DataFrame:
-    """docs' columns, and n_bytes, n_removed, n_spans, kept_sha256 of every row: each byte that is covered by a window
+    """docs' columns, and n_bytes, n_removed, n_spans, kept_sha256 (unless docs has such a column) of every row: each byte that is covered by a window
     of LENGTH bytes which also starts earlier (smaller doc_id, or same document, earlier start) is removed.
 
     docs: doc_id, text and any columns. Windows are judged on the input. A null text is empty; a null doc_id comes
@@ -344,21 +344,19 @@ def remove_repeats(docs: DataFrame, text_column: bool = False) -> DataFrame:
     all of it goes if it has a window. text_column: text becomes what is left, without characters that lost a byte;
     otherwise text is left out.
     """
-    kept = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c != "text"]
+    added = [c for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256") if c not in docs.columns]
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
     repeats = not docs.select(key.alias("k")).groupBy("k").count().where("count > 1").isEmpty()
-    keyed = docs.withColumn("k", key).withColumn("k2", F.xxhash64("text") if repeats else F.lit(0).cast("long"))
+    # docs' other columns are set aside in one, so that their names meet no others
+    keyed = docs.select(
+        key.alias("k"), (F.xxhash64("text") if repeats else F.lit(0).cast("long")).alias("k2"), "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("others")
+    )
     lean = keyed.select("k", "k2", "text")
     ranges = repeated_ranges(lean.dropDuplicates(["k", "k2"]) if repeats else lean)
     ranges = ranges.groupBy("k", "k2").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
     whole = keyed.join(ranges, ["k", "k2"], "left")
-    if repeats:
-        from pyspark.sql import Window
-
-        whole = whole.withColumn("copy", F.row_number().over(Window.partitionBy("k", "k2").orderBy(*[F.col(f"`{c}`") for c in kept])))
-    else:
-        whole = whole.withColumn("copy", F.lit(1))
-    kinds = dict(docs.dtypes)
+    copy = F.row_number().over(Window.partitionBy("k", "k2").orderBy(F.xxhash64("others"))) if repeats else F.lit(1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,13 +370,14 @@ def remove_repeats(docs: DataFrame, text_column: bool = False) -> DataFrame:
                         runs += 1
                     at = max(at, hi)
                 left.append(text[at:])
-                kept_bytes = b"".join(left)
-                row = (len(text), len(text) - len(kept_bytes), runs, hashlib.sha256(kept_bytes).hexdigest())
-                rows.append((*row, "".join(x.decode("utf-8", "ignore") for x in left)) if text_column else row)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: 4 + text_column]
+                kept = b"".join(left)
+                rows.append((len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), "".join(x.decode("utf-8", "ignore") for x in left) if text_column else None))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, types)]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"][: 4 + text_column]
-            yield pa.record_batch([*(batch.column(x) for x in kept), *columns], names=[*kept, *names])
+            yield pa.record_batch([batch.column("others"), *columns], names=["others", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    schema = ", ".join([*(f"`{x}` {kinds[x]}" for x in kept), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"]) + ", text string" * text_column
-    return map_batches(whole.select(*[F.col(f"`{x}`") for x in kept], "text", "ranges", "copy"), cut, schema)
+    kind = dict(keyed.dtypes)["others"]
+    out = map_batches(
+        whole.select("others", "text", "ranges", copy.alias("copy")), cut, f"others {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+    )
+    return out.select(*[F.col("others").getField(c).alias(c) for c in others], *added, *(["text"] if text_column else []))

@@ -161,13 +161,15 @@ def train(docs: DataFrame, labels: DataFrame, grades: int = GRADES) -> OrdinalMo
     return fit(data, features, grades)
 
 
-def severity(docs: DataFrame, model: OrdinalModel | None, keep_text: bool = False) -> DataFrame:
-    """docs' columns (text only if keep_text), and expected_severity (the expected grade), p_toxic (of grade 1 or more), grade, toxic.
+def severity(docs: DataFrame, model: OrdinalModel | None, keep_text: bool = False, prefix: str = "") -> DataFrame:
+    """docs' columns (text only if keep_text), and expected_severity (the expected grade), p_toxic (of grade 1 or more),
+    grade, toxic, their names after `prefix`. A column of docs with one of these names is left out.
 
     grade is the likeliest. Null and empty texts have no features and so the least severity; without a model (None)
     severity is null and toxic false. Whole texts count.
     """
-    kept = [c for c in docs.columns if keep_text or c != "text"]
+    added = [prefix + c for c in ("expected_severity", "p_toxic", "grade", "toxic")]
+    kept = [c for c in docs.columns if (keep_text or c != "text") and c not in added]
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +195,7 @@ def severity(docs: DataFrame, model: OrdinalModel | None, keep_text: bool = Fals
                 full = np.hstack([np.ones((len(above), 1)), above, np.zeros((len(above), 1))])
                 grade = (full[:, :-1] - full[:, 1:]).argmax(1)
                 found = [pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(grade.astype(np.int32)), pa.array(above[:, 0] > TOXIC_ABOVE)]
-            yield pa.record_batch([*(batch.column(k) for k in kept), *found], names=[*kept, "expected_severity", "p_toxic", "grade", "toxic"])
+            yield pa.record_batch([*(batch.column(k) for k in kept), *found], names=[*kept, *added])
 
-    schema = [*(f"`{k}` {kinds[k]}" for k in kept), "expected_severity double, p_toxic double, grade int, toxic boolean"]
+    schema = [*(f"`{k}` {kinds[k]}" for k in kept), *(f"`{c}` {k}" for c, k in zip(added, ("double", "double", "int", "boolean")))]
     return map_batches(docs, run, ", ".join(schema))
