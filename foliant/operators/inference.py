@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.session import importable
+
 #: (texts, source language, target language) -> translations, one per text in order.
 Backend = Callable[[list[str], str, str], list[str]]
 #: (conversations of (role, content), most new tokens) -> answers, one per conversation in order.
@@ -29,8 +31,7 @@ def translate_batches(batches: DataFrame, pair: list[str], backend: Backend = pr
 
     Rows of one batch go to the backend together; texts without a letter pass unchanged without it.
     """
-    if not hasattr(backend, "__call__"):
-        raise TypeError("a backend is a function")
+    importable(batches.sparkSession)
     with_letters = F.col("text").rlike("\\p{L}")
     plain = batches.where(~with_letters).select(*pair, "text", F.col("text").alias("translated"))
 
@@ -56,4 +57,5 @@ def chat_batches(conversations: DataFrame, backend: ChatBackend = last_turn_back
             turns = [[(t["role"], t["content"]) for t in c] for c in frame["turns"]]
             yield pd.DataFrame({"conv_id": frame["conv_id"], "answer": backend(turns, most_new)})
 
+    importable(conversations.sparkSession)
     return conversations.select("conv_id", "turns").mapInPandas(run, "conv_id long, answer string")

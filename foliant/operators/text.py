@@ -247,3 +247,54 @@ def restore_urls(df: DataFrame, text: str, urls: str) -> Column:
         return F.when(one, swapped).when(F.size(a["lost"]) > 0, F.concat(a["text"], F.lit(" "), F.array_join(a["lost"], " "))).otherwise(a["text"])
 
     return F.aggregate(urls, start, put, finish)
+
+
+# Key names and patterns whose values are redacted, in lower case.
+SENSITIVE_KEYS = "password|passwd|authorization|cookie|set-cookie|x-revalidate-secret|clientsecret|client_secret"
+SENSITIVE_PARTS = "token|secret|api[-_]?key|credential"
+
+
+def mask_json(c: Column) -> Column:
+    """JSON text with the scalar values of sensitive keys redacted, at any depth."""
+    value = "(\"(?:[^\"\\\\]|\\\\.)*\"|[^\\s,}\\]\\[{]+)"
+    key = f"(?i)(\"(?:(?:{SENSITIVE_KEYS})|[^\"]*(?:{SENSITIVE_PARTS})[^\"]*)\"\\s*:\\s*)"
+    return F.regexp_replace(c, key + value, "$1\"[REDACTED]\"")
+
+
+def ground_values(answers: DataFrame, key: str, answer: str, chunk: str, fields: list[str]) -> DataFrame:
+    """key, field, value, pos: values of a model's JSON answer that the chunk has, but for white space and case.
+
+    The answer is what stands between its first { and last }; fields that are no lists of texts are left out.
+    """
+    from_, to = F.instr(answer, "{"), F.length(answer) - F.instr(F.reverse(answer), "}") + 1
+    body = F.when((from_ > 0) & (to > from_), F.substring(F.col(answer), from_, to - from_ + 1))
+    parsed = F.from_json(body, "struct<" + ", ".join(f"{f}: array<string>" for f in fields) + ">")
+    rows = answers.select(key, chunk, parsed.alias("parsed"))
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"parsed.{f}").alias("values")) for f in fields])
+    long_ = rows.select(key, chunk, F.inline(pairs)).select(key, chunk, "field", F.posexplode("values").alias("pos", "value"))
+    seen = F.contains(F.lower(collapsed(F.col(chunk))), F.lower(collapsed(F.col("value"))))
+    return dedupe_values(long_.where(seen), [key, "field"])
+
+
+def summarize(sentences: DataFrame, document: str, points: int = 5) -> DataFrame:
+    """document, point_no, text: each document's `points` sentences of most weight, in their order.
+
+    A sentence weighs its words' mean document frequency within the corpus, by logarithm. A model may stand in for
+    this through the chat wrapper; the split into a map over sentences and a top-n per document stays.
+    """
+    words = sentences.select(document, "sid", F.explode(F.array_distinct(F.split(F.lower("text"), "(?U)[^\\p{L}]+"))).alias("word")).where("word <> ''")
+    known = words.groupBy("word").agg(F.countDistinct(document).alias("df"))
+    scored = words.join(known, "word").groupBy(document, "sid").agg(F.avg(F.log1p("df")).alias("score"))
+    best = Window.partitionBy(document).orderBy(F.desc("score"), "sid")
+    kept = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= points).join(sentences, [document, "sid"])
+    number = F.row_number().over(Window.partitionBy(document).orderBy("sid")) - 1
+    return kept.select(document, number.cast("long").alias("point_no"), "text")
+
+
+def preferred_locale(df: DataFrame, key: str, header: str, supported: list[str], default: str = "en") -> DataFrame:
+    """key, locale: the supported language of most weight in a language header, ties in its order; a bad weight is 0."""
+    parts = df.select(key, F.posexplode(F.split(header, ",")).alias("pos", "part")).withColumn("part", F.trim("part"))
+    q = F.when(F.contains("part", F.lit(";q=")), F.coalesce(F.expr("try_cast(substring_index(part, ';q=', -1) AS DOUBLE)"), F.lit(0.0))).otherwise(1.0)
+    lang = F.lower(F.substring_index(F.substring_index("part", ";q=", 1), "-", 1))
+    best = parts.where(lang.isin(supported)).groupBy(key).agg(F.min_by(lang, F.struct(-q, "pos")).alias("locale"))
+    return df.select(key).join(best, key, "left").select(key, F.coalesce("locale", F.lit(default)).alias("locale"))

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import edits, files, layout, memory, records, text
+from foliant.operators import edits, files, inference, layout, memory, outline, records, text
 from foliant.plans import views as v
 from foliant.plans.views import with_views
 from foliant.sources import tables
+from foliant.streaming import requests
 
 AS_OF = "2024-01-02 00:00:00"
 PAIR = ["source_language", "target_language"]
@@ -532,12 +533,10 @@ def length_sorted_batches(spark, d):
 
 @query(["segments"], SENTENCES + " SELECT document_id, ord, string_agg('[id] ' || text, ' ' ORDER BY pos) AS text FROM sentences GROUP BY 1, 2")
 def translate_join_back(spark, d):
-    from foliant.operators.inference import prefix_backend, translate_batches
-
     own = _sentences(spark, d)
     unique = memory.unique_sentences(own, PAIR, ["document_id", "ord", "pos"])
     batches = memory.length_sorted_batches(unique, PAIR, ["text"])
-    return memory.join_back(own, translate_batches(batches, PAIR, prefix_backend), PAIR, ["document_id", "ord"])
+    return memory.join_back(own, inference.translate_batches(batches, PAIR), PAIR, ["document_id", "ord"])
 
 
 @query(["segments"], """, p AS (SELECT document_id, key, string_split(source_text, 'the') AS l FROM segments),
@@ -600,3 +599,220 @@ def protect_urls(spark, d):
 def restore_urls(spark, d):
     protected = text.protect_urls(_with_urls(spark, d), "page_id", "line")
     return protected.select("page_id", text.restore_urls(protected, "protected", "urls").alias("restored"))
+
+
+# ---- structure, locales, redaction, streams, models
+
+
+@query(["shapes"], """SELECT document_id, page, min(shape_id) AS shape_id FROM shapes WHERE least(x1 - x0, y1 - y0) <= 6 AND greatest(x1 - x0, y1 - y0) >= 4 * greatest(least(x1 - x0, y1 - y0), 0.25)
+    GROUP BY document_id, page, round(x0, 1), round(y0, 1), round(x1, 1), round(y1, 1)""")
+def filter_rules(spark, d):
+    return layout.filter_rules(v.shapes(spark, d))
+
+
+LINES = """, lines AS (SELECT document_id, page, line, line // 5 AS block, min(x0) + (line * 37) % 90 AS x0, max(x1) - (line * 53) % 60 AS x1, min(y0) AS y0, max(y1) AS y1, max(size) AS size, bool_or(bold) AS bold FROM spans GROUP BY 1, 2, 3)"""
+
+
+def _lines(spark, d):
+    """Lines with ragged ends, five to a block."""
+    return v.spans(spark, d).groupBy("document_id", "page", "line").agg(
+        (F.min("x0") + F.col("line") * 37 % 90).alias("x0"), (F.max("x1") - F.col("line") * 53 % 60).alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.max("size").alias("size"), F.bool_or("bold").alias("bold")
+    ).withColumn("block", F.floor(F.col("line") / 5).cast("long"))
+
+
+@query(["spans"], LINES + """, e AS (SELECT *, CASE WHEN line < max(line) OVER (PARTITION BY document_id, block) THEN x1 END AS x1_end FROM lines),
+    g AS (SELECT document_id, block, bool_and(abs((x0 + x1) / 2 - 300) <= greatest(3.0, size * 0.35)) AS centred, min(x0) AS x0, max(x1) AS x1, max(size) AS size, count(*) AS n, count(x1_end) AS ends, max(x1_end) - min(x1_end) AS spread FROM e GROUP BY 1, 2)
+    SELECT document_id, block, CASE WHEN centred AND x0 > size THEN 'center' WHEN n = 1 AND abs(600 - x1) <= greatest(3.0, size * 0.35) AND x0 > 240 THEN 'right' WHEN ends >= 2 AND spread <= 1.5 THEN 'justify' ELSE 'left' END AS align FROM g""")
+def placement_alignment(spark, d):
+    return layout.placement_alignment(_lines(spark, d), 0.0, 600.0)
+
+
+@query(None, None)
+def paragraphs_from_lines(spark, d):
+    return outline.paragraphs_from_lines(_lines(spark, d).withColumn("marker", F.col("line") % 4 == 3))
+
+
+@query(["segments"], """, l AS (SELECT document_id, CASE WHEN ord % 11 = 10 THEN 'y_' || key ELSE key END AS key FROM segments WHERE ord % 13 <> 12),
+    j AS (SELECT coalesce(s.document_id, l.document_id) AS document_id, s.key AS s, l.key AS p FROM segments s FULL JOIN l ON s.document_id = l.document_id AND s.key = l.key)
+    SELECT document_id, count(s) AS segments, count(p) AS placed, bool_and(p IS NULL OR s IS NOT NULL) AND count(s) = count(p) AS matched FROM j GROUP BY 1""")
+def segment_layout_match(spark, d):
+    own = v.segments(spark, d)
+    return outline.segment_layout_match(own, own.where("ord % 13 <> 12").selectExpr("document_id", "CASE WHEN ord % 11 = 10 THEN concat('y_', key) ELSE key END AS key"))
+
+
+@query(["files"], """SELECT tool, row_number() OVER (ORDER BY min(file_id)) - 1 AS place, count(*) AS files, sum(length(file_name)) AS chars FROM files GROUP BY tool""")
+def group_features(spark, d):
+    grouped = outline.group_features(v.files(spark, d), "tool", "file_id", "file_name")
+    return grouped.select("tool", "place", F.size("names").cast("long").alias("files"), F.length(F.array_join("names", "")).cast("long").alias("chars"))
+
+
+@query(["requests"], """, p AS (SELECT request_id, string_split(languages, ',') AS l FROM requests), e AS (SELECT request_id, i AS pos, trim(l[i]) AS part FROM p, unnest(range(1, len(p.l) + 1)) AS t(i)),
+    w AS (SELECT request_id, pos, CASE WHEN contains(part, ';q=') THEN coalesce(TRY_CAST(string_split(part, ';q=')[2] AS DOUBLE), 0) ELSE 1 END AS q, lower(string_split(string_split(part, ';q=')[1], '-')[1]) AS lang FROM e),
+    b AS (SELECT request_id, arg_min(lang, pos) AS locale FROM (SELECT *, max(q) OVER (PARTITION BY request_id) AS m FROM w WHERE lang IN ('en', 'id')) WHERE q = m GROUP BY 1)
+    SELECT coalesce(locale, 'en') AS locale, count(*) AS n FROM requests LEFT JOIN b USING (request_id) GROUP BY 1""")
+def preferred_locales(spark, d):
+    return text.preferred_locale(v.requests(spark, d), "request_id", "languages", ["en", "id"]).groupBy("locale").agg(F.count("*").alias("n"))
+
+
+@query(["requests"], """SELECT request_id, '{"user": {"api_key": "[REDACTED]", "name": "n' || request_id || '"}, "accessToken": "[REDACTED]", "count": ' || request_id || '}' AS masked FROM requests""")
+def mask_sensitive(spark, d):
+    logged = v.requests(spark, d).selectExpr("request_id", """concat('{"user": {"api_key": "k', request_id, '", "name": "n', request_id, '"}, "accessToken": ', request_id, ', "count": ', request_id, '}') AS line""")
+    return logged.select("request_id", text.mask_json(F.col("line")).alias("masked"))
+
+
+@query(["segments"], """, w AS (SELECT document_id, ord * 100000 + i AS pos, l[i] AS value FROM (SELECT document_id, ord, string_split(source_text, ' ') AS l FROM segments) s, unnest(range(1, len(s.l) + 1)) AS t(i))
+    SELECT document_id, arg_min(value, pos) AS value, min(pos) AS pos FROM w WHERE value <> '' AND contains(value, '.') GROUP BY document_id, lower(value)""")
+def dedupe_values(spark, d):
+    words = v.segments(spark, d).select("document_id", "ord", F.posexplode(F.split("source_text", " ")).alias("i", "value")).where("contains(value, '.')")
+    return text.dedupe_values(words.selectExpr("document_id", "ord * 100000 + i + 1 AS pos", "value"), ["document_id"])
+
+
+@query(None, None)
+def dehyphenate_lines(spark, d):
+    return text.dehyphenate(v.units(spark, d).selectExpr("document_id", "pos", "CASE WHEN pos % 2 = 0 THEN concat(line, '-') ELSE concat(lower(left(line, 1)), substring(line, 2)) END AS line"))
+
+
+@query(["segments"], """SELECT document_id, 'people' AS field, string_split(source_text, ' ')[1] AS value, 0::BIGINT AS pos FROM segments WHERE ord = 0""")
+def ground_values(spark, d):
+    first = v.segments(spark, d).where("ord = 0").withColumn("word", F.split("source_text", " ")[0])
+    answers = first.select("document_id", "source_text", F.concat(F.lit("Answer: "), F.to_json(F.struct(F.array(F.col("word"), F.lit("not there at all"), F.lower("word")).alias("people"), F.lit(3).alias("dates"))), F.lit(" done")).alias("answer"))
+    found = text.ground_values(answers, "document_id", "answer", "source_text", ["people"])
+    return found
+
+
+@query(None, None)
+def summarize_map_reduce(spark, d):
+    sentences = _sentences(spark, d).select("document_id", (F.col("ord") * 100000 + F.col("pos")).alias("sid"), "text")
+    return text.summarize(sentences, "document_id", 5)
+
+
+@query(["segments"], """, s AS (SELECT document_id, ord AS section, CASE WHEN ord % 3 = 0 THEN 'head ' || ord END AS head, CASE WHEN ord % 5 = 1 THEN 'foot ' || ord END AS foot FROM segments)
+    SELECT document_id, section, last_value(head IGNORE NULLS) OVER w AS head, last_value(foot IGNORE NULLS) OVER w AS foot FROM s WINDOW w AS (PARTITION BY document_id ORDER BY section)""")
+def inherit_headers(spark, d):
+    sections = v.segments(spark, d).selectExpr("document_id", "ord AS section", "CASE WHEN ord % 3 = 0 THEN concat('head ', ord) END AS head", "CASE WHEN ord % 5 = 1 THEN concat('foot ', ord) END AS foot")
+    return outline.inherit_headers(sections, ["head", "foot"])
+
+
+@query(["segments"], """, p AS (SELECT document_id, ord, CASE WHEN ord % 4 = 0 THEN 0 ELSE 1 END AS level FROM segments),
+    a AS (SELECT *, sum(CASE WHEN level = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY ord) AS n0 FROM p),
+    b AS (SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, n0 ORDER BY ord) AS n1 FROM a)
+    SELECT document_id, ord, CASE WHEN level = 0 THEN n0 || '.' ELSE n0 || '.' || n1 END AS label FROM b""")
+def list_numbering(spark, d):
+    paragraphs = v.segments(spark, d).selectExpr("document_id", "0 AS list", "ord", "CASE WHEN ord % 4 = 0 THEN 0 ELSE 1 END AS level", "1 AS start", "'decimal' AS fmt", "CASE WHEN ord % 4 = 0 THEN '%1.' ELSE '%1.%2' END AS template")
+    return outline.list_numbering(paragraphs).select("document_id", "ord", "label")
+
+
+CELLS = """SELECT document_id, {div} AS row, ord % 3 AS cell, CASE WHEN ord % 7 = 0 THEN 2 ELSE 1 END AS span, 0 AS gap, CASE WHEN ord % 3 = 0 THEN CASE WHEN ({div}) % 3 = 0 THEN 'restart' ELSE 'continue' END END AS merge FROM segments"""
+
+
+@query(["segments"], ", c AS (" + CELLS.format(div="ord // 3") + """), p AS (SELECT *, gap + coalesce(sum(span) OVER (PARTITION BY document_id, row ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "column" FROM c),
+    h AS (SELECT document_id, "row" // 3 AS g, count(*) AS n FROM p WHERE cell = 0 GROUP BY 1, 2)
+    SELECT document_id, row, cell, CAST("column" AS BIGINT) AS "column", CASE WHEN cell = 0 THEN h.n ELSE 1 END AS row_span FROM p JOIN h USING (document_id) WHERE h.g = row // 3 AND NOT coalesce(merge = 'continue', false)""")
+def table_cell_grid(spark, d):
+    v.segments(spark, d).createOrReplaceTempView("grid_segments")
+    cells = spark.sql(CELLS.format(div="ord DIV 3").replace("FROM segments", "FROM grid_segments"))
+    return outline.table_cell_grid(cells).select("document_id", "row", "cell", F.col("column").cast("long").alias("column"), F.col("row_span").cast("long").alias("row_span"))
+
+
+@query(["runs"], """SELECT document_id || '/' || key || '/' || ord AS run, CASE style WHEN 'style0' THEN 'a' WHEN 'style1' THEN 'b' ELSE 'a' END AS font, CASE style WHEN 'style1' THEN 11 WHEN 'style2' THEN 12 ELSE 10 END AS size FROM runs""")
+def resolve_styles(spark, d):
+    own = v.runs(spark, d).selectExpr("concat(document_id, '/', key, '/', ord) AS run", "1 AS layer", "style")
+    styles = v.runs(spark, d).select("style").distinct().selectExpr(
+        "style", "CASE style WHEN 'style2' THEN 'style0' WHEN 'style0' THEN 'style2' ELSE 'style0' END AS based_on",
+        "CASE style WHEN 'style0' THEN 'a' WHEN 'style1' THEN 'b' END AS font", "CASE style WHEN 'style0' THEN 10 WHEN 'style1' THEN 11 ELSE 12 END AS size",
+    )
+    return outline.resolve_styles(styles, own, ["font", "size"])
+
+
+@query(["segments"], """, k AS (SELECT document_id || '.' || key AS key, ord FROM segments)
+    SELECT locale, CASE WHEN (locale = 'en' AND ord % 4 < 3) OR (locale = 'id' AND ord % 2 = 0) THEN 'locale' WHEN ord % 4 < 3 THEN 'default' ELSE 'key' END AS source, count(*) AS n
+    FROM k, (VALUES ('en'), ('id')) AS l(locale) GROUP BY 1, 2""")
+def resolve_messages(spark, d):
+    keys = v.segments(spark, d).selectExpr("concat(document_id, '.', key) AS key", "ord")
+    texts = keys.where("ord % 4 < 3").selectExpr("key", "'en' AS locale", "concat('en ', key) AS text").unionByName(keys.where("ord % 2 = 0").selectExpr("key", "'id' AS locale", "concat('id ', key) AS text"))
+    return outline.resolve_messages(keys, texts, ["en", "id"]).groupBy("locale", "source").agg(F.count("*").alias("n"))
+
+
+CHARS = "SELECT document_id, line, span * 2 + b AS ord, CASE WHEN b = 1 THEN ' ' ELSE text END AS text, CASE WHEN b = 0 AND span % 7 < 3 THEN 'link' || (span {div} 14) END AS target FROM spans"
+
+
+@query(["spans"], ", c AS (" + CHARS.format(div="//").replace("FROM spans", "FROM spans, (VALUES (0), (1)) AS t(b)") + """),
+    n AS (SELECT *, last_value(CASE WHEN text <> ' ' THEN coalesce(target, '') END IGNORE NULLS) OVER (PARTITION BY document_id, line ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
+    first_value(CASE WHEN text <> ' ' THEN coalesce(target, '') END IGNORE NULLS) OVER (PARTITION BY document_id, line ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM c)
+    SELECT document_id, line, ord, CASE WHEN text = ' ' AND target IS NULL AND a = b AND a <> '' THEN a ELSE target END AS target FROM n""")
+def bridge_link_spaces(spark, d):
+    v.spans(spark, d).createOrReplaceTempView("bridge_spans")
+    chars = spark.sql(CHARS.format(div="DIV").replace("FROM spans", "FROM bridge_spans LATERAL VIEW explode(array(0, 1)) t AS b"))
+    return outline.bridge_link_spaces(chars).select("document_id", "line", "ord", "target")
+
+
+@query(["spans"], """SELECT document_id, line, span, round((55 + CASE WHEN span % 5 = 4 THEN 5 ELSE 0 END - length(text) * 8) / CAST(length(text) AS DOUBLE), 2) AS spacing FROM spans
+    WHERE length(text) >= 2 AND round((55 + CASE WHEN span % 5 = 4 THEN 5 ELSE 0 END - length(text) * 8) / CAST(length(text) AS DOUBLE), 2) <= -0.05""")
+def span_char_spacing(spark, d):
+    chars = v.spans(spark, d).selectExpr("document_id", "line", "span", "x0", "x1", "length(text) AS n", "explode(sequence(0, length(text) - 1)) AS ord")
+    width = (F.col("x1") - F.col("x0")) / F.col("n")
+    drawn = chars.select("document_id", "line", "span", "ord", (F.col("x0") + width * F.col("ord")).alias("a"), F.when(F.col("ord") == F.col("n") - 1, F.col("x1")).otherwise(F.col("x0") + width * (F.col("ord") + 1)).alias("b"), F.lit(8.0).alias("natural"))
+    return outline.span_char_spacing(drawn.withColumnsRenamed({"a": "x0", "b": "x1"}))
+
+
+@query(["images"], """SELECT CASE WHEN lower(extension) = 'jpg' THEN 'jpeg' ELSE lower(extension) END AS extension, CASE WHEN image_id % 10 = 0 THEN 'none' ELSE format END AS kind, count(*) AS files FROM images GROUP BY 1, 2""")
+def image_format_audit(spark, d):
+    """Heads of image files as their format writes them, one in ten cut off."""
+    heads = "CASE WHEN image_id % 10 = 0 THEN X'00' WHEN format = 'png' THEN X'89504E470D0A1A0A0000000D' WHEN format = 'jpeg' THEN X'FFD8FFE000104A4649460001' ELSE X'524946460000000057454250' END"
+    ext = F.when(F.lower("extension") == "jpg", "jpeg").otherwise(F.lower("extension"))
+    return v.images(spark, d).select(ext.alias("extension"), files.image_kind(F.expr(heads)).alias("kind")).groupBy("extension", "kind").agg(F.count("*").alias("files"))
+
+
+QUOTAS = "SELECT DISTINCT route, 2 + length(route) % 3 AS quota FROM requests"
+
+
+@query(["requests"], ", q AS (" + QUOTAS + """), w AS (SELECT client, route, quota, date_trunc('minute', ts) AS m, count(*) AS n FROM requests JOIN q USING (route) GROUP BY 1, 2, 3, 4)
+    SELECT client, route, strftime(m, '%Y-%m-%d %H:%M') AS minute, n, greatest(n - quota, 0) AS rejected FROM w""")
+def rate_limit_windows(spark, d):
+    own = v.requests(spark, d)
+    quotas = own.select("route").distinct().withColumn("quota", 2 + F.length("route") % 3)
+    found = requests.rate_limit_counts(own, quotas)
+    return found.select("client", "route", F.date_format("start", "yyyy-MM-dd HH:mm").alias("minute"), "n", F.col("rejected").cast("long").alias("rejected"))
+
+
+@query(["requests"], """, w AS (SELECT route, duration, date_trunc('hour', ts) + to_minutes(CAST(CASE WHEN date_part('minute', ts) >= 30 THEN 30 ELSE 0 END AS INT)) - to_minutes(CAST(30 * b AS INT)) AS s FROM requests, (VALUES (0), (1)) AS t(b))
+    SELECT route, strftime(s, '%Y-%m-%d %H:%M') AS start, count(*) AS n, count(*) FILTER (route = 'error') AS errors, round(sum(duration), 2) AS total_duration FROM w GROUP BY 1, 2""")
+def request_metrics(spark, d):
+    found = requests.request_metrics(v.requests(spark, d))
+    return found.select("route", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "errors", F.round("total_duration", 2).alias("total_duration"))
+
+
+@query(None, """SELECT DISTINCT lang, trim(x) AS text FROM (SELECT lang, unnest(string_split(regexp_replace(regexp_replace(trim(line), '([.!?])\\s+(["''“‘(\\[]?\\p{L})', '\\1' || chr(30) || '\\2', 'g'), '([。！？])', '\\1' || chr(30), 'g'), chr(30))) AS x
+    FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '\\p{L}')) WHERE trim(x) <> ''""")
+def stream_segments(spark, d):
+    """Documents as a stream of files, and the distinct sentences that it leaves."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", "/tmp/foliant-streams").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(v.table(spark, d, "documents").schema).option("pathGlobFilter", "*.parquet")
+    stream = source.parquet(f"{d}/documents.parquet*").withColumn("arrived", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id")))
+    out = requests.stream_sentences(stream, "arrived", "3650 days")
+    return requests.run_once(out, spark, f"{folder}/out", f"{folder}/checkpoint").select("lang", "text")
+
+
+@query(["segments"], SENTENCES + " SELECT DISTINCT source_language, target_language, text, '[id] ' || text AS translated FROM sentences WHERE regexp_matches(text, '\\p{L}') UNION SELECT DISTINCT source_language, target_language, text, text FROM sentences WHERE NOT regexp_matches(text, '\\p{L}')")
+def translate_batches(spark, d):
+    unique = memory.unique_sentences(_sentences(spark, d), PAIR, ["document_id", "ord", "pos"])
+    return inference.translate_batches(memory.length_sorted_batches(unique, PAIR, ["text"]), PAIR)
+
+
+@query(None, "SELECT conv_id, left(arg_max(coalesce(text, ''), turn), 64) AS answer FROM conversations GROUP BY 1")
+def chat_batches(spark, d):
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    return inference.chat_batches(v.table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns")))
+
+
+@query(["records"], "SELECT count(*) AS n, sum(id) AS ids FROM records")
+def export_table(spark, d):
+    """Records as CSV in the shared folder, and what reading them back finds."""
+    import uuid
+
+    path = spark.conf.get("spark.checkpoint.dir", "/tmp/foliant-exports").rstrip("/") + f"/export-{uuid.uuid4().hex}"
+    tables.export_csv(v.records(spark, d).select("id", "source_language", "model_name"), path)
+    back = spark.read.option("header", True).schema("id long, source_language string, model_name string").csv(path)
+    return back.agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
