@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from foliant.llm.common import encode_text, map_batches, written
 from foliant.llm.graphs import components
 
-#: A bucket of a segment table with more fingerprints is compared in chunks, on its own path.
+#: A bucket of a segment table with more fingerprints is compared in tasks of its own, so many of them at a time.
+LARGE = 32
 CHUNK = 512
 #: With more distinct fingerprints than this, values of two segments are looked up instead of three.
 FEWEST_FOR_TWO_PARTS = 1 << 27
@@ -88,8 +89,8 @@ def near_links(prints: DataFrame, distance: int = 4, parts: int = 3) -> DataFram
     """a, b: links that join all distinct fingerprints (fp) within `distance` bits into the right groups.
 
     Multi-index hashing: every fingerprint stands in one table per segment, under the segment's value, and probes each
-    table with the values in a small Hamming ball around its own; whole distances decide. A bucket of up to CHUNK
-    fingerprints gives its matches by a join. A larger one is cut into chunks; chunk by chunk its probes are compared
+    table with the values in a small Hamming ball around its own; whole distances decide. A bucket of up to LARGE
+    fingerprints gives its matches by a join. A larger one is cut into chunks of CHUNK; chunk by chunk its probes are compared
     in a task, which sends on a spanning forest of the links it finds, never all pairs; every pair is still compared.
     """
     tables = [
@@ -106,7 +107,7 @@ def near_links(prints: DataFrame, distance: int = 4, parts: int = 3) -> DataFram
         )
         probes = some if probes is None else probes.unionByName(some)
     sizes = table.groupBy("i", "v").agg(F.count("*").alias("n"))
-    large = written(sizes.where(F.col("n") > CHUNK).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "large-buckets")
+    large = written(sizes.where(F.col("n") > LARGE).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "large-buckets")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     small = table.join(large, ["i", "v"], "left_anti").select("i", "v", F.col("fp").alias("b"))
     links = (

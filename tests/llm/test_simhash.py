@@ -52,6 +52,7 @@ def test_many(many, distance):
 
 @pytest.mark.parametrize("distance,parts", [(4, 3), (4, 2), (7, 4), (3, 5)])
 def test_large_buckets_and_radii(spark, monkeypatch, distance, parts):
+    monkeypatch.setattr(simhash, "LARGE", 4)
     monkeypatch.setattr(simhash, "CHUNK", 8)
     rng = np.random.default_rng(1)
     centre = int(rng.integers(0, 2**62))
