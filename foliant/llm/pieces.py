@@ -87,6 +87,33 @@ class PieceModel:
                 heapq.heappush(heap, (least[start] + cost + spent, own + ids, start, cost + spent))
         return out
 
+    def best_two(self, word: str) -> tuple[float, tuple[int, ...], float]:
+        """The cheapest segmentation's cost and ids, and what the next costs beyond it, by the forward pass alone."""
+        inf = math.inf
+        best, second, back = [0.0], [inf], [None]
+        for own in self.edges(word)[1:]:
+            a = b = inf
+            via = None
+            for edge in own:
+                start, cost, _ = edge
+                x = best[start] + cost
+                if x < a:
+                    a, b, via = x, a, edge
+                elif x < b:
+                    b = x
+                y = second[start] + cost
+                if y < b:
+                    b = y
+            best.append(a)
+            second.append(b)
+            back.append(via)
+        ids: tuple[int, ...] = ()
+        at = len(word)
+        while at:
+            at, _, own_ids = back[at]
+            ids = own_ids + ids
+        return best[-1], ids, second[-1] - best[-1]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space put before the first word goes."""
         return b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -94,6 +121,8 @@ class PieceModel:
 
 def _words(text: str) -> list[str]:
     """Words with the spaces before them, the text begun by one: no piece reaches over a boundary."""
+    if text and "  " not in text and text[0] != " " and text[-1] != " ":
+        return [" " + w for w in text.split(" ")]
     out, held = [], ""
     for part in text.split(" "):
         if part:
@@ -114,8 +143,8 @@ class Segmenter:
         self.known: dict[str, tuple[bytes, float, float]] = {}
 
     def _learn(self, word: str) -> tuple[bytes, float, float]:
-        (cost, ids), *more = self.model.n_best(word, 2 if self.best > 1 else 1)
-        self.known[word] = out = (array("I", ids).tobytes(), cost, more[0][0] - cost if more else math.inf)
+        cost, ids, more = self.model.best_two(word)
+        self.known[word] = out = (array("I", ids).tobytes(), cost, more)
         return out
 
     def segment(self, text: str) -> tuple[int, float, list[tuple[float, bytes]]]:
@@ -136,6 +165,7 @@ class Segmenter:
         for extra, k in least:
             if extra < math.inf:
                 found = self.model.n_best(words[k], self.best)
+                parts[k] = array("I", found[0][1]).tobytes()
                 change.append((k, [(c - found[0][0], array("I", i).tobytes()) for c, i in found[1:]]))
         heap: list[tuple[float, tuple[tuple[int, int], ...], int]] = [(0.0, (), 0)]
         out = []
