@@ -29,22 +29,27 @@ def fingerprint(text: bytes, words_per_shingle: int) -> int:
     A-Z are lower-cased; words are what white space (0x20, 0x09-0x0D) separates; shingles keep repeats and are joined
     by one space; a text of fewer words has one, its whole sequence.
     """
+    hashes = shingle_hashes(text, words_per_shingle)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), AT_ONCE):
+        some = hashes[at : at + AT_ONCE]
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
+def shingle_hashes(text: bytes, words_per_shingle: int) -> np.ndarray:
+    """Big-endian XXH64 (seed 42) of each shingle of fingerprint(), in order; none without a word."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, ">u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.append(0, ends[:-1] + 1)
     k = min(words_per_shingle, len(words))
     cuts = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
-    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in cuts], ">u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), AT_ONCE):
-        some = hashes[at : at + AT_ONCE]
-        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in cuts], ">u8")
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
@@ -174,6 +179,14 @@ def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 5, distance: int
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
     prints = written(fingerprints(keyed, words_per_shingle), "fingerprints")
     rows = prints.where("fp <> 0").join(near_groups(prints.where("fp <> 0"), distance), "fp")
+    return one_of_each(docs, prints, rows)
+
+
+def one_of_each(docs: DataFrame, prints: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs' rows but those of rows that are not first of their root; once per doc_id and text.
+
+    prints: doc_id, h (xxhash64 of the text) of all docs; rows: doc_id, h, root of those in a group.
+    """
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     firsts = rows.groupBy("root").agg(F.min(rank).alias("first"))
     losers = rows.withColumn("rank", rank).join(firsts, "root").where("rank <> first").select("doc_id", "h").distinct()
