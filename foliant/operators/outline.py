@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = 9
+#: Ranges of a group's order within which its features are ranked.
+RANGES = 1024
 
 
 def list_numbering(paragraphs: DataFrame) -> DataFrame:
@@ -110,10 +112,20 @@ def segment_layout_match(segments: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def group_features(features: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """group, place (by first appearance), names (in order) of every group."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(order, name))), lambda x: x[name])
-    grouped = features.groupBy(group).agg(F.min(order).alias("first"), rows.alias("names"))
-    return grouped.select(group, (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("place"), "names")
+    """group, place (of the group, by first appearance), position (within it, by order, a number), name of every feature.
+
+    Features are ranked within ranges of their group's order, and the ranges' offsets are added up over their counts, so
+    no group is gathered.
+    """
+    ends = features.groupBy(F.col(group).alias("own_group")).agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    placed = ends.withColumn("place", (F.row_number().over(Window.orderBy("first")) - 1).cast("long"))
+    part = F.floor((F.col(order) - F.col("first")).cast("double") * RANGES / (F.col("last") - F.col("first") + 1))
+    rows = features.join(placed, F.col(group).eqNullSafe(F.col("own_group"))).select(group, "place", order, name, F.coalesce(part, F.lit(-1)).alias("range"))
+    before = Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("place", "range").agg(F.count("*").alias("n"))
+    offsets = counts.select("place", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("place", "range").orderBy(order, name)) - 1
+    return rows.withColumn("rank", rank).join(offsets, ["place", "range"]).select(group, "place", (F.col("offset") + F.col("rank")).cast("long").alias("position"), name)
 
 
 def resolve_messages(keys: DataFrame, texts: DataFrame, locales: list[str], default: str = "en") -> DataFrame:

@@ -643,7 +643,7 @@ def segment_layout_match(spark, d):
 @query(["files"], """SELECT tool, row_number() OVER (ORDER BY min(file_id)) - 1 AS place, count(*) AS files, sum(length(file_name)) AS chars FROM files GROUP BY tool""")
 def group_features(spark, d):
     grouped = outline.group_features(v.files(spark, d), "tool", "file_id", "file_name")
-    return grouped.select("tool", "place", F.size("names").cast("long").alias("files"), F.length(F.array_join("names", "")).cast("long").alias("chars"))
+    return grouped.groupBy("tool", "place").agg(F.count("*").alias("files"), F.sum(F.length("file_name")).cast("long").alias("chars"))
 
 
 @query(["requests"], """, p AS (SELECT request_id, string_split(languages, ',') AS l FROM requests), e AS (SELECT request_id, i AS pos, trim(l[i]) AS part FROM p, unnest(range(1, len(p.l) + 1)) AS t(i)),
