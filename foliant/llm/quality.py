@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import written
@@ -18,8 +18,11 @@ ERROR = 0.05
 #: Cutoffs tried, as multiples of what all but a few good documents of the stratum reach.
 MULTIPLES = (1.0, 1.1, 1.25, 1.5, 2.0, 3.0, 4.0)
 USUAL_SHARE = 0.995
-#: About so many labelled good documents of a stratum are looked at, chosen by a hash of their id.
-LABELLED_ROWS = 40_000
+#: Scores are ranked within so many buckets a unit, the scores from MOST_RANKED up within one.
+BUCKETS = 4096
+MOST_RANKED = 16.0
+#: Terms of a binomial sum that are listed at once.
+TERMS = 4096
 #: Scores of which higher is worse, and the least value that a stratum's usual score counts as.
 SCORES = {"symbols_per_word": 0.02, "upper_share": 0.02, "marks_per_word": 0.05, "dup_line_share": 0.05, "repeat_share": 0.05}
 
@@ -109,14 +112,43 @@ def at_most(k: Column, n: Column, p: float) -> Column:
         term = a["term"] + F.log((n - i + 1) / i * F.lit(p / (1 - p)))
         return F.struct(term.alias("term"), (a["sum"] + F.exp(term)).alias("sum"))
 
-    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.when(k >= n, F.lit(1.0)).otherwise(F.aggregate(terms, first, add, lambda a: a["sum"]))
+    def add_block(a: Column, b: Column) -> Column:
+        return F.aggregate(F.sequence(b, F.least(k, b + TERMS - 1)), a, add)
+
+    blocks = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k, F.lit(TERMS).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(k >= n, F.lit(1.0)).otherwise(F.aggregate(blocks, first, add_block, lambda a: a["sum"]))
+
+
+def usual_values(rows: DataFrame) -> DataFrame:
+    """stratum, usual_<score>: the exact USUAL_SHARE percentile of all rows, interpolated, or the score's least value.
+
+    Equal values are counted before they are ranked: first by buckets of values, then within the buckets of the rank.
+    """
+    each = rows.select("stratum", F.inline(F.array(*[F.struct(F.lit(n).alias("score"), F.col(n).alias("value")) for n in SCORES])))
+    counts = written(each.groupBy("stratum", "score", "value").agg(F.count("*").alias("n")), "score-counts")
+    counts = counts.withColumn("bucket", F.floor(F.least("value", F.lit(MOST_RANKED)) * BUCKETS).cast("long"))
+    own = Window.partitionBy("stratum", "score")
+    before = own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("stratum", "score", "bucket").agg(F.sum("n").alias("held")).select(
+        "*", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"), (F.sum("held").over(own) - 1).alias("last")
+    )
+    sums = sums.withColumn("position", F.col("last") * F.lit(USUAL_SHARE)).withColumns({"low": F.floor("position"), "high": F.ceil("position")})
+    sums = sums.where("before <= high AND before + held > low").drop("held", "last")
+    within = Window.partitionBy("stratum", "score", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.join(sums, ["stratum", "score", "bucket"]).withColumn("at", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    at = lambda rank: F.max(F.when((F.col("at") <= F.col(rank)) & (F.col("at") + F.col("n") > F.col(rank)), F.col("value")))
+    found = ranked.groupBy("stratum", "score", "position", "low", "high").agg(at("low").alias("x"), at("high").alias("y"))
+    between = (F.col("high") - F.col("position")) * F.col("x") + (F.col("position") - F.col("low")) * F.col("y")
+    found = found.withColumn("value", F.when((F.col("low") == F.col("high")) | (F.col("x") == F.col("y")), F.col("x")).otherwise(between))
+    return found.groupBy("stratum").agg(
+        *[F.greatest(F.max(F.when(F.col("score") == n, F.col("value"))), F.lit(least)).alias(f"usual_{n}") for n, least in SCORES.items()]
+    )
 
 
 def cutoffs(signals: DataFrame, labels: DataFrame, stratum: str = "lang", false_rejection: float = FALSE_REJECTION, error: float = ERROR) -> DataFrame:
     """stratum, the usual_<score>s, cutoff (null where no cutoff is safe) per stratum.
 
-    Good documents (label quality 1; the worst of several labels counts) are halved by a hash. One half gives each
+    All good documents (label quality 1; the worst of several labels counts) are halved by a hash. One half gives each
     score's usual value; a document's badness is its highest score as a multiple of that. On the other half every
     multiple is tested: it is safe if as few rejections as were seen would be a rare event at a rejection rate of
     `false_rejection`, by the exact binomial, at a level of `error` shared among all strata and multiples. The lowest
@@ -126,12 +158,9 @@ def cutoffs(signals: DataFrame, labels: DataFrame, stratum: str = "lang", false_
     rows = signals.where(~base_failed()).join(good, F.col("doc_id") == F.col("good_id")).select(
         F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.xxhash64("doc_id").alias("h"), *[c.alias(n) for n, c in _scores().items()]
     )
-    every = rows.groupBy("stratum").agg(F.ceil(F.count("*") / LABELLED_ROWS).cast("long").alias("every"))
-    rows = written(rows.join(every, "stratum").where(F.pmod("h", "every") == 0), "labelled")
+    rows = written(rows, "labelled")
     half = F.pmod(F.shiftright("h", 20), F.lit(2))
-    usual = rows.where(half == 0).groupBy("stratum").agg(
-        *[F.greatest(F.percentile(n, F.lit(USUAL_SHARE)), F.lit(least)).alias(f"usual_{n}") for n, least in SCORES.items()]
-    )
+    usual = usual_values(rows.where(half == 0))
     tested = (
         rows.where(half == 1)
         .join(usual, "stratum")
