@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import encode_text, map_batches, written
+from foliant.llm.common import encode_text, map_batches, sent_if_small, written
 from foliant.llm.graphs import components
 
 #: A bucket of a segment table with more fingerprints is compared in tasks of its own, so many of them at a time.
@@ -185,15 +185,19 @@ def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 5, distance: int
 def one_of_each(docs: DataFrame, prints: DataFrame, rows: DataFrame) -> DataFrame:
     """docs' rows but those of rows that are not first of their root; once per doc_id and text.
 
-    prints: doc_id, h (xxhash64 of the text) of all docs; rows: doc_id, h, root of those in a group.
+    prints: doc_id, h (xxhash64 of the text) of all docs; rows: doc_id, h, root of those in a group. The texts meet the
+    keys of what goes by a broadcast if those are few, else by a shuffle.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     firsts = rows.groupBy("root").agg(F.min(rank).alias("first"))
-    losers = rows.withColumn("rank", rank).join(firsts, "root").where("rank <> first").select("doc_id", "h").distinct()
-    again = prints.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
+    losers = written(rows.withColumn("rank", rank).join(firsts, "root").where("rank <> first").select("doc_id", "h").distinct(), "losers")
+    again = written(prints.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h"), "repeated")
 
     def among(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = sent_if_small(keys)
         return df.join(keys, df["doc_id"].eqNullSafe(keys["doc_id"]) & (F.xxhash64(df["text"]) == keys["h"]), how)
 
     kept = among(docs, losers, "left_anti")
+    if again.isEmpty():
+        return kept
     return among(kept, again, "left_anti").unionByName(among(kept, again, "left_semi").dropDuplicates(["doc_id", "text"]))
