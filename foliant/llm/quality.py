@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import sent_if_small, written
 
 #: White space between words, as a Java character class.
 _SPACE = r"\x20\x09-\x0D"
@@ -21,6 +21,8 @@ USUAL_SHARE = 0.995
 #: Scores are ranked within so many buckets a unit, the scores from MOST_RANKED up within one.
 BUCKETS = 4096
 MOST_RANKED = 16.0
+#: What is counted of every text.
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "upper", "marks")
 #: Terms of a binomial sum that are listed at once.
 TERMS = 4096
 #: Scores of which higher is worse, and the least value that a stratum's usual score counts as.
@@ -49,16 +51,16 @@ def _has(sorted_values: Column, x: Column) -> Column:
 def quality_signals(docs: DataFrame) -> DataFrame:
     """docs' columns but text, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, upper, marks (long).
 
-    A null text has no words. Windows of three words are told apart by 64-bit hashes. Every step stays in the row, so
+    Columns of docs with one of these names are left out. A null text has no words. Windows of three words are told apart by 64-bit hashes. Every step stays in the row, so
     neither a hot source nor a long text gathers anything; the cost of a text of n words is about n log n.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, f"[{_SPACE}]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{_SPACE}]"))
     count = lambda kind: F.length(F.regexp_replace(text, f"[^{kind}]+", "")).cast("long")
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if c not in ("text", *SIGNALS)]
     one = _once(
-        docs,
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("q_none")]).alias("q_kept"), "text"),
         q_words=words,
         q_lines=lines,
         n_symbols=count("#*$%&|<>"),
@@ -84,9 +86,7 @@ def quality_signals(docs: DataFrame) -> DataFrame:
     # a window covers three words, less those that the window before it covers
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last"))
     covered = F.aggregate("q_starts", none, lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
-    return one.withColumn("n_repeat_words", covered).select(
-        *[F.col(f"`{c}`") for c in kept], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "upper", "marks"
-    )
+    return one.withColumn("n_repeat_words", covered).select(*[F.col("q_kept").getField(c).alias(c) for c in kept], *SIGNALS)
 
 
 def _scores() -> dict[str, Column]:
@@ -151,8 +151,9 @@ def cutoffs(signals: DataFrame, labels: DataFrame, stratum: str = "lang", false_
     All good documents (label quality 1; the worst of several labels counts) are halved by a hash. One half gives each
     score's usual value; a document's badness is its highest score as a multiple of that. On the other half every
     multiple is tested: it is safe if as few rejections as were seen would be a rare event at a rejection rate of
-    `false_rejection`, by the exact binomial, at a level of `error` shared among all strata and multiples. The lowest
-    safe multiple is the cutoff.
+    `false_rejection`, by the exact binomial, at a level of `error` shared among all strata. Within a stratum multiples
+    are tested in a fixed order, the largest first, until one is not safe, so that each may take the whole level. The
+    last safe one is the cutoff. Strata are joined as one row each, which is broadcast while they are few.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col("doc_id").alias("good_id"))
     rows = signals.where(~base_failed()).join(good, F.col("doc_id") == F.col("good_id")).select(
@@ -160,36 +161,38 @@ def cutoffs(signals: DataFrame, labels: DataFrame, stratum: str = "lang", false_
     )
     rows = written(rows, "labelled")
     half = F.pmod(F.shiftright("h", 20), F.lit(2))
-    usual = usual_values(rows.where(half == 0))
+    usual = written(usual_values(rows.where(half == 0)), "usual-values")
     tested = (
         rows.where(half == 1)
-        .join(usual, "stratum")
+        .join(sent_if_small(usual), "stratum")
         .withColumn("badness", badness())
         .groupBy("stratum")
         .agg(F.count("*").alias("n"), *[F.count_if(F.col("badness") > m).alias(f"k{i}") for i, m in enumerate(MULTIPLES)])
     )
-    level = error / len(MULTIPLES) / max(1, rows.select("stratum").distinct().count())
-    safe = F.coalesce(*[F.when(at_most(F.col(f"k{i}"), F.col("n"), false_rejection) <= level, F.lit(m)) for i, m in enumerate(MULTIPLES)])
-    return usual.join(tested.select("stratum", safe.alias("cutoff")), "stratum", "left")
+    level = error / max(1, rows.select("stratum").distinct().count())
+    safe = [at_most(F.col(f"k{i}"), F.col("n"), false_rejection) <= level for i in range(len(MULTIPLES))]
+    tested = tested.select("stratum", F.array(*safe).alias("safe"))
+    # the lowest multiple that is safe with all above it
+    first = F.coalesce(*[F.when(F.forall(F.slice("safe", i + 1, len(MULTIPLES)), lambda x: x), F.lit(m)) for i, m in enumerate(MULTIPLES)])
+    return usual.join(tested.select("stratum", first.alias("cutoff")), "stratum", "left")
 
 
 def badness() -> Column:
     return F.greatest(*[F.col(n) / F.col(f"usual_{n}") for n in SCORES])
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, the stratum, own_hash (xxhash64 of the text), the signals, badness, cutoff, base_failed, and kept: neither
-    failed nor beyond the cutoff.
+def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the stratum, `others`, the signals, badness, cutoff, base_failed, and kept: neither failed nor beyond the
+    cutoff.
 
-    docs: doc_id, text and the stratum's column, others are left out; labels: doc_id, quality (0 or 1). A stratum (null: one of its own)
+    docs: doc_id, text, the stratum's column and others; labels: doc_id, quality (0 or 1). A stratum (null: one of its own)
     without enough labelled documents for a safe cutoff rejects by the base rules alone; so does an empty table of
-    labels. Rows come out as often as they come in.
+    labels. Rows come out as often as they come in, each with its verdict; no text is shuffled.
     """
-    lean = docs.select("doc_id", F.col(stratum), F.xxhash64("text").alias("own_hash"), "text")
-    signals = written(quality_signals(lean), "signals")
+    signals = written(quality_signals(docs.select(*dict.fromkeys(("doc_id", stratum, *others)), "text")), "signals")
     named = signals.withColumn("q_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    found = cutoffs(signals, labels, stratum).withColumnRenamed("stratum", "q_stratum")
-    scored = named.join(found, "q_stratum", "left")
+    found = written(cutoffs(signals, labels, stratum).withColumnRenamed("stratum", "q_stratum"), "cutoffs")
+    scored = named.join(sent_if_small(found), "q_stratum", "left")
     for n, c in _scores().items():
         scored = scored.withColumn(n, c)
     scored = scored.withColumns({"badness": badness(), "base_failed": base_failed()})
@@ -198,6 +201,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """docs' rows, all columns, that quality_verdicts() keeps; rows are told apart by doc_id and a hash of their text."""
-    bad = quality_verdicts(docs, labels, stratum).where(~F.col("kept")).select("doc_id", "own_hash").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["own_hash"]), "left_anti")
+    """docs' rows, all columns, that quality_verdicts() keeps."""
+    rows = docs.select("doc_id", stratum, "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row"))
+    kept = quality_verdicts(rows, labels, stratum, ("q_row",)).where("kept")
+    return kept.select(*[F.col("q_row").getField(c).alias(c) for c in docs.columns])

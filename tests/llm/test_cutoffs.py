@@ -25,10 +25,14 @@ def test_all_labelled_rows_count(spark):
         F.count("*").alias("n"), *[F.count_if(F.col("badness") > m).alias(f"k{i}") for i, m in enumerate(quality.MULTIPLES)]
     )
     wanted = {r["stratum"]: {n: r[n] for n in usual.columns} for r in usual.collect()}
-    level = quality.ERROR / len(quality.MULTIPLES) / 2
+    level = quality.ERROR / 2
     for r in counts.collect():
-        safe = [m for i, m in enumerate(quality.MULTIPLES) if tail(r[f"k{i}"], r["n"], quality.FALSE_REJECTION) <= level]
-        wanted[r["stratum"]]["cutoff"] = safe[0] if safe else None
+        cutoff = None
+        for i in reversed(range(len(quality.MULTIPLES))):
+            if tail(r[f"k{i}"], r["n"], quality.FALSE_REJECTION) > level:
+                break
+            cutoff = quality.MULTIPLES[i]
+        wanted[r["stratum"]]["cutoff"] = cutoff
     found = {r["stratum"]: r.asDict() for r in quality.cutoffs(signals, labels).collect()}
     assert found == wanted
 
