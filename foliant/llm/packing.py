@@ -14,10 +14,11 @@ from foliant.llm.tokens import encoder
 
 #: A bin with at most this many free places per thousand is emitted; others are items of the next round.
 FREE_PER_MILLE = 2
-#: Items a task of a later round gets.
+#: Items a task gets at most, and from which a task of its own is worth its while.
 ITEMS_PER_TASK = 100_000
-#: Rounds at most; each has fewer tasks than the one before, down to one task that holds a bounded rest.
-ROUNDS = 6
+ITEMS_WORTH_A_TASK = 10_000
+#: A round that leaves more items per hundred than this has found what fits together.
+LEFT_PERCENT = 90
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 1024, with_ids: bool = False) -> DataFrame:
@@ -74,7 +75,7 @@ class _Bins:
         self.mask |= 1 << left
 
 
-def _round(length: int, number: int, last: bool):
+def _round(length: int, number: int):
     """A task of one round: its items, packed. An item has arrays of its members' keys and lengths."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +90,7 @@ def _round(length: int, number: int, last: bool):
         rows = []
         for k, members in enumerate(bins.members):
             total = sum(items[m][0] for m in members)
-            done = last or 1000 * (length - total) <= FREE_PER_MILLE * length
+            done = 1000 * (length - total) <= FREE_PER_MILLE * length
             rows.append(((number << 56) | (task << 32) | k, total, done, [x for m in members for x in items[m][1]], [x for m in members for x in items[m][2]]))
         for at in range(0, len(rows), 5000):
             ids, totals, dones, keys, sizes = zip(*rows[at : at + 5000])
@@ -105,29 +106,29 @@ def pack_pieces(pieces: DataFrame, length: int = 1024) -> DataFrame:
     """row_key, sequence_id, offset of every piece shorter than `length`; pieces: row_key (unique) and length.
 
     Each task packs its items by best fit, longest first; bins that are nearly full are emitted, the others are items
-    of the next round, which has a fraction of the tasks. A bin holds at most `length` members, so no row grows. The
-    last round is one task; it gets what earlier rounds couldn't fill, and while that is over ITEMS_PER_TASK items and
-    rounds are left, another round of several tasks comes first.
+    of the next round, which has an eighth of the tasks, or as many as keep a task within ITEMS_PER_TASK items. Items
+    are dealt by a hash, so tasks are alike. The rounds end with one task, or when a round could join next to nothing,
+    as with items that are all over half a sequence; what is left then is emitted as it is. A bin holds at most
+    `length` members, so no row grows.
     """
     schema = "sequence_id long, size long, done boolean, keys array<long>, sizes array<long>"
     items = pieces.select(F.col("length").alias("size"), F.array("row_key").alias("keys"), F.array("length").alias("sizes"))
-    n, emitted = pieces.count(), []
-    tasks = min(partitions(pieces), max(1, n // (ITEMS_PER_TASK // 10)))
-    for number in range(ROUNDS):
-        spread = items.repartition(tasks, F.xxhash64(F.col("keys")[0])) if tasks > 1 else items.repartition(1)
-        last = tasks == 1 or number == ROUNDS - 1
-        bins = written(map_batches(spread, _round(length, number, last), schema), "bins")
-        emitted.append(bins.where("done"))
-        if last:
+    n, emitted, number = pieces.count(), [], 0
+    tasks = max(1, min(partitions(pieces), n // ITEMS_WORTH_A_TASK), -(-n // ITEMS_PER_TASK))
+    while True:
+        spread = items.repartition(tasks, F.xxhash64(F.col("keys")[0], F.lit(number))) if tasks > 1 else items.repartition(1)
+        bins = written(map_batches(spread, _round(length, number), schema), "bins")
+        left = bins.where("not done").count() if tasks > 1 else 0
+        if tasks == 1 or 100 * left > LEFT_PERCENT * n:
+            emitted.append(bins)
             break
-        items = bins.where("not done").select("size", "keys", "sizes")
-        left = items.count()
-        tasks = min(tasks - 1, -(-tasks // 8)) if left <= ITEMS_PER_TASK * -(-tasks // 8) else min(tasks - 1, -(-left // ITEMS_PER_TASK))
-        tasks = max(1, tasks)
+        emitted.append(bins.where("done"))
+        items, n, number = bins.where("not done").select("size", "keys", "sizes"), left, number + 1
+        tasks = max(1, -(-tasks // 8), -(-n // ITEMS_PER_TASK))
     bins = emitted[0]
     for more in emitted[1:]:
         bins = bins.unionByName(more)
-    ends = F.expr("aggregate(sizes, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x)))")
+    ends = F.expr("slice(aggregate(sizes, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x))), 1, size(sizes))")
     return bins.select("sequence_id", F.explode(F.arrays_zip("keys", ends.alias("ends"))).alias("m")).select(
         F.col("m.keys").alias("row_key"), "sequence_id", F.col("m.ends").alias("offset")
     )
@@ -141,7 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length
     """
     pieces = written(token_pieces(docs, tokenizer_path, end_id, length, with_ids), "pieces")
     full = pieces.where(F.col("length") == length).withColumns(
-        {"sequence_id": F.monotonically_increasing_id() + F.lit(1 << 62), "offset": F.lit(0).cast("long")}
+        {"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}
     )
     short = pieces.where(F.col("length") < length)
     placed = short.join(pack_pieces(short, length), "row_key")

@@ -2,7 +2,8 @@
 
 The `tokenizers` library encodes; a memory of words already encoded keeps the cost near that of splitting a text. The
 library's own pre-tokenizer never joins a space to what stands before it, so a text may be cut before each single
-space that has other characters than white space on both sides, and the pieces be encoded alone.
+space that has other characters than white space on both sides, and the pieces be encoded alone. Added tokens within a
+text, such as <|endoftext|>, become their ids as the library has it.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._remembered = remembered
         self._known: dict[str, bytes] = {}
         # byte-level vocabularies write the space as U+0120, so such a token begins a word

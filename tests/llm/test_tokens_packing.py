@@ -15,12 +15,11 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 def test_word_memory_gives_the_librarys_ids(reference):
-    texts = ["a   b", " x y", "a \n b", "\n", "q  ", "é　 z", "", " ", "a\n  b c d Ġ aĠ", "\x1c a \x1d b", "b\n", "b\n c", "don't stop 12 34", "a b"] * 2
+    texts = ["a   b", " x y", "a \n b", "\n", "q  ", "é　 z", "", " ", "a\n  b c d Ġ aĠ", "\x1c a \x1d b", "b\n", "b\n c", "x<|endoftext|> y", "a <|endoftext|>", "a  <|endoftext|>b <|endoftext|> <|endoftext|>", "don't stop 12 34", "a b"] * 2
     enc = tokens.WordEncoder(PATH, remembered=3)
     assert enc.encode_all(texts) == [array("I", reference(t)).tobytes() for t in texts]
 
@@ -45,6 +44,26 @@ def test_orc_files_ascend_and_prune(spark, docs, tmp_path):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in back.where("doc_id = 7")._jdf.queryExecution().toString()
 
 
+def test_items_over_half_a_sequence_and_many_rounds(spark, monkeypatch):
+    """Every piece is placed once, without overlap, however many rounds and tasks there are."""
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 40)
+    monkeypatch.setattr(packing, "ITEMS_WORTH_A_TASK", 10)
+    for sizes in ([600 + i % 50 for i in range(500)], [1 + 37 * i % 1023 for i in range(700)], [1] * 300, []):
+        pieces = spark.createDataFrame(list(enumerate(sizes)), "row_key long, length long")
+        found = packing.pack_pieces(pieces).collect()
+        assert sorted(r["row_key"] for r in found) == list(range(len(sizes)))
+        by = {}
+        for r in found:
+            by.setdefault(r["sequence_id"], []).append((r["offset"], sizes[r["row_key"]]))
+        for rows in by.values():
+            at = 0
+            for offset, size in sorted(rows):
+                assert offset == at
+                at += size
+            assert at <= 1024
+        assert len(by) <= 1.35 * max(-(-sum(sizes) // 1024), sum(2 * x > 1024 for x in sizes)) + 1
+
+
 def test_repeated_rows_and_empty_table(docs, empty):
     twice = docs.unionByName(docs)
     found = tokens.orc_token_digests(twice, PATH)
