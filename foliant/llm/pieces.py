@@ -21,10 +21,15 @@ BEST = 4
 REMEMBERED_WORDS = 800_000
 #: Cost of a byte piece over the rarest piece.
 BYTE_COST = 2.0
+#: Words of more characters are not remembered.
+LONGEST_REMEMBERED = 64
+_NEVER = 1 << 62
+#: Costs are whole numbers of this part of one, so sums are exact and ties are ties.
+UNIT = 1 << 24
 
 
 class PieceModel:
-    """Pieces with costs (negative log probabilities) out of a SentencePiece model file.
+    """Pieces with costs (negative log probabilities, in units of 1 / UNIT) out of a SentencePiece model file.
 
     A unigram model's scores are log probabilities and are taken as they are. A BPE model's scores are ranks; the piece
     of rank r costs log(r + 2), as by Zipf's law. Characters without a piece are written as byte pieces, and so is the
@@ -39,80 +44,114 @@ class PieceModel:
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         scores = {i: model.get_score(i) for i in plain}
         ranks = all(s == int(s) for s in scores.values())
-        self.costs = {i: math.log(2 - s) if ranks else -s for i, s in scores.items()}
-        most = max(self.costs.values(), default=0.0) + BYTE_COST
+        self.costs = {i: round((math.log(2 - s) if ranks else -s) * UNIT) for i, s in scores.items()}
+        most = max(self.costs.values(), default=0) + round(BYTE_COST * UNIT)
         self.pieces = {model.id_to_piece(i): i for i in plain}
         self.bytes = {int(model.id_to_piece(i)[3:-1], 16): i for i in range(n) if model.is_byte(i)}
         self.costs.update(dict.fromkeys(self.bytes.values(), most))
         self.texts = {i: p.replace(SPACE, " ").encode() for p, i in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         #: Every beginning of a piece: the piece's id, or -1 where only longer pieces begin so.
         self.prefixes = {p[:k]: -1 for p in self.pieces for k in range(1, len(p))} | self.pieces
+        self.longest = max(map(len, self.pieces), default=1)
 
-    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place, the pieces that end there: (start, cost, ids), the spaces of word written as SPACE."""
-        signs, n, get, costs = word.replace(SPACE, "\0").replace(" ", SPACE), len(word), self.prefixes.get, self.costs
-        out: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+    def _signs(self, word: str) -> str:
+        return word.replace(SPACE, "\0").replace(" ", SPACE)
+
+    def _byte_cost(self, sign: str) -> int:
+        return sum(self.costs[self.bytes[b]] for b in sign.encode())
+
+    def _ids(self, word: str, signs: str, start: int, end: int) -> list[int]:
+        """The piece from start to end, or the bytes of a character without one."""
+        i = self.pieces.get(signs[start:end])
+        return [i] if i is not None else [self.bytes[b] for b in word[start:end].encode()]
+
+    def forward(self, word: str) -> tuple[list[int], list[int | None], list[int]]:
+        """Viterbi: for each place the least cost of reaching it, the next one (None: no other way), and where the last piece of the best begins."""
+        signs, n, get, costs = self._signs(word), len(word), self.prefixes.get, self.costs
+        none = 1 << 62
+        best, second, back = [none] * (n + 1), [none] * (n + 1), [0] * (n + 1)
+        best[0] = 0
         for start in range(n):
-            alone = False
-            for end in range(start + 1, n + 1):
+            a, b, end, alone = best[start], second[start], start, False
+            while end < n:
+                end += 1
                 i = get(signs[start:end])
                 if i is None:
                     break
-                if i >= 0:
-                    alone |= end == start + 1
-                    out[end].append((start, costs[i], (i,)))
+                if i < 0:
+                    continue
+                alone |= end == start + 1
+                x = a + costs[i]
+                if x < best[end]:
+                    second[end] = min(best[end], b + costs[i])
+                    best[end], back[end] = x, start
+                else:
+                    second[end] = min(second[end], x)
             if not alone:
-                ids = tuple(self.bytes[b] for b in word[start].encode())
-                out[start + 1].append((start, sum(costs[i] for i in ids), ids))
-        return out
-
-    def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n cheapest segmentations, cheapest first, ties to the smaller ids.
+                end, c = start + 1, self._byte_cost(word[start])
+                x = a + c
+                if x < best[end]:
+                    second[end] = min(best[end], b + c)
+                    best[end], back[end] = x, start
+                else:
+                    second[end] = min(second[end], x)
+        return best, [x if x < none else None for x in second], back
+
+    def n_best(self, word: str, n: int) -> list[tuple[int, list[int]]]:
+        """The n cheapest segmentations, cheapest first.
 
         Forward Viterbi gives the least cost of reaching each place. A backward search from the end that adds it to
-        what it has spent knows the exact cost of the best completion, so it leaves the heap in order of whole cost.
+        what it has spent knows the exact cost of the best completion, so it leaves the heap in order of whole cost, of
+        equal ones the one that has come further. Every step off the best way begins a set of segmentations of its own,
+        so a step dearer than n sets known by then can't be among the n cheapest. Ways are linked lists that share
+        their ends, so time and memory grow with the length of the word.
         """
-        edges = self.edges(word)
-        least = [0.0] + [math.inf] * len(word)
-        for end in range(1, len(edges)):
-            least[end] = min(least[s] + c for s, c, _ in edges[end])
-        heap: list[tuple[float, tuple[int, ...], int, float]] = [(least[-1], (), len(word), 0.0)]
-        out: list[tuple[float, tuple[int, ...]]] = []
+        least, signs, get, costs = self.forward(word)[0], self._signs(word), self.pieces.get, self.costs
+        heap: list[tuple] = [(least[-1], len(word), 0, 0, None)]
+        known, pushed = [-least[-1]], 0  # the n least whole costs of sets, negated
+        out: list[tuple[int, list[int]]] = []
         while heap and len(out) < n:
-            _, ids, at, spent = heapq.heappop(heap)
+            whole, at, _, spent, way = heapq.heappop(heap)
             if at == 0:
+                ids: list[int] = []
+                end = 0
+                while way is not None:
+                    begin, (end, way) = end, way
+                    ids += self._ids(word, signs, begin, end)
                 out.append((spent, ids))
                 continue
-            for start, cost, own in edges[at]:
-                heapq.heappush(heap, (least[start] + cost + spent, own + ids, start, cost + spent))
+            goes_on = False
+            for start in range(at - 1, max(at - self.longest, 0) - 1, -1):
+                i = get(signs[start:at])
+                if i is not None:
+                    cost = costs[i]
+                elif start == at - 1:
+                    cost = self._byte_cost(word[start])
+                else:
+                    continue
+                total = least[start] + cost + spent
+                if total == whole and not goes_on:
+                    goes_on = True
+                elif len(known) < n:
+                    heapq.heappush(known, -total)
+                elif total >= -known[0]:
+                    continue
+                else:
+                    heapq.heapreplace(known, -total)
+                pushed += 1
+                heapq.heappush(heap, (total, start, pushed, cost + spent, (at, way)))
         return out
 
-    def best_two(self, word: str) -> tuple[float, tuple[int, ...], float]:
-        """The cheapest segmentation's cost and ids, and what the next costs beyond it, by the forward pass alone."""
-        inf = math.inf
-        best, second, back = [0.0], [inf], [None]
-        for own in self.edges(word)[1:]:
-            a = b = inf
-            via = None
-            for edge in own:
-                start, cost, _ = edge
-                x = best[start] + cost
-                if x < a:
-                    a, b, via = x, a, edge
-                elif x < b:
-                    b = x
-                y = second[start] + cost
-                if y < b:
-                    b = y
-            best.append(a)
-            second.append(b)
-            back.append(via)
-        ids: tuple[int, ...] = ()
-        at = len(word)
+    def best_two(self, word: str) -> tuple[int, list[int], int | None]:
+        """The cheapest segmentation's cost and ids, and what the next costs beyond it (None without one), by the forward pass alone."""
+        best, second, back = self.forward(word)
+        signs, cuts, at = self._signs(word), [len(word)], len(word)
         while at:
-            at, _, own_ids = back[at]
-            ids = own_ids + ids
-        return best[-1], ids, second[-1] - best[-1]
+            at = back[at]
+            cuts.append(at)
+        cuts.reverse()
+        ids = [i for a, b in zip(cuts, cuts[1:]) for i in self._ids(word, signs, a, b)]
+        return best[-1], ids, None if second[-1] is None else second[-1] - best[-1]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space put before the first word goes."""
@@ -140,34 +179,37 @@ class Segmenter:
 
     def __init__(self, path: str, best: int = BEST):
         self.model, self.best = PieceModel(path), best
-        self.known: dict[str, tuple[bytes, float, float]] = {}
+        self.known: dict[str, tuple[bytes, int, int]] = {}
 
-    def _learn(self, word: str) -> tuple[bytes, float, float]:
+    def _learn(self, word: str) -> tuple[bytes, int, int]:
         cost, ids, more = self.model.best_two(word)
-        self.known[word] = out = (array("I", ids).tobytes(), cost, more)
+        out = (array("I", ids).tobytes(), cost, _NEVER if more is None else more)
+        if len(word) <= LONGEST_REMEMBERED:
+            self.known[word] = out
         return out
 
     def segment(self, text: str) -> tuple[int, float, list[tuple[float, bytes]]]:
         """(words, cost of the best, [(cost beyond the best, little-endian 32-bit ids)]) of the cheapest segmentations.
 
-        The text's lattice is its words' lattices in a row, so forward scores add up, and a segmentation's cost beyond
-        the best is the sum of its words'. Of n - 1 words with the least to add come the n cheapest; the search leaves
-        the heap in order of cost, then of the changed words' places.
+        No piece reaches over the beginning of a word, so the text's lattice is its words' lattices in a row: forward
+        scores add up, and a segmentation's cost beyond the best is the sum of its words'. The n cheapest change only
+        the n - 1 words with the least to add, and the backward search runs over those; the search over the changes
+        leaves the heap in order of cost, then of the changed words' places.
         """
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
         words, get, learn = _words(text), self.known.get, self._learn
         own = [get(w) or learn(w) for w in words]
         parts = [x[0] for x in own]
-        cost = math.fsum([x[1] for x in own])
+        cost = sum([x[1] for x in own])
         least = heapq.nsmallest(self.best - 1, zip([x[2] for x in own], range(len(own))))
         change = []
         for extra, k in least:
-            if extra < math.inf:
+            if extra < _NEVER:
                 found = self.model.n_best(words[k], self.best)
                 parts[k] = array("I", found[0][1]).tobytes()
                 change.append((k, [(c - found[0][0], array("I", i).tobytes()) for c, i in found[1:]]))
-        heap: list[tuple[float, tuple[tuple[int, int], ...], int]] = [(0.0, (), 0)]
+        heap: list[tuple[int, tuple[tuple[int, int], ...], int]] = [(0, (), 0)]
         out = []
         while heap and len(out) < self.best:
             extra, taken, at = heapq.heappop(heap)
@@ -175,7 +217,7 @@ class Segmenter:
             before = [(k, parts[k]) for k, _ in swapped]
             for k, ids in swapped:
                 parts[k] = ids
-            out.append((extra, b"".join(parts)))
+            out.append((extra / UNIT, b"".join(parts)))
             for k, ids in before:
                 parts[k] = ids
             # the next ones: a further word changed, or the last change made dearer
@@ -185,7 +227,7 @@ class Segmenter:
                 j, m = taken[-1]
                 dearer = change[j][1]
                 heapq.heappush(heap, (extra - dearer[m][0] + dearer[m + 1][0], (*taken[:-1], (j, m + 1)), at))
-        return len(words), cost, out
+        return len(words), cost / UNIT, out
 
 
 _SEGMENTERS: dict[tuple[str, int], Segmenter] = {}

@@ -12,17 +12,23 @@ def own():
 
 
 def brute(model, word, n):
-    edges = model.edges(word)
+    """Every segmentation into pieces, with bytes only for characters that no piece is, by cost."""
+    signs = word.replace("▁", "\0").replace(" ", "▁")
 
-    def back(at):
-        if at == 0:
+    def ways(start):
+        if start == len(word):
             yield 0.0, ()
-        else:
-            for start, cost, ids in edges[at]:
-                for c, rest in back(start):
-                    yield c + cost, rest + ids
+        for end in range(start + 1, len(word) + 1):
+            if signs[start:end] in model.pieces:
+                ids = (model.pieces[signs[start:end]],)
+            elif end == start + 1:
+                ids = tuple(model.bytes[b] for b in word[start].encode())
+            else:
+                continue
+            for c, rest in ways(end):
+                yield sum(model.costs[i] for i in ids) / pieces.UNIT + c, ids + rest
 
-    return sorted(back(len(word)))[:n]
+    return sorted(ways(0))[:n]
 
 
 @pytest.mark.parametrize("text", ["thanor", "a  b", "é你 x", "▁é", "to be or", "\n\n", " ", "tion tion"])
@@ -36,7 +42,18 @@ def test_n_best_of_texts(own, text):
 def test_n_best_of_words(own):
     for word in (" thandor", " ering,", " a", "   lead"):
         got, expected = own.model.n_best(word, 6), brute(own.model, word, 6)
-        assert [round(c, 6) for c, _ in got] == [round(c, 6) for c, _ in expected]
+        assert len({tuple(ids) for _, ids in got}) == len(got) and all(sum(own.model.costs[i] for i in ids) == c for c, ids in got)
+        assert [round(c / pieces.UNIT, 6) for c, _ in got] == [round(c, 6) for c, _ in expected]
+
+
+@pytest.mark.parametrize("text", ["a" * 100_000, "qwzx" * 20_000 + "é你" * 500])
+def test_long_texts_without_spaces(own, text):
+    _, cost, found = own.segment(text)
+    assert len(found) == 5 and len({ids for _, ids in found}) == 5
+    for extra, ids in found:
+        ids = list(memoryview(ids).cast("I"))
+        assert own.model.decode(ids) == text
+        assert sum(own.model.costs[i] for i in ids) / pieces.UNIT == pytest.approx(cost + extra, abs=1e-6)
 
 
 def test_documents(spark, docs, rows, empty):
