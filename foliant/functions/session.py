@@ -1,8 +1,11 @@
-"""What a session's Python workers need to import this package."""
+"""What a session gives this package: its import path on Python workers, and the folder that all executors share."""
 
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -15,3 +18,13 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder named in spark.checkpoint.dir; only where that is unset on one machine, as in tests, in a folder of our own."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -135,12 +135,18 @@ def conversion_support(images: DataFrame) -> DataFrame:
 
 
 def compression_savings(images: DataFrame) -> DataFrame:
-    """format, files, kept_original, saved_bytes: a result of the same format that isn't smaller is dropped for the original."""
+    """image_id, format, kept_original, out_size, saved_percent (rounded half up): a result of the same format that isn't
+    smaller is dropped for the original; without an original size nothing is saved."""
     keep = (F.col("format") == F.col("target")) & (F.col("output_size") >= F.col("original_size"))
-    out = F.when(keep, F.col("original_size")).otherwise(F.col("output_size"))
-    return images.groupBy("format").agg(
-        F.count("*").alias("files"), F.count_if(keep).alias("kept_original"), F.sum(F.col("original_size") - out).alias("saved_bytes")
-    )
+    own = images.select("image_id", "format", keep.alias("kept_original"), "original_size", F.when(keep, F.col("original_size")).otherwise(F.col("output_size")).alias("out_size"))
+    saved = F.when(F.col("original_size") > 0, F.floor((1 - F.col("out_size") / F.col("original_size")) * 100 + 0.5)).otherwise(0).cast("long")
+    return own.select("image_id", "format", "kept_original", "out_size", saved.alias("saved_percent"))
+
+
+def savings_by_format(images: DataFrame) -> DataFrame:
+    """format, files, kept_original, saved_bytes of compression_savings()."""
+    own = compression_savings(images).join(images.select("image_id", "original_size"), "image_id")
+    return own.groupBy("format").agg(F.count("*").alias("files"), F.count_if("kept_original").alias("kept_original"), F.sum(F.col("original_size") - F.col("out_size")).alias("saved_bytes"))
 
 
 def image_kind(content: Column) -> Column:

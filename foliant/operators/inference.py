@@ -26,26 +26,46 @@ def last_turn_backend(conversations: list[list[tuple[str, str]]], most: int) ->
     return [(c[-1][1] if c else "")[:most] for c in conversations]
 
 
-def translate_batches(batches: DataFrame, pair: list[str], backend: Backend = prefix_backend) -> DataFrame:
+# Languages that translations know.
+LANGUAGES = ("en", "id", "fr", "de", "es", "ja", "ko", "zh")
+
+
+def translate_batches(batches: DataFrame, pair: list[str], backend: Backend = prefix_backend, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """pair, text, translated of every row of batches (pair, text, batch, place).
 
-    Rows of one batch go to the backend together; texts without a letter pass unchanged without it.
+    The rows of a batch go to the backend in one call, by place, however Arrow cuts the partition; texts without a
+    letter pass unchanged without it. A language that isn't one of `languages` is an error.
     """
     importable(batches.sparkSession)
+    bad = F.array_except(F.array(*pair), F.array(*map(F.lit, languages)))
+    checked = F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("unsupported language: "), F.coalesce(bad[0], F.lit("null"))))).otherwise(F.col("text"))
+    batches = batches.withColumn("text", checked)
     with_letters = F.col("text").rlike("\\p{L}")
     plain = batches.where(~with_letters).select(*pair, "text", F.col("text").alias("translated"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = [*pair, "batch"], []
+
+        def translated(rows: pd.DataFrame) -> pd.DataFrame:
+            source, target = rows[pair[0]].iloc[0], rows[pair[1]].iloc[0]
+            return rows.assign(translated=backend(rows["text"].tolist(), source, target))[[*pair, "text", "translated"]]
+
         for frame in frames:
-            out = []
-            for (source, target, _), rows in frame.groupby([*pair, "batch"], sort=False):
-                rows = rows.sort_values("place")
-                out.append(rows.assign(translated=backend(rows["text"].tolist(), source, target))[[*pair, "text", "translated"]])
-            if out:
-                yield pd.concat(out)
+            if not len(frame):
+                continue
+            frame = pd.concat([*held, frame], ignore_index=True)
+            new = (frame[key] != frame[key].shift(1)).any(axis=1)
+            cuts = new[new].index.tolist()
+            # the last batch may go on in the next frame
+            held = [frame.iloc[cuts[-1] :]]
+            done = [translated(frame.iloc[a:b]) for a, b in zip(cuts, cuts[1:])]
+            if done:
+                yield pd.concat(done)
+        if held:
+            yield translated(held[0])
 
     schema = ", ".join(f"{c} string" for c in [*pair, "text", "translated"])
-    spread = batches.where(with_letters).select(*pair, "text", "batch", "place").repartition(*pair, "batch")
+    spread = batches.where(with_letters).select(*pair, "text", "batch", "place").repartition(*pair, "batch").sortWithinPartitions(*pair, "batch", "place")
     return spread.mapInPandas(run, schema).unionByName(plain)
 
 

@@ -1,4 +1,8 @@
-"""Geometry of pages as joins and windows over boxes: document_id and page are always equi-keys."""
+"""Geometry of pages as joins and windows over boxes.
+
+Boxes meet by document, page and the cells of a grid that they touch, so a long line or a crowded page gives each box
+its neighbours alone. What is nearest beside a box comes from running minima over one sorted line.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,20 @@ COLUMN_GAP, COLUMN_GAP_SIZES = 3.0, 1.5
 SPACE_GAP_SIZES, SPACE_WIDTH_SIZES = 0.15, 0.25
 LINK_MARGIN, LINK_SHARE = 0.2, 0.5
 PAGE = ["document_id", "page"]
+#: Sides of a cell of the grid; any sides give the same results.
+CELL_WIDTH, CELL_HEIGHT = 128.0, 32.0
+# The bottom margin of a page, the least sides of a container, and the share of a box's height that counts as beside.
+BOTTOM_MARGIN, CONTAINER_SIDE, BAND = 36.0, 5.0, 0.25
+
+
+def in_cells(boxes: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+    """boxes, each once per cell (cell_x, cell_y) that it touches."""
+    at = lambda c, side: F.floor(c / side).cast("int")
+    across = boxes.withColumn("cell_x", F.explode(F.sequence(at(x0, CELL_WIDTH), F.greatest(at(x0, CELL_WIDTH), at(x1, CELL_WIDTH)))))
+    return across.withColumn("cell_y", F.explode(F.sequence(at(y0, CELL_HEIGHT), F.greatest(at(y0, CELL_HEIGHT), at(y1, CELL_HEIGHT)))))
+
+
+CELLS = [*PAGE, "cell_x", "cell_y"]
 
 
 def filter_rules(shapes: DataFrame) -> DataFrame:
@@ -27,47 +45,83 @@ def link_char_join(spans: DataFrame, links: DataFrame) -> DataFrame:
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     margin = LINK_MARGIN * F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     own = spans.select(*PAGE, "line", "span", cx.alias("cx"), cy.alias("cy"), margin.alias("m"))
-    inside = (
-        (F.col("cx") >= F.col("x0") - F.col("m")) & (F.col("cx") <= F.col("x1") + F.col("m")) & (F.col("cy") >= F.col("y0") - F.col("m")) & (F.col("cy") <= F.col("y1") + F.col("m"))
-    )
-    return own.join(links, PAGE).where(inside).groupBy(*PAGE, "line", "span").agg(F.min_by("target", "link_id").alias("target"))
+    c = {n: F.col(n) for n in ("cx", "cy", "m", "x0", "y0", "x1", "y1")}
+    own = in_cells(own, c["cx"] - c["m"], c["cy"] - c["m"], c["cx"] + c["m"], c["cy"] + c["m"])
+    inside = (c["cx"] >= c["x0"] - c["m"]) & (c["cx"] <= c["x1"] + c["m"]) & (c["cy"] >= c["y0"] - c["m"]) & (c["cy"] <= c["y1"] + c["m"])
+    met = own.join(in_cells(links, c["x0"], c["y0"], c["x1"], c["y1"]), CELLS).where(inside)
+    return met.groupBy(*PAGE, "line", "span").agg(F.min_by("target", "link_id").alias("target"))
 
 
 def image_link_best(shapes: DataFrame, links: DataFrame) -> DataFrame:
     """PAGE, shape_id, target: the link that covers the largest share of a box, half at least; the last of equals."""
-    box = shapes.select(*PAGE, "shape_id", *[F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")])
+    sides = ("x0", "y0", "x1", "y1")
+    box = in_cells(shapes.select(*PAGE, "shape_id", *[F.col(c).alias(f"s_{c}") for c in sides]), *[F.col(f"s_{c}") for c in sides])
     w = F.least("s_x1", "x1") - F.greatest("s_x0", "x0")
     h = F.least("s_y1", "y1") - F.greatest("s_y0", "y0")
     area = F.abs((F.col("s_x1") - F.col("s_x0")) * (F.col("s_y1") - F.col("s_y0")))
     share = F.when((w > 0) & (h > 0), w * h / area).otherwise(0.0)
-    joined = box.join(links, PAGE).where(area > 0).withColumn("share", share).where(F.col("share") >= LINK_SHARE)
+    joined = box.where(area > 0).join(in_cells(links, *[F.col(c) for c in sides]), CELLS).withColumn("share", share).where(F.col("share") >= LINK_SHARE)
     return joined.groupBy(*PAGE, "shape_id").agg(F.max_by("target", F.struct("share", "link_id")).alias("target"))
 
 
-def text_bounds(spans: DataFrame, containers: DataFrame) -> DataFrame:
-    """PAGE, line, span, container: the smallest container (over 5 a side) that encloses the span grown by 1, else null."""
+def page_areas(texts: DataFrame, width: float, height: float) -> DataFrame:
+    """PAGE, a_x0, a_y0, a_x1, a_y1, text_right: where text may stand on a page of this size, its margins taken as alike on both sides."""
+    ends = texts.groupBy(*PAGE).agg(F.min("x0").alias("left"), F.max("x1").alias("text_right"), F.max("y1").alias("bottom"))
+    return ends.select(
+        *PAGE, F.least("left", width - F.col("text_right")).alias("a_x0"), F.lit(0.0).alias("a_y0"), F.greatest("text_right", width - F.col("left")).alias("a_x1"),
+        F.greatest("bottom", F.lit(height - BOTTOM_MARGIN)).alias("a_y1"), "text_right",
+    )
+
+
+def text_bounds(spans: DataFrame, containers: DataFrame, areas: DataFrame) -> DataFrame:
+    """PAGE, line, span, container, b_x0, b_y0, b_x1, b_y1: the page's area, cut to the smallest container (over 5 a side)
+    that encloses the span grown by 1, if one does (container, else null)."""
     w, h = F.col("c_x1") - F.col("c_x0"), F.col("c_y1") - F.col("c_y0")
-    boxes = containers.select(*PAGE, "shape_id", *[F.col(c).alias(f"c_{c}") for c in ("x0", "y0", "x1", "y1")]).where((w > 5) & (h > 5))
+    sides = ("x0", "y0", "x1", "y1")
+    boxes = containers.select(*PAGE, "shape_id", *[F.col(c).alias(f"c_{c}") for c in sides]).where((w > CONTAINER_SIDE) & (h > CONTAINER_SIDE))
+    corner = [F.col("x0") - 1, F.col("y0") - 1]
+    own = in_cells(spans.select(*PAGE, "line", "span", *sides), *corner, *corner)  # a container holds the corner's cell
     inside = (F.col("c_x0") <= F.col("x0") - 1) & (F.col("c_y0") <= F.col("y0") - 1) & (F.col("c_x1") >= F.col("x1") + 1) & (F.col("c_y1") >= F.col("y1") + 1)
-    found = spans.join(boxes, PAGE).where(inside).groupBy(*PAGE, "line", "span").agg(F.min_by("shape_id", F.struct(w * h, "shape_id")).alias("container"))
-    return spans.select(*PAGE, "line", "span").join(found, [*PAGE, "line", "span"], "left")
+    met = own.join(in_cells(boxes, *[F.col(f"c_{c}") for c in sides]), CELLS).where(inside)
+    found = met.groupBy(*PAGE, "line", "span").agg(F.min_by(F.struct("shape_id", *[f"c_{c}" for c in sides]), F.struct(w * h, "shape_id")).alias("c"))
+    out = spans.select(*PAGE, "line", "span").join(found, [*PAGE, "line", "span"], "left").join(areas, PAGE)
+    cut = [F.greatest("a_x0", "c.c_x0"), F.greatest("a_y0", "c.c_y0"), F.least("a_x1", "c.c_x1"), F.least("a_y1", "c.c_y1")]
+    return out.select(*PAGE, "line", "span", F.col("c.shape_id").alias("container"), *[e.alias(f"b_{n}") for e, n in zip(cut, sides)])
 
 
-def free_space_limits(spans: DataFrame, obstacles: DataFrame) -> DataFrame:
-    """PAGE, line, span, right_limit, left_limit, bottom_limit: the nearest obstacles beside and below each span, or null.
+def free_space_limits(spans: DataFrame, obstacles: DataFrame, bounds: DataFrame) -> DataFrame:
+    """PAGE, line, span, right_limit, left_limit, bottom_limit: the nearest obstacles beside and below each span, at most its bounds.
 
-    What is beside reaches into the middle half of the span's height; what is below overlaps its width.
+    bounds: as text_bounds() has them. What is beside reaches into the middle half of the span's height; what is below
+    overlaps its width. Parts of a span lie within it, so they are never beside or below it. Spans of one height and
+    obstacles beside that height stand in one line, over which the nearest is a running minimum or maximum.
     """
+    row = [*PAGE, "y0", "y1"]
+    rows, band = spans.select(*row).distinct(), (F.col("y1") - F.col("y0")) * BAND
     o = obstacles.select(*PAGE, *[F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")])
-    band = (F.col("y1") - F.col("y0")) * 0.25
-    beside = (F.col("o_y0") < F.col("y1") - band) & (F.col("o_y1") > F.col("y0") + band)
+    flat = F.lit(0.0)
+    middle = (F.col("o_y0") < F.col("y1") - band) & (F.col("o_y1") > F.col("y0") + band)
+    lined = in_cells(rows, flat, F.col("y0"), flat, F.col("y1")).join(in_cells(o, flat, F.col("o_y0"), flat, F.col("o_y1")), CELLS).where(middle)
+    lined = lined.select(*row, "o_x0", "o_x1").distinct()
+    none = F.lit(None).cast("double")
+    who = [*PAGE, "line", "span", "y0", "y1"]
+    ids = [F.lit(None).cast("long").alias(c) for c in ("line", "span")]
+
+    def nearest(at: Column, key: str, side: Column, best) -> DataFrame:
+        both = spans.select(*who, at.alias("x"), none.alias("o")).unionByName(lined.select(*row, *ids, F.col(key).alias("x"), F.col(key).alias("o")))
+        order = Window.partitionBy(*row).orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return both.withColumn("near", best("o").over(order)).where("line IS NOT NULL").select(*PAGE, "line", "span", "near")
+
+    right = nearest(F.col("x1") - 0.5, "o_x0", F.desc("x"), F.min).withColumnRenamed("near", "right_near")
+    left = nearest(F.col("x0") + 0.5, "o_x1", F.asc("x"), F.max).withColumnRenamed("near", "left_near")
+    columns = in_cells(spans, F.col("x0"), flat, F.col("x1"), flat).join(in_cells(o, F.col("o_x0"), flat, F.col("o_x1"), flat), CELLS)
     below = (F.col("o_y0") >= F.col("y1") - 0.5) & (F.col("o_x0") < F.col("x1")) & (F.col("o_x1") > F.col("x0"))
-    found = spans.join(o, PAGE).groupBy(*PAGE, "line", "span").agg(
-        F.min(F.when(beside & (F.col("o_x0") >= F.col("x1") - 0.5), F.col("o_x0"))).alias("right_limit"),
-        F.max(F.when(beside & (F.col("o_x1") <= F.col("x0") + 0.5), F.col("o_x1"))).alias("left_limit"),
-        F.min(F.when(below, F.col("o_y0"))).alias("bottom_limit"),
+    under = columns.where(below).groupBy(*PAGE, "line", "span").agg(F.min("o_y0").alias("under_near"))
+    key = [*PAGE, "line", "span"]
+    out = bounds.join(right, key).join(left, key).join(under, key, "left")
+    return out.select(
+        *key, F.least("b_x1", "right_near").alias("right_limit"), F.greatest("b_x0", "left_near").alias("left_limit"), F.least("b_y1", "under_near").alias("bottom_limit")
     )
-    return spans.select(*PAGE, "line", "span").join(found, [*PAGE, "line", "span"], "left")
 
 
 def _in_line() -> Window:
@@ -101,38 +155,47 @@ def _joined(spaced: DataFrame) -> DataFrame:
 
 
 def line_spacing(lines: DataFrame) -> DataFrame:
-    """document_id, page, size, spacing: the median gap of base lines over font size, held within 1 and 2; 1.15 without gaps."""
-    order = Window.partitionBy(*PAGE, "size").orderBy("line")
-    gap = (F.col("y1") - F.lag("y1").over(order)) / F.col("size")
-    out = lines.withColumn("gap", gap).groupBy(*PAGE, "size").agg(F.median("gap").alias("median"))
+    """document_id, page, size (rounded half-even), spacing: the median distance of base lines over font size, held within 1
+    and 2; 1.15 without any.
+
+    lines: document_id, page, paragraph, line, baseline, size. Distances count within wrapped paragraphs only, over the
+    size of the paragraph's first line.
+    """
+    order = Window.partitionBy(*PAGE, "paragraph").orderBy("line")
+    whole = Window.partitionBy(*PAGE, "paragraph").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = lines.select(*PAGE, F.first("size").over(whole).alias("own"), (F.col("baseline") - F.lag("baseline").over(order)).alias("apart"))
+    out = own.groupBy(*PAGE, F.bround("own", 0).alias("size")).agg(F.median(F.col("apart") / F.col("own")).alias("median"))
     return out.select(*PAGE, "size", F.round(F.coalesce(F.least(F.greatest("median", F.lit(1.0)), F.lit(2.0)), F.lit(1.15)), 4).alias("spacing"))
 
 
 def uniform_font_scale(layout: DataFrame, fit: str = "fit") -> DataFrame:
-    """layout with scale: 20ths, rounded down, the least of a page's column and font size."""
+    """layout with scale: 20ths, rounded down, the least of a block's column and font size."""
     own = F.when(F.col(fit) > 1, F.floor(20 / F.col(fit)) / 20).otherwise(1.0)
-    by = Window.partitionBy(*PAGE, F.bround(F.col("x0") / 3, 0), F.bround("size", 0))
+    by = Window.partitionBy(*PAGE, "block", F.bround(F.col("x0") / 3, 0), F.bround("size", 0))
     return layout.withColumn("scale", F.min(own).over(by))
 
 
-def placement_alignment(lines: DataFrame, left: float, right: float) -> DataFrame:
-    """document_id, page, block, align of blocks of lines (x0, x1, size): center, right, justify or left."""
-    tolerance = F.greatest(F.lit(3.0), F.col("size") * 0.35)
-    centred = F.bool_and(F.abs((F.col("x0") + F.col("x1")) / 2 - (left + right) / 2) <= tolerance)
-    last = F.max("line").over(Window.partitionBy("document_id", "block"))
-    own = lines.withColumn("end", F.when(F.col("line") < last, F.col("x1")))
-    out = own.groupBy("document_id", "block").agg(
-        centred.alias("centred"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("size").alias("size"), F.count("*").alias("n"),
-        F.count("end").alias("ends"), (F.max("end") - F.min("end")).alias("spread"),
-    )
-    is_right = (F.col("n") == 1) & (F.abs(right - F.col("x1")) <= F.greatest(F.lit(3.0), F.col("size") * 0.35)) & (F.col("x0") - left > (right - left) * 0.4)
+def placement_alignment(lines: DataFrame, limits: DataFrame) -> DataFrame:
+    """document_id, page, block, align of blocks of lines: center, right, justify or left.
+
+    lines: document_id, page, block, line, x0, x1, size. limits, one row a block: left_limit, right_limit (the free
+    space), b_x0, b_x1 (the bounds), text_right (of the page), align_right (whether the source said so). Limits that are
+    neighbours keep a fifth of the font size away, but never leave less room than the block had.
+    """
+    last = F.max("line").over(Window.partitionBy(*PAGE, "block"))
+    own = lines.withColumns({"end": F.when(F.col("line") < last, F.col("x1")), "centre": (F.col("x0") + F.col("x1")) / 2})
+    blocks = own.groupBy(*PAGE, "block").agg(
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min_by("size", "line").alias("size"), F.count("*").alias("n"), F.min("centre").alias("first_centre"),
+        F.max("centre").alias("last_centre"), F.count("end").alias("ends"), (F.max("end") - F.min("end")).alias("spread"),
+    ).join(limits, [*PAGE, "block"])
+    pad, tolerance = F.col("size") * 0.2, F.greatest(F.lit(3.0), F.col("size") * 0.35)
+    right = F.when(F.col("right_limit") < F.col("b_x1"), F.greatest(F.col("right_limit") - pad, "x1")).otherwise(F.col("right_limit"))
+    left = F.when(F.col("left_limit") > F.col("b_x0"), F.least(F.col("left_limit") + pad, "x0")).otherwise(F.col("left_limit"))
+    middle = (left + right) / 2
+    centred = (F.abs(F.col("first_centre") - middle) <= tolerance) & (F.abs(F.col("last_centre") - middle) <= tolerance) & (F.col("x0") - left > F.col("size"))
+    at_end = (F.abs(F.col("text_right") - F.col("x1")) <= tolerance) & (F.col("x0") - F.col("b_x0") > (F.col("b_x1") - F.col("b_x0")) * 0.4)
     align = (
-        F.when(F.col("centred") & (F.col("x0") - left > F.col("size")), "center").when(is_right, "right")
+        F.when(centred, "center").when((F.col("n") == 1) & (F.col("align_right") | at_end), "right")
         .when((F.col("ends") >= 2) & (F.col("spread") <= 1.5), "justify").otherwise("left")
     )
-    return out.select("document_id", "block", align.alias("align"))
-
-
-def overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Length that two ranges share."""
-    return F.greatest(F.least(b, d) - F.greatest(a, c), F.lit(0.0))
+    return blocks.select(*PAGE, "block", align.alias("align"))

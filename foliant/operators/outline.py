@@ -35,16 +35,15 @@ def list_numbering(paragraphs: DataFrame) -> DataFrame:
 
 def number_label(n: Column, fmt: Column) -> Column:
     """n as decimal, decimalZero, lowerLetter (a, ..., z, aa, ab, ...), lowerRoman, their upper forms, or nothing."""
-    # letters: how many there are, then base 26 with digits from 1
-    ones, twos = F.lit(26), F.lit(26 + 26**2)
-    letter = lambda x: F.chr(97 + x)
-    a = (n - 1 - 26).cast("long")
-    b = (n - 1 - twos).cast("long")
-    letters = (
-        F.when(n <= ones, letter(n - 1))
-        .when(n <= twos, F.concat(letter(F.floor(a / 26)), letter(a % 26)))
-        .otherwise(F.concat(letter(F.floor(b / 676)), letter(F.floor(b / 26) % 26), letter(b % 26)))
-    )
+    # letters: base 26 with digits from 1, the last letter first
+    left = F.struct(n.cast("long").alias("n"), F.lit("").alias("done"))
+
+    def letter(a: Column, _: Column) -> Column:
+        rest = a["n"] - 1
+        more = F.struct(F.floor(rest / 26).alias("n"), F.concat(F.chr(97 + rest % 26), a["done"]).alias("done"))
+        return F.when(a["n"] > 0, more).otherwise(a)
+
+    letters = F.aggregate(F.sequence(F.lit(1), F.lit(14)), left, letter, lambda a: a["done"])
     digits = {1: "ivx", 10: "xlc", 100: "cdm"}
 
     def place(amount: int, symbols: str) -> Column:
@@ -85,22 +84,28 @@ def table_cell_grid(cells: DataFrame) -> DataFrame:
     return runs.withColumn("row_span", F.when(is_merge, height).otherwise(1)).where("NOT (goes_on AND merge = 'continue')").drop("island", "goes_on")
 
 
-def resolve_styles(styles: DataFrame, uses: DataFrame, properties: list[str], depth: int = 4) -> DataFrame:
+def resolve_styles(styles: DataFrame, uses: DataFrame, properties: list[str]) -> DataFrame:
     """uses (run, layer, style) resolved: per run and property the last value that isn't null, layer by layer.
 
-    styles: style, based_on and the properties. Each style is its chain of bases, base first; a chain that closes on
-    itself ends where it meets a style again, and `depth` bounds every chain. Chains are made on the table of styles.
+    styles: style, based_on and the properties. Each style is its chain of bases, base first; a chain ends at a style
+    that it has met or that doesn't exist. Chains are made on the table of styles, a base a round, until no chain goes
+    on. A run whose styles are unknown keeps its row, with nulls.
     """
     base = styles.select(F.col("style").alias("at"), "based_on")
+    known = styles.select(F.col("style").alias("based_on"))
     out = step = styles.select("style", F.col("style").alias("at"), F.array("style").alias("seen"), F.lit(0).alias("level"))
-    for level in range(1, depth):
-        step = step.join(base, "at").where(F.col("based_on").isNotNull() & ~F.array_contains("seen", F.col("based_on"))).select(
+    level = 0
+    while True:
+        level += 1
+        step = step.join(base, "at").where(F.col("based_on").isNotNull() & ~F.array_contains("seen", F.col("based_on"))).join(known, "based_on", "left_semi").select(
             "style", F.col("based_on").alias("at"), F.concat("seen", F.array("based_on")).alias("seen"), F.lit(level).alias("level")
-        )
+        ).persist()
+        if step.isEmpty():
+            break
         out = out.unionByName(step)
     own = out.join(styles.select(F.col("style").alias("at"), *properties), "at")
     resolved = own.groupBy("style").agg(*[F.min_by(p, F.when(F.col(p).isNotNull(), F.col("level"))).alias(p) for p in properties])
-    joined = uses.join(resolved, "style")
+    joined = uses.join(resolved, "style", "left")
     return joined.groupBy("run").agg(*[F.max_by(p, F.when(F.col(p).isNotNull(), F.col("layer"))).alias(p) for p in properties])
 
 
@@ -162,33 +167,30 @@ def span_char_spacing(chars: DataFrame) -> DataFrame:
 def paragraphs_from_lines(lines: DataFrame) -> DataFrame:
     """document_id, page, paragraph, first_line, n_lines: lines that go on from the one before, by their boxes.
 
-    lines: document_id, page, block, line, x0, x1, y0, y1, size, bold, marker. A line goes on in the same block, font
-    and weight, without a marker, close below a line that was full; it begins where the paragraph's lines do, or, as
-    the second line, up to four font sizes left of an indented first one.
+    lines: document_id, page, block, line, x0, x1, y0, y1, baseline, size, bold, marker, first_word (its width), right (the
+    nearer of the free space's end and the page's text's). A line goes on in the same block, font and weight, without a
+    marker, close below a line behind which its first word would not have fitted; it begins where the paragraph's lines
+    do, or, as the second line, up to four font sizes left of an indented first one.
     """
     import pandas as pd
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "line"])
-        right, out, own = pdf.x1.max(), [], []
-        for r in pdf.itertuples():
-            last = own[-1] if own else None
-            near = last is not None and not r.marker and r.block == last.block and abs(r.size - last.size) <= 0.6 and r.bold == last.bold
-            if near:
-                height = last.y1 - last.y0
-                left = own[1].x0 if len(own) > 1 else last.x0
-                aligned = abs(r.x0 - left) <= 2 or (len(own) == 1 and 0 < last.x0 - r.x0 <= 4 * r.size)
-                near = -0.3 * height <= r.y0 - last.y1 <= 0.6 * height and aligned and right - last.x1 <= 6 * r.size
-            if near:
-                own.append(r)
-            else:
-                if own:
-                    out.append(own)
-                own = [r]
-        if own:
-            out.append(own)
-        rows = [(r[0].document_id, r[0].page, i, r[0].line, len(r)) for i, r in enumerate(out)]
-        return pd.DataFrame(rows, columns=["document_id", "page", "paragraph", "first_line", "n_lines"])
+        pdf = pdf.sort_values(["block", "line"], ignore_index=True)
+        last = pdf.shift(1)
+        height, gap = last.y1 - last.y0, pdf.y0 - last.y1
+        # all but where a line begins can be told from the two lines
+        near = (pdf.block == last.block) & ~pdf.marker.astype(bool) & ((pdf["size"] - last["size"]).abs() <= 0.6) & (pdf.bold == last.bold)
+        near &= (gap >= -0.3 * height) & (gap <= 0.6 * height) & (pdf.baseline > last.baseline) & (last.x1 + last["size"] * 0.25 + pdf.first_word > last.right)
+        x0, size, near = pdf.x0.tolist(), pdf["size"].tolist(), near.tolist()
+        begins: list[int] = []
+        for i in range(len(pdf)):
+            n = i - begins[-1] if begins else 0
+            start = x0[begins[-1] + 1] if n > 1 else x0[i - 1]
+            aligned = n and (abs(x0[i] - start) < 3 or (n == 1 and 0 < x0[i - 1] - x0[i] <= 4 * size[i]))
+            if not (near[i] and aligned):
+                begins.append(i)
+        first = pdf.iloc[begins]
+        sizes = [b - a for a, b in zip(begins, [*begins[1:], len(pdf)])]
+        return pd.DataFrame({"document_id": first.document_id, "page": first.page, "paragraph": range(len(begins)), "first_line": first.line, "n_lines": sizes})
 
     return lines.groupBy("document_id", "page").applyInPandas(split, "document_id string, page long, paragraph long, first_line long, n_lines long")
-

@@ -41,6 +41,23 @@ def assign_segment_keys(units: DataFrame, document: str, pos: str, line: str) ->
     )
 
 
+def piece_keys(units: DataFrame, document: str, pos: str, line: str, separator: str) -> DataFrame:
+    """document, key, text of the pieces of units with a letter: para_n of the n-th such unit, or para_n_i of its i-th piece if it
+    has several, of which those without a letter have no row."""
+    order = Window.partitionBy(document).orderBy(pos)
+    own = units.where(F.col(line).rlike("\\p{L}")).withColumn("n", F.row_number().over(order) - 1).withColumn("pieces", F.split(line, re.escape(separator)))
+    each = own.select(document, "n", F.size("pieces").alias("size"), F.posexplode("pieces").alias("i", "text")).where((F.col("size") == 1) | F.col("text").rlike("\\p{L}"))
+    key = F.concat_ws("_", F.lit("para"), F.col("n").cast("string"), F.when(F.col("size") > 1, F.col("i").cast("string")))
+    return each.select(document, key.alias("key"), "text")
+
+
+def page_keys(paragraphs: DataFrame, document: str, page: str, pos: str, text: str) -> DataFrame:
+    """document, key (page_p_seg_n), text of a page's paragraphs with a letter; those without one are numbered too."""
+    order = Window.partitionBy(document, page).orderBy(pos)
+    number = F.concat(F.lit("page_"), F.col(page).cast("string"), F.lit("_seg_"), (F.row_number().over(order) - 1).cast("string"))
+    return paragraphs.withColumn("key", number).where(F.col(text).rlike("\\p{L}")).select(document, "key", F.col(text).alias("text"))
+
+
 def _islands(df: DataFrame, keys: list[str], pos: str, starts: Column, text: str, separator: str) -> DataFrame:
     """Neighbouring rows joined until the next start."""
     order = Window.partitionBy(*keys).orderBy(pos)
@@ -83,7 +100,7 @@ def dehyphenate(units: DataFrame, document: str = "document_id") -> DataFrame:
 
 
 def chunk_paragraphs(paragraphs: DataFrame, document: str, order: str, text: str) -> DataFrame:
-    """document, chunk, text, truncated: paragraphs in order, packed greedily into chunks, the first MOST_CHUNKS kept.
+    """document, chunk, text, kept, truncated: paragraphs in order, packed greedily into chunks; the first MOST_CHUNKS are kept.
 
     A paragraph counts its characters and one; a longer one than CHUNK_CHARS is cut first.
     """
@@ -104,8 +121,8 @@ def chunk_paragraphs(paragraphs: DataFrame, document: str, order: str, text: str
 
     chunks = F.aggregate("pieces", start, add, lambda a: F.when(a["size"] > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
     return whole.select(document, chunks.alias("chunks")).select(
-        document, (F.size("chunks") > MOST_CHUNKS).alias("truncated"), F.posexplode(F.slice("chunks", 1, MOST_CHUNKS)).alias("chunk", "text")
-    ).select(document, F.col("chunk").cast("long").alias("chunk"), "text", "truncated")
+        document, (F.size("chunks") > MOST_CHUNKS).alias("truncated"), F.posexplode("chunks").alias("chunk", "text")
+    ).select(document, F.col("chunk").cast("long").alias("chunk"), "text", (F.col("chunk") < MOST_CHUNKS).alias("kept"), "truncated")
 
 
 def dedupe_values(values: DataFrame, keys: list[str], value: str = "value", pos: str = "pos") -> DataFrame:
@@ -141,9 +158,15 @@ def find_matches(segments: DataFrame, keys: list[str], text: str, query: str, ca
     """keys, start, end: non-overlapping matches of a literal, with offsets in characters."""
     hay, needle = (F.col(text), query) if case else (F.lower(text), query.lower())
     parts = F.split(hay, re.escape(needle))
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * len(needle))
-    starts = F.when(F.size(parts) > 1, ends).otherwise(F.array().cast("array<int>"))
-    return segments.select(*keys, F.explode(starts).alias("start")).select(*keys, F.col("start").cast("long"), (F.col("start") + len(needle)).cast("long").alias("end"))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+
+    def add(a: Column, x: Column) -> Column:
+        end = a["at"] + F.length(x)
+        return F.struct((end + len(needle)).alias("at"), F.concat(a["starts"], F.array(end)).alias("starts"))
+
+    starts = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), none, add, lambda a: a["starts"])
+    found = segments.where(F.contains(hay, F.lit(needle))).select(*keys, F.explode(starts).alias("start"))
+    return found.select(*keys, "start", (F.col("start") + len(needle)).alias("end"))
 
 
 def replace_all(segments: DataFrame, keys: list[str], text: str, query: str, by: str, case: bool = True) -> DataFrame:
@@ -255,10 +278,24 @@ SENSITIVE_PARTS = "token|secret|api[-_]?key|credential"
 
 
 def mask_json(c: Column) -> Column:
-    """JSON text with the scalar values of sensitive keys redacted, at any depth."""
-    value = "(\"(?:[^\"\\\\]|\\\\.)*\"|[^\\s,}\\]\\[{]+)"
-    key = f"(?i)(\"(?:(?:{SENSITIVE_KEYS})|[^\"]*(?:{SENSITIVE_PARTS})[^\"]*)\"\\s*:\\s*)"
-    return F.regexp_replace(c, key + value, "$1\"[REDACTED]\"")
+    """JSON text with the values of sensitive keys redacted, at any depth; an object or a list goes as a whole.
+
+    The text is read token by token, a key and its colon being one; within a value that goes only the depth is kept.
+    """
+    key = f"(?i)\"(?:(?:{SENSITIVE_KEYS})|[^\"]*(?:{SENSITIVE_PARTS})[^\"]*)\"\\s*:"
+    tokens = F.regexp_extract_all(c, F.lit("\"(?:[^\"\\\\]|\\\\.)*\"\\s*:|\"(?:[^\"\\\\]|\\\\.)*\"|[{}\\[\\],:]|\\s+|[^\\s\"{}\\[\\],:]+|\""), F.lit(0))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("armed"))
+
+    def read(a: Column, t: Column) -> Column:
+        opens, closes, blank = t.isin("{", "["), t.isin("}", "]"), F.trim(t) == ""
+        put = lambda x: F.concat(a["out"], F.array(x))
+        inside = F.struct(a["out"].alias("out"), (a["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"), F.lit(False).alias("armed"))
+        redacted = F.struct(put(F.lit('"[REDACTED]"')).alias("out"), F.when(opens, 1).otherwise(0).alias("depth"), F.lit(False).alias("armed"))
+        plain = F.struct(put(t).alias("out"), F.lit(0).alias("depth"), F.when(blank, a["armed"]).otherwise(t.rlike("^" + key + "$")).alias("armed"))
+        return F.when(a["depth"] > 0, inside).when(a["armed"] & ~blank, redacted).otherwise(plain)
+
+    masked = F.aggregate(tokens, start, read, lambda a: F.array_join(a["out"], ""))
+    return F.when(c.rlike(key), masked).otherwise(c)
 
 
 def ground_values(answers: DataFrame, key: str, answer: str, chunk: str, fields: list[str]) -> DataFrame:
@@ -276,19 +313,32 @@ def ground_values(answers: DataFrame, key: str, answer: str, chunk: str, fields:
     return dedupe_values(long_.where(seen), [key, "field"])
 
 
-def summarize(sentences: DataFrame, document: str, points: int = 5) -> DataFrame:
-    """document, point_no, text: each document's `points` sentences of most weight, in their order.
+def summarize(paragraphs: DataFrame, document: str, order: str, text: str, points: int = 5) -> DataFrame:
+    """document, overview, key_points, truncated of every document with text.
 
-    A sentence weighs its words' mean document frequency within the corpus, by logarithm. A model may stand in for
-    this through the chat wrapper; the split into a map over sentences and a top-n per document stays.
+    Map: each kept chunk of chunk_paragraphs() gives its best sentences as points, `points` if it is the only one, else
+    half of that and one, two at least. Reduce: of more than `points` points the best stay, in their order; the
+    overview is the best points // 2 + 3 of all. A sentence weighs its words' mean document frequency within the
+    corpus, by logarithm, where the reader of a chat backend would take a model's answer.
     """
-    words = sentences.select(document, "sid", F.explode(F.array_distinct(F.split(F.lower("text"), "(?U)[^\\p{L}]+"))).alias("word")).where("word <> ''")
+    chunks = chunk_paragraphs(paragraphs, document, order, text)
+    about = chunks.groupBy(document).agg(F.max("truncated").alias("truncated"), F.count_if("kept").alias("n_chunks"))
+    sentences = split_sentences(chunks.where("kept"), [document, "chunk"], "text").groupBy(document, "chunk", "text").agg(F.min("pos").alias("pos"))
+    words = sentences.select(document, "chunk", "pos", F.explode(F.array_distinct(F.split(F.lower("text"), "(?U)[^\\p{L}]+"))).alias("word")).where("word <> ''")
     known = words.groupBy("word").agg(F.countDistinct(document).alias("df"))
-    scored = words.join(known, "word").groupBy(document, "sid").agg(F.avg(F.log1p("df")).alias("score"))
-    best = Window.partitionBy(document).orderBy(F.desc("score"), "sid")
-    kept = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= points).join(sentences, [document, "sid"])
-    number = F.row_number().over(Window.partitionBy(document).orderBy("sid")) - 1
-    return kept.select(document, number.cast("long").alias("point_no"), "text")
+    scored = words.join(known, "word").groupBy(document, "chunk", "pos").agg(F.round(F.avg(F.log1p("df")), 9).alias("score"))
+    most = F.when(F.col("n_chunks") == 1, points).otherwise(points // 2 + 1)
+    best = Window.partitionBy(document, "chunk").orderBy(F.desc("score"), "pos")
+    noted = scored.join(about, document).withColumn("r", F.row_number().over(best)).where(F.col("r") <= F.greatest(most, F.lit(2)))
+    whole = Window.partitionBy(document).orderBy(F.desc("score"), "chunk", "pos")
+    noted = noted.withColumn("rank", F.row_number().over(whole)).join(sentences, [document, "chunk", "pos"])
+
+    def listed(n: int) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("rank") <= n, F.struct("chunk", "pos", "text"))))
+        return F.transform(rows, lambda x: x["text"])
+
+    out = noted.groupBy(document).agg(listed(points).alias("key_points"), F.array_join(listed(points // 2 + 3), " ").alias("overview"), F.max("truncated").alias("truncated"))
+    return out.select(document, "overview", "key_points", "truncated")
 
 
 def preferred_locale(df: DataFrame, key: str, header: str, supported: list[str], default: str = "en") -> DataFrame:

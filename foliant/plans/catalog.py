@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.session import shared_path
 from foliant.operators import edits, files, inference, layout, memory, outline, records, text
 from foliant.plans import views as v
 from foliant.plans.views import with_views
@@ -37,17 +38,39 @@ _record = ["id", "source_language", "target_language", "model_name", "emotion_ta
 # ---- sources and checks
 
 
-@query(["records"], f"SELECT {RECORD} FROM records")
+@query(["records", "jobs"], """SELECT 'translation_records' AS table_name, count(*) AS n, min(id) AS first_id, max(id) AS last_id, count(model_name) AS named FROM records
+    UNION ALL SELECT 'translation_jobs', count(*), min(id), max(id), count(job_id) FROM jobs""")
 def scan_records(spark, d):
-    return v.records(spark, d).selectExpr(*_record)
-
-
-@query(["records"], """SELECT coalesce(reject, 'ok') AS outcome, count(*) AS n FROM (
-    SELECT CASE WHEN length(source_text) < 1 THEN 'source_text' WHEN length(translated_text) < 1 THEN 'translated_text'
-    WHEN length(model_name) > 4 THEN 'model_name' END AS reject FROM records) GROUP BY 1""")
+    """Record tables as a store has them, read by their fixed schemas."""
+    out = None
+    for kind, rows, named in (("translation_records", v.records(spark, d), "model_name"), ("translation_jobs", v.jobs(spark, d), "job_id")):
+        path = shared_path(spark, kind)
+        rows.write.parquet(path)
+        read = tables.read_records(spark, path, kind)
+        found = read.agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(named).alias("named")).select(F.lit(kind).alias("table_name"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(["records", "jobs"], """SELECT 'records' AS table_name, CASE id % 10 WHEN 0 THEN 'translated_text' WHEN 1 THEN 'target_language' WHEN 2 THEN 'emotion_tags' WHEN 3 THEN 'model_name' ELSE 'ok' END AS outcome, NULL AS status, count(*) AS n FROM records GROUP BY 1, 2
+    UNION ALL SELECT 'jobs', CASE WHEN length(job_id || repeat('x', CAST(id % 60 AS INT))) > 50 THEN 'job_id' WHEN id % 4 = 0 THEN 'total_records' ELSE 'ok' END, CASE WHEN id % 3 = 0 THEN 'pending' ELSE status END, count(*) FROM jobs GROUP BY 1, 2, 3""")
 def append_records(spark, d):
-    checked = tables.checked(v.records(spark, d), tables.RECORD_LENGTHS | {"model_name": (1, 4)})
-    return checked.groupBy(F.coalesce("reject", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
+    """New records and jobs, some with faults, appended to tables in the shared folder and read back."""
+    new = v.records(spark, d).selectExpr(
+        "id", "source_text", "CASE WHEN id % 10 = 0 THEN '' ELSE translated_text END AS translated_text", "source_language", "CASE WHEN id % 10 = 1 THEN 'x' ELSE target_language END AS target_language",
+        "CASE WHEN id % 10 = 2 THEN repeat('t', 256) WHEN id % 10 > 6 THEN NULL ELSE emotion_tags END AS emotion_tags", "voice_tags", "CASE WHEN id % 10 <> 3 THEN model_name END AS model_name",
+    )
+    jobs = v.jobs(spark, d).selectExpr("id", "concat(job_id, repeat('x', CAST(id % 60 AS INT))) AS job_id", "CASE WHEN id % 3 > 0 THEN status END AS status", "CAST(id % 4 AS INT) AS total_records")
+    out = None
+    for name, rows, how in (("records", new, (tables.RECORD_LENGTHS,)), ("jobs", jobs, (tables.JOB_LENGTHS, tables.JOB_POSITIVE, tables.JOB_DEFAULTS))):
+        path, rejects = shared_path(spark, name), shared_path(spark, f"{name}-rejects")
+        tables.append(rows, path, rejects, *how)
+        kept = spark.read.parquet(path).withColumn("reject", F.lit("ok"))
+        back = kept.unionByName(spark.read.parquet(rejects))
+        status = F.col("status") if "status" in back.columns else F.lit(None).cast("string")
+        found = back.groupBy(F.lit(name).alias("table_name"), F.col("reject").alias("outcome"), status.alias("status")).agg(F.count("*").alias("n"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query(["files"], """, e AS (SELECT *, CASE WHEN contains(file_name, '.') THEN lower(regexp_extract(file_name, '[^.]*$')) ELSE '' END AS x FROM files),
@@ -233,19 +256,32 @@ def missing_media(spark, d):
     return edits.missing_media(v.insertions(spark, d), v.media(spark, d))
 
 
-# Names of tag codes.
+# Names of language, emotion and voice codes.
+LANGUAGES = {"en": "English", "id": "Indonesian", "fr": "French", "de": "German", "es": "Spanish", "ja": "Japanese", "ko": "Korean", "zh": "Chinese"}
 EMOTIONS = {
     "neutral": "Neutral", "happy": "Happy", "sad": "Sad", "angry": "Angry", "fearful": "Fearful", "surprised": "Surprised", "disgusted": "Disgusted",
     "excited": "Excited", "calm": "Calm", "confused": "Confused", "serious": "Serious",
 }
+VOICES = {
+    "professional": "Professional", "casual": "Casual", "friendly": "Friendly", "formal": "Formal", "empathetic": "Empathetic", "confident": "Confident",
+    "enthusiastic": "Enthusiastic", "calm": "Calm", "serious": "Serious", "persuasive": "Persuasive", "energetic": "Energetic", "reassuring": "Reassuring",
+    "urgent": "Urgent", "instructional": "Instructional", "conversational": "Conversational",
+}
 
 
-@query(["records"], """, s AS (SELECT id, string_split(emotion_tags, ',') AS l FROM records)
-    SELECT id, i - 1 AS pos, l[i] AS code, CASE WHEN l[i] IN ('neutral', 'happy', 'sad', 'calm') THEN upper(left(l[i], 1)) || substr(l[i], 2) ELSE 'Unknown' END AS name
+@query(["records"], """, s AS (SELECT id, 'emotion' AS kind, string_split(emotion_tags, ',') AS l FROM records UNION ALL SELECT id, 'voice', string_split(voice_tags, ',') FROM records
+    UNION ALL SELECT id, 'language', [source_language, target_language, CASE WHEN id % 5 = 0 THEN 'xx' ELSE 'ja' END] FROM records)
+    SELECT id, kind, i - 1 AS pos, l[i] AS code, CASE l[i] WHEN 'neutral' THEN 'Neutral' WHEN 'happy' THEN 'Happy' WHEN 'sad' THEN 'Sad' WHEN 'calm' THEN 'Calm' WHEN 'formal' THEN 'Formal' WHEN 'urgent' THEN 'Urgent'
+    WHEN 'en' THEN 'English' WHEN 'id' THEN 'Indonesian' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' WHEN 'ja' THEN 'Japanese' ELSE 'Unknown' END AS name
     FROM s, unnest(range(1, len(s.l) + 1)) AS t(i) WHERE l[i] <> ''""")
 def tag_names(spark, d):
-    names = spark.createDataFrame(list(EMOTIONS.items()), "code string, name string")
-    return records.tag_names(v.records(spark, d), "id", "emotion_tags", names)
+    rows = v.records(spark, d).withColumn("languages", F.expr("concat_ws(',', source_language, target_language, CASE WHEN id % 5 = 0 THEN 'xx' ELSE 'ja' END)"))
+    out = None
+    for kind, column, names in (("emotion", "emotion_tags", EMOTIONS), ("voice", "voice_tags", VOICES), ("language", "languages", LANGUAGES)):
+        known = spark.createDataFrame(list(names.items()), "code string, name string")
+        found = records.tag_names(rows, "id", column, known).withColumn("kind", F.lit(kind))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query(["spans", "links"], """SELECT s.document_id, s.page, s.line, s.span, arg_min(l.target, l.link_id) AS target FROM spans s JOIN links l ON s.document_id = l.document_id AND s.page = l.page
@@ -264,22 +300,40 @@ def image_link_best(spark, d):
     return layout.image_link_best(v.shapes(spark, d), v.links(spark, d))
 
 
-@query(["spans", "shapes"], """, b AS (SELECT s.document_id, s.page, s.line, s.span, c.shape_id, row_number() OVER (PARTITION BY s.document_id, s.page, s.line, s.span
-    ORDER BY (c.x1 - c.x0) * (c.y1 - c.y0), c.shape_id) AS r FROM spans s JOIN shapes c ON s.document_id = c.document_id AND s.page = c.page
-    AND c.x1 - c.x0 > 5 AND c.y1 - c.y0 > 5 AND c.x0 <= s.x0 - 1 AND c.y0 <= s.y0 - 1 AND c.x1 >= s.x1 + 1 AND c.y1 >= s.y1 + 1)
-    SELECT s.document_id, s.page, s.line, s.span, b.shape_id AS container FROM spans s LEFT JOIN b ON s.document_id = b.document_id AND s.page = b.page AND s.line = b.line AND s.span = b.span AND b.r = 1""")
-def text_bounds(spark, d):
-    return layout.text_bounds(v.spans(spark, d), v.shapes(spark, d))
+BOUNDS = """, a AS (SELECT document_id, page, least(min(x0), 640.0 - max(x1)) AS a0, greatest(max(x1), 640.0 - min(x0)) AS a2, greatest(max(y1), 564.0) AS a3 FROM spans GROUP BY 1, 2),
+    c AS (SELECT *, unnest(range(CAST(floor(x0 / 100) AS BIGINT), CAST(floor(x1 / 100) AS BIGINT) + 1)) AS cell FROM shapes WHERE x1 - x0 > 5 AND y1 - y0 > 5),
+    e AS (SELECT s.document_id, s.page, s.line, s.span, c.shape_id, c.x0, c.y0, c.x1, c.y1 FROM spans s JOIN c ON s.document_id = c.document_id AND s.page = c.page AND c.cell = CAST(floor((s.x0 - 1) / 100) AS BIGINT)
+          AND c.x0 <= s.x0 - 1 AND c.y0 <= s.y0 - 1 AND c.x1 >= s.x1 + 1 AND c.y1 >= s.y1 + 1
+          QUALIFY row_number() OVER (PARTITION BY s.document_id, s.page, s.line, s.span ORDER BY (c.x1 - c.x0) * (c.y1 - c.y0), c.shape_id) = 1),
+    bounds AS (SELECT s.document_id, s.page, s.line, s.span, e.shape_id AS container, greatest(a0, e.x0) AS b_x0, greatest(0.0::DOUBLE, e.y0) AS b_y0, least(a2, e.x1) AS b_x1, least(a3, e.y1) AS b_y1
+          FROM spans s JOIN a ON s.document_id = a.document_id AND s.page = a.page LEFT JOIN e ON s.document_id = e.document_id AND s.page = e.page AND s.line = e.line AND s.span = e.span)"""
 
 
-@query(["spans", "shapes"], """, j AS (SELECT s.document_id, s.page, s.line, s.span,
-    min(CASE WHEN o.y0 < s.y1 - (s.y1 - s.y0) * 0.25 AND o.y1 > s.y0 + (s.y1 - s.y0) * 0.25 AND o.x0 >= s.x1 - 0.5 THEN o.x0 END) AS right_limit,
-    max(CASE WHEN o.y0 < s.y1 - (s.y1 - s.y0) * 0.25 AND o.y1 > s.y0 + (s.y1 - s.y0) * 0.25 AND o.x1 <= s.x0 + 0.5 THEN o.x1 END) AS left_limit,
-    min(CASE WHEN o.y0 >= s.y1 - 0.5 AND o.x0 < s.x1 AND o.x1 > s.x0 THEN o.y0 END) AS bottom_limit
-    FROM spans s JOIN shapes o ON s.document_id = o.document_id AND s.page = o.page GROUP BY 1, 2, 3, 4)
-    SELECT s.document_id, s.page, s.line, s.span, right_limit, left_limit, bottom_limit FROM spans s LEFT JOIN j USING (document_id, page, line, span)""")
+def _bounds(spark, d):
+    spans = v.spans(spark, d)
+    return layout.text_bounds(spans, v.shapes(spark, d), layout.page_areas(spans, 640.0, 600.0))
+
+
+@query(["spans", "shapes"], BOUNDS + " SELECT * FROM bounds")
+def text_bounds(spark, d):
+    return _bounds(spark, d)
+
+
+@query(["spans", "shapes"], BOUNDS + """, h AS (SELECT DISTINCT document_id, page, y0, y1 FROM spans),
+    l AS (SELECT h.document_id, h.page, h.y0, h.y1, o.x0 AS ox0, o.x1 AS ox1 FROM h JOIN shapes o ON h.document_id = o.document_id AND h.page = o.page
+          AND o.y0 < h.y1 - (h.y1 - h.y0) * 0.25 AND o.y1 > h.y0 + (h.y1 - h.y0) * 0.25),
+    r AS (SELECT *, min(o) OVER (PARTITION BY document_id, page, y0, y1 ORDER BY x DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS near FROM
+          (SELECT document_id, page, y0, y1, line, span, x1 - 0.5 AS x, NULL::DOUBLE AS o FROM spans UNION ALL SELECT document_id, page, y0, y1, NULL, NULL, ox0, ox0 FROM l)),
+    f AS (SELECT *, max(o) OVER (PARTITION BY document_id, page, y0, y1 ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS near FROM
+          (SELECT document_id, page, y0, y1, line, span, x0 + 0.5 AS x, NULL::DOUBLE AS o FROM spans UNION ALL SELECT document_id, page, y0, y1, NULL, NULL, ox1, ox1 FROM l)),
+    sc AS (SELECT *, unnest(range(CAST(floor(x0 / 100) AS BIGINT), CAST(floor(x1 / 100) AS BIGINT) + 1)) AS cell FROM spans),
+    oc AS (SELECT *, unnest(range(CAST(floor(x0 / 100) AS BIGINT), CAST(floor(x1 / 100) AS BIGINT) + 1)) AS cell FROM shapes),
+    u AS (SELECT s.document_id, s.page, s.line, s.span, min(o.y0) AS near FROM sc s JOIN oc o ON s.document_id = o.document_id AND s.page = o.page AND s.cell = o.cell
+          AND o.y0 >= s.y1 - 0.5 AND o.x0 < s.x1 AND o.x1 > s.x0 GROUP BY 1, 2, 3, 4)
+    SELECT document_id, page, line, span, least(b_x1, r.near) AS right_limit, greatest(b_x0, f.near) AS left_limit, least(b_y1, u.near) AS bottom_limit
+    FROM bounds JOIN r USING (document_id, page, line, span) JOIN f USING (document_id, page, line, span) LEFT JOIN u USING (document_id, page, line, span)""")
 def free_space_limits(spark, d):
-    return layout.free_space_limits(v.spans(spark, d), v.shapes(spark, d))
+    return layout.free_space_limits(v.spans(spark, d), v.shapes(spark, d), _bounds(spark, d))
 
 
 @query(["images"], """SELECT image_id, preset FROM images, (VALUES ('og', 1200, 630), ('square', 1080, 1080), ('story', 1080, 1920), ('hd', 1920, 1080), ('thumbnail', 400, 300)) AS p(preset, w, h)
@@ -333,18 +387,28 @@ def dominant_format(spark, d):
     return edits.dominant_format(v.runs(spark, d), ["document_id", "key"], "style")
 
 
-@query(["spans"], """, l AS (SELECT document_id, page, line, size, max(y1) AS y1 FROM spans GROUP BY 1, 2, 3, 4),
-    g AS (SELECT *, (y1 - lag(y1) OVER (PARTITION BY document_id, page, size ORDER BY line)) / size AS gap FROM l)
-    SELECT document_id, page, size, round(coalesce(least(greatest(median(gap), 1.0), 2.0), 1.15), 4) AS spacing FROM g GROUP BY 1, 2, 3""")
+LINES = """, lines AS (SELECT document_id, page, line, line // 5 AS block, min(x0) + (line * 37) % 90 AS x0, max(x1) - (line * 53) % 60 AS x1, min(y0) AS y0, max(y1) AS y1, max(y1) - line % 3 AS baseline, max(size) AS size, bool_or(bold) AS bold FROM spans GROUP BY 1, 2, 3)"""
+
+
+def _lines(spark, d):
+    """Lines with ragged ends, five to a block."""
+    line = F.col("line")
+    return v.spans(spark, d).groupBy("document_id", "page", "line").agg(
+        (F.min("x0") + line * 37 % 90).alias("x0"), (F.max("x1") - line * 53 % 60).alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
+        (F.max("y1") - line % 3).alias("baseline"), F.max("size").alias("size"), F.bool_or("bold").alias("bold"),
+    ).withColumn("block", F.floor(line / 5).cast("long"))
+
+
+@query(["spans"], LINES + """, g AS (SELECT document_id, page, first_value(size) OVER w AS own, baseline - lag(baseline) OVER w AS gap FROM lines WINDOW w AS (PARTITION BY document_id, page, block ORDER BY line))
+    SELECT document_id, page, round_even(own, 0) AS size, round(coalesce(least(greatest(median(gap / own), 1.0), 2.0), 1.15), 4) AS spacing FROM g GROUP BY 1, 2, 3""")
 def line_spacing_median(spark, d):
-    lines = v.spans(spark, d).groupBy("document_id", "page", "line", "size").agg(F.max("y1").alias("y1"))
-    return layout.line_spacing(lines)
+    return layout.line_spacing(_lines(spark, d).withColumn("paragraph", F.col("block")))
 
 
-@query(["spans"], """SELECT document_id, line, span, min(CASE WHEN f > 1 THEN floor(20 / f) / 20 ELSE 1.0 END) OVER (PARTITION BY document_id, page, round_even(x0 / 3, 0), round_even(size, 0)) AS scale
+@query(["spans"], """SELECT document_id, line, span, min(CASE WHEN f > 1 THEN floor(20 / f) / 20 ELSE 1.0 END) OVER (PARTITION BY document_id, page, line // 5, round_even(x0 / 3, 0), round_even(size, 0)) AS scale
     FROM (SELECT *, 1 + ((line * 31 + span * 17) % 40) / 80.0::DOUBLE AS f FROM spans)""")
 def uniform_font_scale(spark, d):
-    fitted = v.spans(spark, d).withColumn("fit", 1 + ((F.col("line") * 31 + F.col("span") * 17) % 40) / F.lit(80.0))
+    fitted = v.spans(spark, d).withColumns({"fit": 1 + ((F.col("line") * 31 + F.col("span") * 17) % 40) / F.lit(80.0), "block": F.expr("line DIV 5")})
     return layout.uniform_font_scale(fitted).select("document_id", "line", "span", "scale")
 
 
@@ -369,12 +433,18 @@ def insertion_change_count(spark, d):
     return edits.insertion_changes(old, new)
 
 
-@query(["images"], """SELECT format, count(*) AS files, count(*) FILTER (format = target AND output_size >= original_size) AS kept_original,
-    CAST(sum(original_size - CASE WHEN format = target AND output_size >= original_size THEN original_size ELSE output_size END) AS BIGINT) AS saved_bytes FROM images GROUP BY 1""")
+@query(["images"], """SELECT image_id, format, format = target AND output_size >= original_size AS kept_original, CASE WHEN format = target AND output_size >= original_size THEN original_size ELSE output_size END AS out_size,
+    CASE WHEN format = target AND output_size >= original_size THEN 0 ELSE CAST(floor((1 - output_size / original_size) * 100 + 0.5) AS BIGINT) END AS saved_percent FROM images""")
 def compression_savings(spark, d):
     return files.compression_savings(v.images(spark, d))
 
 
+@query(["images"], """SELECT format, count(*) AS files, count(*) FILTER (format = target AND output_size >= original_size) AS kept_original,
+    CAST(sum(original_size - CASE WHEN format = target AND output_size >= original_size THEN original_size ELSE output_size END) AS BIGINT) AS saved_bytes FROM images GROUP BY 1""")
+def savings_by_format(spark, d):
+    return files.savings_by_format(v.images(spark, d))
+
+
 @query(["runs"], "SELECT DISTINCT document_id, font FROM runs")
 def document_fonts(spark, d):
     return v.runs(spark, d).select("document_id", "font").distinct()
@@ -383,9 +453,17 @@ def document_fonts(spark, d):
 # ---- ordered sequences
 
 
-@query(["segments"], "SELECT document_id, ord, key, source_text FROM segments")
+@query(["units"], """, n AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY pos) - 1 AS n, string_split(line, ', ') AS l FROM units WHERE regexp_matches(line, '\\p{L}')),
+    p AS (SELECT document_id, page, line, row_number() OVER (PARTITION BY document_id, page ORDER BY pos) - 1 AS n FROM (SELECT *, pos // 40 AS page FROM units))
+    SELECT 'pieces' AS kind, document_id, CASE WHEN len(l) = 1 THEN 'para_' || n ELSE 'para_' || n || '_' || (i - 1) END AS key, l[i] AS text FROM n, unnest(range(1, len(n.l) + 1)) AS t(i) WHERE len(l) = 1 OR regexp_matches(l[i], '\\p{L}')
+    UNION ALL SELECT 'pages', document_id, 'page_' || page || '_seg_' || n, line FROM p WHERE regexp_matches(line, '\\p{L}')
+    UNION ALL SELECT 'units', document_id, 'para_' || n, array_to_string(l, ', ') FROM n""")
 def assign_segment_keys(spark, d):
-    return v.segments(spark, d).select("document_id", "ord", "key", "source_text")
+    units = v.units(spark, d)
+    whole = v.segments(spark, d).select(F.lit("units").alias("kind"), "document_id", "key", F.col("source_text").alias("text"))
+    pieces = text.piece_keys(units, "document_id", "pos", "line", ", ").select(F.lit("pieces").alias("kind"), "*")
+    pages = text.page_keys(units.withColumn("page", F.expr("pos DIV 40")), "document_id", "page", "pos", "line").select(F.lit("pages").alias("kind"), "*")
+    return whole.unionByName(pieces).unionByName(pages)
 
 
 @query(["units"], """, b AS (SELECT *, lag(line) OVER (PARTITION BY document_id ORDER BY pos) AS p FROM units),
@@ -610,26 +688,25 @@ def filter_rules(spark, d):
     return layout.filter_rules(v.shapes(spark, d))
 
 
-LINES = """, lines AS (SELECT document_id, page, line, line // 5 AS block, min(x0) + (line * 37) % 90 AS x0, max(x1) - (line * 53) % 60 AS x1, min(y0) AS y0, max(y1) AS y1, max(size) AS size, bool_or(bold) AS bold FROM spans GROUP BY 1, 2, 3)"""
-
-
-def _lines(spark, d):
-    """Lines with ragged ends, five to a block."""
-    return v.spans(spark, d).groupBy("document_id", "page", "line").agg(
-        (F.min("x0") + F.col("line") * 37 % 90).alias("x0"), (F.max("x1") - F.col("line") * 53 % 60).alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.max("size").alias("size"), F.bool_or("bold").alias("bold")
-    ).withColumn("block", F.floor(F.col("line") / 5).cast("long"))
-
-
-@query(["spans"], LINES + """, e AS (SELECT *, CASE WHEN line < max(line) OVER (PARTITION BY document_id, block) THEN x1 END AS x1_end FROM lines),
-    g AS (SELECT document_id, block, bool_and(abs((x0 + x1) / 2 - 300) <= greatest(3.0, size * 0.35)) AS centred, min(x0) AS x0, max(x1) AS x1, max(size) AS size, count(*) AS n, count(x1_end) AS ends, max(x1_end) - min(x1_end) AS spread FROM e GROUP BY 1, 2)
-    SELECT document_id, block, CASE WHEN centred AND x0 > size THEN 'center' WHEN n = 1 AND abs(600 - x1) <= greatest(3.0, size * 0.35) AND x0 > 240 THEN 'right' WHEN ends >= 2 AND spread <= 1.5 THEN 'justify' ELSE 'left' END AS align FROM g""")
+@query(["spans"], LINES + """, m AS (SELECT *, CASE WHEN line < max(line) OVER (PARTITION BY document_id, page, block) THEN x1 END AS x1_end FROM lines),
+    g AS (SELECT document_id, page, block, min(x0) AS x0, max(x1) AS x1, arg_min(size, line) AS size, count(*) AS n, list((x0 + x1) / 2) AS centres, count(x1_end) AS ends, max(x1_end) - min(x1_end) AS spread,
+        CAST(block * 17 % 40 AS DOUBLE) AS ll, 640.0::DOUBLE - block * 29 % 60 AS rl FROM m GROUP BY 1, 2, 3),
+    k AS (SELECT *, CASE WHEN rl < 640 THEN greatest(rl - size * 0.2, x1) ELSE rl END AS r, CASE WHEN ll > 0 THEN least(ll + size * 0.2, x0) ELSE ll END AS l, greatest(3.0, size * 0.35) AS tol FROM g)
+    SELECT document_id, page, block, CASE WHEN len(list_filter(centres, lambda c: abs(c - (l + r) / 2) > tol)) = 0 AND x0 - l > size THEN 'center'
+    WHEN n = 1 AND (block % 7 = 0 OR (abs(630 - x1) <= tol AND x0 > 256)) THEN 'right' WHEN ends >= 2 AND spread <= 1.5 THEN 'justify' ELSE 'left' END AS align FROM k""")
 def placement_alignment(spark, d):
-    return layout.placement_alignment(_lines(spark, d), 0.0, 600.0)
+    lines = _lines(spark, d)
+    limits = lines.select("document_id", "page", "block").distinct().selectExpr(
+        "*", "CAST(block * 17 % 40 AS DOUBLE) AS left_limit", "CAST(640 - block * 29 % 60 AS DOUBLE) AS right_limit", "0.0D AS b_x0", "640.0D AS b_x1", "630.0D AS text_right", "block % 7 = 0 AS align_right"
+    )
+    return layout.placement_alignment(lines, limits)
 
 
 @query(None, None)
 def paragraphs_from_lines(spark, d):
-    return outline.paragraphs_from_lines(_lines(spark, d).withColumn("marker", F.col("line") % 4 == 3))
+    lines = _lines(spark, d).withColumns({"marker": F.col("line") % 4 == 3, "first_word": (20 + F.col("line") * 13 % 40).cast("double")})
+    right = F.max("x1").over(Window.partitionBy("document_id", "page"))
+    return outline.paragraphs_from_lines(lines.withColumn("right", right))
 
 
 @query(["segments"], """, l AS (SELECT document_id, CASE WHEN ord % 11 = 10 THEN 'y_' || key ELSE key END AS key FROM segments WHERE ord % 13 <> 12),
@@ -654,10 +731,11 @@ def preferred_locales(spark, d):
     return text.preferred_locale(v.requests(spark, d), "request_id", "languages", ["en", "id"]).groupBy("locale").agg(F.count("*").alias("n"))
 
 
-@query(["requests"], """SELECT request_id, '{"user": {"api_key": "[REDACTED]", "name": "n' || request_id || '"}, "accessToken": "[REDACTED]", "count": ' || request_id || '}' AS masked FROM requests""")
+@query(["requests"], """SELECT request_id, '{"user": {"api_key": "[REDACTED]", "name": "n' || request_id || '"}, "accessToken": "[REDACTED]", "my_credentials": "[REDACTED]" , "list": [{"Cookie": "[REDACTED]"}, "token"], "count": ' || request_id || ', "props": ' || coalesce(props, 'null') || '}' AS masked FROM requests""")
 def mask_sensitive(spark, d):
-    logged = v.requests(spark, d).selectExpr("request_id", """concat('{"user": {"api_key": "k', request_id, '", "name": "n', request_id, '"}, "accessToken": ', request_id, ', "count": ', request_id, '}') AS line""")
-    return logged.select("request_id", text.mask_json(F.col("line")).alias("masked"))
+    """Each request's properties in a log line with secrets as texts, numbers, objects and lists."""
+    line = """concat('{"user": {"api_key": "k', request_id, '", "name": "n', request_id, '"}, "accessToken": {"a": ["s\\\\"}]", {"b": ', request_id, '}], "c": {}}, "my_credentials": [[1, "x"], {"y": [2]}] , "list": [{"Cookie": ', request_id, '}, "token"], "count": ', request_id, ', "props": ', coalesce(props, 'null'), '}') AS line"""
+    return v.requests(spark, d).selectExpr("request_id", line).select("request_id", text.mask_json(F.col("line")).alias("masked"))
 
 
 @query(["segments"], """, w AS (SELECT document_id, ord * 100000 + i AS pos, l[i] AS value FROM (SELECT document_id, ord, string_split(source_text, ' ') AS l FROM segments) s, unnest(range(1, len(s.l) + 1)) AS t(i))
@@ -682,8 +760,7 @@ def ground_values(spark, d):
 
 @query(None, None)
 def summarize_map_reduce(spark, d):
-    sentences = _sentences(spark, d).select("document_id", (F.col("ord") * 100000 + F.col("pos")).alias("sid"), "text")
-    return text.summarize(sentences, "document_id", 5)
+    return text.summarize(v.segments(spark, d), "document_id", "ord", "source_text", 5)
 
 
 @query(["segments"], """, s AS (SELECT document_id, ord AS section, CASE WHEN ord % 3 = 0 THEN 'head ' || ord END AS head, CASE WHEN ord % 5 = 1 THEN 'foot ' || ord END AS foot FROM segments)
@@ -693,12 +770,13 @@ def inherit_headers(spark, d):
     return outline.inherit_headers(sections, ["head", "foot"])
 
 
-@query(["segments"], """, p AS (SELECT document_id, ord, CASE WHEN ord % 4 = 0 THEN 0 ELSE 1 END AS level FROM segments),
+@query(["segments"], """, p AS (SELECT document_id, ord, CASE WHEN ord % 60 = 0 THEN 0 ELSE 1 END AS level FROM segments),
     a AS (SELECT *, sum(CASE WHEN level = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY ord) AS n0 FROM p),
     b AS (SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, n0 ORDER BY ord) AS n1 FROM a)
-    SELECT document_id, ord, CASE WHEN level = 0 THEN n0 || '.' ELSE n0 || '.' || n1 END AS label FROM b""")
+    SELECT document_id, ord, CASE WHEN level = 0 THEN n0 || '.' WHEN n1 <= 26 THEN chr(CAST(96 + n1 AS INT)) || ')' ELSE chr(CAST(96 + (n1 - 1) // 26 AS INT)) || chr(CAST(97 + (n1 - 1) % 26 AS INT)) || ')' END AS label FROM b""")
 def list_numbering(spark, d):
-    paragraphs = v.segments(spark, d).selectExpr("document_id", "0 AS list", "ord", "CASE WHEN ord % 4 = 0 THEN 0 ELSE 1 END AS level", "1 AS start", "'decimal' AS fmt", "CASE WHEN ord % 4 = 0 THEN '%1.' ELSE '%1.%2' END AS template")
+    top = "CASE WHEN ord % 60 = 0 THEN"
+    paragraphs = v.segments(spark, d).selectExpr("document_id", "0 AS list", "ord", f"{top} 0 ELSE 1 END AS level", "1 AS start", f"{top} 'decimal' ELSE 'lowerLetter' END AS fmt", f"{top} '%1.' ELSE '%2)' END AS template")
     return outline.list_numbering(paragraphs).select("document_id", "ord", "label")
 
 
@@ -714,14 +792,23 @@ def table_cell_grid(spark, d):
     return outline.table_cell_grid(cells).select("document_id", "row", "cell", F.col("column").cast("long").alias("column"), F.col("row_span").cast("long").alias("row_span"))
 
 
-@query(["runs"], """SELECT document_id || '/' || key || '/' || ord AS run, CASE style WHEN 'style0' THEN 'a' WHEN 'style1' THEN 'b' ELSE 'a' END AS font, CASE style WHEN 'style1' THEN 11 WHEN 'style2' THEN 12 ELSE 10 END AS size FROM runs""")
+STYLES = """SELECT s || '.' || i AS style, CASE WHEN i < 6 THEN s || '.' || (i + 1) WHEN s = 'style1' THEN s || '.3' WHEN s = 'style2' THEN 'gone' END AS based_on,
+    CASE WHEN i = 6 THEN 'f' || s WHEN i = 0 AND s = 'style2' THEN 'own' END AS font, CASE i WHEN 2 THEN 10 WHEN 5 THEN 12 END AS size, CASE WHEN i IN (1, 4) THEN i = 1 END AS bold"""
+USES = """SELECT run, 1 AS layer, CASE WHEN n % 7 = 0 THEN 'nowhere' ELSE style || '.0' END AS style FROM r UNION ALL SELECT run, 2, 'style' || ((n + 1) % 3) || '.3' FROM r WHERE n % 5 = 0
+    UNION ALL SELECT run, 3, 'style' || ((n + 2) % 3) || '.6' FROM r WHERE n % 4 = 0"""
+
+
+@query(["runs"], ", r AS (SELECT document_id || '/' || key || '/' || ord AS run, style, length(text) AS n FROM runs), styles AS (" + STYLES + " FROM (SELECT DISTINCT style AS s FROM runs), range(0, 7) AS t(i)), uses AS (" + USES + """),
+    c AS (WITH RECURSIVE w AS (SELECT style, style AS at, 0 AS level, [style] AS seen FROM styles
+          UNION ALL SELECT w.style, b.style, level + 1, list_append(seen, b.style) FROM w JOIN styles s ON s.style = w.at JOIN styles b ON b.style = s.based_on WHERE NOT list_contains(seen, b.style)) SELECT * FROM w),
+    p AS (SELECT c.style, arg_min(s.font, level) FILTER (s.font IS NOT NULL) AS font, arg_min(s.size, level) FILTER (s.size IS NOT NULL) AS size, arg_min(s.bold, level) FILTER (s.bold IS NOT NULL) AS bold FROM c JOIN styles s ON s.style = c.at GROUP BY 1)
+    SELECT run, arg_max(font, layer) FILTER (font IS NOT NULL) AS font, arg_max(size, layer) FILTER (size IS NOT NULL) AS size, arg_max(bold, layer) FILTER (bold IS NOT NULL) AS bold FROM uses LEFT JOIN p USING (style) GROUP BY 1""")
 def resolve_styles(spark, d):
-    own = v.runs(spark, d).selectExpr("concat(document_id, '/', key, '/', ord) AS run", "1 AS layer", "style")
-    styles = v.runs(spark, d).select("style").distinct().selectExpr(
-        "style", "CASE style WHEN 'style2' THEN 'style0' WHEN 'style0' THEN 'style2' ELSE 'style0' END AS based_on",
-        "CASE style WHEN 'style0' THEN 'a' WHEN 'style1' THEN 'b' END AS font", "CASE style WHEN 'style0' THEN 10 WHEN 'style1' THEN 11 ELSE 12 END AS size",
-    )
-    return outline.resolve_styles(styles, own, ["font", "size"])
+    """Runs of up to three layers; each style is based on six others, one chain closes on itself, one ends at a missing style."""
+    runs = v.runs(spark, d).selectExpr("concat(document_id, '/', key, '/', ord) AS run", "style", "length(text) AS n")
+    styles = spark.sql(STYLES + " FROM {names} LATERAL VIEW explode(sequence(0, 6)) t AS i", names=runs.select(F.col("style").alias("s")).distinct())
+    uses = spark.sql(USES.replace("FROM r", "FROM {r}"), r=runs)
+    return outline.resolve_styles(styles, uses, ["font", "size", "bold"])
 
 
 @query(["segments"], """, k AS (SELECT document_id || '.' || key AS key, ord FROM segments)
@@ -769,26 +856,33 @@ QUOTAS = "SELECT DISTINCT route, 2 + length(route) % 3 AS quota FROM requests"
 @query(["requests"], ", q AS (" + QUOTAS + """), w AS (SELECT client, route, quota, date_trunc('minute', ts) AS m, count(*) AS n FROM requests JOIN q USING (route) GROUP BY 1, 2, 3, 4)
     SELECT client, route, strftime(m, '%Y-%m-%d %H:%M') AS minute, n, greatest(n - quota, 0) AS rejected FROM w""")
 def rate_limit_windows(spark, d):
-    own = v.requests(spark, d)
-    quotas = own.select("route").distinct().withColumn("quota", 2 + F.length("route") % 3)
-    found = requests.rate_limit_counts(own, quotas)
+    found = requests.rate_limit_counts(v.requests(spark, d), _quotas(spark, d))
     return found.select("client", "route", F.date_format("start", "yyyy-MM-dd HH:mm").alias("minute"), "n", F.col("rejected").cast("long").alias("rejected"))
 
 
+def _quotas(spark, d):
+    return v.requests(spark, d).select("route").distinct().withColumn("quota", 2 + F.length("route") % 3)
+
+
+@query(["requests"], ", q AS (" + QUOTAS + """) SELECT request_id, row_number() OVER (PARTITION BY client, route, date_trunc('minute', ts) ORDER BY ts, request_id) <= quota AS accepted FROM requests JOIN q USING (route)""")
+def rate_limit_flags(spark, d):
+    return requests.rate_limit_flags(v.requests(spark, d), _quotas(spark, d))
+
+
 @query(["requests"], """, w AS (SELECT route, duration, date_trunc('hour', ts) + to_minutes(CAST(CASE WHEN date_part('minute', ts) >= 30 THEN 30 ELSE 0 END AS INT)) - to_minutes(CAST(30 * b AS INT)) AS s FROM requests, (VALUES (0), (1)) AS t(b))
-    SELECT route, strftime(s, '%Y-%m-%d %H:%M') AS start, count(*) AS n, count(*) FILTER (route = 'error') AS errors, round(sum(duration), 2) AS total_duration FROM w GROUP BY 1, 2""")
+    SELECT route, strftime(s, '%Y-%m-%d %H:%M') AS start, count(*) AS n, count(*) FILTER (duration > 20) AS errors, round(count(*) FILTER (duration > 20) / count(*), 4) AS error_share, round(avg(duration), 4) AS mean_duration,
+    quantile_disc(duration, 0.95) AS high_duration FROM w GROUP BY 1, 2""")
 def request_metrics(spark, d):
-    found = requests.request_metrics(v.requests(spark, d))
-    return found.select("route", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "errors", F.round("total_duration", 2).alias("total_duration"))
+    """A request of over 20 seconds counts as failed here."""
+    found = requests.request_metrics(v.requests(spark, d), F.col("duration") > 20)
+    return found.select("route", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "errors", F.round("error_share", 4).alias("error_share"), F.round("mean_duration", 4).alias("mean_duration"), "high_duration")
 
 
 @query(None, """SELECT DISTINCT lang, trim(x) AS text FROM (SELECT lang, unnest(string_split(regexp_replace(regexp_replace(trim(line), '([.!?])\\s+(["''“‘(\\[]?\\p{L})', '\\1' || chr(30) || '\\2', 'g'), '([。！？])', '\\1' || chr(30), 'g'), chr(30))) AS x
     FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '\\p{L}')) WHERE trim(x) <> ''""")
 def stream_segments(spark, d):
     """Documents as a stream of files, and the distinct sentences that it leaves."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", "/tmp/foliant-streams").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "stream")
     source = spark.readStream.schema(v.table(spark, d, "documents").schema).option("pathGlobFilter", "*.parquet")
     stream = source.parquet(f"{d}/documents.parquet*").withColumn("arrived", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id")))
     out = requests.stream_sentences(stream, "arrived", "3650 days")
@@ -807,12 +901,15 @@ def chat_batches(spark, d):
     return inference.chat_batches(v.table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns")))
 
 
-@query(["records"], "SELECT count(*) AS n, sum(id) AS ids FROM records")
+@query(["records"], "SELECT f AS format, count(*) AS n, sum(id) AS ids, sum(length(source_text)) AS chars FROM records, (VALUES ('csv'), ('json')) AS t(f) GROUP BY 1")
 def export_table(spark, d):
-    """Records as CSV in the shared folder, and what reading them back finds."""
-    import uuid
-
-    path = spark.conf.get("spark.checkpoint.dir", "/tmp/foliant-exports").rstrip("/") + f"/export-{uuid.uuid4().hex}"
-    tables.export_csv(v.records(spark, d).select("id", "source_language", "model_name"), path)
-    back = spark.read.option("header", True).schema("id long, source_language string, model_name string").csv(path)
-    return back.agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    """Records as CSV and as JSON in the shared folder, and what reading them back finds."""
+    own, out = v.records(spark, d).select("id", "source_language", "source_text"), None
+    for kind, export in (("csv", tables.export_csv), ("json", tables.export_json)):
+        path = shared_path(spark, f"export-{kind}")
+        export(own, path)
+        read = spark.read.schema("id long, source_language string, source_text string")
+        back = read.json(path) if kind == "json" else read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+        found = back.agg(F.lit(kind).alias("format"), F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum(F.length("source_text")).cast("long").alias("chars"))
+        out = found if out is None else out.unionByName(found)
+    return out
\ No newline at end of file

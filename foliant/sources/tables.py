@@ -17,9 +17,10 @@ SCHEMAS = {
 
 #: Field checks of a new translation record: least and most characters.
 RECORD_LENGTHS = {
-    "source_text": (1, None), "translated_text": (1, None), "source_language": (2, 10), "target_language": (2, 10), "model_name": (1, 255),
+    "source_text": (1, None), "translated_text": (1, None), "source_language": (2, 10), "target_language": (2, 10), "model_name": (0, 255),
     "emotion_tags": (0, 255), "voice_tags": (0, 255),
 }
+OPTIONAL = ("emotion_tags", "voice_tags")
 
 
 def read_records(spark: SparkSession, path: str, kind: str, fmt: str = "parquet") -> DataFrame:
@@ -32,19 +33,31 @@ def read_records_jdbc(spark: SparkSession, url: str, name: str, column: str, low
     return spark.read.jdbc(url, name, column=column, lowerBound=lower, upperBound=upper, numPartitions=parts)
 
 
-def checked(df: DataFrame, lengths: dict[str, tuple[int, int | None]]) -> DataFrame:
-    """df with `reject`: the first field whose length is out of bounds or that is null though it must not be, or null."""
+#: Field checks, numbers that must be positive, and defaults of a new job.
+JOB_LENGTHS = {"job_id": (0, 50)}
+JOB_POSITIVE = ("total_records",)
+JOB_DEFAULTS = {"status": "pending", "processed_records": 0, "failed_records": 0}
+
+
+def checked(df: DataFrame, lengths: dict[str, tuple[int, int | None]], positive: tuple[str, ...] = (), optional: tuple[str, ...] = OPTIONAL) -> DataFrame:
+    """df with `reject`: the first field whose length is out of bounds, that isn't positive, or that is null though it must not be, or null."""
     tests: list[Column] = []
     for name, (least, most) in lengths.items():
         n = F.length(name)
         bad = (n < least) | (F.lit(False) if most is None else n > most)
-        tests.append(F.when((F.col(name).isNull() & F.lit(least > 0)) | bad, F.lit(name)))
+        tests.append(F.when((F.col(name).isNull() & F.lit(name not in optional)) | bad, F.lit(name)))
+    tests += [F.when(F.coalesce(F.col(name) <= 0, F.lit(True)), F.lit(name)) for name in positive]
     return df.withColumn("reject", F.coalesce(*tests))
 
 
-def append(df: DataFrame, path: str, lengths: dict[str, tuple[int, int | None]], rejects: str) -> None:
+def with_defaults(df: DataFrame, defaults: dict[str, str | int]) -> DataFrame:
+    """df with these columns, the default where a value is null or the column is missing."""
+    return df.withColumns({n: F.coalesce(F.col(n), F.lit(x)) if n in df.columns else F.lit(x) for n, x in defaults.items()})
+
+
+def append(df: DataFrame, path: str, rejects: str, lengths: dict[str, tuple[int, int | None]], positive: tuple[str, ...] = (), defaults: dict | None = None) -> None:
     """Rows that pass go to path, the others with their reason to rejects."""
-    out = checked(df, lengths)
+    out = checked(with_defaults(df, defaults or {}), lengths, positive)
     out.where("reject IS NULL").drop("reject").write.mode("append").parquet(path)
     out.where("reject IS NOT NULL").write.mode("append").parquet(rejects)
 

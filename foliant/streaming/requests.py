@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.text import SENTENCE_END, trimmed
@@ -21,12 +21,16 @@ def rate_limit_flags(requests: DataFrame, quotas: DataFrame) -> DataFrame:
     return requests.join(quotas, "route").select("request_id", (F.row_number().over(order) <= F.col("quota")).alias("accepted"))
 
 
-def request_metrics(requests: DataFrame, length: str = "1 hour", slide: str = "30 minutes", lateness: str | None = None) -> DataFrame:
-    """route, start, n, errors, total_duration per sliding window."""
+def request_metrics(requests: DataFrame, failed: Column, length: str = "1 hour", slide: str = "30 minutes", lateness: str | None = None, share: float = 0.95) -> DataFrame:
+    """route, start, n, errors, error_share, mean_duration, high_duration (the `share` quantile, approximate) per sliding window.
+
+    failed: a condition on a request.
+    """
     source = requests.withWatermark("ts", lateness) if lateness else requests
     return source.groupBy("route", F.window("ts", length, slide)).agg(
-        F.count("*").alias("n"), F.count_if(F.col("route") == "error").alias("errors"), F.round(F.sum("duration"), 4).alias("total_duration")
-    ).select("route", F.col("window.start").alias("start"), "n", "errors", "total_duration")
+        F.count("*").alias("n"), F.count_if(failed).alias("errors"), (F.count_if(failed) / F.count("*")).alias("error_share"),
+        F.avg("duration").alias("mean_duration"), F.percentile_approx("duration", F.lit(share), F.lit(100_000)).alias("high_duration"),
+    ).select("route", F.col("window.start").alias("start"), "n", "errors", "error_share", "mean_duration", "high_duration")
 
 
 def stream_sentences(docs: DataFrame, arrival: str, lateness: str) -> DataFrame:
