@@ -50,8 +50,8 @@ class PieceModel:
         self.bytes = {int(model.id_to_piece(i)[3:-1], 16): i for i in range(n) if model.is_byte(i)}
         self.costs.update(dict.fromkeys(self.bytes.values(), most))
         self.texts = {i: p.replace(SPACE, " ").encode() for p, i in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
-        #: Every beginning of a piece: the piece's id, or -1 where only longer pieces begin so.
-        self.prefixes = {p[:k]: -1 for p in self.pieces for k in range(1, len(p))} | self.pieces
+        #: Every beginning of a piece: the piece's cost, or -1 where only longer pieces begin so.
+        self.prefixes = {p[:k]: -1 for p in self.pieces for k in range(1, len(p))} | {p: self.costs[i] for p, i in self.pieces.items()}
         self.longest = max(map(len, self.pieces), default=1)
 
     def _signs(self, word: str) -> str:
@@ -65,37 +65,34 @@ class PieceModel:
         i = self.pieces.get(signs[start:end])
         return [i] if i is not None else [self.bytes[b] for b in word[start:end].encode()]
 
-    def forward(self, word: str) -> tuple[list[int], list[int | None], list[int]]:
-        """Viterbi: for each place the least cost of reaching it, the next one (None: no other way), and where the last piece of the best begins."""
-        signs, n, get, costs = self._signs(word), len(word), self.prefixes.get, self.costs
-        none = 1 << 62
-        best, second, back = [none] * (n + 1), [none] * (n + 1), [0] * (n + 1)
+    def forward(self, word: str, signs: str) -> tuple[list[int], list[int], list[int]]:
+        """Viterbi: for each place the least cost of reaching it, the next one (_NEVER: no other way), and where the last piece of the best begins."""
+        n, get = len(word), self.prefixes.get
+        best, second, back = [_NEVER] * (n + 1), [_NEVER] * (n + 1), [0] * (n + 1)
         best[0] = 0
         for start in range(n):
-            a, b, end, alone = best[start], second[start], start, False
-            while end < n:
-                end += 1
-                i = get(signs[start:end])
-                if i is None:
-                    break
-                if i < 0:
-                    continue
-                alone |= end == start + 1
-                x = a + costs[i]
-                if x < best[end]:
-                    second[end] = min(best[end], b + costs[i])
-                    best[end], back[end] = x, start
-                else:
-                    second[end] = min(second[end], x)
-            if not alone:
-                end, c = start + 1, self._byte_cost(word[start])
-                x = a + c
-                if x < best[end]:
-                    second[end] = min(best[end], b + c)
+            a, b = best[start], second[start]
+            cost = get(signs[start : start + 1])
+            if cost is None or cost < 0:
+                steps = [(start + 1, self._byte_cost(word[start]))]
+            else:
+                steps = [(start + 1, cost)]
+            if cost is not None:
+                for end in range(start + 2, n + 1):
+                    cost = get(signs[start:end])
+                    if cost is None:
+                        break
+                    if cost >= 0:
+                        steps.append((end, cost))
+            for end, cost in steps:
+                x, least = a + cost, best[end]
+                if x < least:
+                    y = b + cost
+                    second[end] = least if least < y else y
                     best[end], back[end] = x, start
-                else:
-                    second[end] = min(second[end], x)
-        return best, [x if x < none else None for x in second], back
+                elif x < second[end]:
+                    second[end] = x
+        return best, second, back
 
     def n_best(self, word: str, n: int) -> list[tuple[int, list[int]]]:
         """The n cheapest segmentations, cheapest first.
@@ -106,7 +103,8 @@ class PieceModel:
         so a step dearer than n sets known by then can't be among the n cheapest. Ways are linked lists that share
         their ends, so time and memory grow with the length of the word.
         """
-        least, signs, get, costs = self.forward(word)[0], self._signs(word), self.pieces.get, self.costs
+        signs, get, costs = self._signs(word), self.pieces.get, self.costs
+        least = self.forward(word, signs)[0]
         heap: list[tuple] = [(least[-1], len(word), 0, 0, None)]
         known, pushed = [-least[-1]], 0  # the n least whole costs of sets, negated
         out: list[tuple[int, list[int]]] = []
@@ -142,16 +140,21 @@ class PieceModel:
                 heapq.heappush(heap, (total, start, pushed, cost + spent, (at, way)))
         return out
 
-    def best_two(self, word: str) -> tuple[int, list[int], int | None]:
-        """The cheapest segmentation's cost and ids, and what the next costs beyond it (None without one), by the forward pass alone."""
-        best, second, back = self.forward(word)
-        signs, cuts, at = self._signs(word), [len(word)], len(word)
-        while at:
-            at = back[at]
-            cuts.append(at)
-        cuts.reverse()
-        ids = [i for a, b in zip(cuts, cuts[1:]) for i in self._ids(word, signs, a, b)]
-        return best[-1], ids, None if second[-1] is None else second[-1] - best[-1]
+    def best_two(self, word: str) -> tuple[int, list[int], int]:
+        """The cheapest segmentation's cost and ids, and what the next costs beyond it (_NEVER without one), by the forward pass alone."""
+        signs = self._signs(word)
+        best, second, back = self.forward(word, signs)
+        get, end, ids = self.pieces.get, len(word), []
+        while end:
+            start = back[end]
+            i = get(signs[start:end])
+            if i is None:
+                ids += [self.bytes[b] for b in reversed(word[start].encode())]
+            else:
+                ids.append(i)
+            end = start
+        ids.reverse()
+        return best[-1], ids, second[-1] - best[-1] if second[-1] < _NEVER else _NEVER
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space put before the first word goes."""
@@ -183,7 +186,7 @@ class Segmenter:
 
     def _learn(self, word: str) -> tuple[bytes, int, int]:
         cost, ids, more = self.model.best_two(word)
-        out = (array("I", ids).tobytes(), cost, _NEVER if more is None else more)
+        out = (array("I", ids).tobytes(), cost, more)
         if len(word) <= LONGEST_REMEMBERED:
             self.known[word] = out
         return out
