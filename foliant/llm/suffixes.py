@@ -53,33 +53,62 @@ class BlindTrie:
         return out
 
 
+def _eights(flat: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number that sorts as they do."""
+    out = np.zeros(len(flat) - 7, np.uint64)
+    for i in range(8):
+        out = out << np.uint64(8) | flat[i : i + len(out)]
+    return out
+
+
+def multikey_quicksort(eights: np.ndarray, base: np.ndarray, group: np.ndarray, letters: int):
+    """(order, groups): strings sorted within their groups by their first `letters` letters of eight bytes, and the
+    (begin, end) in that order of all groups of two or more that these letters don't tell apart.
+
+    group: ascending. Every round splits each open group in three around the median of its first, middle and last
+    string's letter: less, equal, greater; those equal go on to the next letter. All open groups split in one pass.
+    """
+    order, place, depth, tied = np.arange(len(base)), np.arange(len(base)), np.zeros(len(base), np.int64), []
+    letter = eights[base] if letters else np.zeros(len(base), np.uint64)
+    while True:
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(group)))
+        ended = depth[first] >= letters
+        tied += [(int(a), int(a) + int(n)) for a, n in zip(place[first[ended & (size > 1)]], size[ended & (size > 1)])]
+        open_ = np.repeat(~ended & (size > 1), size)
+        place, group, depth, letter = (x[open_] for x in (place, group, depth, letter))
+        if not len(place):
+            return order, sorted(tied)
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        size = np.diff(np.append(first, len(group)))
+        three = np.stack([letter[first], letter[first + size // 2], letter[first + size - 1]])
+        pivot = np.repeat(np.sort(three, axis=0)[1], size)
+        side = 1 + (letter > pivot) - (letter < pivot).astype(np.int64)
+        key = np.repeat(np.arange(len(first)), size) * 3 + side
+        by = np.argsort(key, kind="stable")
+        order[place] = order[place[by]]
+        group, depth, letter = key[by], depth[by], letter[by]
+        on = np.flatnonzero(group % 3 == 1)
+        depth[on] += 1
+        on = on[depth[on] < letters]
+        letter[on] = eights[base[order[place[on]]] + 8 * depth[on]]
+
+
 def equal_runs(texts: list[bytes], starts: np.ndarray, owners: np.ndarray, buckets: np.ndarray, length: int) -> list[list[int]]:
     """Sort the strings texts[owners[i]][starts[i] : starts[i] + length] within their buckets; runs of equal ones.
 
-    Strings of one bucket are ordered by eight bytes at a time up to SHALLOW; whatever still shares a prefix then goes
-    into a blind trie. Only runs of two or more are returned, as positions i, bucket by bucket in ascending order.
+    Strings of one bucket are ordered by multikey quicksort over letters of eight bytes up to SHALLOW bytes; whatever
+    still shares them then goes into a blind trie. Only runs of two or more are returned, as positions i, bucket by
+    bucket in ascending order.
     """
-    n = len(starts)
-    if n < 2:
+    if len(starts) < 2:
         return []
     flat = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
     base = np.append(0, np.cumsum([len(t) for t in texts]))[owners] + starts
-    order, group = np.arange(n), buckets.astype(np.int64)
-    weights = (1 << np.arange(56, -1, -8, dtype=np.uint64)).astype(np.uint64)
-    for depth in range(0, min(SHALLOW, length - length % 8), 8):
-        word = (flat[(base[order] + depth)[:, None] + np.arange(8)].astype(np.uint64) * weights).sum(1, dtype=np.uint64)
-        by = np.lexsort((word, group))
-        order, group, word = order[by], group[by], word[by]
-        new = np.append(True, (group[1:] != group[:-1]) | (word[1:] != word[:-1]))
-        group = np.cumsum(new)
-        tied = np.bincount(group)[group] > 1  # a string that differs from all others is in its place
-        order, group = order[tied], group[tied]
-        if not len(order):
-            return []
-    out = []
-    cuts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)).tolist()
-    order_list, owner_list, start_list = order.tolist(), owners.tolist(), starts.tolist()
-    for a, b in zip(cuts, cuts[1:]):
+    by = np.argsort(buckets, kind="stable")
+    order, groups = multikey_quicksort(_eights(flat), base[by], buckets[by], min(SHALLOW, length) // 8)
+    out, order_list, owner_list, start_list = [], by[order].tolist(), owners.tolist(), starts.tolist()
+    for a, b in groups:
         trie = BlindTrie(length)
         for i in order_list[a:b]:
             s = start_list[i]

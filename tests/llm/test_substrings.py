@@ -80,3 +80,21 @@ def test_deep_shallow_sort_orders_strings():
 
     runs = suffixes.equal_runs(texts, np.zeros(54, np.int64), np.arange(54), np.zeros(54, np.int64), 60)
     assert [sorted(r) for r in runs] == [[50, 51, 52, 53]]
+
+
+def test_multikey_quicksort_orders_by_letters():
+    import numpy as np
+
+    rng = random.Random(7)
+    texts = [bytes(rng.choice(b"ab\xff") for _ in range(3)) * 8 + bytes([rng.choice(b"xy")]) * 8 for _ in range(300)] + [b"q" * 32] * 90
+    flat = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+    for letters, group in ((3, [0] * 390), (4, [i // 130 for i in range(390)]), (0, [0] * 390)):
+        order, tied = suffixes.multikey_quicksort(suffixes._eights(flat), np.arange(390) * 32, np.array(group), letters)
+        key = [(group[i], texts[i][: 8 * letters]) for i in order.tolist()]
+        assert key == sorted(key) and sorted(order.tolist()) == list(range(390))
+        runs, a = [], 0
+        for i in range(1, 391):
+            if i == 390 or key[i] != key[a]:
+                runs += [(a, i)] if i - a > 1 else []
+                a = i
+        assert tied == runs
