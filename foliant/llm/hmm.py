@@ -2,7 +2,8 @@
 
 P(text) = sum over state paths of prod P(state | last state) P(class | state) P(word | class). A word's class follows
 from the word: frequent words are their own class, the others are classed by their form, and words that training
-hasn't seen are one symbol of one class.
+hasn't seen are one symbol of one class. How often a state emits that class is learned from the words that training
+has seen once, as if they were unseen at that place.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ PRIOR = 10.0
 #: The end of a text, which no word equals.
 END = b""
 _KNOWN_END, _UNKNOWN = 0, 1
+#: Set in the number of a class where the word is one that training has seen once.
+_ONCE = 1 << 15
 
 
 def form_class(word: bytes) -> int:
@@ -137,12 +140,12 @@ def _classed(own: dict[bytes, int]):
 
 @dataclass
 class Hmm:
-    """start, move (state to state), emit (state by class; rows sum to 1) and unseen, the chance of an unseen word."""
+    """start, move (state to state), emit (state by class; rows sum to 1) and unseen, a state's chance of an unseen word."""
 
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
-    unseen: float
+    unseen: np.ndarray
 
     def table(self) -> np.ndarray:
         """A row per class, a column per state; the class of unseen words takes its share from the others."""
@@ -150,6 +153,13 @@ class Hmm:
         out[_UNKNOWN] = self.unseen
         return out
 
+    def flagged(self) -> np.ndarray:
+        """table() for classes that may have _ONCE set: such a word counts by its class."""
+        table = self.table()
+        out = np.zeros((_ONCE + len(table), table.shape[1]))
+        out[: len(table)] = out[_ONCE:] = table
+        return out
+
 
 def _padded(lengths: np.ndarray) -> Iterator[np.ndarray]:
     """Indices of sequences by length, longest first, in groups whose padded places stay bounded."""
@@ -163,7 +173,7 @@ def _padded(lengths: np.ndarray) -> Iterator[np.ndarray]:
 
 def forward(hmm: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 P of each sequence of classes by the scaled forward recursion; memory doesn't grow with their length."""
-    table, out = hmm.table(), np.zeros(len(lengths))
+    table, out = hmm.flagged(), np.zeros(len(lengths))
     for group in _padded(lengths):
         own, at = lengths[group], starts[group]
         alpha, total = None, np.zeros(len(group))
@@ -179,9 +189,10 @@ def forward(hmm: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarr
 
 
 def expected_counts(hmm: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
-    """Baum-Welch: expected starts, moves and emissions, and log10 P, summed over the sequences."""
-    table, k = hmm.table(), len(hmm.start)
-    start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, table.shape[0])), 0.0
+    """Baum-Welch: expected starts, moves, emissions by class, emissions of words seen once, and log10 P, summed over
+    the sequences."""
+    table, k, c = hmm.flagged(), len(hmm.start), hmm.emit.shape[1]
+    start, move, emit, once, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, c)), np.zeros(k), 0.0
     for group in _padded(lengths):
         own, at = lengths[group], starts[group]
         alphas, scales, emits, firsts = [], [], [], []
@@ -210,15 +221,18 @@ def expected_counts(hmm: Hmm, classes: np.ndarray, starts: np.ndarray, lengths:
         if gammas:
             start += gammas[-1].sum(0)
             gamma, of = np.concatenate(gammas[::-1]), np.concatenate(firsts)
+            once += gamma[of >= _ONCE].sum(0)
+            of = of & (_ONCE - 1)
             for s in range(k):
-                emit[s] += np.bincount(of, gamma[:, s], minlength=table.shape[0])
-    return start, move, emit, total
+                emit[s] += np.bincount(of, gamma[:, s], minlength=c)
+    return start, move, emit, once, total
 
 
 def train(classed: DataFrame, counts: Counts, states: int = STATES, rounds: int = ROUNDS) -> tuple[Hmm, list[float]]:
     """An Hmm, and the training texts' log10 P before each round. classed: held, lengths, classes (uint16) by block.
 
-    Every round sums what tasks have counted over all training texts; the model itself is of fixed size.
+    Every round sums what tasks have counted over all training texts; the model itself is of fixed size. A state's
+    share of unseen words is its share of words seen once, drawn to that of all states by PRIOR tokens.
     """
     c = counts.classes
     weight = np.maximum(counts.class_weight, 1e-9)
@@ -230,29 +244,30 @@ def train(classed: DataFrame, counts: Counts, states: int = STATES, rounds: int
     stay = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(stay, 0.9 if states > 1 else 1.0)
     unseen = min(0.5, max(counts.once, 0.5) / max(1, counts.tokens))
-    hmm, seen = Hmm(np.full(states, 1 / states), stay, emit, unseen), []
+    hmm, seen = Hmm(np.full(states, 1 / states), stay, emit, np.full(states, unseen)), []
     for _ in range(rounds):
 
         def count(batches: Iterator[pa.RecordBatch], hmm: Hmm = hmm) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(states + states * states + states * c + 1)
+            total = np.zeros(2 * states + states * states + states * c + 1)
             for batch in batches:
                 for held, lengths, classes in zip(*(batch.column(x).to_pylist() for x in ("held", "lengths", "classes"))):
                     of, n = np.frombuffer(classes, np.uint16), np.array(lengths, np.int64)
                     starts = np.append(0, np.cumsum(n)[:-1])
                     own = ~np.array(held, bool)
-                    a, b, e, p = expected_counts(hmm, of, starts[own], n[own])
-                    total += np.concatenate([a, b.ravel(), e.ravel(), [p]])
+                    a, b, e, o, p = expected_counts(hmm, of, starts[own], n[own])
+                    total += np.concatenate([a, b.ravel(), e.ravel(), o, [p]])
             at = np.flatnonzero(total)
             yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["at", "x"])
 
         summed = map_batches(classed.select("held", "lengths", "classes"), count, "at long, x double").groupBy("at").agg(F.sum("x").alias("x"))
-        total = np.zeros(states + states * states + states * c + 1)
+        total = np.zeros(2 * states + states * states + states * c + 1)
         for r in summed.collect():  # as many rows as the model has numbers
             total[r["at"]] = r["x"]
-        a, b, e = np.split(total[:-1], [states, states + states * states])
+        a, b, e, once = np.split(total[:-1], [states, states + states * states, states + states * states + states * c])
         seen.append(float(total[-1]))
         move, emit = b.reshape(states, states) + 0.1, e.reshape(states, c) + PRIOR * usual
-        hmm = Hmm((a + 0.1) / (a + 0.1).sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True), unseen)
+        rare = np.minimum(0.5, (once + PRIOR * unseen) / (e.reshape(states, c).sum(1) + PRIOR))
+        hmm = Hmm((a + 0.1) / (a + 0.1).sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True), rare)
     return hmm, seen
 
 
@@ -293,6 +308,7 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
                 c = np.zeros(len(words), np.int64)
                 c[np.frombuffer(r["places"], np.int32)] = np.frombuffer(r["found"], np.int64)
                 of = np.array([class_of(w, own) if n else _UNKNOWN for w, n in zip(words, c.tolist())], np.uint16)
+                flagged = of | ((c == 1) * _ONCE).astype(np.uint16)
                 inside = np.where(of == _UNKNOWN, 0.0, np.log10((c + 0.5) / np.maximum(counts.class_weight[of], 0.5)))
                 tokens, n = np.frombuffer(r["tokens"], np.int32), np.array(r["lengths"], np.int64)
                 starts = np.append(0, np.cumsum(n)[:-1])
@@ -303,7 +319,7 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
                         pa.array([r["held"]], pa.list_(pa.bool_())),
                         pa.array([r["lengths"]], pa.list_(pa.int64())),
                         *(pa.array([s.tolist()]) for s in sums),
-                        pa.array([of[tokens].tobytes()], pa.binary()),
+                        pa.array([flagged[tokens].tobytes()], pa.binary()),
                     ],
                     names=["docs", "held", "lengths", "base", "inside", "known", "classes"],
                 )

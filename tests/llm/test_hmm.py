@@ -12,7 +12,7 @@ from foliant.llm import hmm
 def model(k=3, c=5, seed=0):
     rng = np.random.default_rng(seed)
     norm = lambda x: x / x.sum(-1, keepdims=True)
-    return hmm.Hmm(norm(rng.random(k)), norm(rng.random((k, k))), norm(rng.random((k, c))), 0.03)
+    return hmm.Hmm(norm(rng.random(k)), norm(rng.random((k, k))), norm(rng.random((k, c))), 0.05 * rng.random(k))
 
 
 def paths(m, seq):
@@ -29,17 +29,27 @@ def test_forward_and_counts_against_all_paths():
     flat, n = np.concatenate(seqs).astype(np.uint16), np.array([len(s) for s in seqs])
     starts = np.append(0, np.cumsum(n)[:-1])
     assert np.allclose(hmm.forward(m, flat, starts, n), [math.log10(sum(x for _, x in paths(m, s))) for s in seqs])
-    a, b, e, total = hmm.expected_counts(m, flat, starts, n)
-    a2, b2, e2 = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5))
-    for s in seqs:
+    flat = flat | np.array([0, 0, 1, 0, 1, 0, 0, 0, 0], np.uint16) * hmm._ONCE  # words seen once count by their class
+    assert np.allclose(hmm.forward(m, flat, starts, n), hmm.forward(m, flat & (hmm._ONCE - 1), starts, n))
+    a, b, e, once, total = hmm.expected_counts(m, flat, starts, n)
+    a2, b2, e2, once2 = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5)), np.zeros(3)
+    for s, own in zip(seqs, np.split(flat >= hmm._ONCE, starts[1:])):
         whole = sum(x for _, x in paths(m, s))
         for p, x in paths(m, s):
             a2[p[0]] += x / whole
             for i, j in zip(p, p[1:]):
                 b2[i, j] += x / whole
-            for i, o in zip(p, s):
+            for i, o, rare in zip(p, s, own):
                 e2[i, o] += x / whole
-    assert np.allclose(a, a2) and np.allclose(b, b2) and np.allclose(e, e2)
+                once2[i] += rare * x / whole
+    assert np.allclose(a, a2) and np.allclose(b, b2) and np.allclose(e, e2) and np.allclose(once, once2)
+
+
+def test_chances_sum_to_one():
+    m = model()
+    m.emit[:, hmm._UNKNOWN] = 0  # as training leaves it
+    m.emit /= m.emit.sum(1, keepdims=True)
+    assert np.allclose(m.table().sum(0), 1)
 
 
 def test_long_sequence_does_not_underflow():
