@@ -19,8 +19,8 @@ LABELLED_ROWS = 20_000
 MOST_FEATURES = 2_000
 LEAST_DOCUMENTS = 5
 LEAST_Z = 6.0
-#: A word that is this many times as frequent among toxic documents marks their severity.
-MARK_RATIO = 5.0
+#: Documents that a word's share of toxic ones is drawn to the share of all by, where severity is graded.
+DRAWN_BY = 5.0
 #: Grades above 0.
 GRADES = 3
 RIDGE = 2e-5
@@ -40,9 +40,14 @@ def word_counts(text: bytes) -> Counter:
     return out
 
 
-def grade_of(toxic: bool, marks: int, cuts: np.ndarray) -> int:
-    """0 if not toxic, else 1 and one more for each cut that its number of marking words exceeds."""
-    return 0 if not toxic else 1 + int((marks > cuts).sum())
+def grades_of(toxic: list[bool], strength: list[float], grades: int) -> np.ndarray:
+    """0 if not toxic; the toxic ones, weakest first, are dealt in equal parts to grades 1 to `grades`.
+
+    Equal strengths go by their order in the list, so every grade is reached by as many toxic documents as grades.
+    """
+    out, at = np.zeros(len(toxic), np.int64), np.flatnonzero(np.array(toxic, bool))
+    out[at[np.argsort(np.array(strength, float)[at], kind="stable")]] = 1 + np.arange(len(at)) * grades // max(1, len(at))
+    return out
 
 
 @dataclass
@@ -99,7 +104,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], features: dict[bytes, in
 
 
 def _labelled_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """toxic, words, counts of the labelled documents that the model is fitted on."""
+    """toxic, half (0 or 1, by a hash of the id), words, counts of the labelled documents that the model is fitted on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,10 +112,11 @@ def _labelled_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.record_batch(
                 [
                     batch.column("toxic"),
+                    batch.column("half"),
                     pa.array([list(c) for c in counts], pa.list_(pa.binary())),
                     pa.array([list(c.values()) for c in counts], pa.list_(pa.int64())),
                 ],
-                names=["toxic", "words", "counts"],
+                names=["toxic", "half", "words", "counts"],
             )
 
     chosen = (
@@ -119,14 +125,19 @@ def _labelled_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(LABELLED_ROWS)
     )
     own = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
-    return written(map_batches(own.select("text", "toxic"), run, "toxic boolean, words array<binary>, counts array<bigint>"), "labelled")
+    own = own.select("text", "toxic", F.pmod(F.xxhash64("labelled_id", F.lit("half")), F.lit(2)).alias("half"))
+    return written(map_batches(own, run, "toxic boolean, half long, words array<binary>, counts array<bigint>"), "labelled")
 
 
 def train(docs: DataFrame, labels: DataFrame, grades: int = GRADES) -> OrdinalModel | None:
     """A model out of labels (doc_id, toxic 0 or 1; the highest of several counts), None without both kinds.
 
-    Labels say toxic or not. A toxic document's grade is by its number of words that mark toxic documents, cut at
-    quantiles; others have grade 0. Features are the words whose share of toxic documents is far from chance.
+    Labels say toxic or not; documents that aren't have grade 0. Toxic ones are graded by a held-out strength: over their
+    words, how much likelier a word's documents are to be toxic (log odds against all, where above), as counted in the
+    other half of the labelled documents, times the value that the model gives the word's count. They go to the grades
+    in equal parts. A strength per word of text would leave grades that weights on counts can't explain: at sf0.1 it
+    lowered the toxic documents caught out of sample from 204 to 99 of 231. Features are the words whose share of toxic
+    documents is far from chance.
     """
     rows = _labelled_counts(docs, labels)
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -134,30 +145,34 @@ def train(docs: DataFrame, labels: DataFrame, grades: int = GRADES) -> OrdinalMo
     if not toxic or not clean:
         return None
     share = toxic / (toxic + clean)
-    by_word = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("toxic").alias("t"), F.count("*").alias("n"))
+    first = F.col("half") == 0
+    by_word = rows.select("toxic", "half", F.explode("words").alias("word")).groupBy("word").agg(
+        F.count_if("toxic").alias("t"), F.count("*").alias("n"), F.count_if(F.col("toxic") & first).alias("t0"), F.count_if(first).alias("n0")
+    )
     z = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
     chosen = (
         by_word.where(F.col("n") >= LEAST_DOCUMENTS).withColumn("z", z).where(F.abs("z") >= LEAST_Z)
         .orderBy(F.abs("z").desc(), "word").limit(MOST_FEATURES).collect()
     )
     features = {bytes(r["word"]): i for i, r in enumerate(chosen)}
-    marks = {w for w, r in zip(features, chosen) if r["t"] / r["n"] > min(0.9, MARK_RATIO * share)}
+    halves = np.array([[(r["t"] - r["t0"], r["n"] - r["n0"]), (r["t0"], r["n0"])] for r in chosen], float).reshape(-1, 2, 2)
+    odds = (halves[:, :, 0] + DRAWN_BY * share) / (halves[:, :, 1] - halves[:, :, 0] + DRAWN_BY * (1 - share)) * (1 - share) / share
+    marks = np.maximum(np.log(odds), 0.0)  # of a feature, by the half of the document that is graded
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, words, counts in zip(*(batch.column(k).to_pylist() for k in ("toxic", "words", "counts"))):
-                found = [(features[w], c) for w, c in zip(words, counts) if w in features]
-                out.append((t, sum(c for w, c in zip(words, counts) if w in marks), [i for i, _ in found], [c for _, c in found]))
-            kinds = [pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 4, kinds)], names=["toxic", "marks", "index", "count"])
-
-    found = map_batches(rows, sparse, "toxic boolean, marks long, index array<bigint>, count array<bigint>").collect()
-    cuts = np.quantile([r["marks"] for r in found if r["toxic"]], [i / grades for i in range(1, grades)])
-    data = [
-        (np.array(r["index"], np.int64), np.array([_value(c) for c in r["count"]]), grade_of(r["toxic"], r["marks"], cuts))
-        for r in sorted(found, key=lambda r: (r["toxic"], r["marks"], r["index"], r["count"]))
-    ]
+            for t, half, words, counts in zip(*(batch.column(k).to_pylist() for k in ("toxic", "half", "words", "counts"))):
+                found = sorted((features[w], c) for w, c in zip(words, counts) if w in features)
+                strength = sum(float(marks[i, half]) * _value(c) for i, c in found)
+                out.append((t, strength, [i for i, _ in found], [c for _, c in found]))
+            kinds = [pa.bool_(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 4, kinds)], names=["toxic", "strength", "index", "count"])
+
+    found = map_batches(rows, sparse, "toxic boolean, strength double, index array<bigint>, count array<bigint>").collect()
+    found.sort(key=lambda r: (r["toxic"], r["strength"], sum(r["count"]), r["index"], r["count"]))
+    graded = grades_of([r["toxic"] for r in found], [r["strength"] for r in found], grades)
+    data = [(np.array(r["index"], np.int64), np.array([_value(c) for c in r["count"]]), g) for r, g in zip(found, graded.tolist())]
     return fit(data, features, grades)
 
 

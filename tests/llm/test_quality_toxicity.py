@@ -97,6 +97,16 @@ def test_toxicity_held_out(spark):
     found = {r["doc_id"]: r for r in toxicity.severity(docs.drop("grade"), model).collect()}
     wrong = [i for i, _, y in rows if i >= 800 and found[i]["toxic"] != bool(y)]
     assert len(wrong) <= 4 and not found[5000]["toxic"] and not found[None]["toxic"]
+    assert {found[i]["grade"] for i, _, y in rows if i >= 800} == {0, 1, 2, 3}
+    held = [(found[i]["expected_severity"], sum(w in ("SCUM!", "IDIOT!") for w in t.split())) for i, t, y in rows if i >= 800 and y]
+    means = [np.mean([s for s, n in held if n in few]) for few in ((1, 2), (3, 4), (5, 6))]
+    assert means[0] < means[1] < means[2]
     assert toxicity.train(docs, labels.limit(0)) is None
     assert toxicity.severity(docs.drop("grade"), None).where("toxic").count() == 0
     assert toxicity.severity(docs.drop("grade").limit(0), model).count() == 0
+
+
+def test_equal_strengths_still_reach_every_grade():
+    assert toxicity.grades_of([True, False, True, True, True], [0.5, 9.0, 0.5, 0.5, 0.1], 3).tolist() == [1, 0, 2, 3, 1]
+    assert toxicity.grades_of([False], [1.0], 3).tolist() == [0]
+    assert toxicity.grades_of([], [], 3).tolist() == []
