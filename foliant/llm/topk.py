@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ AT_ONCE = 512
 SAMPLE_ROWS = 65_536
 #: Blocks of the longest vectors that give each query its first threshold.
 HEAD_BLOCKS = 2
+#: Neighbouring blocks of candidates that a task holds, and query tasks whose blocks stream past them. Powers of two.
+CELL_BLOCKS = 16
+CELL_QUERIES = 8
 #: Leading rotated dimensions, as shares of all, after which bounds are tested.
 CHECKS = (0.125, 0.25, 0.5)
 
@@ -135,37 +139,53 @@ def _survivors(rq, rc, left_q, left_c, margin: float, floor: np.ndarray, steps:
     return a, b
 
 
-def _search(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, basis: np.ndarray, floor: np.ndarray, k: int):
-    """(query row, candidate row, score) of the k best of every query against a block, none below its floor.
+@dataclass
+class Side:
+    """Rows with their ids, the same rows rotated, and what is left of each one's length before every dimension."""
+
+    ids: np.ndarray
+    rows: np.ndarray
+    rotated: np.ndarray
+    left: np.ndarray
+
+    @staticmethod
+    def of(ids: bytes, matrix: bytes, basis: np.ndarray) -> Side:
+        own = np.frombuffer(ids, np.int64)
+        rows = np.frombuffer(matrix, np.int64).reshape(len(own), len(basis))
+        rotated = rows.astype(float) @ basis
+        return Side(own, rows, rotated, np.sqrt(np.pad((rotated**2)[:, ::-1].cumsum(1)[:, ::-1], ((0, 0), (0, 1)))))
+
+
+def _search(q: Side, blocks: Iterable[Side], floor: np.ndarray, k: int):
+    """(query row, candidate's id, score) of the k best of every query against the blocks, none below its floor.
 
     Candidates come longest first; the k-th best score so far raises a query's floor for the shorter ones. The margin
     covers rounding, so a bound is never too low; scores are exact integers.
     """
-    width, floor = q.shape[1], floor.copy()
-    rq, rc = q.astype(float) @ basis, c.astype(float) @ basis
-    left_q, left_c = (np.sqrt(np.pad((x**2)[:, ::-1].cumsum(1)[:, ::-1], ((0, 0), (0, 1)))) for x in (rq, rc))
-    margin = 1e-9 * (left_q[:, 0].max(initial=0) * left_c[:, 0].max(initial=0)) + 1e-6
+    width, floor = q.rows.shape[1], floor.copy()
     steps = sorted({max(1, int(width * s)) for s in CHECKS}) if width else [0]
-    kept_a, kept_b, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for start in range(0, len(c), AT_ONCE):
-        end = start + AT_ONCE
-        may = np.flatnonzero(left_q[:, 0] * left_c[start:end, 0].max() + margin >= floor)
-        if not len(may):
-            continue
-        a, b = _survivors(rq[may], rc[start:end], left_q[may], left_c[start:end], margin, floor[may], steps)
-        a, b = may[a], b + start
-        other = q_ids[a] != c_ids[b]
-        a, b = a[other], b[other]
-        score = _exact(q, c, a, b)
-        a, b, score = np.append(kept_a, a), np.append(kept_b, b), np.append(kept, score)
-        order = np.lexsort((c_ids[b], -score, a))
-        a, b, score = a[order], b[order], score[order]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
-        full = rank == k - 1
-        floor[a[full]] = np.maximum(floor[a[full]], score[full])
-        keep = (rank < k) & (score >= floor[a])
-        kept_a, kept_b, kept = a[keep], b[keep], score[keep]
-    return kept_a, kept_b, kept
+    kept_a, kept_id, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for c in blocks:
+        margin = 1e-9 * (q.left[:, 0].max(initial=0) * c.left[:, 0].max(initial=0)) + 1e-6
+        for start in range(0, len(c.ids), AT_ONCE):
+            end = start + AT_ONCE
+            may = np.flatnonzero(q.left[:, 0] * c.left[start:end, 0].max() + margin >= floor)
+            if not len(may):
+                continue
+            a, b = _survivors(q.rotated[may], c.rotated[start:end], q.left[may], c.left[start:end], margin, floor[may], steps)
+            a, b = may[a], b + start
+            other = q.ids[a] != c.ids[b]
+            a, b = a[other], b[other]
+            score = _exact(q.rows, c.rows, a, b)
+            a, ids, score = np.append(kept_a, a), np.append(kept_id, c.ids[b]), np.append(kept, score)
+            order = np.lexsort((ids, -score, a))
+            a, ids, score = a[order], ids[order], score[order]
+            rank = np.arange(len(a)) - np.searchsorted(a, a)
+            full = rank == k - 1
+            floor[a[full]] = np.maximum(floor[a[full]], score[full])
+            keep = (rank < k) & (score >= floor[a])
+            kept_a, kept_id, kept = a[keep], ids[keep], score[keep]
+    return kept_a, kept_id, kept
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024) -> DataFrame:
@@ -176,8 +196,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     are candidates each; vectors of other lengths count as filled with zeros; empty tables give no rows. Scores beyond
     64 bits are held at the ends of the range.
 
-    Vectors are ranged by length into blocks. The longest blocks give each query its first floor; then only pairs of
-    blocks of which some score can reach a floor meet, and each meets on its own key, in a task of its own.
+    Vectors are ranged by length into blocks. The longest blocks give each query its first floor. CELL_BLOCKS blocks of
+    neighbours and the query blocks of CELL_QUERIES tasks meet on a key of their own, if some score can reach a floor:
+    a task holds the candidates and lets query blocks stream past, so a block is copied once for many of the others.
     """
     spark = vectors.sparkSession
     clean = integer_vectors(vectors, scale)
@@ -192,56 +213,55 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
         .groupBy("vec_id").agg(F.min(F.struct("length", "v")).alias("x")).select("vec_id", "x.*")
     )
     tasks = -(-asked.count() // QUERY_ROWS) or 1
-    q_blocks = written(_blocks(asked, width, QUERY_ROWS, tasks), "query-blocks").select(
-        F.col("block").alias("q_block"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")
-    )
-    found_schema = "query_id long, vec_id long, score long"
-
-    def unpacked(ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
-        own = np.frombuffer(ids, np.int64)
-        return own, np.frombuffer(matrix, np.int64).reshape(len(own), width)
+    q_blocks = written(_blocks(asked, width, QUERY_ROWS, tasks), "query-blocks").select("block", "ids", "matrix")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each cell first the candidates, which are held, then the query blocks."""
+        cell, held = None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                (q_ids, q), (c_ids, c) = unpacked(r["q_ids"], r["q_matrix"]), unpacked(r["ids"], r["matrix"])
-                floor = np.frombuffer(r["floors"], np.float64) if r.get("floors") else np.full(len(q), -np.inf)
-                a, b, score = _search(q, c, q_ids, c_ids, basis, floor, k)
-                yield pa.record_batch([pa.array(q_ids[a]), pa.array(c_ids[b]), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    def with_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for i in range(batch.num_rows):
+                r = {x: batch.column(x)[i].as_py() for x in ("cell", "q_cell", "ids", "matrix", "floors")}
+                if cell != (r["cell"], r["q_cell"]):
+                    cell, held = (r["cell"], r["q_cell"]), []
+                side = Side.of(r["ids"], r["matrix"], basis)
+                if r["floors"] is None:
+                    held.append(side)
+                    continue
+                a, ids, score = _search(side, held, np.frombuffer(r["floors"], np.float64), k)
+                yield pa.record_batch([pa.array(side.ids[a]), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    def first_floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query block with its floors against the longest blocks, and the least floor over length."""
         for batch in batches:
             for r in batch.to_pylist():
-                q_ids, q = unpacked(r["q_ids"], r["q_matrix"])
-                kept: list[list[int]] = [[] for _ in q_ids]
-                for h in r["heads"]:
-                    c_ids, c = unpacked(h["ids"], h["matrix"])
-                    a, _, score = _search(q, c, q_ids, c_ids, basis, np.full(len(q), -np.inf), k)
-                    for i, s in zip(a.tolist(), score.tolist()):
-                        kept[i].append(s)
-                floor = np.array([sorted(x, reverse=True)[k - 1] if len(x) >= k else -np.inf for x in kept])
-                lengths = np.linalg.norm(q.astype(float), axis=1)
+                q = Side.of(r["ids"], r["matrix"], basis)
+                ends = [Side.of(h["ids"], h["matrix"], basis) for h in r["heads"]]
+                a, _, score = _search(q, ends, np.full(len(q.ids), -np.inf), k)
+                floor, last = np.full(len(q.ids), -np.inf), np.arange(len(a)) - np.searchsorted(a, a) == k - 1
+                floor[a[last]] = score[last]
+                lengths = q.left[:, 0]
                 needs = np.where(lengths > 0, floor / np.maximum(lengths, 1e-300), np.where(floor <= 0, -np.inf, np.inf))
                 yield pa.record_batch(
-                    [pa.array([r["q_block"]]), pa.array([floor.tobytes()], pa.binary()), pa.array([float(needs.min(initial=np.inf))])],
-                    names=["q_block", "floors", "needs"],
+                    [pa.array([r["block"]]), pa.array([floor.tobytes()], pa.binary()), pa.array([float(needs.min(initial=np.inf))])],
+                    names=["block", "floors", "needs"],
                 )
 
     ends = blocks.orderBy(F.col("top").desc(), "block").limit(HEAD_BLOCKS)
     heads = ends.agg(F.collect_list(F.struct("ids", "matrix")).alias("heads")).withColumn("one", F.lit(1))
     floors = written(
-        map_batches(q_blocks.withColumn("one", F.lit(1)).join(F.broadcast(heads), "one"), with_block, "q_block long, floors binary, needs double"),
+        map_batches(q_blocks.withColumn("one", F.lit(1)).join(F.broadcast(heads), "one"), first_floors, "block long, floors binary, needs double"),
         "floors",
     )
-    # which block may hold a hit for which query block: a few numbers each, one side in every pair's key
-    pairs = F.broadcast(floors.select("q_block", "needs")) if floors.count() <= 100_000 else floors.select("q_block", "needs")
-    wanted = blocks.select("block", "top").join(pairs, F.col("top") * (1 + 1e-9) + 1e-6 >= F.col("needs"))
-    met = (
-        wanted.select("block", "q_block")
-        .join(q_blocks.join(floors.select("q_block", "floors"), "q_block"), "q_block")
-        .join(blocks.select("block", "ids", "matrix"), "block")
-    )
-    found = map_batches(met.repartition(F.col("block"), F.col("q_block")), search, found_schema)
+    # a block's number is its task's, in order of length, and its place there
+    cell, q_cell = F.floor(F.col("block") / CELL_BLOCKS).alias("cell"), F.floor(F.col("block") / (CELL_QUERIES << 32)).alias("q_cell")
+    tops, needs = blocks.groupBy(cell).agg(F.max("top").alias("top")), floors.groupBy(q_cell).agg(F.min("needs").alias("needs"))
+    # which cells may hold a hit for which: a few numbers each
+    needs = F.broadcast(needs) if floors.count() <= 100_000 else needs
+    wanted = written(tops.join(needs, F.col("top") * (1 + 1e-9) + 1e-6 >= F.col("needs")).select("cell", "q_cell"), "cells")
+    block = ["cell", "q_cell", "block", "ids", "matrix"]
+    held = wanted.join(blocks.select(cell, "block", "ids", "matrix"), "cell").select(*block, F.lit(None).cast("binary").alias("floors"))
+    passing = q_blocks.join(floors.select("block", "floors"), "block").select(q_cell, "block", "ids", "matrix", "floors").join(wanted, "q_cell")
+    met = held.unionByName(passing.select(*block, "floors")).repartition("cell", "q_cell")
+    found = map_batches(met.sortWithinPartitions("cell", "q_cell", F.col("floors").isNotNull(), "block"), search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

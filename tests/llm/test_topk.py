@@ -21,8 +21,10 @@ def brute(rows, k, queries):
     return out
 
 
-@pytest.mark.parametrize("blocks", [1 << 18, 16 * 20])
-def test_against_brute_force(spark, monkeypatch, blocks):
+@pytest.mark.parametrize("blocks,cell", [(1 << 18, 16), (16 * 64, 2), (16 * 64, 1)])
+def test_against_brute_force(spark, monkeypatch, blocks, cell):
+    monkeypatch.setattr(topk, "CELL_BLOCKS", cell)
+    monkeypatch.setattr(topk, "CELL_QUERIES", cell)
     monkeypatch.setattr(topk, "BLOCK_COMPONENTS", blocks)
     monkeypatch.setattr(topk, "QUERY_ROWS", 7)
     rng = random.Random(3)
