@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import encode_text, map_batches, partitions, written
@@ -26,6 +26,9 @@ OWN_CLASSES = 1_000
 FORM_CLASSES = 512
 STATES = 8
 ROUNDS = 3
+#: Words found in the most blocks, whose counts every task has: those of at most so many bytes, so a few MB in all.
+COMMON_WORDS = 20_000
+COMMON_BYTES = 100
 #: Token places that are run forward and backward at once.
 PLACES_AT_ONCE = 1 << 19
 #: Weight of each state's starting emissions against what training counts.
@@ -87,16 +90,22 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for number, words, counts in zip(*(batch.column(x).to_pylist() for x in ("block", "words", "counts"))):
-            own, n = words.split(b" "), np.frombuffer(counts, np.int64)
-            for at in range(0, len(own), 50_000):
-                some = own[at : at + 50_000]
-                yield pa.record_batch(
-                    [pa.array(some, pa.binary()), pa.array([number] * len(some)), pa.array(range(at, at + len(some)), pa.int32()), pa.array(n[at : at + 50_000])],
-                    names=["word", "block", "place", "n"],
-                )
+def _block_words(but: frozenset[bytes] = frozenset()):
+    """A row per block and word, without the words of `but`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, words, counts in zip(*(batch.column(x).to_pylist() for x in ("block", "words", "counts"))):
+                own, n = words.split(b" "), np.frombuffer(counts, np.int64)
+                places = np.array([i for i, w in enumerate(own) if w not in but] if but else range(len(own)), np.int32)
+                for at in range(0, len(places), 50_000):
+                    some = places[at : at + 50_000]
+                    yield pa.record_batch(
+                        [pa.array([own[i] for i in some.tolist()], pa.binary()), pa.array([number] * len(some), pa.int64()), pa.array(some), pa.array(n[some])],
+                        names=["word", "block", "place", "n"],
+                    )
+
+    return run
 
 
 @dataclass
@@ -277,7 +286,8 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     Texts whose crc32(doc_id as text) mod 5 is not 1 train (a null doc_id counts as an empty text, so it trains). A null
     text is empty, and is one token, the end. Rows count as often as they come; without rows there are none. score is
     the model's log10 probability of the whole text: of its class sequence, times each word's share of its class.
-    Documents are kept in blocks; a block's words meet the corpus' counts by one shuffle and come back by block.
+    Documents are kept in blocks. Words are counted with partial sums; the counts of COMMON_WORDS words found in the most
+    blocks are sent to every task, and a block's other words meet theirs by one shuffle and come back by block.
     """
     blocks = written(
         map_batches(
@@ -287,13 +297,15 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
         ),
         "blocks",
     )
-    # a word is at most once in a block, so the most frequent one gathers a row per block
-    asked = map_batches(blocks.select("block", "words", "counts"), _block_words, "word binary, block long, place int, n long")
-    by_word = Window.partitionBy("word")
-    first = F.row_number().over(by_word.orderBy("block"))
-    answers = written(asked.withColumns({"c": F.sum("n").over(by_word), "first": first == 1}), "answers")
-    known = answers.where("first and c > 0").select("word", "c")
+    words, asked = blocks.select("block", "words", "counts"), "word binary, block long, place int, n long"
+    counted = written(
+        map_batches(words, _block_words(), asked).groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")), "words"
+    )
+    known = counted.where("c > 0").select("word", "c")
     sums = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct"), F.count_if(F.col("c") == 1).alias("once")).first()
+    # a word of many blocks would gather a row per block in one task: such words never meet the others' shuffle
+    short = counted.where(F.length("word") <= COMMON_BYTES)
+    common = {bytes(r["word"]): r["c"] for r in short.orderBy(F.col("blocks").desc(), "word").limit(COMMON_WORDS).select("word", "c").collect()}
     frequent = known.where(F.length("word") > 0).orderBy(F.col("c").desc(), "word").limit(OWN_CLASSES).collect()
     own = {bytes(r["word"]): 2 + i for i, r in enumerate(frequent)}
     counts = Counts(sums["tokens"], sums["distinct"], sums["once"], own, np.zeros(2 + OWN_CLASSES + FORM_CLASSES))
@@ -305,8 +317,8 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
         for batch in batches:
             for r in batch.to_pylist():
                 words = r["words"].split(b" ")
-                c = np.zeros(len(words), np.int64)
-                c[np.frombuffer(r["places"], np.int32)] = np.frombuffer(r["found"], np.int64)
+                c = np.array([common.get(w, 0) for w in words], np.int64)
+                c[np.frombuffer(r["places"] or b"", np.int32)] = np.frombuffer(r["found"] or b"", np.int64)
                 of = np.array([class_of(w, own) if n else _UNKNOWN for w, n in zip(words, c.tolist())], np.uint16)
                 flagged = of | ((c == 1) * _ONCE).astype(np.uint16)
                 inside = np.where(of == _UNKNOWN, 0.0, np.log10((c + 0.5) / np.maximum(counts.class_weight[of], 0.5)))
@@ -347,12 +359,14 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
         if block is not None:
             yield row()
 
+    others = map_batches(words, _block_words(frozenset(common)), asked)
+    answers = others.select("word", "block", "place").join(known, "word")
     per_block = map_batches(
         answers.select("block", "place", "c").repartition(partitions(docs), "block").sortWithinPartitions("block"), gathered, "block long, places binary, found binary"
     )
     classed = written(
         map_batches(
-            blocks.select("block", "docs", "held", "lengths", "tokens", "words").join(per_block, "block").drop("block"),
+            blocks.select("block", "docs", "held", "lengths", "tokens", "words").join(per_block, "block", "left").drop("block"),
             answer,
             "docs array<bigint>, held array<boolean>, lengths array<bigint>, base array<double>, inside array<double>, known array<bigint>, classes binary",
         ),

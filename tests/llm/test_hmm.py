@@ -57,9 +57,10 @@ def test_long_sequence_does_not_underflow():
     assert np.isfinite(hmm.forward(model(), flat, np.array([0]), np.array([150_000])))[0]
 
 
-@pytest.mark.parametrize("block", [16 << 20, 600])
-def test_contract_columns(spark, docs, rows, monkeypatch, block):
+@pytest.mark.parametrize("block, common", [(16 << 20, 20_000), (600, 20_000), (600, 0), (600, 5)])
+def test_contract_columns(spark, docs, rows, monkeypatch, block, common):
     monkeypatch.setattr(hmm, "BLOCK_BYTES", block)
+    monkeypatch.setattr(hmm, "COMMON_WORDS", common)
     found = hmm.score_documents(docs.unionByName(docs.where("doc_id = 7")), states=3, rounds=2).collect()
     assert len(found) == len(rows) + 1
     own = [(i, (t or "").encode().lower().split() + [b""]) for i, t, *_ in rows] + [(7, rows[6][1].encode().lower().split() + [b""])]
