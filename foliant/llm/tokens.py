@@ -45,10 +45,9 @@ class WordEncoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded_words(self, words: list[str]) -> dict[str, bytes]:
-        """Words without spaces that _safe() lets through go together, and the ids are cut where words begin."""
-        out = {w: x for w, x in zip(odd, self._encoded([" " + w for w in odd]))} if (odd := [w for w in words if " " in w or not _safe(w)]) else {}
-        plain = [w for w in words if w not in out] if out else words
+    def _encoded_words(self, plain: list[str]) -> dict[str, bytes]:
+        """Each word's ids with the space before it: words go together, and the ids are cut where words begin."""
+        out: dict[str, bytes] = {}
         for at in range(0, len(plain), 256):
             some = plain[at : at + 256]
             ids = np.array(self._tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -73,7 +72,7 @@ class WordEncoder:
         cut = [t.split(" ") for t in texts]
         firsts = {w[0] for w in cut}
         new = set().union(*(w[1:] for w in cut)).difference(known)
-        odd = {w for w in firsts | new if not _safe(w)}
+        odd = _odd(firsts | new)
         if odd:
             cut = [w if odd.isdisjoint(w) else _CUT.split(t) for t, w in zip(texts, cut)]
             firsts = {w[0] for w in cut}
@@ -82,15 +81,16 @@ class WordEncoder:
             known.clear()
             new = set().union(*(w[1:] for w in cut))
         head = dict(zip(firsts, self._encoded(list(firsts))))
-        found = self._encoded_words(list(new))
-        plain = {w: ids for w, ids in found.items() if " " not in w and _safe(w)}
-        known.update(plain)
-        get = known.__getitem__ if len(plain) == len(found) else lambda w: found[w] if w in found else known[w]
+        odd = _odd(new) if odd else set()
+        known.update(self._encoded_words(list(new - odd)))
+        alone = dict(zip(odd, self._encoded([" " + w for w in odd]))) if odd else odd
+        get = (lambda w: alone[w] if w in alone else known[w]) if odd else known.__getitem__
         return [head[w[0]] + b"".join(map(get, w[1:])) for w in cut]
 
 
-def _safe(word: str) -> bool:
-    return bool(word) and not word[0].isspace() and not word[-1].isspace()
+def _odd(words: set[str]) -> set[str]:
+    """Those that are empty, begin or end with white space, or have a space within: these are encoded alone."""
+    return words.difference(map(str.strip, words)) | {w for w in words if " " in w or not w}
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
