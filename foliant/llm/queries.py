@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, hmm, packing, pieces, quality, simhash, substrings, tokens, topk, toxicity
+from foliant.llm import chat, hmm, langid, lexical, packing, phrases, pieces, quality, simhash, substrings, tokens, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,14 +68,31 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(rows.unionByName(more))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, langid.train(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
+#: Terms of a text, and its words of pieces, as SQL has them.
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_PIECES = "unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]'))"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk_search, op2_orc_tokens, op3_piece_n_best, op4_hmm_scores, op5_ordinal_toxicity, op6_quality_rules, op7_simhash_dedup, op8_suffix_dedup, op9_bestfit_packing, op10_chat_format, pipeline)
+    f.__name__: f for f in (op1_topk_search, op2_orc_tokens, op3_piece_n_best, op4_hmm_scores, op5_ordinal_toxicity, op6_quality_rules, op7_simhash_dedup, op8_suffix_dedup, op9_bestfit_packing, op10_chat_format, op11_phrase_collocations, op12_lexical_search, op13_language_id, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -91,4 +108,42 @@ ORACLE_SQL: dict[str, str] = {
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_phrase_collocations": f"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, {_PIECES} AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        grams AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM places),
+        f1 AS (SELECT lang, x, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY ALL),
+        f2 AS (SELECT lang, x, y, CAST(count(*) AS HUGEINT) AS f FROM grams WHERE y IS NOT NULL GROUP BY ALL),
+        f3 AS (SELECT lang, x, y, z, CAST(count(*) AS HUGEINT) AS f FROM grams WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang),
+        twos AS (
+            SELECT p.lang, p.x, p.y, p.f AS a, b.f AS l, c.f AS r, 1000000 * p.f * p.f // (b.f * c.f) AS score
+            FROM f2 p JOIN f1 b ON b.lang = p.lang AND b.x = p.x JOIN f1 c ON c.lang = p.lang AND c.x = p.y WHERE p.f >= 10
+        ), cuts AS (
+            SELECT t.lang, t.x, t.y, t.z, t.f AS a, b.f AS l1, c.f AS r1, 1000000 * t.f * t.f // (b.f * c.f) AS s1,
+                d.f AS l2, e.f AS r2, 1000000 * t.f * t.f // (d.f * e.f) AS s2
+            FROM f3 t JOIN f1 b ON b.lang = t.lang AND b.x = t.x JOIN f2 c ON c.lang = t.lang AND c.x = t.y AND c.y = t.z
+            JOIN f2 d ON d.lang = t.lang AND d.x = t.x AND d.y = t.y JOIN f1 e ON e.lang = t.lang AND e.x = t.z
+        ), longer AS (
+            SELECT lang, x, y, max(f) AS g FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL
+        ), alive AS (
+            SELECT lang, x || ' ' || y || ' ' || z AS phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END AS l, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END AS r, least(s1, s2) AS score FROM cuts
+            UNION ALL SELECT t.lang, t.x || ' ' || t.y, a, l, r, score FROM twos t LEFT JOIN longer g ON g.lang = t.lang AND g.x = t.x AND g.y = t.y
+            WHERE g.g IS NULL OR 100 * g.g < 50 * a
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM alive)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+    "op12_lexical_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS t FROM documents WHERE doc_id IS NOT NULL),
+        s AS (SELECT CAST(count_if(len(t) > 0) AS BIGINT) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id)) GROUP BY ALL),
+        p AS (SELECT k, doc_id, n, term, count(*) AS tf FROM (SELECT k, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+        i AS (SELECT p.k, p.doc_id, p.term, w.w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))) AS impact FROM p JOIN w USING (term), s),
+        r AS (SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY item_id, k, doc_id),
+        o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20
+    """,
 }
