@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from foliant.llm.common import map_batches, ready, written
 
 #: Buckets of n-grams; one more holds the constant.
-BUCKETS = 1 << 16
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
 #: About so many training documents of each language at most, chosen by a hash of their ids, fit the model.
 SAMPLE_A_LANGUAGE = 5_000
 #: One in so many of the sample calibrates and does not train.
@@ -54,15 +55,23 @@ def ngram_counts(text: str) -> np.ndarray:
     out = np.zeros(BUCKETS, np.int64)
     for at in range(0, len(text), CUT):
         points = np.frombuffer(text[at : at + CUT].encode("utf-32-le", "replace"), np.uint32)
-        c = np.concatenate([np.zeros(1, np.uint32), _letters()[points], np.zeros(1, np.uint32)])
-        c = c[np.append(True, (c[1:] > 0) | (c[:-1] > 0))]  # one bound between words
-        one, two = c * np.uint32(0x9E3779B1), c * np.uint32(0x85EBCA77)
-        pairs = one[:-1] ^ (two[1:] + np.uint32(0x165667B1))
-        triples = (pairs[:-1] * np.uint32(0xC2B2AE3D)) ^ two[2:]
-        for h in (one[c > 0], pairs, triples[c[1:-1] > 0]):
-            h = h ^ (h >> np.uint32(15))
-            out += np.bincount((h * np.uint32(0x27D4EB2F)) >> np.uint32(16), minlength=BUCKETS)
-    return out if text and out.any() else np.zeros(BUCKETS, np.int64)
+        c = np.zeros(len(points) + 2, np.uint32)
+        np.take(_letters(), points, out=c[1:-1])
+        letter = c > 0
+        if not letter.any():
+            continue
+        c = c[np.append(True, letter[1:] | letter[:-1])]  # one bound between words
+        n = len(c)
+        grams = np.empty(3 * n - 3, np.uint32)
+        one, two, three = grams[:n], grams[n : 2 * n - 1], grams[2 * n - 1 :]
+        np.multiply(c, np.uint32(0x9E3779B1), out=one)
+        np.add(one[:-1], c[1:], out=two)
+        np.multiply(two, np.uint32(0x85EBCA77), out=two)
+        np.add(two[:-1], c[2:], out=three)
+        np.multiply(three, np.uint32(0xC2B2AE3D), out=three)
+        out += np.bincount(grams >> np.uint32(32 - BUCKET_BITS), minlength=BUCKETS)
+        out[0] -= n - np.count_nonzero(c)  # bounds alone are no n-grams
+    return out
 
 
 def _is_held_out() -> Column:
@@ -164,14 +173,19 @@ def _learn(langs: list[str], idf: np.ndarray, z: np.ndarray, n: np.ndarray):
 
 
 def _temperature(logits: np.ndarray, lang: np.ndarray) -> float:
-    """What the logits are divided by for the least loss on calibrating documents, between 1/20 and 20."""
-    if not len(lang):
+    """What the logits are divided by for the least loss on calibrating documents, between 1/20 and 20.
+
+    Of n documents the language counts as (n + 1) of (n + 2), the others share the rest, so no share is taken for sure.
+    """
+    if not len(lang) or logits.shape[1] < 2:
         return 1.0
+    target = np.full(logits.shape, 1 / (len(lang) + 2) / (logits.shape[1] - 1))
+    target[np.arange(len(lang)), lang] = (len(lang) + 1) / (len(lang) + 2)
 
     def loss(log_t: float) -> float:
         x = logits / np.exp(log_t)
         top = x.max(1)
-        return float((np.log(np.exp(x - top[:, None]).sum(1)) + top - x[np.arange(len(lang)), lang]).mean())
+        return float((np.log(np.exp(x - top[:, None]).sum(1)) + top - (x * target).sum(1)).mean())
 
     low, high, ratio = np.log(1 / 20), np.log(20.0), (5**0.5 - 1) / 2
     for _ in range(60):
