@@ -28,14 +28,15 @@ from pyspark.sql import functions as F
 from foliant.llm.common import encode_text, map_batches, sent_if_small, written
 
 #: Text bytes of one language that are counted at once; longer texts are cut where a piece ends.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bits of a filter for each key, and the most bits (32 MB).
 BITS_A_KEY = 16
 MOST_BITS = 1 << 28
 #: Scores of pairs are counted in steps of so much to choose a floor.
 STEP = 500
-#: A band begins with this many times the pairs that are asked for, and each further one with so many times more.
-WIDER = 2
+#: The first band has so many times the pairs that are asked for, and each further one so many times more.
+FIRST = 2
+WIDER = 4
 
 # Least count, number of phrases, scale of scores, what ends a piece and what separates words.
 LEAST = 10
@@ -186,8 +187,9 @@ def _count_triples(frequent: Filter, begins: Filter, ends: Filter):
 
 
 def _counted(docs: DataFrame, task, names: list[str]) -> DataFrame:
+    """Blocks' counts added up. They are dealt by phrase as they come: within a task few blocks share a phrase."""
     kinds = "lang string, " + ", ".join(f"{w} string" for w in names) + ", n bigint"
-    return map_batches(docs, task, kinds).groupBy("lang", *names).agg(F.sum("n").alias("f"))
+    return map_batches(docs, task, kinds).repartition("lang", *names).groupBy("lang", *names).agg(F.sum("n").alias("f"))
 
 
 def _score(a: str, l: str, r: str) -> Column:
@@ -232,7 +234,7 @@ def collocations(docs: DataFrame, best: int = BEST, least: int = LEAST) -> DataF
     pairs = with_count(with_count(pairs, "w1", "f1"), "w2", "f2").withColumn("score", _score("f", "f1", "f2")).withColumn("bound", F.expr(f"(CAST({SCALE} AS DECIMAL(8, 0)) * f) div f1"))
     pairs = written(pairs, "phrase_pairs")
 
-    wanted = {lang: best * WIDER for lang in (r["lang"] for r in totals.collect())}
+    wanted = {lang: best * FIRST for lang in (r["lang"] for r in totals.collect())}
     floors, before, open_, triples = _floors(pairs, wanted), {}, set(wanted), None
     hashed = _pair_hash(F.col("lang"), F.col("w1"), F.col("w2"))
     while open_:
@@ -249,7 +251,7 @@ def collocations(docs: DataFrame, best: int = BEST, least: int = LEAST) -> DataF
         open_ = {k for k in open_ if floors.get(k, 0) > 0 and reached.get(k, 0) < best}
         if open_:
             before = dict(floors)
-            wanted = {k: wanted[k] * WIDER**2 if k in open_ else 0 for k in wanted}
+            wanted = {k: wanted[k] * WIDER if k in open_ else 0 for k in wanted}
             lower = _floors(own, wanted)
             floors = {k: min(lower[k], floors[k] - STEP) if k in open_ else floors[k] for k in floors}
             floors = {k: max(0, v) for k, v in floors.items()}

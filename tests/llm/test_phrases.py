@@ -57,7 +57,7 @@ def test_phrases_equal_brute_force(spark):
 
 def test_bands_go_down_until_settled(spark, monkeypatch):
     """A first band that holds too few survivors is followed by lower ones, with the same phrases."""
-    monkeypatch.setattr(phrases, "WIDER", 0.3)
+    monkeypatch.setattr(phrases, "FIRST", 0.3)
     monkeypatch.setattr(phrases, "STEP", 200)
     monkeypatch.setattr(phrases, "BLOCK_BYTES", 500)
     rows = corpus(5, 120)
