@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.sources.store import VersionedStore
+
 KEYS = ["document_id", "key"]
 
 
@@ -23,13 +25,28 @@ def unknown_segment_keys(edits: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def apply_segment_edits(segments: DataFrame, edits: DataFrame) -> DataFrame:
-    """segments with translated_text, style, edited: a sent text replaces, a sent style replaces, an empty one clears."""
-    e = edits.select(*KEYS, F.col("text").alias("e_text"), F.col("style").alias("e_style"), F.lit(True).alias("sent"))
-    return segments.join(e, KEYS, "left").select(
+    """segments (with style and runs, where stored) with translated_text, style, runs and edited.
+
+    edits: keys, text, style, runs, and flags sent_style and sent_runs; without a flag column a value that is set counts
+    as sent. A null text keeps the stored one. A sent style replaces the stored one, null or empty clears it; a style
+    that isn't sent stays. Sent runs replace, null or an empty list clears them; a text that changes without runs clears
+    them too. Segments without an edit stay as they are.
+    """
+    kinds = dict(edits.dtypes)
+    flag = {n: F.col(f"sent_{n}") if f"sent_{n}" in kinds else F.col(n).isNotNull() if n in kinds else F.lit(False) for n in ("style", "runs")}
+    value = {n: F.col(n) if n in kinds else F.lit(None) for n in ("style", "runs")}
+    e = edits.select(
+        *KEYS, F.col("text").alias("e_text"), *[value[n].alias(f"e_{n}") for n in value], *[F.coalesce(flag[n], F.lit(False)).alias(f"e_sent_{n}") for n in flag], F.lit(True).alias("sent")
+    )
+    own = segments.withColumns({n: F.lit(None).cast(t) for n, t in (("style", "string"), ("runs", kinds.get("runs", "array<string>"))) if n not in segments.columns})
+    text, sent = F.coalesce("e_text", "translated_text"), F.coalesce("sent", F.lit(False))
+    renewed = F.coalesce("e_sent_runs", F.lit(False)) | (sent & ~text.eqNullSafe(F.col("translated_text")))
+    return own.join(e, KEYS, "left").select(
         *KEYS, "ord",
-        F.coalesce("e_text", "translated_text").alias("translated_text"),
-        F.when(F.col("e_style") != "", F.col("e_style")).alias("style"),
-        F.coalesce("sent", F.lit(False)).alias("edited"),
+        text.alias("translated_text"),
+        F.when(F.coalesce("e_sent_style", F.lit(False)), F.when(F.col("e_style") != "", F.col("e_style"))).otherwise(F.col("style")).alias("style"),
+        F.when(renewed, F.when(F.col("e_sent_runs") & (F.size("e_runs") > 0), F.col("e_runs"))).otherwise(F.col("runs")).alias("runs"),
+        sent.alias("edited"),
     )
 
 
@@ -53,6 +70,11 @@ def set_insertions(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("document_id").distinct(), "document_id", "left_anti").unionByName(new)
 
 
+def set_stored_insertions(store: VersionedStore, table: str, new: DataFrame) -> int:
+    """set_insertions() on a stored table: the partitions of new's documents are rewritten. The new version."""
+    return store.change({table: (new, lambda old: set_insertions(old, new.select(*old.columns)))})
+
+
 def _block(df: DataFrame) -> Column:
     return F.to_json(F.struct(*[c for c in df.columns if c not in ("document_id", "ord")]))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.session import importable
+from foliant.operators.text import protected, restore_urls
 
 #: (texts, source language, target language) -> translations, one per text in order.
 Backend = Callable[[list[str], str, str], list[str]]
@@ -33,14 +34,16 @@ LANGUAGES = ("en", "id", "fr", "de", "es", "ja", "ko", "zh")
 def translate_batches(batches: DataFrame, pair: list[str], backend: Backend = prefix_backend, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """pair, text, translated of every row of batches (pair, text, batch, place).
 
-    The rows of a batch go to the backend in one call, by place, however Arrow cuts the partition; texts without a
-    letter pass unchanged without it. A language that isn't one of `languages` is an error.
+    URLs and e-mails are kept from the backend: it sees [n] in their place, and they are put back into its answer. The
+    rows of a batch go to the backend in one call, by place, however Arrow cuts the partition; texts that have no letter
+    besides their URLs pass unchanged without it. A language that isn't one of `languages` is an error.
     """
     importable(batches.sparkSession)
     bad = F.array_except(F.array(*pair), F.array(*map(F.lit, languages)))
     checked = F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("unsupported language: "), F.coalesce(bad[0], F.lit("null"))))).otherwise(F.col("text"))
     batches = batches.withColumn("text", checked)
-    with_letters = F.col("text").rlike("\\p{L}")
+    batches = batches.withColumn("safe", protected(F.col("text"))).withColumns({"sent": F.col("safe.protected"), "urls": F.col("safe.urls")})
+    with_letters = F.col("sent").rlike("\\p{L}")
     plain = batches.where(~with_letters).select(*pair, "text", F.col("text").alias("translated"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,7 +51,7 @@ def translate_batches(batches: DataFrame, pair: list[str], backend: Backend = pr
 
         def translated(rows: pd.DataFrame) -> pd.DataFrame:
             source, target = rows[pair[0]].iloc[0], rows[pair[1]].iloc[0]
-            return rows.assign(translated=backend(rows["text"].tolist(), source, target))[[*pair, "text", "translated"]]
+            return rows.assign(answer=backend(rows["sent"].tolist(), source, target))[[*pair, "text", "urls", "answer"]]
 
         for frame in frames:
             if not len(frame):
@@ -64,18 +67,22 @@ def translate_batches(batches: DataFrame, pair: list[str], backend: Backend = pr
         if held:
             yield translated(held[0])
 
-    schema = ", ".join(f"{c} string" for c in [*pair, "text", "translated"])
-    spread = batches.where(with_letters).select(*pair, "text", "batch", "place").repartition(*pair, "batch").sortWithinPartitions(*pair, "batch", "place")
-    return spread.mapInPandas(run, schema).unionByName(plain)
+    schema = ", ".join(f"{c} string" for c in [*pair, "text"]) + ", urls array<struct<number: bigint, url: string>>, answer string"
+    spread = batches.where(with_letters).select(*pair, "text", "sent", "urls", "batch", "place").repartition(*pair, "batch").sortWithinPartitions(*pair, "batch", "place")
+    answered = spread.mapInPandas(run, schema)
+    restored = F.when(F.size("urls") > 0, restore_urls(answered, "answer", "urls")).otherwise(F.col("answer"))
+    return answered.select(*pair, "text", restored.alias("translated")).unionByName(plain)
 
 
-def chat_batches(conversations: DataFrame, backend: ChatBackend = last_turn_backend, most_new: int = 64) -> DataFrame:
-    """conv_id, answer of every row of conversations (conv_id, turns array<struct<role, content>>)."""
+def chat_batches(conversations: DataFrame, backend: ChatBackend = last_turn_backend, most_new: int = 64, keys: list[str] | None = None) -> DataFrame:
+    """keys (conv_id by default), answer of every row of conversations (keys, turns array<struct<role, content>>)."""
+    keys = keys or ["conv_id"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             turns = [[(t["role"], t["content"]) for t in c] for c in frame["turns"]]
-            yield pd.DataFrame({"conv_id": frame["conv_id"], "answer": backend(turns, most_new)})
+            yield frame[keys].assign(answer=backend(turns, most_new))
 
     importable(conversations.sparkSession)
-    return conversations.select("conv_id", "turns").mapInPandas(run, "conv_id long, answer string")
+    kinds = dict(conversations.dtypes)
+    return conversations.select(*keys, "turns").mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "answer string"]))

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.inference import Backend, prefix_backend, translate_batches
+from foliant.sources.store import GrowingTable
+
+#: Sentences from this many occurrences on get their translation sent to every task in join_back().
+FREQUENT = 1_000
+#: At most so many of them, the most frequent: a few MB.
+MOST_FREQUENT = 10_000
+
 
 def unique_sentences(sentences: DataFrame, pair: list[str], order: list[str]) -> DataFrame:
     """pair, text, first (the struct of order columns of its first occurrence), occurrences of each distinct sentence."""
@@ -21,6 +29,32 @@ def reuse(unique: DataFrame, memory: DataFrame, pair: list[str]) -> DataFrame:
     return unique.join(latest, [*pair, "text"], "left")
 
 
+def stored_memory(spark: SparkSession, name: str, path: str, pair: list[str], buckets: int | None = None) -> GrowingTable:
+    """The memory as a table of pair, text, translated, bucketed by pair and text."""
+    schema = ", ".join(f"{c} STRING" for c in [*pair, "text", "translated"])
+    return GrowingTable(spark, name, path, schema, [*pair, "text"], buckets)
+
+
+def remember(table: GrowingTable, translations: DataFrame, pair: list[str], version: int) -> bool:
+    """Appends translations (pair, text, translated, id), the newest of each, that the memory lacks, as a version."""
+    latest = translations.groupBy(*pair, "text").agg(F.max_by("translated", "id").alias("translated"))
+    return table.append(table.joined(latest, "left_anti", before=version), version)
+
+
+def translate_through(unique: DataFrame, table: GrowingTable, pair: list[str], version: int, backend: Backend = prefix_backend, size: int = 16) -> DataFrame:
+    """unique with translated and hit: stored translations first, the rest by the backend.
+
+    What the memory lacks is batched by length, translated and appended as a version, from which it is then served; the same
+    sentences never reach the backend again. A repeated call of one version finds what that version has stored.
+    """
+    if version not in table.versions():
+        misses = table.joined(unique, "left_anti", before=version)
+        table.append(translate_batches(length_sorted_batches(misses, pair, ["text"], size), pair, backend), version)
+    before = table.joined(unique, "left_semi", before=version).select(*pair, "text").withColumn("hit", F.lit(True))
+    served = table.joined(unique, "left")
+    return served.join(before.hint("merge"), [*pair, "text"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
 def length_sorted_batches(unique: DataFrame, pair: list[str], order: list[str], size: int = 16) -> DataFrame:
     """unique with batch and place: per language pair, by length, `size` at a time.
 
@@ -49,8 +83,19 @@ def batch_waste(batches: DataFrame, pair: list[str]) -> DataFrame:
 def join_back(sentences: DataFrame, translated: DataFrame, pair: list[str], keys: list[str]) -> DataFrame:
     """keys, text: each unit's translated sentences in order, joined by a space, empty ones skipped.
 
-    translated: pair, text, translated (one row per distinct sentence).
+    translated: pair, text, translated (one row per distinct sentence), and occurrences where known. Sentences of at least
+    FREQUENT occurrences, MOST_FREQUENT at most, are broadcast, so that their occurrences stay where they are; all
+    others meet theirs by a shuffle, which no key dominates.
     """
-    joined = sentences.where("text <> ''").join(translated.select(*pair, "text", "translated"), [*pair, "text"])
+    own = sentences.where("text <> ''")
+    columns = [*pair, "text", "translated"]
+    if "occurrences" in translated.columns:
+        often = translated.where(F.col("occurrences") >= FREQUENT).orderBy(F.desc("occurrences"), *pair, "text").limit(MOST_FREQUENT)
+        sent = F.broadcast(often.select(*pair, "text", F.col("translated").alias("own")))
+        marked = own.join(sent, [*pair, "text"], "left")
+        rest = marked.where("own IS NULL").drop("own").join(translated.select(*columns), [*pair, "text"])
+        joined = marked.where("own IS NOT NULL").withColumnRenamed("own", "translated").unionByName(rest)
+    else:
+        joined = own.join(translated.select(*columns), [*pair, "text"])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "translated"))), lambda x: x["translated"])
     return joined.where("translated <> ''").groupBy(*keys).agg(F.array_join(ordered, " ").alias("text"))

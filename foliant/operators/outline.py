@@ -10,27 +10,54 @@ LEVELS = 9
 RANGES = 1024
 
 
-def list_numbering(paragraphs: DataFrame) -> DataFrame:
-    """paragraphs (document_id, list, ord, level, start, fmt, template) with label.
-
-    A level counts on from its start since the last shallower paragraph of the list, so a shallower one resets it. The
-    counter is the number of paragraphs of the level since then; a level that a template names without one shows its
-    start, 1.
+# Bullets of symbol fonts in list labels and what they show; others of that range show as a dot.
+LABEL_BULLETS = {
+    "\uf0b7": "•",
+    "\uf0a7": "▪",
+    "\uf06e": "■",
+    "\uf0d8": "➢",
+    "\uf076": "❖",
+    "\uf0fc": "✓",
+    "\uf0a8": "□",
+    "\uf0e8": "➔",
+    "\uf02d": "–",
+    "\uf0de": "➞",
+}
+
+
+def list_numbering(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
+    """paragraphs (document_id, list, num, ord, level) with label, out of levels (document_id, num, level, fmt, template,
+    start, override).
+
+    Lists are numbered by several numbering instances (num), which share the list's counters but have level tables of their
+    own. A level counts on since the last paragraph of a shallower level, or since a num first reached the level if it
+    overrides the level's start; it begins at the override, the level's start, or 1. %k in a template shows level k in that
+    level's own format; a level without a paragraph yet shows its start. A missing format is decimal, a missing template
+    the level's own number and a dot. Bullets show their sign; a paragraph whose level has no row has no label.
     """
+    columns = F.struct("fmt", "template", "start", "override")
+    known = levels.groupBy("document_id", F.col("num").alias("num")).agg(F.map_from_entries(F.collect_list(F.struct("level", columns))).alias("levels"))
     order = Window.partitionBy("document_id", "list").orderBy("ord")
-    df = paragraphs
-    # a level's epoch changes with every shallower paragraph; its counter is a count within the epoch
-    for i in range(LEVELS):
-        df = df.withColumn(f"e{i}", F.sum(F.when(F.col("level") < i, 1).otherwise(0)).over(order))
+    of = lambda i: F.try_element_at("levels", i if isinstance(i, Column) else F.lit(i))
+    own = of(F.col("level"))
+    reached = F.row_number().over(Window.partitionBy("document_id", "list", "num", "level").orderBy("ord")) == 1
+    df = paragraphs.join(known, ["document_id", "num"], "left").withColumn("restarts", reached & own["override"].isNotNull())
+    start = lambda i: F.coalesce(of(i)["override"], of(i)["start"], F.lit(1))
+    df = df.withColumns({f"e{i}": F.sum(F.when((F.col("level") < i) | ((F.col("level") == i) & F.col("restarts")), 1).otherwise(0)).over(order) for i in range(LEVELS)})
     for i in range(LEVELS):
-        own = Window.partitionBy("document_id", "list", f"e{i}").orderBy("ord")
-        first = F.first(F.when(F.col("level") == i, F.col("start")), ignorenulls=True).over(own)
-        n = F.sum(F.when(F.col("level") == i, 1).otherwise(0)).over(own)
-        df = df.withColumn(f"n{i}", F.when(n > 0, first + n - 1).otherwise(1))
-    label = F.col("template")
+        epoch = Window.partitionBy("document_id", "list", f"e{i}").orderBy("ord")
+        first = F.first(F.when(F.col("level") == i, start(i)), ignorenulls=True).over(epoch)
+        n = F.sum(F.when(F.col("level") == i, 1).otherwise(0)).over(epoch)
+        df = df.withColumn(f"n{i}", F.when(n > 0, first + n - 1).otherwise(start(i)))
+    fmt = F.coalesce(own["fmt"], F.lit("decimal"))
+    template = F.coalesce(own["template"], F.when(fmt == "none", "").otherwise(F.concat(F.lit("%"), (F.col("level") + 1).cast("string"), F.lit("."))))
+    numbered = template
     for i in range(LEVELS):
-        label = F.replace(label, F.lit(f"%{i + 1}"), number_label(F.col(f"n{i}"), F.col("fmt")))
-    return df.withColumn("label", label).drop(*[f"{x}{i}" for x in "en" for i in range(LEVELS)])
+        shown = F.when(of(i).isNull(), fmt).otherwise(F.coalesce(of(i)["fmt"], F.lit("decimal")))
+        numbered = F.replace(numbered, F.lit(f"%{i + 1}"), number_label(F.col(f"n{i}"), shown))
+    signs = F.translate(template, "".join(LABEL_BULLETS), "".join(LABEL_BULLETS.values()))
+    bullet = F.when(signs.rlike("^[\\ue000-\\uf8ff]+$"), "•").otherwise(signs)
+    return df.withColumn("label", F.when(own.isNotNull(), F.when(fmt == "bullet", bullet).otherwise(numbered))).drop("levels", "restarts", *[f"{x}{i}" for x in "en" for i in range(LEVELS)])
 
 
 def number_label(n: Column, fmt: Column) -> Column:

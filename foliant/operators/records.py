@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.sources.store import VersionedStore
+
 
 def get_by(df: DataFrame, **keys) -> DataFrame:
     """Rows whose columns equal the given values; the filter reaches the scan."""
@@ -57,12 +59,13 @@ def page_meta(df: DataFrame, page_number: int, limit: int = 20) -> DataFrame:
 def update_partial(df: DataFrame, updates: DataFrame, key: str, fields: list[str], now: str) -> DataFrame:
     """df with the fields that were sent; updates: key, and per field the value and a flag sent_<field>.
 
-    A sent null overwrites. updated_at is renewed on rows that an update names.
+    A sent null overwrites. updated_at is renewed on rows that an update names and stays on all others; a table without
+    it has created_at there.
     """
     renamed = updates.select(F.col(key).alias("u_key"), *[F.col(f).alias(f"u_{f}") for f in fields], *[F.col(f"sent_{f}") for f in fields])
     joined = df.join(renamed, F.col(key) == F.col("u_key"), "left")
     out = {f: F.when(F.col(f"sent_{f}"), F.col(f"u_{f}")).otherwise(F.col(f)) for f in fields}
-    out["updated_at"] = F.when(F.col("u_key").isNotNull(), F.to_timestamp(F.lit(now))).otherwise(F.col("created_at"))
+    out["updated_at"] = F.when(F.col("u_key").isNotNull(), F.to_timestamp(F.lit(now))).otherwise(F.col("updated_at" if "updated_at" in df.columns else "created_at"))
     return joined.withColumns(out).drop("u_key", *[f"u_{f}" for f in fields], *[f"sent_{f}" for f in fields])
 
 
@@ -70,6 +73,21 @@ def delete(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_anti")
 
 
+def update_stored(store: VersionedStore, table: str, updates: DataFrame, key: str, fields: list[str], now: str) -> int:
+    """update_partial() on a stored table: the partitions of the updated keys are rewritten. The new version."""
+    return store.change({table: (updates, lambda old: update_partial(old, updates, key, fields, now).select(*old.columns))})
+
+
+def delete_stored(store: VersionedStore, table: str, ids: DataFrame, key: str) -> int:
+    """delete() on a stored table. The new version."""
+    return store.change({table: (ids, lambda old: delete(old, ids, key))})
+
+
+def purge_stored(store: VersionedStore, tables: list[str], ids: DataFrame, key: str = "document_id") -> int:
+    """Takes the documents in ids out of all these tables in one version: all of them or, if the job is lost, none."""
+    return store.change({name: (ids, lambda old: delete(old, ids, key)) for name in tables})
+
+
 def purge_counts(tables: dict[str, DataFrame], ids: DataFrame, key: str = "document_id") -> DataFrame:
     """table_name, removed, remaining of every table when the documents in ids go from all of them."""
     gone = ids.select(key).distinct().withColumn("gone", F.lit(True))

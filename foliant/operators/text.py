@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,38 @@ def collapsed(c: Column) -> Column:
     return trimmed(F.regexp_replace(c, "(?U)\\s+", " "))
 
 
+def folded(c: Column) -> Column:
+    """Text in one case, so that "Straße" and "STRASSE" or the two small sigmas are alike; the dotless i stays itself."""
+    kept = F.translate(F.lower(c), "ı", "\ue000")
+    return F.replace(F.translate(F.lower(F.upper(kept)), "ς\ue000", "σı"), F.lit("ß"), F.lit("ss"))
+
+
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Elements that a fold collects in one array before it starts another, so that no step copies more.
+BLOCK = 256
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sum up to and with each element of an array of longs: sums within blocks, then the blocks' offsets."""
+    none = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("sums"))
+
+    def add(a: Column, x: Column) -> Column:
+        return F.struct((a["sum"] + x).alias("sum"), F.concat(a["sums"], F.array(a["sum"] + x)).alias("sums"))
+
+    def within(all_: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(all_) / BLOCK).cast("int") - 1, F.lit(0))), lambda b: F.aggregate(F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)), none, add))
+        return named(blocks, lambda bs: named(
+            F.aggregate(F.transform(bs, lambda b: b["sum"]), none, add)["sums"],
+            lambda ends: F.flatten(F.transform(bs, lambda b, i: F.transform(b["sums"], lambda x: x + F.get(ends, i) - b["sum"]))),
+        ))
+
+    return named(numbers, within)
+
+
 def assign_segment_keys(units: DataFrame, document: str, pos: str, line: str) -> DataFrame:
     """Units with a letter, and ord and key (para_0, para_1, ...) in order within their document."""
     order = Window.partitionBy(document).orderBy(pos)
@@ -66,18 +99,20 @@ def _islands(df: DataFrame, keys: list[str], pos: str, starts: Column, text: str
     return df.withColumn("island", island).groupBy(*keys, "island").agg(F.min(pos).alias(pos), joined.alias(text))
 
 
+def sentences_of(text: Column) -> Column:
+    """The sentences of a text in order, an array; a piece after an abbreviation joins the one before, by a space."""
+    pieces = F.filter(F.transform(F.split(trimmed(text), SENTENCE_END), trimmed), lambda x: x != "")
+
+    def joined(all_: Column) -> Column:
+        starts = F.filter(F.transform(all_, lambda x, i: F.when((i == 0) | ~F.get(all_, i - 1).rlike(ABBREVIATION), i)), lambda i: i.isNotNull())
+        return named(starts, lambda at: F.transform(at, lambda s, j: F.array_join(F.slice(all_, s + 1, F.coalesce(F.get(at, j + 1), F.size(all_)) - s), " ")))
+
+    return named(pieces, joined)
+
+
 def split_sentences(segments: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, pos, text: the sentences of each text in order; a piece after an abbreviation joins the one before."""
-    pieces = (
-        segments.select(*keys, F.posexplode(F.split(trimmed(F.col(text)), SENTENCE_END)).alias("raw", "text"))
-        .withColumn("text", trimmed(F.col("text")))
-        .where("text <> ''")
-    )
-    order = Window.partitionBy(*keys).orderBy("raw")
-    starts = ~F.coalesce(F.lag("text").over(order).rlike(ABBREVIATION), F.lit(False))
-    joined = _islands(pieces.withColumn("starts", starts), keys, "raw", F.col("starts"), "text", " ")
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("raw")) - 1
-    return joined.select(*keys, number.cast("long").alias("pos"), "text")
+    """keys, pos, text: the sentences of each text in order, found within the row."""
+    return segments.select(*keys, F.posexplode(sentences_of(F.col(text))).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def merge_wrapped_lines(units: DataFrame, document: str = "document_id") -> DataFrame:
@@ -89,20 +124,28 @@ def merge_wrapped_lines(units: DataFrame, document: str = "document_id") -> Data
 
 
 def dehyphenate(units: DataFrame, document: str = "document_id") -> DataFrame:
-    """document, text: lines joined by a space; a hyphen after a letter goes where the next line begins in lower case."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: trimmed(x["line"]))
+    """document, text: lines joined by a space; a hyphen after a letter goes where the next line begins in lower case.
+
+    Blank lines are skipped. What follows a line depends on that line's end and the next one's start alone.
+    """
+    lines = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: trimmed(x["line"])), lambda x: x != "")
+
+    def joined(all_: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            after = F.get(all_, i + 1)
+            cut = x.rlike("\\p{L}-$") & after.rlike("^\\p{Ll}")
+            return F.when(after.isNull(), x).when(cut, F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(F.concat(x, F.lit(" ")))
 
-    def join(a: Column, x: Column) -> Column:
-        cut = a.rlike("\\p{L}-$") & x.rlike("^\\p{Ll}")
-        return F.when(a == "", x).when(x == "", a).when(cut, F.concat(F.substring(a, F.lit(1), F.length(a) - 1), x)).otherwise(F.concat(a, F.lit(" "), x))
+        return F.array_join(F.transform(all_, piece), "")
 
-    return units.groupBy(document).agg(lines.alias("lines")).select(document, F.aggregate("lines", F.lit(""), join).alias("text"))
+    return units.groupBy(document).agg(lines.alias("lines")).select(document, named(F.col("lines"), joined).alias("text"))
 
 
 def chunk_paragraphs(paragraphs: DataFrame, document: str, order: str, text: str) -> DataFrame:
     """document, chunk, text, kept, truncated: paragraphs in order, packed greedily into chunks; the first MOST_CHUNKS are kept.
 
-    A paragraph counts its characters and one; a longer one than CHUNK_CHARS is cut first.
+    A paragraph counts its characters and one; a longer one than CHUNK_CHARS is cut first. The packing reads lengths
+    alone and notes where chunks begin; their texts are joined once.
     """
     n = F.length(text)
     cuts = F.transform(
@@ -111,23 +154,27 @@ def chunk_paragraphs(paragraphs: DataFrame, document: str, order: str, text: str
     )
     pieces = paragraphs.where(n > 0).select(document, order, cuts.alias("cuts"))
     whole = pieces.groupBy(document).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "cuts"))), lambda x: x["cuts"])).alias("pieces"))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("size"))
-
-    def add(a: Column, p: Column) -> Column:
-        full = (a["size"] > 0) & (a["size"] + F.length(p) > CHUNK_CHARS)
-        done = F.when(full, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
-        open_ = F.when(full | (a["size"] == 0), p).otherwise(F.concat(a["open"], F.lit("\n"), p))
-        return F.struct(done.alias("done"), open_.alias("open"), (F.when(full, 0).otherwise(a["size"]) + F.length(p) + 1).alias("size"))
-
-    chunks = F.aggregate("pieces", start, add, lambda a: F.when(a["size"] > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
-    return whole.select(document, chunks.alias("chunks")).select(
-        document, (F.size("chunks") > MOST_CHUNKS).alias("truncated"), F.posexplode("chunks").alias("chunk", "text")
-    ).select(document, F.col("chunk").cast("long").alias("chunk"), "text", (F.col("chunk") < MOST_CHUNKS).alias("kept"), "truncated")
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("size"))
+
+    def add(a: Column, size: Column) -> Column:
+        full = (a["at"] == 0) | (a["size"] + size > CHUNK_CHARS)
+        starts = F.when(full, F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"])
+        return F.struct(starts.alias("starts"), (a["at"] + 1).alias("at"), (F.when(full, 0).otherwise(a["size"]) + size + 1).alias("size"))
+
+    starts = F.aggregate(F.transform("pieces", lambda p: F.length(p)), start, add, lambda a: a["starts"])
+    end = F.coalesce(F.get("starts", F.col("chunk") + 1), F.size("pieces"))
+    joined = F.array_join(F.slice("pieces", F.col("start") + 1, end - F.col("start")), "\n")
+    return whole.withColumn("starts", starts).select(document, "pieces", "starts", F.posexplode("starts").alias("chunk", "start")).select(
+        document, F.col("chunk").cast("long").alias("chunk"), joined.alias("text"), (F.col("chunk") < MOST_CHUNKS).alias("kept"), (F.size("starts") > MOST_CHUNKS).alias("truncated")
+    )
 
 
 def dedupe_values(values: DataFrame, keys: list[str], value: str = "value", pos: str = "pos") -> DataFrame:
-    """keys, value, pos: the first of values that are alike but for white space and case, white space collapsed."""
-    own = values.withColumn("value_key", F.lower(collapsed(F.col(value)))).where("value_key <> ''")
+    """keys, value, pos: the first of values that are alike but for white space and case, white space collapsed.
+
+    Case is folded, not only lowered.
+    """
+    own = values.withColumn("value_key", folded(collapsed(F.col(value)))).where("value_key <> ''")
     return own.groupBy(*keys, "value_key").agg(F.min(F.struct(pos, collapsed(F.col(value)).alias("v"))).alias("first")).select(
         *keys, F.col("first.v").alias(value), F.col(f"first.{pos}").cast("long").alias(pos)
     )
@@ -155,18 +202,15 @@ def parse_bullets(answers: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def find_matches(segments: DataFrame, keys: list[str], text: str, query: str, case: bool = True) -> DataFrame:
-    """keys, start, end: non-overlapping matches of a literal, with offsets in characters."""
-    hay, needle = (F.col(text), query) if case else (F.lower(text), query.lower())
-    parts = F.split(hay, re.escape(needle))
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    """keys, start, end: non-overlapping matches of a literal, with offsets in the text's own characters.
 
-    def add(a: Column, x: Column) -> Column:
-        end = a["at"] + F.length(x)
-        return F.struct((end + len(needle)).alias("at"), F.concat(a["starts"], F.array(end)).alias("starts"))
-
-    starts = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), none, add, lambda a: a["starts"])
-    found = segments.where(F.contains(hay, F.lit(needle))).select(*keys, F.explode(starts).alias("start"))
-    return found.select(*keys, "start", (F.col("start") + len(needle)).alias("end"))
+    Offsets are running sums over the lengths between matches.
+    """
+    pattern = ("" if case else "(?iu)") + re.escape(query)
+    ends = running_sums(F.transform(F.split(text, pattern), lambda x: (F.length(x) + len(query)).cast("long")))
+    starts = named(ends, lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda x: x - len(query)))
+    found = segments.where(F.col(text).rlike(pattern)).select(*keys, F.explode(starts).alias("start"))
+    return found.select(*keys, "start", (F.col("start") + len(query)).alias("end"))
 
 
 def replace_all(segments: DataFrame, keys: list[str], text: str, query: str, by: str, case: bool = True) -> DataFrame:
@@ -217,28 +261,32 @@ def plain_text(sentences: DataFrame, keys: list[str]) -> DataFrame:
     return sentences.where("text <> ''").groupBy(*keys).agg(joined.alias("text"))
 
 
-def protect_urls(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, protected, urls array<struct<number, url>>: each URL and e-mail replaced by [n], n skipping numbers already there."""
-    found = F.regexp_extract_all(text, F.lit(PROTECTED), F.lit(0))
-    taken = F.transform(F.regexp_extract_all(text, F.lit("\\[(\\d{1,9})\\]"), F.lit(1)), lambda x: x.cast("int"))
-    df = df.select(key, F.col(text).alias("whole"), found.alias("found"), taken.alias("taken"))
-    free = F.array_except(F.sequence(F.lit(1), F.size("found") + F.size("taken") + 1), F.col("taken"))
-    df = df.withColumn("numbers", F.slice(free, F.lit(1), F.size("found")))
-    start = F.struct(F.lit("").alias("done"), F.col("whole").alias("rest"))
+def protected(text: Column) -> Column:
+    """struct<protected, urls array<struct<number, url>>>: each URL and e-mail replaced by [n], n skipping numbers already
+    there. The text is cut at them once and joined with the numbers."""
+    taken = F.transform(F.regexp_extract_all(text, F.lit("\\[0*(\\d+)\\]"), F.lit(1)), lambda x: x.try_cast("long"))
 
-    def put(a: Column, x: Column) -> Column:
-        at = F.position(x["found"], a["rest"])
+    def put(c: Column) -> Column:
+        found, numbers = c["found"], c["numbers"]
+        pieces = F.transform(c["rest"], lambda x, i: F.concat(x, F.coalesce(F.concat(F.lit("["), F.get(numbers, i).cast("string"), F.lit("]")), F.lit(""))))
         return F.struct(
-            F.concat(a["done"], F.substring(a["rest"], F.lit(1), at - 1), F.lit("["), x["numbers"].cast("string"), F.lit("]")).alias("done"),
-            F.substring(a["rest"], at + F.length(x["found"]), F.length(a["rest"])).alias("rest"),
+            F.array_join(pieces, "").alias("protected"),
+            F.transform(found, lambda x, i: F.struct(F.get(numbers, i).alias("number"), x.alias("url"))).alias("urls"),
         )
 
-    pairs = F.arrays_zip("found", "numbers")
-    return df.select(
-        key,
-        F.aggregate(pairs, start, put, lambda a: F.concat(a["done"], a["rest"])).alias("protected"),
-        F.transform(pairs, lambda x: F.struct(x["numbers"].cast("long").alias("number"), x["found"].alias("url"))).alias("urls"),
-    )
+    def numbered(c: Column) -> Column:
+        free = F.array_except(F.sequence(F.lit(1).cast("long"), (F.size(c["found"]) + F.size(c["taken"]) + 1).cast("long")), c["taken"])
+        return F.struct(c["found"].alias("found"), c["rest"].alias("rest"), F.slice(free, F.lit(1), F.size(c["found"])).alias("numbers"))
+
+    cut = F.struct(F.regexp_extract_all(text, F.lit(PROTECTED), F.lit(0)).alias("found"), F.split(text, PROTECTED).alias("rest"), taken.alias("taken"))
+    may_have = F.contains(text, F.lit("://")) | F.contains(text, F.lit("www.")) | F.contains(text, F.lit("@"))
+    none = F.struct(text.alias("protected"), F.array().cast("array<struct<number: bigint, url: string>>").alias("urls"))
+    return F.when(may_have, named(cut, lambda c: named(numbered(c), put))).when(text.isNotNull(), none)
+
+
+def protect_urls(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, protected, urls of each text."""
+    return df.select(key, protected(F.col(text)).alias("p")).select(key, "p.protected", "p.urls")
 
 
 def restore_urls(df: DataFrame, text: str, urls: str) -> Column:
@@ -246,6 +294,7 @@ def restore_urls(df: DataFrame, text: str, urls: str) -> Column:
 
     A single lost number that came back as another one in brackets is taken for it.
     """
+    # The forms in which a number stands or comes back.
     start = F.struct(F.col(text).alias("text"), F.array().cast("array<string>").alias("lost"), F.array().cast("array<string>").alias("seen"))
 
     def put(a: Column, x: Column) -> Column:
@@ -280,37 +329,52 @@ SENSITIVE_PARTS = "token|secret|api[-_]?key|credential"
 def mask_json(c: Column) -> Column:
     """JSON text with the values of sensitive keys redacted, at any depth; an object or a list goes as a whole.
 
-    The text is read token by token, a key and its colon being one; within a value that goes only the depth is kept.
+    The text is read token by token, a key and its colon being one; within a value that goes only the depth is kept. Tokens
+    that stay are collected in blocks.
     """
     key = f"(?i)\"(?:(?:{SENSITIVE_KEYS})|[^\"]*(?:{SENSITIVE_PARTS})[^\"]*)\"\\s*:"
-    tokens = F.regexp_extract_all(c, F.lit("\"(?:[^\"\\\\]|\\\\.)*\"\\s*:|\"(?:[^\"\\\\]|\\\\.)*\"|[{}\\[\\],:]|\\s+|[^\\s\"{}\\[\\],:]+|\""), F.lit(0))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("armed"))
+    quoted = '"[^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+"'
+    tokens = F.regexp_extract_all(c, F.lit(f'(?s){quoted}\\s*:|{quoted}|[{{}}\\[\\],:]|\\s+|[^\\s"{{}}\\[\\],:]+|"'), F.lit(0))
+    texts = F.array().cast("array<string>")
+    start = F.struct(texts.alias("done"), texts.alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("armed"))
+
+    def state(a: Column, text: Column | None, depth: Column, armed: Column) -> Column:
+        full = F.size(a["out"]) >= BLOCK
+        done = F.when(full, F.concat(a["done"], F.array(F.array_join(a["out"], "")))).otherwise(a["done"])
+        out = a["out"] if text is None else F.concat(F.when(full, texts).otherwise(a["out"]), F.array(text))
+        return F.struct((a["done"] if text is None else done).alias("done"), out.alias("out"), depth.alias("depth"), armed.alias("armed"))
 
     def read(a: Column, t: Column) -> Column:
         opens, closes, blank = t.isin("{", "["), t.isin("}", "]"), F.trim(t) == ""
-        put = lambda x: F.concat(a["out"], F.array(x))
-        inside = F.struct(a["out"].alias("out"), (a["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"), F.lit(False).alias("armed"))
-        redacted = F.struct(put(F.lit('"[REDACTED]"')).alias("out"), F.when(opens, 1).otherwise(0).alias("depth"), F.lit(False).alias("armed"))
-        plain = F.struct(put(t).alias("out"), F.lit(0).alias("depth"), F.when(blank, a["armed"]).otherwise(t.rlike("^" + key + "$")).alias("armed"))
+        inside = state(a, None, a["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0), F.lit(False))
+        redacted = state(a, F.lit('"[REDACTED]"'), F.when(opens, 1).otherwise(0), F.lit(False))
+        plain = state(a, t, F.lit(0), F.when(blank, a["armed"]).otherwise(t.rlike("^" + key + "$")))
         return F.when(a["depth"] > 0, inside).when(a["armed"] & ~blank, redacted).otherwise(plain)
 
-    masked = F.aggregate(tokens, start, read, lambda a: F.array_join(a["out"], ""))
+    masked = F.aggregate(tokens, start, read, lambda a: F.concat(F.array_join(a["done"], ""), F.array_join(a["out"], "")))
     return F.when(c.rlike(key), masked).otherwise(c)
 
 
-def ground_values(answers: DataFrame, key: str, answer: str, chunk: str, fields: list[str]) -> DataFrame:
-    """key, field, value, pos: values of a model's JSON answer that the chunk has, but for white space and case.
+# Fields that a model is asked for.
+MODEL_FIELDS = ["people", "organizations", "dates", "amounts", "locations"]
+
+
+def ground_values(answers: DataFrame, key: str, answer: str, chunk: str, fields: list[str] = MODEL_FIELDS, order: str | None = None) -> DataFrame:
+    """key, field, value, pos: values of a model's JSON answers that their chunk has, but for white space and case.
 
-    The answer is what stands between its first { and last }; fields that are no lists of texts are left out.
+    An answer is what stands between its first { and last }; fields that are no lists are left out, and what isn't a text within
+    a list. order: a column that orders a key's answers, by which the first of equal values is told; pos then is its place
+    times 2^32 plus the place within the list.
     """
     from_, to = F.instr(answer, "{"), F.length(answer) - F.instr(F.reverse(answer), "}") + 1
     body = F.when((from_ > 0) & (to > from_), F.substring(F.col(answer), from_, to - from_ + 1))
-    parsed = F.from_json(body, "struct<" + ", ".join(f"{f}: array<string>" for f in fields) + ">")
-    rows = answers.select(key, chunk, parsed.alias("parsed"))
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"parsed.{f}").alias("values")) for f in fields])
-    long_ = rows.select(key, chunk, F.inline(pairs)).select(key, chunk, "field", F.posexplode("values").alias("pos", "value"))
-    seen = F.contains(F.lower(collapsed(F.col(chunk))), F.lower(collapsed(F.col("value"))))
-    return dedupe_values(long_.where(seen), [key, "field"])
+    rows = answers.select(key, chunk, (F.col(order) if order else F.lit(0)).cast("long").alias("answer_no"), F.try_parse_json(body).alias("parsed"))
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.try_variant_get("parsed", f"$.{f}", "array<variant>").alias("values")) for f in fields])
+    long_ = rows.select(key, chunk, "answer_no", F.inline(pairs)).select(key, chunk, "answer_no", "field", F.posexplode("values").alias("i", "v"))
+    long_ = long_.where(F.schema_of_variant("v") == "STRING").withColumn("value", F.try_variant_get("v", "$", "string"))
+    seen = F.contains(folded(collapsed(F.col(chunk))), folded(collapsed(F.col("value"))))
+    placed = long_.where(seen).withColumn("pos", F.col("answer_no") * (1 << 32) + F.col("i"))
+    return dedupe_values(placed, [key, "field"])
 
 
 def summarize(paragraphs: DataFrame, document: str, order: str, text: str, points: int = 5) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.session import shared_path
-from foliant.operators import edits, files, inference, layout, memory, outline, records, text
+from foliant.functions.session import shared_path, stored
+from foliant.operators import chains, edits, files, inference, layout, memory, outline, records, text
 from foliant.plans import views as v
 from foliant.plans.views import with_views
 from foliant.sources import tables
+from foliant.sources.store import GrowingTable, VersionedStore
 from foliant.streaming import requests
 
 AS_OF = "2024-01-02 00:00:00"
@@ -188,46 +190,70 @@ def page_meta(spark, d):
 # ---- row changes
 
 
+def _store(spark, **rows):
+    """A store in the shared folder with these tables (rows, key)."""
+    store = VersionedStore(spark, shared_path(spark, "store"), 16)
+    store.create(rows)
+    return store
+
+
 @query(["records"], """, u AS (SELECT id, id % 2 = 0 AS s1, id % 3 = 0 AS s2 FROM records WHERE id % 10 < 4)
     SELECT r.id, CASE WHEN s1 THEN 'new_' || r.id ELSE model_name END AS model_name, CASE WHEN s2 THEN NULL ELSE emotion_tags END AS emotion_tags,
-    u.id IS NOT NULL AS renewed FROM records r LEFT JOIN u ON r.id = u.id""")
+    CASE WHEN u.id IS NOT NULL THEN '2025-01-01 00:00' ELSE strftime(created_at + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') END AS updated FROM records r LEFT JOIN u ON r.id = u.id""")
 def update_records_partial(spark, d):
-    rows = v.records(spark, d)
+    """Records that were last changed an hour after they were made, as a stored table; four in ten are updated."""
+    rows = v.records(spark, d).withColumn("updated_at", F.expr("created_at + INTERVAL 1 HOUR"))
+    store = _store(spark, records=(rows, "id"))
     updates = rows.where("id % 10 < 4").selectExpr("id", "concat('new_', id) AS model_name", "id % 2 = 0 AS sent_model_name", "CAST(NULL AS STRING) AS emotion_tags", "id % 3 = 0 AS sent_emotion_tags")
-    out = records.update_partial(rows, updates, "id", ["model_name", "emotion_tags"], "2025-01-01 00:00:00")
-    return out.select("id", "model_name", "emotion_tags", (F.col("updated_at") != F.col("created_at")).alias("renewed"))
+    records.update_stored(store, "records", updates, "id", ["model_name", "emotion_tags"], "2025-01-01 00:00:00")
+    return store.read("records").select("id", "model_name", "emotion_tags", F.date_format("updated_at", "yyyy-MM-dd HH:mm").alias("updated"))
 
 
 @query(["records"], f"SELECT {RECORD} FROM records WHERE id % 9 <> 0")
 def delete_records(spark, d):
-    rows = v.records(spark, d)
-    return records.delete(rows, rows.where("id % 9 = 0"), "id").selectExpr(*_record)
+    store = _store(spark, records=(v.records(spark, d), "id"))
+    records.delete_stored(store, "records", v.records(spark, d).where("id % 9 = 0"), "id")
+    return store.read("records").selectExpr(*_record)
 
 
 @query(["t_documents", "segments", "insertions", "media"], """, gone AS (SELECT document_id FROM t_documents WHERE id % 10 = 3),
-    a AS (SELECT 'documents' AS table_name, document_id FROM t_documents UNION ALL SELECT 'segments', document_id FROM segments
-          UNION ALL SELECT 'insertions', document_id FROM insertions UNION ALL SELECT 'media', document_id FROM media)
-    SELECT table_name, count(*) FILTER (document_id IN (SELECT document_id FROM gone)) AS removed,
-    count(*) FILTER (document_id NOT IN (SELECT document_id FROM gone)) AS remaining FROM a GROUP BY 1""")
+    a AS (SELECT 'documents' AS table_name, document_id, file_size AS part FROM t_documents UNION ALL SELECT 'segments', document_id, ord FROM segments
+          UNION ALL SELECT 'insertions', document_id, ord FROM insertions UNION ALL SELECT 'media', document_id, length(name) FROM media)
+    SELECT table_name, document_id, count(*) AS stored, CAST(sum(part) AS BIGINT) AS parts FROM a WHERE document_id NOT IN (SELECT document_id FROM gone) GROUP BY 1, 2
+    UNION ALL SELECT table_name || ' removed', NULL, count(*) FILTER (document_id IN (SELECT document_id FROM gone)), NULL FROM a GROUP BY 1""")
 def purge_documents(spark, d):
-    docs = v.t_documents(spark, d)
-    return records.purge_counts(
-        {"documents": docs, "segments": v.segments(spark, d), "insertions": v.insertions(spark, d), "media": v.media(spark, d)}, docs.where("id % 10 = 3")
-    )
+    """What four stored tables hold of each document after a purge of one in ten, and how many rows went from each."""
+    docs, part = v.t_documents(spark, d), {"documents": "file_size", "segments": "ord", "insertions": "ord", "media": "length(name)"}
+    rows = {"documents": docs, "segments": v.segments(spark, d), "insertions": v.insertions(spark, d), "media": v.media(spark, d)}
+    store = _store(spark, **{name: (df, "document_id") for name, df in rows.items()})
+    before = store.version()
+    now = records.purge_stored(store, list(rows), docs.where("id % 10 = 3"))
+    out = None
+    for name in rows:
+        left = store.read(name, now).groupBy("document_id").agg(F.count("*").alias("stored"), F.sum(F.expr(part[name])).cast("long").alias("parts"))
+        went = store.read(name, before).agg(F.count("*").alias("n")).crossJoin(store.read(name, now).agg(F.count("*").alias("m")))  # one row each
+        found = left.select(F.lit(name).alias("table_name"), "document_id", "stored", "parts").unionByName(
+            went.select(F.lit(f"{name} removed").alias("table_name"), F.lit(None).cast("string").alias("document_id"), (F.col("n") - F.col("m")).alias("stored"), F.lit(None).cast("long").alias("parts"))
+        )
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-@query(["segments", "edits"], """SELECT s.document_id, s.key, s.ord, coalesce(e.text, s.translated_text) AS translated_text,
-    CASE WHEN e.style <> '' THEN e.style END AS style, e.key IS NOT NULL AS edited FROM segments s LEFT JOIN edits e ON s.document_id = e.document_id AND s.key = e.key""")
+@query(["styled_segments", "edits"], """, j AS (SELECT s.document_id, s.key, s.ord, s.translated_text AS old, s.style AS old_style, s.runs AS old_runs, e.text, e.style, e.runs, coalesce(e.sent_style, false) AS sent_style,
+        coalesce(e.sent_runs, false) AS sent_runs, e.key IS NOT NULL AS edited, coalesce(e.text <> s.translated_text, false) AS new_text FROM styled_segments s LEFT JOIN edits e ON s.document_id = e.document_id AND s.key = e.key)
+    SELECT document_id, key, ord, coalesce(text, old) AS translated_text, CASE WHEN sent_style THEN nullif(style, '') ELSE old_style END AS style,
+    array_to_string(CASE WHEN sent_runs THEN runs WHEN new_text THEN NULL ELSE old_runs END, '|') AS runs, edited FROM j""")
 def apply_segment_edits(spark, d):
-    return edits.apply_segment_edits(v.segments(spark, d), v.edits(spark, d))
+    return edits.apply_segment_edits(v.styled_segments(spark, d), v.edits(spark, d)).withColumn("runs", F.array_join("runs", "|"))
 
 
 @query(["insertions"], """, new AS (SELECT document_id, 0 AS ord, 'divider' AS type FROM insertions WHERE ord = 1 AND type = 'paragraph')
     SELECT document_id, ord, type FROM insertions WHERE document_id NOT IN (SELECT document_id FROM new) UNION ALL SELECT * FROM new""")
 def set_insertions(spark, d):
     old = v.insertions(spark, d).select("document_id", "ord", "type")
-    new = old.where("ord = 1 AND type = 'paragraph'").selectExpr("document_id", "0L AS ord", "'divider' AS type")
-    return edits.set_insertions(old, new)
+    store = _store(spark, insertions=(old, "document_id"))
+    edits.set_stored_insertions(store, "insertions", old.where("ord = 1 AND type = 'paragraph'").selectExpr("document_id", "0L AS ord", "'divider' AS type"))
+    return store.read("insertions")
 
 
 @query(["edits"], """SELECT document_id, key, CASE WHEN style <> '' THEN style END AS style,
@@ -412,13 +438,13 @@ def uniform_font_scale(spark, d):
     return layout.uniform_font_scale(fitted).select("document_id", "line", "span", "scale")
 
 
-@query(["segments", "edits"], """, x AS (SELECT s.document_id, s.key, coalesce(e.text, s.translated_text) AS translated_text, CASE WHEN e.style <> '' THEN e.style END AS style, s.translated_text AS o
-    FROM segments s LEFT JOIN edits e ON s.document_id = e.document_id AND s.key = e.key)
-    SELECT document_id, key FROM x WHERE translated_text IS DISTINCT FROM o OR style IS NOT NULL""")
+@query(["styled_segments", "edits"], """, x AS (SELECT s.document_id, s.key, coalesce(e.text, s.translated_text) AS t, CASE WHEN e.sent_style THEN nullif(e.style, '') ELSE s.style END AS style,
+        CASE WHEN e.sent_runs THEN e.runs WHEN e.text <> s.translated_text THEN NULL ELSE s.runs END AS runs, s.translated_text AS o, s.style AS o_style, s.runs AS o_runs
+    FROM styled_segments s LEFT JOIN edits e ON s.document_id = e.document_id AND s.key = e.key)
+    SELECT document_id, key FROM x WHERE t IS DISTINCT FROM o OR style IS DISTINCT FROM o_style OR runs IS DISTINCT FROM o_runs""")
 def changed_segments(spark, d):
-    saved = v.segments(spark, d).withColumn("style", F.lit(None).cast("string"))
-    now = edits.apply_segment_edits(v.segments(spark, d), v.edits(spark, d))
-    return edits.changed_segments(now, saved, ["translated_text", "style"])
+    saved = v.styled_segments(spark, d)
+    return edits.changed_segments(edits.apply_segment_edits(saved, v.edits(spark, d)), saved, ["translated_text", "style", "runs"])
 
 
 @query(["insertions"], """, new AS (SELECT document_id, CASE WHEN ord = 0 AND document_id LIKE '%3' THEN 9 ELSE ord END AS ord, CASE WHEN ord = 2 THEN 'divider' ELSE type END AS type FROM insertions),
@@ -589,15 +615,24 @@ MEMORY = SENTENCES + """, u AS (SELECT source_language, target_language, text, c
     m AS (SELECT DISTINCT source_language, target_language, text FROM sentences WHERE pos = 0 AND CAST(substr(document_id, 5) AS BIGINT) % 3 = 0)"""
 
 
-@query(["segments"], MEMORY + """ SELECT u.source_language, u.target_language, count(*) AS sentences, count(m.text) AS hits, CAST(sum(n) AS BIGINT) AS occurrences,
-    CAST(sum(CASE WHEN m.text IS NOT NULL THEN n ELSE 0 END) AS BIGINT) AS served FROM u LEFT JOIN m ON u.source_language = m.source_language AND u.target_language = m.target_language AND u.text = m.text GROUP BY 1, 2""")
+@query(["segments"], MEMORY + """, h AS (SELECT u.source_language, u.target_language, n, m.text IS NOT NULL AS hit FROM u LEFT JOIN m ON u.source_language = m.source_language AND u.target_language = m.target_language AND u.text = m.text)
+    SELECT run, source_language, target_language, count(*) AS sentences, count(*) FILTER (hit OR run = 2) AS hits, count(*) FILTER (NOT hit AND run = 1) AS misses, CAST(sum(n) AS BIGINT) AS occurrences,
+    CAST(sum(CASE WHEN hit OR run = 2 THEN n ELSE 0 END) AS BIGINT) AS served, CAST(sum(length('[id] ') * n) AS BIGINT) AS added FROM h, (VALUES (1), (2)) AS r(run) GROUP BY 1, 2, 3""")
 def translation_memory(spark, d):
-    unique = memory.unique_sentences(_sentences(spark, d), PAIR, ["document_id", "ord", "pos"])
-    found = memory.reuse(unique, _memory(spark, d), PAIR)
-    hit = F.col("translated").isNotNull()
-    return found.groupBy(*PAIR).agg(
-        F.count("*").alias("sentences"), F.count_if(hit).alias("hits"), F.sum("occurrences").alias("occurrences"), F.sum(F.when(hit, F.col("occurrences")).otherwise(0)).alias("served")
-    )
+    """All sentences through a stored memory, twice: what it has is served, the rest is translated and stored; the second
+    time nothing is left to translate."""
+    unique = stored(memory.unique_sentences(_sentences(spark, d), PAIR, ["document_id", "ord", "pos"]), "unique")
+    table = memory.stored_memory(spark, f"memory_{uuid.uuid4().hex}", shared_path(spark, "memory"), PAIR)
+    memory.remember(table, _memory(spark, d), PAIR, 1)
+    out, hit = None, F.col("hit")
+    for run in (1, 2):
+        found = memory.translate_through(unique, table, PAIR, run + 1)
+        found = found.groupBy(F.lit(run).alias("run"), *PAIR).agg(
+            F.count("*").alias("sentences"), F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.sum("occurrences").alias("occurrences"),
+            F.sum(F.when(hit, F.col("occurrences")).otherwise(0)).alias("served"), F.sum((F.length("translated") - F.length("text")) * F.col("occurrences")).cast("long").alias("added"),
+        )
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query(["segments"], SENTENCES + """, u AS (SELECT DISTINCT source_language, target_language, text FROM sentences),
@@ -611,10 +646,11 @@ def length_sorted_batches(spark, d):
 
 @query(["segments"], SENTENCES + " SELECT document_id, ord, string_agg('[id] ' || text, ' ' ORDER BY pos) AS text FROM sentences GROUP BY 1, 2")
 def translate_join_back(spark, d):
-    own = _sentences(spark, d)
-    unique = memory.unique_sentences(own, PAIR, ["document_id", "ord", "pos"])
-    batches = memory.length_sorted_batches(unique, PAIR, ["text"])
-    return memory.join_back(own, inference.translate_batches(batches, PAIR), PAIR, ["document_id", "ord"])
+    own = stored(_sentences(spark, d), "sentences")
+    unique = stored(memory.unique_sentences(own, PAIR, ["document_id", "ord", "pos"]), "unique")
+    translated = inference.translate_batches(memory.length_sorted_batches(unique, PAIR, ["text"]), PAIR)
+    counted = translated.join(unique.select(*PAIR, "text", "occurrences"), [*PAIR, "text"])
+    return memory.join_back(own, stored(counted, "translated"), PAIR, ["document_id", "ord"])
 
 
 @query(["segments"], """, p AS (SELECT document_id, key, string_split(source_text, 'the') AS l FROM segments),
@@ -658,7 +694,16 @@ def parse_bullets(spark, d):
     return text.parse_bullets(answers, "document_id", "answer").select("document_id", F.explode("points").alias("point"))
 
 
-@query(None, None)
+#: Pieces of paragraphs in order, and the chunks that they are packed into, a piece a step.
+CHUNKS = """, cuts AS (SELECT document_id, ord, c, substr(source_text, c * 4000 + 1, 4000) AS t FROM segments, unnest(range(0, greatest(1, CAST(ceil(length(source_text) / 4000.0) AS BIGINT)))) AS u(c) WHERE length(source_text) > 0),
+    pieces AS (SELECT document_id, t, row_number() OVER (PARTITION BY document_id ORDER BY ord, c) AS i FROM cuts),
+    packed AS (WITH RECURSIVE f AS (SELECT document_id, i, t, 0::BIGINT AS chunk, length(t) + 1 AS size FROM pieces WHERE i = 1
+        UNION ALL SELECT p.document_id, p.i, p.t, CASE WHEN f.size + length(p.t) > 4000 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.size + length(p.t) > 4000 THEN 0 ELSE f.size END + length(p.t) + 1
+        FROM f JOIN pieces p ON p.document_id = f.document_id AND p.i = f.i + 1) SELECT * FROM f),
+    chunks AS (SELECT document_id, chunk, string_agg(t, chr(10) ORDER BY i) AS text, chunk < 12 AS kept, max(chunk) OVER (PARTITION BY document_id) >= 12 AS truncated FROM packed GROUP BY document_id, chunk)"""
+
+
+@query(["segments"], CHUNKS + " SELECT document_id, chunk, text, kept, truncated FROM chunks")
 def chunk_paragraphs(spark, d):
     return text.chunk_paragraphs(v.segments(spark, d), "document_id", "ord", "source_text")
 
@@ -668,9 +713,18 @@ def _with_urls(spark, d):
     return v.table(spark, d, "pages").selectExpr("page_id", "url", "concat('See ', url, ', or [1] and www.', page_id, '.org; write to a', page_id, '@b.org.') AS line")
 
 
-@query(None, None)
+# Fixed value: what is kept from a model.
+_PROTECTED = "(?:https?://|ftp://|www\\.)[^\\s<>\"'']*[^\\s<>\"''.,;:!?)\\]}]|[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+(?:\\.[\\p{L}\\p{N}_-]+)+"
+
+
+@query(None, f"""WITH l AS (SELECT page_id, 'See ' || url || ', or [1] and www.' || page_id || '.org; write to a' || page_id || '@b.org.' AS line FROM pages),
+    f AS (SELECT page_id, regexp_extract_all(line, '{_PROTECTED}') AS found, regexp_split_to_array(line, '{_PROTECTED}') AS rest, list_transform(regexp_extract_all(line, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS BIGINT)) AS taken FROM l),
+    n AS (SELECT *, list_filter(range(1, len(found) + len(taken) + 2), lambda x: NOT list_contains(taken, x)) AS free FROM f)
+    SELECT page_id, array_to_string(list_transform(range(1, len(rest) + 1), lambda i: rest[i] || CASE WHEN i <= len(found) THEN '[' || free[i] || ']' ELSE '' END), '') AS protected,
+    array_to_string(list_transform(range(1, len(found) + 1), lambda i: free[i] || ' ' || found[i]), ', ') AS urls FROM n""")
 def protect_urls(spark, d):
-    return text.protect_urls(_with_urls(spark, d), "page_id", "line")
+    found = text.protect_urls(_with_urls(spark, d), "page_id", "line")
+    return found.withColumn("urls", F.array_join(F.transform("urls", lambda x: F.concat_ws(" ", x["number"].cast("string"), x["url"])), ", "))
 
 
 @query(None, "SELECT page_id, 'See ' || url || ', or [1] and www.' || page_id || '.org; write to a' || page_id || '@b.org.' AS restored FROM pages")
@@ -738,29 +792,70 @@ def mask_sensitive(spark, d):
     return v.requests(spark, d).selectExpr("request_id", line).select("request_id", text.mask_json(F.col("line")).alias("masked"))
 
 
-@query(["segments"], """, w AS (SELECT document_id, ord * 100000 + i AS pos, l[i] AS value FROM (SELECT document_id, ord, string_split(source_text, ' ') AS l FROM segments) s, unnest(range(1, len(s.l) + 1)) AS t(i))
-    SELECT document_id, arg_min(value, pos) AS value, min(pos) AS pos FROM w WHERE value <> '' AND contains(value, '.') GROUP BY document_id, lower(value)""")
+@query(["segments"], """, w AS (SELECT document_id, ord * 100000 + i AS pos, l[i] || CASE (ord + i) % 3 WHEN 0 THEN 'ß' WHEN 1 THEN 'SS' ELSE 'ss' END AS value FROM (SELECT document_id, ord, string_split(source_text, ' ') AS l FROM segments) s, unnest(range(1, len(s.l) + 1)) AS t(i))
+    SELECT document_id, arg_min(value, pos) AS value, min(pos) AS pos FROM w WHERE contains(value, '.') GROUP BY document_id, replace(lower(value), 'ß', 'ss')""")
 def dedupe_values(spark, d):
-    words = v.segments(spark, d).select("document_id", "ord", F.posexplode(F.split("source_text", " ")).alias("i", "value")).where("contains(value, '.')")
-    return text.dedupe_values(words.selectExpr("document_id", "ord * 100000 + i + 1 AS pos", "value"), ["document_id"])
+    """Words with a dot, and an s at their end in three forms that fold to one."""
+    words = v.segments(spark, d).select("document_id", "ord", F.posexplode(F.split("source_text", " ")).alias("i", "value"))
+    words = words.selectExpr("document_id", "ord * 100000 + i + 1 AS pos", "concat(value, CASE (ord + i + 1) % 3 WHEN 0 THEN 'ß' WHEN 1 THEN 'SS' ELSE 'ss' END) AS value").where("contains(value, '.')")
+    return text.dedupe_values(words, ["document_id"])
 
 
-@query(None, None)
+@query(["units"], """, l AS (SELECT document_id, pos, trim(CASE WHEN pos % 2 = 0 THEN line || '-' ELSE lower(left(line, 1)) || substr(line, 2) END) AS x FROM units),
+    n AS (SELECT *, lead(x) OVER (PARTITION BY document_id ORDER BY pos) AS after FROM l WHERE x <> '')
+    SELECT document_id, string_agg(CASE WHEN after IS NULL THEN x WHEN regexp_matches(x, '\\p{L}-$') AND regexp_matches(after, '^\\p{Ll}') THEN left(x, -1) ELSE x || ' ' END, '' ORDER BY pos) AS text FROM n GROUP BY 1""")
 def dehyphenate_lines(spark, d):
     return text.dehyphenate(v.units(spark, d).selectExpr("document_id", "pos", "CASE WHEN pos % 2 = 0 THEN concat(line, '-') ELSE concat(lower(left(line, 1)), substring(line, 2)) END AS line"))
 
 
-@query(["segments"], """SELECT document_id, 'people' AS field, string_split(source_text, ' ')[1] AS value, 0::BIGINT AS pos FROM segments WHERE ord = 0""")
+#: Answers of a backend that lists words of a chunk, with the same in capitals, and what isn't there, a number, an object and a null besides.
+_FIRST, _LAST = "string_split(text, ' ')[1]", "string_split(text, ' ')[-1]"
+
+
+def listing_backend(conversations, most):
+    """A stand-in for a model: first and last words of the text as JSON, among what has to be left out."""
+    import json
+
+    out = []
+    for turns in conversations:
+        words = turns[-1][1].split(" ")
+        out.append("Answer: " + json.dumps({"people": [3, {"a": words[0]}, words[0], words[0].upper(), None, "not there at all"], "organizations": words[-1], "dates": [], "amounts": [words[-1].upper(), words[0]], "locations": [" " + words[-1] + "  "], "more": [words[0]]}) + " done")
+    return out
+
+
+@query(["segments"], CHUNKS + f""", k AS (SELECT document_id, chunk, {_FIRST} AS a, trim({_LAST}) AS b, text FROM chunks WHERE kept),
+    c AS (SELECT document_id, 'people' AS field, a AS value, chunk * 4294967296 + 2 AS pos FROM k UNION ALL SELECT document_id, 'people', upper(replace(a, 'ß', 'ss')), chunk * 4294967296 + 3 FROM k
+        UNION ALL SELECT document_id, 'amounts', upper(replace(b, 'ß', 'ss')), chunk * 4294967296 FROM k UNION ALL SELECT document_id, 'amounts', a, chunk * 4294967296 + 1 FROM k UNION ALL SELECT document_id, 'locations', b, chunk * 4294967296 FROM k),
+    v AS (SELECT document_id, field, trim(regexp_replace(value, '\\s+', ' ', 'g')) AS value, pos FROM c)
+    SELECT document_id, field, arg_min(value, pos) AS value, min(pos) AS pos FROM v WHERE value <> '' GROUP BY document_id, field, replace(lower(value), 'ß', 'ss')""")
 def ground_values(spark, d):
-    first = v.segments(spark, d).where("ord = 0").withColumn("word", F.split("source_text", " ")[0])
-    answers = first.select("document_id", "source_text", F.concat(F.lit("Answer: "), F.to_json(F.struct(F.array(F.col("word"), F.lit("not there at all"), F.lower("word")).alias("people"), F.lit(3).alias("dates"))), F.lit(" done")).alias("answer"))
-    found = text.ground_values(answers, "document_id", "answer", "source_text", ["people"])
-    return found
+    """Every kept chunk goes to a chat backend; of its answer the values of the five fields that the chunk has are kept."""
+    chunks = stored(text.chunk_paragraphs(v.segments(spark, d), "document_id", "ord", "source_text").where("kept"), "chunks")
+    return chains.extract_by_chat(chunks, "document_id", listing_backend)
 
 
-@query(None, None)
+def noting_backend(conversations, most):
+    """A stand-in for a model: as many of the first lines as the request's last number says, as points, or, for a paragraph, in one line."""
+    import re
+
+    out = []
+    for turns in conversations:
+        ask, lines = turns[0][1], [x.strip().removeprefix("- ") for x in turns[-1][1].split("\n")]
+        lines = lines[: int(re.findall(r"\d+", ask)[-1])]
+        out.append(" ".join(lines) if "paragraph" in ask else "\n".join(f"- {x}" for x in lines))
+    return out
+
+
+_DISTINCT = "list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+
+
+@query(["segments"], CHUNKS + f""", k AS (SELECT *, count(*) OVER (PARTITION BY document_id) AS n FROM chunks WHERE kept),
+    p AS (SELECT document_id, chunk, truncated, list_transform(string_split(text, chr(10)), lambda x: trim(x))[1 : CASE WHEN n = 1 THEN 5 ELSE 3 END] AS l FROM k),
+    a AS (SELECT document_id, flatten(list({_DISTINCT.format(l="l")} ORDER BY chunk)) AS l, bool_or(truncated) AS truncated FROM p GROUP BY 1)
+    SELECT document_id, array_to_string(l[1:5], ' ') AS overview, array_to_string(CASE WHEN len(l) > 5 THEN {_DISTINCT.format(l="l[1:5]")} ELSE l END, '|') AS key_points, truncated FROM a""")
 def summarize_map_reduce(spark, d):
-    return text.summarize(v.segments(spark, d), "document_id", "ord", "source_text", 5)
+    found = chains.summarize_by_chat(v.segments(spark, d), "document_id", "ord", "source_text", noting_backend, 5)
+    return found.withColumn("key_points", F.array_join("key_points", "|"))
 
 
 @query(["segments"], """, s AS (SELECT document_id, ord AS section, CASE WHEN ord % 3 = 0 THEN 'head ' || ord END AS head, CASE WHEN ord % 5 = 1 THEN 'foot ' || ord END AS foot FROM segments)
@@ -770,14 +865,31 @@ def inherit_headers(spark, d):
     return outline.inherit_headers(sections, ["head", "foot"])
 
 
-@query(["segments"], """, p AS (SELECT document_id, ord, CASE WHEN ord % 60 = 0 THEN 0 ELSE 1 END AS level FROM segments),
-    a AS (SELECT *, sum(CASE WHEN level = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY ord) AS n0 FROM p),
-    b AS (SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, n0 ORDER BY ord) AS n1 FROM a)
-    SELECT document_id, ord, CASE WHEN level = 0 THEN n0 || '.' WHEN n1 <= 26 THEN chr(CAST(96 + n1 AS INT)) || ')' ELSE chr(CAST(96 + (n1 - 1) // 26 AS INT)) || chr(CAST(97 + (n1 - 1) % 26 AS INT)) || ')' END AS label FROM b""")
+# levels of two numbering instances of one list: the second shows level 3 in another format and restarts level 2 at 5
+LIST_LEVELS = [
+    (0, 0, "decimal", "%1.", 3, None), (0, 1, "lowerLetter", "%1.%2)", 1, None), (0, 2, "decimalZero", "%1.%2.%3", None, None), (0, 3, "bullet", "\uf0a7", None, None),
+    (1, 0, "decimal", "%1.", 3, None), (1, 1, "lowerLetter", "%1.%2)", 1, 5), (1, 2, "upperLetter", None, 2, None), (1, 3, "bullet", "\uf001", None, None),
+]
+_LEVEL_OF = "CASE WHEN ord % 13 = 0 THEN 0 WHEN ord % 5 = 0 THEN 1 WHEN ord % 3 = 0 THEN 2 ELSE 3 END"
+_LETTERS = "(CASE WHEN {n} <= 26 THEN chr(CAST(96 + {n} AS INT)) ELSE chr(CAST(96 + ({n} - 1) // 26 AS INT)) || chr(CAST(97 + ({n} - 1) % 26 AS INT)) END)"
+
+
+@query(["segments"], f""", p AS (SELECT document_id, ord, ord // 40 % 2 AS num, {_LEVEL_OF} AS level FROM segments),
+    r AS (SELECT *, level = 1 AND num = 1 AND row_number() OVER (PARTITION BY document_id, num, level ORDER BY ord) = 1 AS again FROM p),
+    e AS (SELECT *, count(*) FILTER (level < 1 OR again) OVER w AS e1, count(*) FILTER (level < 2) OVER w AS e2, 2 + count(*) FILTER (level = 0) OVER w AS n0 FROM r WINDOW w AS (PARTITION BY document_id ORDER BY ord)),
+    c AS (SELECT *, count(*) FILTER (level = 1) OVER w1 AS c1, first_value(CASE WHEN level = 1 THEN CASE num WHEN 1 THEN 5 ELSE 1 END END IGNORE NULLS) OVER w1 AS s1,
+        count(*) FILTER (level = 2) OVER w2 AS c2, first_value(CASE WHEN level = 2 THEN 1 + num END IGNORE NULLS) OVER w2 AS s2 FROM e
+        WINDOW w1 AS (PARTITION BY document_id, e1 ORDER BY ord), w2 AS (PARTITION BY document_id, e2 ORDER BY ord)),
+    n AS (SELECT *, CASE WHEN c1 > 0 THEN s1 + c1 - 1 WHEN num = 1 THEN 5 ELSE 1 END AS n1, s2 + c2 - 1 AS n2 FROM c)
+    SELECT document_id, ord, CASE level WHEN 0 THEN n0 || '.' WHEN 1 THEN n0 || '.' || {_LETTERS.format(n="n1")} || ')'
+    WHEN 2 THEN CASE num WHEN 0 THEN n0 || '.' || {_LETTERS.format(n="n1")} || '.' || lpad(CAST(n2 AS VARCHAR), CAST(greatest(2, length(CAST(n2 AS VARCHAR))) AS INT), '0') ELSE upper({_LETTERS.format(n="n2")}) || '.' END
+    ELSE CASE num WHEN 0 THEN '▪' ELSE '•' END END AS label FROM n""")
 def list_numbering(spark, d):
-    top = "CASE WHEN ord % 60 = 0 THEN"
-    paragraphs = v.segments(spark, d).selectExpr("document_id", "0 AS list", "ord", f"{top} 0 ELSE 1 END AS level", "1 AS start", f"{top} 'decimal' ELSE 'lowerLetter' END AS fmt", f"{top} '%1.' ELSE '%2)' END AS template")
-    return outline.list_numbering(paragraphs).select("document_id", "ord", "label")
+    """Paragraphs of four levels in one list a document, of two numbering instances in turns of forty paragraphs."""
+    paragraphs = v.segments(spark, d).selectExpr("document_id", "0 AS list", "ord", "CAST(ord DIV 40 % 2 AS INT) AS num", f"{_LEVEL_OF} AS level")
+    levels = spark.createDataFrame(LIST_LEVELS, "num int, level int, fmt string, template string, start int, override int")
+    own = paragraphs.select("document_id").distinct().join(F.broadcast(levels))  # eight rows a document
+    return outline.list_numbering(paragraphs, own).select("document_id", "ord", "label")
 
 
 CELLS = """SELECT document_id, {div} AS row, ord % 3 AS cell, CASE WHEN ord % 7 = 0 THEN 2 ELSE 1 END AS span, 0 AS gap, CASE WHEN ord % 3 = 0 THEN CASE WHEN ({div}) % 3 = 0 THEN 'restart' ELSE 'continue' END END AS merge FROM segments"""
@@ -878,15 +990,13 @@ def request_metrics(spark, d):
     return found.select("route", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "errors", F.round("error_share", 4).alias("error_share"), F.round("mean_duration", 4).alias("mean_duration"), "high_duration")
 
 
-@query(None, """SELECT DISTINCT lang, trim(x) AS text FROM (SELECT lang, unnest(string_split(regexp_replace(regexp_replace(trim(line), '([.!?])\\s+(["''“‘(\\[]?\\p{L})', '\\1' || chr(30) || '\\2', 'g'), '([。！？])', '\\1' || chr(30), 'g'), chr(30))) AS x
-    FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '\\p{L}')) WHERE trim(x) <> ''""")
+@query(["segments"], SENTENCES + " SELECT DISTINCT source_language AS lang, text FROM sentences")
 def stream_segments(spark, d):
-    """Documents as a stream of files, and the distinct sentences that it leaves."""
-    folder = shared_path(spark, "stream")
-    source = spark.readStream.schema(v.table(spark, d, "documents").schema).option("pathGlobFilter", "*.parquet")
-    stream = source.parquet(f"{d}/documents.parquet*").withColumn("arrived", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id")))
-    out = requests.stream_sentences(stream, "arrived", "3650 days")
-    return requests.run_once(out, spark, f"{folder}/out", f"{folder}/checkpoint").select("lang", "text")
+    """Documents as a stream of files, a file or more a batch, and the distinct sentences that it leaves."""
+    source = spark.readStream.schema(v.table(spark, d, "documents").schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 8)
+    table = GrowingTable(spark, f"sentences_{uuid.uuid4().hex}", shared_path(spark, "sentences"), "lang STRING, text STRING", ["lang", "text"])
+    requests.stream_sentences(source.parquet(f"{d}/documents.parquet*"), table, shared_path(spark, "checkpoint"))
+    return table.rows()
 
 
 @query(["segments"], SENTENCES + " SELECT DISTINCT source_language, target_language, text, '[id] ' || text AS translated FROM sentences WHERE regexp_matches(text, '\\p{L}') UNION SELECT DISTINCT source_language, target_language, text, text FROM sentences WHERE NOT regexp_matches(text, '\\p{L}')")

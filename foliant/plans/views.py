@@ -95,9 +95,16 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN ord % 3 = 2 THEN NULL ELSE concat('edited ', source_text) END AS text",
         "CASE WHEN ord % 2 = 0 THEN 'bold' WHEN ord % 3 = 2 THEN '' END AS style",
         "CASE WHEN ord % 4 = 1 THEN array(concat('edited ', source_text)) WHEN ord % 4 = 3 THEN array('edited', ' ', 'short') END AS runs",
+        "ord % 2 = 0 OR ord % 3 = 2 OR ord % 7 = 1 AS sent_style",
+        "ord % 2 = 1 OR ord % 8 = 0 AS sent_runs",
     )
 
 
+def styled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of which a third have a stored style and half have stored runs."""
+    return segments(spark, sf_dir).selectExpr("*", "CASE WHEN ord % 3 = 0 THEN 'italic' END AS style", "CASE WHEN ord % 4 < 2 THEN array('[id] ', source_text) END AS runs")
+
+
 def insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No to three inserted blocks per document."""
     return (
@@ -223,8 +230,10 @@ SQL: dict[str, str] = {
     "edits": """SELECT document_id, CASE WHEN ord % 5 = 4 THEN 'x_' || key ELSE key END AS key,
         CASE WHEN ord % 3 = 2 THEN NULL ELSE 'edited ' || source_text END AS text,
         CASE WHEN ord % 2 = 0 THEN 'bold' WHEN ord % 3 = 2 THEN '' END AS style,
-        CASE WHEN ord % 4 = 1 THEN ['edited ' || source_text] WHEN ord % 4 = 3 THEN ['edited', ' ', 'short'] END AS runs
+        CASE WHEN ord % 4 = 1 THEN ['edited ' || source_text] WHEN ord % 4 = 3 THEN ['edited', ' ', 'short'] END AS runs,
+        ord % 2 = 0 OR ord % 3 = 2 OR ord % 7 = 1 AS sent_style, ord % 2 = 1 OR ord % 8 = 0 AS sent_runs
         FROM segments WHERE (ord + length(source_text)) % 7 = 0""",
+    "styled_segments": """SELECT *, CASE WHEN ord % 3 = 0 THEN 'italic' END AS style, CASE WHEN ord % 4 < 2 THEN ['[id] ', source_text] END AS runs FROM segments""",
     "insertions": """SELECT 'doc_' || doc_id AS document_id, o AS ord,
         CASE (doc_id + o) % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'divider' ELSE 'page_break' END AS type,
         (doc_id * 7 + o * 3) % 6 - 1 AS after,
@@ -266,7 +275,7 @@ SQL: dict[str, str] = {
 
 #: What each view is made from, besides base tables.
 NEEDS = {
-    "segments": ["units"], "edits": ["segments"], "media": ["insertions"], "spans": ["units"], "shapes": ["spans"], "links": ["spans"], "runs": ["segments"],
+    "segments": ["units"], "edits": ["segments"], "styled_segments": ["segments"], "media": ["insertions"], "spans": ["units"], "shapes": ["spans"], "links": ["spans"], "runs": ["segments"],
 }
 
 

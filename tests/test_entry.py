@@ -9,7 +9,7 @@ ROOT = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
 
 def test_entry_and_names(spark):
     df = __spark_entry__.entry(spark)
-    assert df.columns == ["source_language", "target_language", "sentences", "hits", "occurrences", "served"] and df.count() > 0
+    assert df.columns == ["run", "source_language", "target_language", "sentences", "hits", "misses", "occurrences", "served", "added"] and df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
