@@ -1,7 +1,7 @@
 """Geometry of pages as joins and windows over boxes.
 
-Boxes meet by document, page and the cells of a grid that they touch, so a long line or a crowded page gives each box
-its neighbours alone. What is nearest beside a box comes from running minima over one sorted line.
+Boxes meet by document, page and the cells of grids of several sizes: a box lies on the grid whose cells are at least its
+size, so it touches four cells at most however large it is, and on the coarser grids that larger boxes are on. What is nearest beside a box comes from running minima over one sorted line.
 """
 
 from __future__ import annotations
@@ -15,20 +15,47 @@ COLUMN_GAP, COLUMN_GAP_SIZES = 3.0, 1.5
 SPACE_GAP_SIZES, SPACE_WIDTH_SIZES = 0.15, 0.25
 LINK_MARGIN, LINK_SHARE = 0.2, 0.5
 PAGE = ["document_id", "page"]
-#: Sides of a cell of the grid; any sides give the same results.
+#: Sides of a cell of the finest grid, doubled from level to level; any sides give the same results.
 CELL_WIDTH, CELL_HEIGHT = 128.0, 32.0
+#: A box by its sides' columns or expressions: x0, y0, x1, y1.
+Box = tuple[Column, Column, Column, Column]
 # The bottom margin of a page, the least sides of a container, and the share of a box's height that counts as beside.
 BOTTOM_MARGIN, CONTAINER_SIDE, BAND = 36.0, 5.0, 0.25
+# Shapes thinner than the first grow by the second on all sides as obstacles.
+HAIRLINE, HAIRLINE_GROWS = 1.0, 0.5
 
 
-def in_cells(boxes: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
-    """boxes, each once per cell (cell_x, cell_y) that it touches."""
-    at = lambda c, side: F.floor(c / side).cast("int")
-    across = boxes.withColumn("cell_x", F.explode(F.sequence(at(x0, CELL_WIDTH), F.greatest(at(x0, CELL_WIDTH), at(x1, CELL_WIDTH)))))
-    return across.withColumn("cell_y", F.explode(F.sequence(at(y0, CELL_HEIGHT), F.greatest(at(y0, CELL_HEIGHT), at(y1, CELL_HEIGHT)))))
+def grid_level(box: Box) -> Column:
+    """The finest grid of which a cell is as large as the box."""
+    x0, y0, x1, y1 = box
+    larger = F.greatest(F.lit(1.0), (x1 - x0) / CELL_WIDTH, (y1 - y0) / CELL_HEIGHT)
+    return F.ceil(F.log2(F.when(F.isnan(larger), 1.0).otherwise(larger)))
 
 
-CELLS = [*PAGE, "cell_x", "cell_y"]
+def on_levels(boxes: DataFrame, box: Box, levels: list[int]) -> DataFrame:
+    """boxes (with own_level), once per cell that they touch on each of `levels` from their own up: four cells a level at most."""
+    x0, y0, x1, y1 = box
+    placed = boxes.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<bigint>"), lambda l: l >= F.col("own_level"))))
+    scale = F.pow(F.lit(2.0), F.col("level"))
+    at = lambda c, side: F.floor(F.coalesce(c, F.lit(0.0)) / (side * scale))
+    across = placed.withColumn("cell_x", F.explode(F.array_distinct(F.array(at(x0, CELL_WIDTH), at(F.greatest(x0, x1), CELL_WIDTH)))))
+    return across.withColumn("cell_y", F.explode(F.array_distinct(F.array(at(y0, CELL_HEIGHT), at(F.greatest(y0, y1), CELL_HEIGHT)))))
+
+
+CELLS = [*PAGE, "level", "cell_x", "cell_y"]
+
+
+def meeting(left: DataFrame, left_box: Box, right: DataFrame, right_box: Box) -> DataFrame:
+    """Pairs of rows whose boxes may touch, by page: on the level of the larger, once per cell that both touch there.
+
+    The levels in use, a few numbers, are read first. Columns of both sides but the page's must differ.
+    """
+    sides = [(df.withColumn("own_level", grid_level(box)), box) for df, box in ((left, left_box), (right, right_box))]
+    used = sides[0][0].select("own_level").unionByName(sides[1][0].select("own_level")).distinct().collect()
+    levels = sorted(r[0] for r in used if r[0] is not None) or [0]
+    (a, box_a), (b, box_b) = sides
+    a, b = on_levels(a, box_a, levels), on_levels(b, box_b, levels).withColumnRenamed("own_level", "other_level")
+    return a.join(b, CELLS).where(F.greatest("own_level", "other_level") == F.col("level")).drop("own_level", "other_level", "level", "cell_x", "cell_y")
 
 
 def filter_rules(shapes: DataFrame) -> DataFrame:
@@ -46,21 +73,21 @@ def link_char_join(spans: DataFrame, links: DataFrame) -> DataFrame:
     margin = LINK_MARGIN * F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     own = spans.select(*PAGE, "line", "span", cx.alias("cx"), cy.alias("cy"), margin.alias("m"))
     c = {n: F.col(n) for n in ("cx", "cy", "m", "x0", "y0", "x1", "y1")}
-    own = in_cells(own, c["cx"] - c["m"], c["cy"] - c["m"], c["cx"] + c["m"], c["cy"] + c["m"])
+    grown = (c["cx"] - c["m"], c["cy"] - c["m"], c["cx"] + c["m"], c["cy"] + c["m"])
     inside = (c["cx"] >= c["x0"] - c["m"]) & (c["cx"] <= c["x1"] + c["m"]) & (c["cy"] >= c["y0"] - c["m"]) & (c["cy"] <= c["y1"] + c["m"])
-    met = own.join(in_cells(links, c["x0"], c["y0"], c["x1"], c["y1"]), CELLS).where(inside)
+    met = meeting(own, grown, links, (c["x0"], c["y0"], c["x1"], c["y1"])).where(inside)
     return met.groupBy(*PAGE, "line", "span").agg(F.min_by("target", "link_id").alias("target"))
 
 
 def image_link_best(shapes: DataFrame, links: DataFrame) -> DataFrame:
     """PAGE, shape_id, target: the link that covers the largest share of a box, half at least; the last of equals."""
     sides = ("x0", "y0", "x1", "y1")
-    box = in_cells(shapes.select(*PAGE, "shape_id", *[F.col(c).alias(f"s_{c}") for c in sides]), *[F.col(f"s_{c}") for c in sides])
+    own = shapes.select(*PAGE, "shape_id", *[F.col(c).alias(f"s_{c}") for c in sides])
     w = F.least("s_x1", "x1") - F.greatest("s_x0", "x0")
     h = F.least("s_y1", "y1") - F.greatest("s_y0", "y0")
     area = F.abs((F.col("s_x1") - F.col("s_x0")) * (F.col("s_y1") - F.col("s_y0")))
     share = F.when((w > 0) & (h > 0), w * h / area).otherwise(0.0)
-    joined = box.where(area > 0).join(in_cells(links, *[F.col(c) for c in sides]), CELLS).withColumn("share", share).where(F.col("share") >= LINK_SHARE)
+    joined = meeting(own.where(area > 0), tuple(F.col(f"s_{c}") for c in sides), links, tuple(F.col(c) for c in sides)).withColumn("share", share).where(F.col("share") >= LINK_SHARE)
     return joined.groupBy(*PAGE, "shape_id").agg(F.max_by("target", F.struct("share", "link_id")).alias("target"))
 
 
@@ -79,16 +106,24 @@ def text_bounds(spans: DataFrame, containers: DataFrame, areas: DataFrame) -> Da
     w, h = F.col("c_x1") - F.col("c_x0"), F.col("c_y1") - F.col("c_y0")
     sides = ("x0", "y0", "x1", "y1")
     boxes = containers.select(*PAGE, "shape_id", *[F.col(c).alias(f"c_{c}") for c in sides]).where((w > CONTAINER_SIDE) & (h > CONTAINER_SIDE))
-    corner = [F.col("x0") - 1, F.col("y0") - 1]
-    own = in_cells(spans.select(*PAGE, "line", "span", *sides), *corner, *corner)  # a container holds the corner's cell
+    corner = (F.col("x0") - 1, F.col("y0") - 1)
+    own = spans.select(*PAGE, "line", "span", *sides)
     inside = (F.col("c_x0") <= F.col("x0") - 1) & (F.col("c_y0") <= F.col("y0") - 1) & (F.col("c_x1") >= F.col("x1") + 1) & (F.col("c_y1") >= F.col("y1") + 1)
-    met = own.join(in_cells(boxes, *[F.col(f"c_{c}") for c in sides]), CELLS).where(inside)
+    met = meeting(own, (*corner, *corner), boxes, tuple(F.col(f"c_{c}") for c in sides)).where(inside)  # a container holds the corner
     found = met.groupBy(*PAGE, "line", "span").agg(F.min_by(F.struct("shape_id", *[f"c_{c}" for c in sides]), F.struct(w * h, "shape_id")).alias("c"))
     out = spans.select(*PAGE, "line", "span").join(found, [*PAGE, "line", "span"], "left").join(areas, PAGE)
     cut = [F.greatest("a_x0", "c.c_x0"), F.greatest("a_y0", "c.c_y0"), F.least("a_x1", "c.c_x1"), F.least("a_y1", "c.c_y1")]
     return out.select(*PAGE, "line", "span", F.col("c.shape_id").alias("container"), *[e.alias(f"b_{n}") for e, n in zip(cut, sides)])
 
 
+def page_obstacles(texts: DataFrame, shapes: DataFrame) -> DataFrame:
+    """PAGE, x0, y0, x1, y1 of all that text may not grow over: every text line, and shapes, hairlines with some thickness."""
+    lines = texts.groupBy(*PAGE, "line").agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]).drop("line")
+    thin = (F.col("x1") - F.col("x0") < HAIRLINE) | (F.col("y1") - F.col("y0") < HAIRLINE)
+    grown = [(F.col(c) + F.when(thin, by * HAIRLINE_GROWS).otherwise(0.0)).alias(c) for c, by in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))]
+    return lines.unionByName(shapes.select(*PAGE, *grown))
+
+
 def free_space_limits(spans: DataFrame, obstacles: DataFrame, bounds: DataFrame) -> DataFrame:
     """PAGE, line, span, right_limit, left_limit, bottom_limit: the nearest obstacles beside and below each span, at most its bounds.
 
@@ -101,7 +136,7 @@ def free_space_limits(spans: DataFrame, obstacles: DataFrame, bounds: DataFrame)
     o = obstacles.select(*PAGE, *[F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")])
     flat = F.lit(0.0)
     middle = (F.col("o_y0") < F.col("y1") - band) & (F.col("o_y1") > F.col("y0") + band)
-    lined = in_cells(rows, flat, F.col("y0"), flat, F.col("y1")).join(in_cells(o, flat, F.col("o_y0"), flat, F.col("o_y1")), CELLS).where(middle)
+    lined = meeting(rows, (flat, F.col("y0"), flat, F.col("y1")), o, (flat, F.col("o_y0"), flat, F.col("o_y1"))).where(middle)
     lined = lined.select(*row, "o_x0", "o_x1").distinct()
     none = F.lit(None).cast("double")
     who = [*PAGE, "line", "span", "y0", "y1"]
@@ -114,7 +149,7 @@ def free_space_limits(spans: DataFrame, obstacles: DataFrame, bounds: DataFrame)
 
     right = nearest(F.col("x1") - 0.5, "o_x0", F.desc("x"), F.min).withColumnRenamed("near", "right_near")
     left = nearest(F.col("x0") + 0.5, "o_x1", F.asc("x"), F.max).withColumnRenamed("near", "left_near")
-    columns = in_cells(spans, F.col("x0"), flat, F.col("x1"), flat).join(in_cells(o, F.col("o_x0"), flat, F.col("o_x1"), flat), CELLS)
+    columns = meeting(spans, (F.col("x0"), flat, F.col("x1"), flat), o, (F.col("o_x0"), flat, F.col("o_x1"), flat))
     below = (F.col("o_y0") >= F.col("y1") - 0.5) & (F.col("o_x0") < F.col("x1")) & (F.col("o_x1") > F.col("x0"))
     under = columns.where(below).groupBy(*PAGE, "line", "span").agg(F.min("o_y0").alias("under_near"))
     key = [*PAGE, "line", "span"]

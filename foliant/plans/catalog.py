@@ -345,21 +345,27 @@ def text_bounds(spark, d):
     return _bounds(spark, d)
 
 
-@query(["spans", "shapes"], BOUNDS + """, h AS (SELECT DISTINCT document_id, page, y0, y1 FROM spans),
-    l AS (SELECT h.document_id, h.page, h.y0, h.y1, o.x0 AS ox0, o.x1 AS ox1 FROM h JOIN shapes o ON h.document_id = o.document_id AND h.page = o.page
+@query(["spans", "shapes"], BOUNDS + """, ob AS (SELECT document_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM spans GROUP BY document_id, page, line
+        UNION ALL SELECT document_id, page, x0 - g, y0 - g, x1 + g, CASE WHEN y1 - y0 = 1 THEN y1 - 0.5 ELSE y1 END + g FROM (SELECT *, CASE WHEN y1 - y0 = 1 OR y1 - y0 < 1 OR x1 - x0 < 1 THEN 0.5 ELSE 0.0 END AS g FROM shapes)),
+    h AS (SELECT DISTINCT document_id, page, y0, y1 FROM spans),
+    l AS (SELECT h.document_id, h.page, h.y0, h.y1, o.x0 AS ox0, o.x1 AS ox1 FROM h JOIN ob o ON h.document_id = o.document_id AND h.page = o.page
           AND o.y0 < h.y1 - (h.y1 - h.y0) * 0.25 AND o.y1 > h.y0 + (h.y1 - h.y0) * 0.25),
     r AS (SELECT *, min(o) OVER (PARTITION BY document_id, page, y0, y1 ORDER BY x DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS near FROM
           (SELECT document_id, page, y0, y1, line, span, x1 - 0.5 AS x, NULL::DOUBLE AS o FROM spans UNION ALL SELECT document_id, page, y0, y1, NULL, NULL, ox0, ox0 FROM l)),
     f AS (SELECT *, max(o) OVER (PARTITION BY document_id, page, y0, y1 ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS near FROM
           (SELECT document_id, page, y0, y1, line, span, x0 + 0.5 AS x, NULL::DOUBLE AS o FROM spans UNION ALL SELECT document_id, page, y0, y1, NULL, NULL, ox1, ox1 FROM l)),
     sc AS (SELECT *, unnest(range(CAST(floor(x0 / 100) AS BIGINT), CAST(floor(x1 / 100) AS BIGINT) + 1)) AS cell FROM spans),
-    oc AS (SELECT *, unnest(range(CAST(floor(x0 / 100) AS BIGINT), CAST(floor(x1 / 100) AS BIGINT) + 1)) AS cell FROM shapes),
+    oc AS (SELECT *, unnest(range(CAST(floor(x0 / 100) AS BIGINT), CAST(floor(x1 / 100) AS BIGINT) + 1)) AS cell FROM ob),
     u AS (SELECT s.document_id, s.page, s.line, s.span, min(o.y0) AS near FROM sc s JOIN oc o ON s.document_id = o.document_id AND s.page = o.page AND s.cell = o.cell
           AND o.y0 >= s.y1 - 0.5 AND o.x0 < s.x1 AND o.x1 > s.x0 GROUP BY 1, 2, 3, 4)
     SELECT document_id, page, line, span, least(b_x1, r.near) AS right_limit, greatest(b_x0, f.near) AS left_limit, least(b_y1, u.near) AS bottom_limit
     FROM bounds JOIN r USING (document_id, page, line, span) JOIN f USING (document_id, page, line, span) LEFT JOIN u USING (document_id, page, line, span)""")
 def free_space_limits(spark, d):
-    return layout.free_space_limits(v.spans(spark, d), v.shapes(spark, d), _bounds(spark, d))
+    """Shapes of which some are hairlines, and the text lines, as obstacles."""
+    spans, shapes = stored(v.spans(spark, d), "spans"), v.shapes(spark, d)
+    obstacles = stored(layout.page_obstacles(spans, shapes.withColumn("y1", F.expr("CASE WHEN y1 - y0 = 1 THEN y1 - 0.5D ELSE y1 END"))), "obstacles")
+    bounds = layout.text_bounds(spans, shapes, layout.page_areas(spans, 640.0, 600.0))
+    return layout.free_space_limits(spans, obstacles, bounds)
 
 
 @query(["images"], """SELECT image_id, preset FROM images, (VALUES ('og', 1200, 630), ('square', 1080, 1080), ('story', 1080, 1920), ('hd', 1920, 1080), ('thumbnail', 400, 300)) AS p(preset, w, h)
