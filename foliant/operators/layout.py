@@ -1,7 +1,8 @@
 """Geometry of pages as joins and windows over boxes.
 
-Boxes meet by document, page and the cells of grids of several sizes: a box lies on the grid whose cells are at least its
-size, so it touches four cells at most however large it is, and on the coarser grids that larger boxes are on. What is nearest beside a box comes from running minima over one sorted line.
+Boxes meet by document, page and the cells of grids of several sizes: a large box lies on the grid whose cells are at least
+its size, so it touches four cells at most however large it is, and small ones on the finest and on the grids that larger
+boxes are on. What is nearest beside a box comes from running minima over one sorted line.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.session import stored
+
 # What counts as a rule, a column gap, a missing space, and a link over a letter or an image.
 MOST_THICKNESS, LEAST_ASPECT, LEAST_THICKNESS = 6.0, 4.0, 0.25
 COLUMN_GAP, COLUMN_GAP_SIZES = 3.0, 1.5
@@ -25,37 +28,61 @@ BOTTOM_MARGIN, CONTAINER_SIDE, BAND = 36.0, 5.0, 0.25
 HAIRLINE, HAIRLINE_GROWS = 1.0, 0.5
 
 
+#: Boxes of at most so many cells' size stay on the finest grid.
+FINEST_CELLS = 16
+#: A level is that across times this and that down.
+DOWN = 4096
+
+
+def _sides(low: Column, high: Column) -> tuple[Column, Column]:
+    """Both ends as finite numbers in order."""
+    finite = lambda c: F.greatest(F.least(c, F.lit(1e300)), F.lit(-1e300))
+    first = finite(F.nanvl(F.coalesce(low, F.lit(0.0)), F.lit(0.0)))
+    return first, F.greatest(first, finite(F.nanvl(F.coalesce(high, first), first)))
+
+
 def grid_level(box: Box) -> Column:
-    """The finest grid of which a cell is as large as the box."""
-    x0, y0, x1, y1 = box
-    larger = F.greatest(F.lit(1.0), (x1 - x0) / CELL_WIDTH, (y1 - y0) / CELL_HEIGHT)
-    return F.ceil(F.log2(F.when(F.isnan(larger), 1.0).otherwise(larger)))
+    """The finest grid for a small box; for a larger one that of which a cell is as wide and as high as the box."""
 
+    def finest(low: Column, high: Column, cell: float) -> Column:
+        first, last = _sides(low, high)
+        size = (last - first) / cell
+        return F.when(size <= FINEST_CELLS, F.lit(0).cast("long")).otherwise(F.ceil(F.log2(size)))
 
-def on_levels(boxes: DataFrame, box: Box, levels: list[int]) -> DataFrame:
-    """boxes (with own_level), once per cell that they touch on each of `levels` from their own up: four cells a level at most."""
-    x0, y0, x1, y1 = box
-    placed = boxes.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<bigint>"), lambda l: l >= F.col("own_level"))))
-    scale = F.pow(F.lit(2.0), F.col("level"))
-    at = lambda c, side: F.floor(F.coalesce(c, F.lit(0.0)) / (side * scale))
-    across = placed.withColumn("cell_x", F.explode(F.array_distinct(F.array(at(x0, CELL_WIDTH), at(F.greatest(x0, x1), CELL_WIDTH)))))
-    return across.withColumn("cell_y", F.explode(F.array_distinct(F.array(at(y0, CELL_HEIGHT), at(F.greatest(y0, y1), CELL_HEIGHT)))))
+    return finest(box[0], box[2], CELL_WIDTH) * DOWN + finest(box[1], box[3], CELL_HEIGHT)
+
+
+def on_levels(boxes: DataFrame, box: Box, levels: dict[int, list[int]]) -> DataFrame:
+    """boxes (with own_level), once per cell that they touch on each level listed for their own: four cells a level at most, but
+    for small boxes on the finest grid, which touch few.
+
+    A listed level is at least as coarse as the own one, both across and down.
+    """
+    listed = F.create_map(*[x for own, all_ in levels.items() for x in (F.lit(own).cast("long"), F.array(*map(F.lit, all_)).cast("array<bigint>"))])
+    cells = boxes.withColumn("level", F.explode(F.element_at(listed, F.col("own_level"))))
+    across, down = F.pow(F.lit(2.0), F.floor(F.col("level") / DOWN)) * CELL_WIDTH, F.pow(F.lit(2.0), F.col("level") % DOWN) * CELL_HEIGHT
+    for name, low, high, side in (("cell_x", box[0], box[2], across), ("cell_y", box[1], box[3], down)):
+        first, last = _sides(low, high)
+        cells = cells.withColumn(name, F.explode(F.sequence(F.floor(first / side), F.floor(last / side))))
+    return cells
 
 
 CELLS = [*PAGE, "level", "cell_x", "cell_y"]
 
 
 def meeting(left: DataFrame, left_box: Box, right: DataFrame, right_box: Box) -> DataFrame:
-    """Pairs of rows whose boxes may touch, by page: on the level of the larger, once per cell that both touch there.
+    """Pairs of rows whose boxes may touch, by page, once per cell that both touch on the level of the larger sides.
 
-    The levels in use, a few numbers, are read first. Columns of both sides but the page's must differ.
+    The levels in use, a few numbers, are read first; a box lies on the levels that it shares with a level of the other side.
+    Columns of both sides but the page's must differ.
     """
-    sides = [(df.withColumn("own_level", grid_level(box)), box) for df, box in ((left, left_box), (right, right_box))]
-    used = sides[0][0].select("own_level").unionByName(sides[1][0].select("own_level")).distinct().collect()
-    levels = sorted(r[0] for r in used if r[0] is not None) or [0]
-    (a, box_a), (b, box_b) = sides
-    a, b = on_levels(a, box_a, levels), on_levels(b, box_b, levels).withColumnRenamed("own_level", "other_level")
-    return a.join(b, CELLS).where(F.greatest("own_level", "other_level") == F.col("level")).drop("own_level", "other_level", "level", "cell_x", "cell_y")
+    sides = [df.withColumn("own_level", grid_level(box)) for df, box in ((left, left_box), (right, right_box))]
+    used = [sorted(r[0] for r in df.select("own_level").distinct().collect()) or [0] for df in sides]
+    coarser = lambda x, y: max(x // DOWN, y // DOWN) * DOWN + max(x % DOWN, y % DOWN)
+    a = on_levels(sides[0], left_box, {x: sorted({coarser(x, y) for y in used[1]}) for x in used[0]})
+    b = on_levels(sides[1], right_box, {y: sorted({coarser(x, y) for x in used[0]}) for y in used[1]}).withColumnRenamed("own_level", "other_level")
+    shared = F.greatest(F.floor(F.col("own_level") / DOWN), F.floor(F.col("other_level") / DOWN)) * DOWN + F.greatest(F.col("own_level") % DOWN, F.col("other_level") % DOWN)
+    return a.join(b, CELLS).where(shared == F.col("level")).drop("own_level", "other_level", "level", "cell_x", "cell_y")
 
 
 def filter_rules(shapes: DataFrame) -> DataFrame:
@@ -149,10 +176,22 @@ def free_space_limits(spans: DataFrame, obstacles: DataFrame, bounds: DataFrame)
 
     right = nearest(F.col("x1") - 0.5, "o_x0", F.desc("x"), F.min).withColumnRenamed("near", "right_near")
     left = nearest(F.col("x0") + 0.5, "o_x1", F.asc("x"), F.max).withColumnRenamed("near", "left_near")
-    columns = meeting(spans, (F.col("x0"), flat, F.col("x1"), flat), o, (F.col("o_x0"), flat, F.col("o_x1"), flat))
-    below = (F.col("o_y0") >= F.col("y1") - 0.5) & (F.col("o_x0") < F.col("x1")) & (F.col("o_x1") > F.col("x0"))
-    under = columns.where(below).groupBy(*PAGE, "line", "span").agg(F.min("o_y0").alias("under_near"))
-    key = [*PAGE, "line", "span"]
+    key, across = [*PAGE, "line", "span"], (F.col("o_x0") < F.col("x1")) & (F.col("o_x1") > F.col("x0"))
+    tops = o.select(*PAGE, "o_x0", "o_x1", "o_y0")
+
+    def nearest_below(some: DataFrame, depth: float | None) -> DataFrame:
+        """The nearest top edge below each span, within `depth` or however far."""
+        start = F.col("y1") - 0.5
+        reach, edge = (flat, flat), (flat, flat)
+        if depth:
+            reach, edge = (start, start + depth), (F.col("o_y0"), F.col("o_y0"))
+        met = meeting(some, (F.col("x0"), reach[0], F.col("x1"), reach[1]), tops, (F.col("o_x0"), edge[0], F.col("o_x1"), edge[1]))
+        met = met.where(across & (F.col("o_y0") >= start) & (F.col("o_y0") <= start + depth if depth else F.lit(True)))
+        return met.groupBy(*key).agg(F.min("o_y0").alias("under_near"))
+
+    # what stands close below is the nearest; only spans with nothing there look down the whole page
+    close = stored(nearest_below(spans, CELL_HEIGHT), "close")
+    under = close.unionByName(nearest_below(spans.join(close, key, "left_anti"), None))
     out = bounds.join(right, key).join(left, key).join(under, key, "left")
     return out.select(
         *key, F.least("b_x1", "right_near").alias("right_limit"), F.greatest("b_x0", "left_near").alias("left_limit"), F.least("b_y1", "under_near").alias("bottom_limit")
