@@ -109,6 +109,26 @@ def resize_plan(images: DataFrame) -> DataFrame:
     return images.select("image_id", F.when(ok, out_w).alias("out_width"), F.when(ok, out_h).alias("out_height"), outcome.alias("outcome"))
 
 
+def bounded_plan(images: DataFrame) -> DataFrame:
+    """image_id, format, outcome, out_width, out_height, saved_pixels: images of which a side exceeds max_dimension shrink to it
+    by their ratio, a pixel at least; others, and those without a bound, keep their size."""
+    most, w, h = F.col("max_dimension"), F.col("width"), F.col("height")
+    side = lambda x: F.greatest(F.bround(x, 0).cast("long"), F.lit(1).cast("long"))
+    larger = F.coalesce(F.greatest(w, h) > most, F.lit(False))
+    out_w = F.when(~larger, w).when(w >= h, most).otherwise(side(w / h * most))
+    out_h = F.when(~larger, h).when(h >= w, most).otherwise(side(h / w * most))
+    outcome = F.when((most < 1) | (most > MOST_SIDE), "bad_size").when(w.isNull() | h.isNull(), "unknown_size").otherwise("ok")
+    ok = outcome == "ok"
+    return images.select(
+        "image_id", "format", outcome.alias("outcome"), F.when(ok, out_w).alias("out_width"), F.when(ok, out_h).alias("out_height"), F.when(ok, w * h - out_w * out_h).otherwise(0).alias("saved_pixels")
+    )
+
+
+def pixels_by_format(images: DataFrame) -> DataFrame:
+    """format, files, shrunk, saved_pixels of bounded_plan()."""
+    return bounded_plan(images).groupBy("format").agg(F.count("*").alias("files"), F.count_if(F.col("saved_pixels") > 0).alias("shrunk"), F.sum("saved_pixels").alias("saved_pixels"))
+
+
 def resolution_suggestions(images: DataFrame) -> DataFrame:
     """image_id, preset of every preset that the image exceeds on a side; unknown sizes keep all."""
     presets = F.array(*[F.struct(F.lit(n).alias("preset"), F.lit(w).alias("w"), F.lit(h).alias("h")) for n, w, h in PRESETS])
@@ -136,8 +156,11 @@ def conversion_support(images: DataFrame) -> DataFrame:
 
 def compression_savings(images: DataFrame) -> DataFrame:
     """image_id, format, kept_original, out_size, saved_percent (rounded half up): a result of the same format that isn't
-    smaller is dropped for the original; without an original size nothing is saved."""
+    smaller is dropped for the original, unless a largest side was asked for (max_dimension); without an original size
+    nothing is saved."""
     keep = (F.col("format") == F.col("target")) & (F.col("output_size") >= F.col("original_size"))
+    if "max_dimension" in images.columns:
+        keep = keep & (F.coalesce("max_dimension", F.lit(0)) == 0)
     own = images.select("image_id", "format", keep.alias("kept_original"), "original_size", F.when(keep, F.col("original_size")).otherwise(F.col("output_size")).alias("out_size"))
     saved = F.when(F.col("original_size") > 0, F.floor((1 - F.col("out_size") / F.col("original_size")) * 100 + 0.5)).otherwise(0).cast("long")
     return own.select("image_id", "format", "kept_original", "out_size", saved.alias("saved_percent"))

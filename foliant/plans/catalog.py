@@ -93,24 +93,30 @@ def output_names(spark, d):
     return files.output_names(v.files(spark, d))
 
 
-_CONTACTS = """, p AS (SELECT doc_id, 'emails' AS field, regexp_extract_all(text, '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+(?:\\.[\\p{L}\\p{N}_-]+)+') AS l FROM documents
-    UNION ALL SELECT doc_id, 'urls', regexp_extract_all(text, 'https?://[^\\s<>()"'']+[^\\s<>()"''.,;:!?]') FROM documents
-    UNION ALL SELECT doc_id, 'phone_numbers', regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_])((?:\\+|\\(|0)[\\d\\s()-]{7,}\\d)', 1) FROM documents),
+_CONTACTS = """, src AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - page_id, 'See ' || url || ', or (' || url || ').' FROM pages), p AS (SELECT doc_id, 'emails' AS field, regexp_extract_all(text, '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+(?:\\.[\\p{L}\\p{N}_-]+)+') AS l FROM src
+    UNION ALL SELECT doc_id, 'urls', regexp_extract_all(text, 'https?://[^\\s<>()"'']+[^\\s<>()"''.,;:!?]') FROM src
+    UNION ALL SELECT doc_id, 'phone_numbers', regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_])((?:\\+|\\(|0)[\\d\\s()-]{7,}\\d)', 1) FROM src),
     x AS (SELECT doc_id, field, i - 1 AS pos, trim(l[i]) AS value FROM p, unnest(range(1, len(p.l) + 1)) AS t(i)),
     k AS (SELECT *, lower(regexp_replace(value, '\\s+', ' ', 'g')) AS k FROM x
           WHERE field <> 'phone_numbers' OR (length(regexp_replace(value, '\\D', '', 'g')) >= 8 AND NOT regexp_matches(value, '^\\d{4}-\\d{2}-\\d{2}$'))),
     c AS (SELECT doc_id, field, arg_min(regexp_replace(value, '\\s+', ' ', 'g'), pos) AS value, min(pos) AS pos FROM k GROUP BY doc_id, field, k)"""
 
 
+def _contact_texts(spark, d):
+    """Documents, and pages' addresses within a sentence under negative numbers."""
+    pages = v.table(spark, d, "pages").selectExpr("-1 - page_id AS doc_id", "concat('See ', url, ', or (', url, ').') AS text")
+    return v.table(spark, d, "documents").select("doc_id", "text").unionByName(pages)
+
+
 @query(["records"], _CONTACTS + " SELECT doc_id, field, value, pos FROM c")
 def extract_contacts(spark, d):
-    return text.extract_contacts(v.table(spark, d, "documents"), "doc_id", "text")
+    return text.extract_contacts(_contact_texts(spark, d), "doc_id", "text")
 
 
 @query(["records"], _CONTACTS + """ SELECT doc_id, CASE field WHEN 'emails' THEN 5 WHEN 'phone_numbers' THEN 6 ELSE 7 END AS field_no, pos,
     field || ',' || CASE WHEN regexp_matches(value, '[",\\n\\r]') THEN '"' || replace(value, '"', '""') || '"' ELSE value END AS line FROM c""")
 def export_extraction(spark, d):
-    found = text.extract_contacts(v.table(spark, d, "documents"), "doc_id", "text")
+    found = text.extract_contacts(_contact_texts(spark, d), "doc_id", "text")
     number = F.when(F.col("field") == "emails", 5).when(F.col("field") == "phone_numbers", 6).otherwise(7)
     return found.select("doc_id", number.cast("long").alias("field_no"), "pos", tables.csv_line(F.col("field"), F.col("value")).alias("line"))
 
@@ -465,18 +471,26 @@ def insertion_change_count(spark, d):
     return edits.insertion_changes(old, new)
 
 
-@query(["images"], """SELECT image_id, format, format = target AND output_size >= original_size AS kept_original, CASE WHEN format = target AND output_size >= original_size THEN original_size ELSE output_size END AS out_size,
-    CASE WHEN format = target AND output_size >= original_size THEN 0 ELSE CAST(floor((1 - output_size / original_size) * 100 + 0.5) AS BIGINT) END AS saved_percent FROM images""")
+@query(["images"], """SELECT image_id, format, format = target AND output_size >= original_size AND max_dimension IS NULL AS kept_original, CASE WHEN format = target AND output_size >= original_size AND max_dimension IS NULL THEN original_size ELSE output_size END AS out_size,
+    CASE WHEN format = target AND output_size >= original_size AND max_dimension IS NULL THEN 0 ELSE CAST(floor((1 - output_size / original_size) * 100 + 0.5) AS BIGINT) END AS saved_percent FROM images""")
 def compression_savings(spark, d):
     return files.compression_savings(v.images(spark, d))
 
 
-@query(["images"], """SELECT format, count(*) AS files, count(*) FILTER (format = target AND output_size >= original_size) AS kept_original,
-    CAST(sum(original_size - CASE WHEN format = target AND output_size >= original_size THEN original_size ELSE output_size END) AS BIGINT) AS saved_bytes FROM images GROUP BY 1""")
+@query(["images"], """SELECT format, count(*) AS files, count(*) FILTER (format = target AND output_size >= original_size AND max_dimension IS NULL) AS kept_original,
+    CAST(sum(original_size - CASE WHEN format = target AND output_size >= original_size AND max_dimension IS NULL THEN original_size ELSE output_size END) AS BIGINT) AS saved_bytes FROM images GROUP BY 1""")
 def savings_by_format(spark, d):
     return files.savings_by_format(v.images(spark, d))
 
 
+@query(["images"], """, p AS (SELECT *, greatest(width, height) > max_dimension AS over FROM images),
+    o AS (SELECT *, CASE WHEN width IS NULL THEN 0 WHEN NOT coalesce(over, false) THEN width WHEN width >= height THEN max_dimension ELSE greatest(1, CAST(round_even(width / height * max_dimension, 0) AS BIGINT)) END AS ow,
+        CASE WHEN width IS NULL THEN 0 WHEN NOT coalesce(over, false) THEN height WHEN height >= width THEN max_dimension ELSE greatest(1, CAST(round_even(height / width * max_dimension, 0) AS BIGINT)) END AS oh FROM p)
+    SELECT format, count(*) AS files, count(*) FILTER (coalesce(over, false) AND width * height > ow * oh) AS shrunk, CAST(sum(coalesce(width * height, 0) - ow * oh) AS BIGINT) AS saved_pixels FROM o GROUP BY 1""")
+def pixels_by_format(spark, d):
+    return files.pixels_by_format(v.images(spark, d))
+
+
 @query(["runs"], "SELECT DISTINCT document_id, font FROM runs")
 def document_fonts(spark, d):
     return v.runs(spark, d).select("document_id", "font").distinct()

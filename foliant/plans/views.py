@@ -196,6 +196,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(CASE p_partkey % 4 WHEN 3 THEN NULL ELSE (p_partkey * 13) % 1200 END AS BIGINT) AS want_width",
         "CAST(CASE p_partkey % 6 WHEN 5 THEN NULL ELSE (p_partkey * 29) % 1200 END AS BIGINT) AS want_height",
         "CASE p_partkey % 3 WHEN 0 THEN 'cover' WHEN 1 THEN 'contain' ELSE 'stretch' END AS fit",
+        "CAST(CASE WHEN p_partkey % 5 < 2 THEN 700 + p_partkey % 900 END AS BIGINT) AS max_dimension",
     )
 
 
@@ -267,7 +268,8 @@ SQL: dict[str, str] = {
         1000 + (p_partkey * 7919) % 900000 AS original_size, 500 + (p_partkey * 5077) % 900000 AS output_size,
         CASE p_partkey % 4 WHEN 3 THEN NULL ELSE (p_partkey * 13) % 1200 END AS want_width,
         CASE p_partkey % 6 WHEN 5 THEN NULL ELSE (p_partkey * 29) % 1200 END AS want_height,
-        CASE p_partkey % 3 WHEN 0 THEN 'cover' WHEN 1 THEN 'contain' ELSE 'stretch' END AS fit FROM part""",
+        CASE p_partkey % 3 WHEN 0 THEN 'cover' WHEN 1 THEN 'contain' ELSE 'stretch' END AS fit,
+        CASE WHEN p_partkey % 5 < 2 THEN 700 + p_partkey % 900 END AS max_dimension FROM part""",
     "requests": """SELECT event_id AS request_id, ts, CAST(user_id % 20 AS VARCHAR) AS client, event_type AS route, value AS duration, props,
         CASE event_id % 6 WHEN 0 THEN 'fr-CH, fr;q=0.9, en;q=0.8' WHEN 1 THEN 'id;q=0.4,en;q=0.7' WHEN 2 THEN 'xx,id;q=abc,en;q=0.1' WHEN 3 THEN '' WHEN 4 THEN 'ID-id' ELSE 'en;q=0.5,id;q=0.5' END AS languages
         FROM events""",

@@ -119,3 +119,43 @@ def test_columns_and_spaces(spark):
     rules = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 1.0), (2, 0.01, 0.0, 100.0, 1.0), (3, 0.0, 0.0, 10.0, 10.0), (4, 0.0, 0.0, 1.0, 0.0)],
                                   "shape_id long, x0 double, y0 double, x1 double, y1 double").selectExpr("'d' AS document_id", "0L AS page", "*")
     assert [r["shape_id"] for r in layout.filter_rules(rules).orderBy("shape_id").collect()] == [1, 4]
+
+
+def test_long_rows_in_linear_time(spark):
+    """Sixty thousand matches, JSON tokens, addresses or lines in one row."""
+    import time
+
+    n = 60_000
+    one = spark.createDataFrame([(1, "the x " * n, '{"l": [' + ",".join(["1"] * n) + '], "token": {"a": [' + "[]," * 1000 + '1]}, "s": "' + "y\\\\" * 20_000 + '"}', "see a@b.cd [2] " * (n // 3))], "id long, t string, j string, u string")
+    started = time.time()
+    found = text.find_matches(one, ["id"], "t", "the").agg(F.count("*"), F.sum("start")).first()
+    assert tuple(found) == (n, sum(6 * i for i in range(n)))
+    masked = one.select(text.mask_json(F.col("j")).alias("m")).first()["m"]
+    assert masked.startswith('{"l": [1,1,') and '"token": "[REDACTED]", "s": "y' in masked
+    safe = text.protect_urls(one, "id", "u").first()
+    assert safe["protected"].startswith("see [1] [2] see [3] [2] see [4]") and len(safe["urls"]) == n // 3
+    lines = spark.range(n).selectExpr("'d' AS document_id", "id AS pos", "'ab-' AS line")
+    assert text.dehyphenate(lines).first()["text"] == "ab" * n + "-"
+    assert text.chunk_paragraphs(lines, "document_id", "pos", "line").count() == n // 1000
+    assert time.time() - started < 60
+
+
+def test_case_is_folded(spark):
+    rows = [(1, x) for x in ("Straße", "STRASSE", "strasse ", "ΣΑΣ", "σας", "ı", "I", "ẞ")]
+    values = spark.createDataFrame([(k, x, i) for i, (k, x) in enumerate(rows)], "k long, value string, pos long")
+    assert sorted(r["value"] for r in text.dedupe_values(values, ["k"]).collect()) == sorted(["Straße", "ΣΑΣ", "ı", "I", "ẞ"])
+    upper = spark.createDataFrame([(1, "İİ the THE")], "id long, t string")
+    assert [(r["start"], r["end"]) for r in text.find_matches(upper, ["id"], "t", "the", case=False).collect()] == [(3, 6), (7, 10)]
+
+
+def test_only_texts_of_answers_are_grounded(spark):
+    answers = spark.createDataFrame([(1, 0, 'x {"people": [3, {"a": 1}, "bob", null, "STRASSE"], "dates": "no"} y', 'Bob 3 straße {"a": 1}'), (1, 1, '{"people": ["BOB", "eve"]}', "bob Eve")], "id long, n long, a string, c string")
+    found = text.ground_values(answers, "id", "a", "c", order="n").collect()
+    assert sorted((r["field"], r["value"], r["pos"]) for r in found) == [("people", "STRASSE", 4), ("people", "bob", 2), ("people", "eve", 2**32 + 1)]
+
+
+def test_largest_sides(spark):
+    images = spark.createDataFrame([(1, "png", "png", 4000, 1000, 800, 10, 20), (2, "png", "png", 10, 4000, 100, 10, 20), (3, "png", "png", 10, 20, None, 10, 20), (4, "png", "png", None, None, 5, 10, 5)],
+                                   "image_id long, format string, target string, width long, height long, max_dimension long, original_size long, output_size long")
+    assert [(r["out_width"], r["out_height"], r["outcome"]) for r in files.bounded_plan(images).orderBy("image_id").collect()] == [(800, 200, "ok"), (1, 100, "ok"), (10, 20, "ok"), (None, None, "unknown_size")]
+    assert [r["kept_original"] for r in files.compression_savings(images).orderBy("image_id").collect()] == [False, False, True, False]
