@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.session import stored
+
 LEVELS = 9
 #: Ranges of a group's order within which its features are ranked.
 RANGES = 1024
@@ -115,21 +117,20 @@ def resolve_styles(styles: DataFrame, uses: DataFrame, properties: list[str]) ->
     """uses (run, layer, style) resolved: per run and property the last value that isn't null, layer by layer.
 
     styles: style, based_on and the properties. Each style is its chain of bases, base first; a chain ends at a style
-    that it has met or that doesn't exist. Chains are made on the table of styles, a base a round, until no chain goes
-    on. A run whose styles are unknown keeps its row, with nulls.
+    that it has met or that doesn't exist. Chains are made on the table of styles by doubling: a round joins each style's
+    bases of up to 2^k steps to those of its base that many steps away, so a chain of a thousand takes ten rounds. A base
+    keeps its least distance, which ends cycles. A run whose styles are unknown keeps its row, with nulls.
     """
-    base = styles.select(F.col("style").alias("at"), "based_on")
-    known = styles.select(F.col("style").alias("based_on"))
-    out = step = styles.select("style", F.col("style").alias("at"), F.array("style").alias("seen"), F.lit(0).alias("level"))
-    level = 0
-    while True:
-        level += 1
-        step = step.join(base, "at").where(F.col("based_on").isNotNull() & ~F.array_contains("seen", F.col("based_on"))).join(known, "based_on", "left_semi").select(
-            "style", F.col("based_on").alias("at"), F.concat("seen", F.array("based_on")).alias("seen"), F.lit(level).alias("level")
-        ).persist()
-        if step.isEmpty():
-            break
-        out = out.unionByName(step)
+    known = styles.select(F.col("style").alias("at"))
+    bases = styles.where("based_on IS NOT NULL").select("style", F.col("based_on").alias("at"), F.lit(1).alias("level")).join(known, "at", "left_semi")
+    least = lambda df: df.groupBy("style", "at").agg(F.min("level").alias("level"))
+    out = stored(least(styles.select("style", F.col("style").alias("at"), F.lit(0).alias("level")).unionByName(bases)), "chains")
+    steps = 1
+    while out.agg(F.max("level")).first()[0] == steps:
+        far = out.where(F.col("level") == steps).select("style", F.col("at").alias("through"))
+        on = far.join(out.select(F.col("style").alias("through"), "at", "level"), "through").select("style", "at", (F.col("level") + steps).alias("level"))
+        out = stored(least(out.unionByName(on)), "chains")
+        steps *= 2
     own = out.join(styles.select(F.col("style").alias("at"), *properties), "at")
     resolved = own.groupBy("style").agg(*[F.min_by(p, F.when(F.col(p).isNotNull(), F.col("level"))).alias(p) for p in properties])
     joined = uses.join(resolved, "style", "left")
