@@ -40,16 +40,22 @@ _record = ["id", "source_language", "target_language", "model_name", "emotion_ta
 # ---- sources and checks
 
 
-@query(["records", "jobs"], """SELECT 'translation_records' AS table_name, count(*) AS n, min(id) AS first_id, max(id) AS last_id, count(model_name) AS named FROM records
-    UNION ALL SELECT 'translation_jobs', count(*), min(id), max(id), count(job_id) FROM jobs""")
+@query(["records", "jobs", "t_documents", "segments", "insertions", "media"], """SELECT 'translation_records' AS table_name, count(*) AS n, min(id) AS first_id, max(id) AS last_id, count(model_name) AS named FROM records
+    UNION ALL SELECT 'translation_jobs', count(*), min(id), max(id), count(job_id) FROM jobs UNION ALL SELECT 'translated_documents', count(*), min(id), max(id), count(file_name) FROM t_documents
+    UNION ALL SELECT 'segments', count(*), min(ord), max(ord), count(key) FROM segments UNION ALL SELECT 'insertions', count(*), min(ord), max(ord), count(src) FROM insertions
+    UNION ALL SELECT 'media', count(*), min(length(name)), max(length(name)), count(name) FROM media""")
 def scan_records(spark, d):
-    """Record tables as a store has them, read by their fixed schemas."""
+    """The six record tables as a store has them, read by their fixed schemas; translations and documents lie by language pair."""
+    stores = [
+        ("translation_records", v.records(spark, d), "id", "model_name"), ("translation_jobs", v.jobs(spark, d), "id", "job_id"), ("translated_documents", v.t_documents(spark, d), "id", "file_name"),
+        ("segments", v.segments(spark, d), "ord", "key"), ("insertions", v.insertions(spark, d), "ord", "src"), ("media", v.media(spark, d), "length(name)", "name"),
+    ]
     out = None
-    for kind, rows, named in (("translation_records", v.records(spark, d), "model_name"), ("translation_jobs", v.jobs(spark, d), "job_id")):
+    for kind, rows, number, named in stores:
         path = shared_path(spark, kind)
-        rows.write.parquet(path)
-        read = tables.read_records(spark, path, kind)
-        found = read.agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(named).alias("named")).select(F.lit(kind).alias("table_name"), "*")
+        (tables.by_pair(rows) if "source_language" in rows.columns else rows).write.parquet(path)
+        number = F.expr(number).cast("long")
+        found = tables.read_records(spark, path, kind).agg(F.count("*").alias("n"), F.min(number).alias("first_id"), F.max(number).alias("last_id"), F.count(named).alias("named")).select(F.lit(kind).alias("table_name"), "*")
         out = found if out is None else out.unionByName(found)
     return out
 

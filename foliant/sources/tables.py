@@ -11,7 +11,10 @@ SCHEMAS = {
     "emotion_tags string, voice_tags string, model_name string, created_at timestamp, updated_at timestamp",
     "translation_jobs": "id long, job_id string, status string, total_records int, processed_records int, failed_records int, "
     "error_message string, created_at timestamp, started_at timestamp, completed_at timestamp",
-    "segments": "document_id string, ord long, key string, source_text string, translated_text string",
+    "translated_documents": "id long, document_id string, file_name string, file_size long, document_type string, source_language string, target_language string, "
+    "emotion_tags string, voice_tags string, status string, created_at timestamp, updated_at timestamp, content binary",
+    "segments": "document_id string, ord long, key string, source_text string, translated_text string, style string, runs array<string>",
+    "insertions": "document_id string, ord long, type string, after long, kind string, src string",
     "media": "document_id string, name string, content_type string, data binary",
 }
 
@@ -28,6 +31,16 @@ def read_records(spark: SparkSession, path: str, kind: str, fmt: str = "parquet"
     return spark.read.schema(SCHEMAS[kind]).format(fmt).load(path)
 
 
+def by_pair(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """df in ranges of language pair and id, sorted within, so that a filter on the pair skips most files and row groups.
+
+    A frequent pair spreads over several ranges, as the id is part of them.
+    """
+    order = ["source_language", "target_language", "id"]
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order)
+
+
 def read_records_jdbc(spark: SparkSession, url: str, name: str, column: str, lower: int, upper: int, parts: int) -> DataFrame:
     """A live store's table, read in ranges of a numeric column."""
     return spark.read.jdbc(url, name, column=column, lowerBound=lower, upperBound=upper, numPartitions=parts)
