@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.session import stored
+from foliant.functions.session import importable, stored
 
 LEVELS = 9
 #: Ranges of a group's order within which its features are ranked.
@@ -199,26 +200,41 @@ def paragraphs_from_lines(lines: DataFrame) -> DataFrame:
     nearer of the free space's end and the page's text's). A line goes on in the same block, font and weight, without a
     marker, close below a line behind which its first word would not have fitted; it begins where the paragraph's lines
     do, or, as the second line, up to four font sizes left of an indented first one.
+
+    All but where a line begins can be told from two lines, so windows make islands of lines that may go on. An island whose
+    lines all begin within ALIGNED is a paragraph; only the others, as with an indent, are read line by line.
     """
-    import pandas as pd
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "line"], ignore_index=True)
-        last = pdf.shift(1)
-        height, gap = last.y1 - last.y0, pdf.y0 - last.y1
-        # all but where a line begins can be told from the two lines
-        near = (pdf.block == last.block) & ~pdf.marker.astype(bool) & ((pdf["size"] - last["size"]).abs() <= 0.6) & (pdf.bold == last.bold)
-        near &= (gap >= -0.3 * height) & (gap <= 0.6 * height) & (pdf.baseline > last.baseline) & (last.x1 + last["size"] * 0.25 + pdf.first_word > last.right)
-        x0, size, near = pdf.x0.tolist(), pdf["size"].tolist(), near.tolist()
-        begins: list[int] = []
-        for i in range(len(pdf)):
-            n = i - begins[-1] if begins else 0
-            start = x0[begins[-1] + 1] if n > 1 else x0[i - 1]
-            aligned = n and (abs(x0[i] - start) < 3 or (n == 1 and 0 < x0[i - 1] - x0[i] <= 4 * size[i]))
-            if not (near[i] and aligned):
-                begins.append(i)
-        first = pdf.iloc[begins]
-        sizes = [b - a for a, b in zip(begins, [*begins[1:], len(pdf)])]
-        return pd.DataFrame({"document_id": first.document_id, "page": first.page, "paragraph": range(len(begins)), "first_line": first.line, "n_lines": sizes})
-
-    return lines.groupBy("document_id", "page").applyInPandas(split, "document_id string, page long, paragraph long, first_line long, n_lines long")
+    order = Window.partitionBy(*PAGE).orderBy("block", "line")
+    last = {c: F.lag(c).over(order) for c in ("block", "size", "bold", "x1", "y0", "y1", "baseline", "right")}
+    height, gap = last["y1"] - last["y0"], F.col("y0") - last["y1"]
+    near = (F.col("block") == last["block"]) & ~F.col("marker") & (F.abs(F.col("size") - last["size"]) <= 0.6) & (F.col("bold") == last["bold"])
+    near = near & (gap >= -0.3 * height) & (gap <= 0.6 * height) & (F.col("baseline") > last["baseline"]) & (last["x1"] + last["size"] * 0.25 + F.col("first_word") > last["right"])
+    islands = lines.withColumn("begins", ~F.coalesce(near, F.lit(False))).withColumn("island", F.sum(F.col("begins").cast("int")).over(order))
+    whole = Window.partitionBy(*PAGE, "island")
+    importable(lines.sparkSession)
+    own = islands.select(*PAGE, "block", "line", "island", "x0", "size", (F.max("x0").over(whole) - F.min("x0").over(whole) < ALIGNED).alias("straight"))
+    straight = own.where("straight").groupBy(*PAGE, "island").agg(F.min("block").alias("block"), F.min("line").alias("first_line"), F.count("*").alias("n_lines")).drop("island")
+    bent = own.where("NOT straight").groupBy(*PAGE, "island").applyInPandas(_bent_paragraphs, "document_id string, page long, block long, first_line long, n_lines long")
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("block", "first_line")) - 1
+    return straight.unionByName(bent).select(*PAGE, number.cast("long").alias("paragraph"), "first_line", "n_lines")
+
+
+PAGE = ["document_id", "page"]
+# Lines that begin within so much are aligned; an indent is at most so many font sizes.
+ALIGNED, INDENT_SIZES = 3.0, 4.0
+
+
+def _bent_paragraphs(island: pd.DataFrame) -> pd.DataFrame:
+    """The paragraphs of one island whose lines begin at several places."""
+    island = island.sort_values(["block", "line"], ignore_index=True)
+    x0, size = island["x0"].tolist(), island["size"].tolist()
+    firsts = [0]
+    for i in range(1, len(x0)):
+        second = i == firsts[-1] + 1
+        beside = x0[i - 1] if second else x0[firsts[-1] + 1]
+        indented = second and 0 < x0[i - 1] - x0[i] <= INDENT_SIZES * size[i]
+        if abs(x0[i] - beside) >= ALIGNED and not indented:
+            firsts.append(i)
+    first = island.iloc[firsts]
+    ends = [*firsts[1:], len(x0)]
+    return pd.DataFrame({"document_id": first.document_id, "page": first.page, "block": first.block, "first_line": first.line, "n_lines": [b - a for a, b in zip(firsts, ends)]})
