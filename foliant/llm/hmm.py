@@ -8,7 +8,9 @@ has seen once, as if they were unseen at that place.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,11 +33,17 @@ COMMON_WORDS = 20_000
 COMMON_BYTES = 100
 #: Token places that are run forward and backward at once.
 PLACES_AT_ONCE = 1 << 19
+#: Longer sequences are cut into segments of so many places, which run side by side once the states between them are known.
+LONG = 1 << 15
+SEGMENT = 1 << 10
+#: Texts of more bytes are read word by word.
+LONG_TEXT = 1 << 20
 #: Weight of each state's starting emissions against what training counts.
 PRIOR = 10.0
 #: The end of a text, which no word equals.
 END = b""
 _KNOWN_END, _UNKNOWN = 0, 1
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Set in the number of a class where the word is one that training has seen once.
 _ONCE = 1 << 15
 
@@ -79,12 +87,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number += 1
                 docs, held, lengths, tokens, size = [], [], [], [], 0
                 words = {}
-            own = [words.setdefault(w, len(words)) for w in text.lower().split()]
+            found = text.lower().split() if len(text) <= LONG_TEXT else (m[0] for m in _WORD.finditer(text.lower()))
+            own = array("i", (words.setdefault(w, len(words)) for w in found))
             own.append(words.setdefault(END, len(words)))
             docs.append(doc)
             held.append(zlib.crc32(b"" if doc is None else str(doc).encode()) % 5 == 1)
             lengths.append(len(own))
-            tokens.append(np.array(own, np.int32))
+            tokens.append(np.frombuffer(own, np.int32))
             size += len(text)
     if docs:
         yield block()
@@ -180,61 +189,145 @@ def _padded(lengths: np.ndarray) -> Iterator[np.ndarray]:
         at += n
 
 
+def _row_shares(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(-1, keepdims=True)
+
+
+@dataclass
+class _Cut:
+    """A long sequence without its first place, as segments: their beginnings and lengths, the states before each by what
+    went before, and the chances of all that follows by the state at each one's last place (scaled); first: the states
+    at the first place, log10 of their scale, and the chances of what follows them."""
+
+    starts: np.ndarray
+    lengths: np.ndarray
+    before: np.ndarray
+    behind: np.ndarray
+    first: tuple[np.ndarray, float, np.ndarray]
+
+
+def _cut(hmm: Hmm, table: np.ndarray, classes: np.ndarray, start: int, length: int) -> _Cut:
+    """The states between the segments of a sequence of two places or more. Each segment's transfer, from every state before it to every
+    state at its end, is multiplied up for all segments side by side; then the transfers are chained forth and back."""
+    k = len(hmm.start)
+    starts = np.arange(start + 1, start + length, SEGMENT)
+    lengths = np.minimum(SEGMENT, start + length - starts)
+    transfer = np.broadcast_to(np.eye(k), (len(starts), k, k)).copy()
+    for t in range(int(lengths[0])):
+        n = len(starts) - int(lengths[-1] <= t)  # the last one alone may be shorter
+        x = (transfer[:n] @ hmm.move) * table[classes[starts[:n] + t]][:, None, :]
+        transfer[:n] = x / x.sum((1, 2), keepdims=True)
+    alpha = hmm.start * table[classes[start]]
+    scale, alpha = float(np.log10(alpha.sum())), _row_shares(alpha)
+    before, behind = np.empty((len(starts), k)), np.ones((len(starts), k))
+    state, beta = alpha, np.ones(k)
+    for i in range(len(starts)):
+        before[i] = state
+        state = _row_shares(state @ transfer[i])
+    for i in range(len(starts) - 1, -1, -1):
+        behind[i] = beta
+        beta = _row_shares(transfer[i] @ beta)
+    return _Cut(starts, lengths, before, behind, (alpha, scale, beta))
+
+
+def _forward(hmm: Hmm, table: np.ndarray, classes: np.ndarray, at: np.ndarray, own: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """log10 P of sequences, longest first, after the states `before` each (none: from the start)."""
+    alpha, total = before, np.zeros(len(own))
+    for t in range(int(own[0]) if len(own) else 0):
+        n = int(np.searchsorted(-own, -t, side="left"))  # sequences with a token at t
+        emitted = table[classes[at[:n] + t]]
+        alpha = hmm.start * emitted if alpha is None else (alpha[:n] @ hmm.move) * emitted
+        scale = alpha.sum(1)
+        alpha = alpha / scale[:, None]
+        total[:n] += np.log10(scale)
+    return total
+
+
 def forward(hmm: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """log10 P of each sequence of classes by the scaled forward recursion; memory doesn't grow with their length."""
+    """log10 P of each sequence of classes by the scaled forward recursion; memory doesn't grow with their length, but for a
+    few numbers a segment of a long one."""
     table, out = hmm.flagged(), np.zeros(len(lengths))
-    for group in _padded(lengths):
-        own, at = lengths[group], starts[group]
-        alpha, total = None, np.zeros(len(group))
-        for t in range(int(own[0]) if len(own) else 0):
-            n = int(np.searchsorted(-own, -t, side="left"))  # sequences with a token at t
-            emitted = table[classes[at[:n] + t]]
-            alpha = hmm.start * emitted if t == 0 else (alpha[:n] @ hmm.move) * emitted
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            total[:n] += np.log10(scale)
-        out[group] = total
+    short = np.flatnonzero(lengths <= LONG)
+    for group in _padded(lengths[short]):
+        group = short[group]
+        out[group] = _forward(hmm, table, classes, starts[group], lengths[group])
+    for i in np.flatnonzero(lengths > LONG):
+        cut = _cut(hmm, table, classes, int(starts[i]), int(lengths[i]))
+        out[i] = cut.first[1]
+        for g in _padded(cut.lengths):
+            out[i] += _forward(hmm, table, classes, cut.starts[g], cut.lengths[g], cut.before[g]).sum()
     return out
 
 
-def expected_counts(hmm: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
-    """Baum-Welch: expected starts, moves, emissions by class, emissions of words seen once, and log10 P, summed over
-    the sequences."""
-    table, k, c = hmm.flagged(), len(hmm.start), hmm.emit.shape[1]
-    start, move, emit, once, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, c)), np.zeros(k), 0.0
-    for group in _padded(lengths):
-        own, at = lengths[group], starts[group]
+class _Expected:
+    """Sums of Baum-Welch: expected starts, moves, emissions by class, emissions of words seen once, and log10 P."""
+
+    def __init__(self, hmm: Hmm):
+        self.hmm, self.table = hmm, hmm.flagged()
+        k, self.c = hmm.emit.shape
+        self.start, self.move, self.emit, self.once, self.total = np.zeros(k), np.zeros((k, k)), np.zeros((k, self.c)), np.zeros(k), 0.0
+
+    def emitted(self, gamma: np.ndarray, of: np.ndarray) -> None:
+        self.once += gamma[of >= _ONCE].sum(0)
+        of = of & (_ONCE - 1)
+        for s in range(len(self.start)):
+            self.emit[s] += np.bincount(of, gamma[:, s], minlength=self.c)
+
+    def add(self, classes: np.ndarray, at: np.ndarray, own: np.ndarray, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> None:
+        """Count sequences, longest first; before, behind: of segments, as _Cut has them."""
+        hmm, k = self.hmm, len(self.start)
         alphas, scales, emits, firsts = [], [], [], []
+        alpha = before
         for t in range(int(own[0]) if len(own) else 0):
             n = int(np.searchsorted(-own, -t, side="left"))
             of = classes[at[:n] + t]
-            emitted = table[of]
-            alpha = hmm.start * emitted if t == 0 else (alphas[-1][:n] @ hmm.move) * emitted
+            emitted = self.table[of]
+            alpha = hmm.start * emitted if alpha is None else (alpha[:n] @ hmm.move) * emitted
             scale = alpha.sum(1)
-            alphas.append(alpha / scale[:, None])
+            alpha = alpha / scale[:, None]
+            alphas.append(alpha)
             scales.append(scale)
             emits.append(emitted)
             firsts.append(of)
-            total += float(np.log10(scale).sum())
+            self.total += float(np.log10(scale).sum())
         beta, gammas = np.ones((0, k)), []
         for t in range(len(alphas) - 1, -1, -1):
-            n = len(alphas[t])
+            n, m = len(alphas[t]), len(beta)
             full = np.ones((n, k))
-            if len(beta):
+            if behind is not None:  # scaled as the recursion has it: states' chances sum to 1
+                full[m:] = behind[m:n] / (alphas[t][m:] * behind[m:n]).sum(1)[:, None]
+            if m:
                 ahead = emits[t + 1] * beta / scales[t + 1][:, None]
-                m = len(beta)
-                move += (alphas[t][:m].T @ ahead) * hmm.move
+                self.move += (alphas[t][:m].T @ ahead) * hmm.move
                 full[:m] = ahead @ hmm.move.T
             beta = full
             gammas.append(alphas[t] * beta)
         if gammas:
-            start += gammas[-1].sum(0)
-            gamma, of = np.concatenate(gammas[::-1]), np.concatenate(firsts)
-            once += gamma[of >= _ONCE].sum(0)
-            of = of & (_ONCE - 1)
-            for s in range(k):
-                emit[s] += np.bincount(of, gamma[:, s], minlength=c)
-    return start, move, emit, once, total
+            if before is None:
+                self.start += gammas[-1].sum(0)
+            else:
+                self.move += (before.T @ (emits[0] * beta / scales[0][:, None])) * hmm.move
+            self.emitted(np.concatenate(gammas[::-1]), np.concatenate(firsts))
+
+
+def expected_counts(hmm: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+    """Baum-Welch: expected starts, moves, emissions by class, emissions of words seen once, and log10 P, summed over
+    the sequences. What is kept at a time is bounded by PLACES_AT_ONCE, and a few numbers a segment of a long sequence."""
+    sums = _Expected(hmm)
+    short = np.flatnonzero(lengths <= LONG)
+    for group in _padded(lengths[short]):
+        group = short[group]
+        sums.add(classes, starts[group], lengths[group])
+    for i in np.flatnonzero(lengths > LONG):
+        cut = _cut(hmm, sums.table, classes, int(starts[i]), int(lengths[i]))
+        alpha, scale, beta = cut.first
+        gamma = _row_shares(alpha * beta)
+        sums.start += gamma
+        sums.total += scale
+        sums.emitted(gamma[None, :], classes[starts[i] : starts[i] + 1])
+        for g in _padded(cut.lengths):
+            sums.add(classes, cut.starts[g], cut.lengths[g], cut.before[g], cut.behind[g])
+    return sums.start, sums.move, sums.emit, sums.once, sums.total
 
 
 def train(classed: DataFrame, counts: Counts, states: int = STATES, rounds: int = ROUNDS) -> tuple[Hmm, list[float]]:

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
@@ -45,6 +46,37 @@ def test_forward_and_counts_against_all_paths():
     assert np.allclose(a, a2) and np.allclose(b, b2) and np.allclose(e, e2) and np.allclose(once, once2)
 
 
+@pytest.mark.parametrize("segment", [1, 3, 7, 64])
+def test_cut_sequences_count_as_whole_ones(monkeypatch, segment):
+    rng = np.random.default_rng(1)
+    n = np.array([2, 40, 1, 65, 9, 64])
+    flat = rng.integers(0, 5, n.sum()).astype(np.uint16) | (rng.random(n.sum()) < 0.2).astype(np.uint16) * hmm._ONCE
+    starts = np.append(0, np.cumsum(n)[:-1])
+    whole, score = hmm.expected_counts(model(), flat, starts, n), hmm.forward(model(), flat, starts, n)
+    monkeypatch.setattr(hmm, "LONG", 1)
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
+    monkeypatch.setattr(hmm, "PLACES_AT_ONCE", 20)
+    assert np.allclose(hmm.forward(model(), flat, starts, n), score, rtol=1e-12)
+    assert all(np.allclose(a, b, rtol=1e-10) for a, b in zip(hmm.expected_counts(model(), flat, starts, n), whole))
+
+
+def test_memory_is_bounded_by_places_at_once():
+    flat, m = np.random.default_rng(3).integers(0, 1500, 5_000_000).astype(np.uint16), model(8, 1514)
+    tracemalloc.start()
+    counts = hmm.expected_counts(m, flat, np.array([0]), np.array([len(flat)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20 and counts[2].sum() == pytest.approx(len(flat)) and counts[1].sum() == pytest.approx(len(flat) - 1)
+    assert counts[4] == pytest.approx(hmm.forward(m, flat, np.array([0]), np.array([len(flat)]))[0])
+
+
+def test_long_texts_have_the_same_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f" A\u00a0b\x0bc{i}\td  e\x1cf\n" * 3 + t) for i, t in enumerate(["", "x", "y z\r\n", " "])], "doc_id long, text string")
+    whole = sorted(map(tuple, hmm.score_documents(docs, states=2, rounds=1).collect()))
+    monkeypatch.setattr(hmm, "LONG_TEXT", 0)
+    assert sorted(map(tuple, hmm.score_documents(docs, states=2, rounds=1).collect())) == whole
+
+
 def test_chances_sum_to_one():
     m = model()
     m.emit[:, hmm._UNKNOWN] = 0  # as training leaves it
