@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.sources.heads import read_heads
+
 MB = 1024 * 1024
 # What each tool accepts and its size cap in MB.
 TOOL_RULES = {"ai_document": (("pdf", "docx"), 5), "pdf_tool": (("pdf",), 10), "image_tool": (("jpeg", "png", "webp"), 10)}
@@ -69,12 +71,13 @@ def split_plan(files: DataFrame) -> DataFrame:
     A request whose ranges can't be read, lie outside the document or are none at all is one row with its reject reason.
     """
     parts = F.filter(F.split("ranges", ","), lambda x: F.trim(x) != "")
-    pattern = "^\\s*(\\d{1,9})\\s*(?:-\\s*(\\d{1,9})\\s*)?$"
+    pattern = "^\\s*(\\d+)\\s*(?:-\\s*(\\d+)\\s*)?$"
+    number = lambda x: F.when(x != "", F.coalesce(x.try_cast("long"), F.lit(2**63 - 1)))  # noqa: E731 - beyond 64 bits is outside as well
 
     def read(x: Column) -> Column:
         first = F.regexp_extract(x, pattern, 1)
         last = F.regexp_extract(x, pattern, 2)
-        return F.struct(first.try_cast("long").alias("first"), F.when(last == "", first).otherwise(last).try_cast("long").alias("last"))
+        return F.struct(number(first).alias("first"), number(F.when(last == "", first).otherwise(last)).alias("last"))
 
     pages = F.transform(F.sequence(F.lit(1).cast("long"), F.col("pages")), lambda p: F.struct(p.alias("first"), p.alias("last")))
     asked = F.trim("ranges") != ""
@@ -182,7 +185,10 @@ def image_kind(content: Column) -> Column:
 
 
 def image_format_audit(spark: SparkSession, path: str) -> DataFrame:
-    """extension, kind, files of the images in a folder: what their bytes say against their names."""
-    found = spark.read.format("binaryFile").load(path)
-    ext = extension(F.col("path"))
-    return found.select(F.when(ext == "jpg", "jpeg").otherwise(ext).alias("extension"), image_kind(F.col("content")).alias("kind")).groupBy("extension", "kind").agg(F.count("*").alias("files"))
+    """extension, kind, files of the images in a folder: what their first bytes say against their names.
+
+    Only heads are read. Files that are empty or cut off before their kind shows, and those of another kind, are `none`.
+    """
+    found = read_heads(spark, path)
+    ext = extension(F.substring_index("path", "/", -1))
+    return found.select(F.when(ext == "jpg", "jpeg").otherwise(ext).alias("extension"), image_kind(F.col("head")).alias("kind")).groupBy("extension", "kind").agg(F.count("*").alias("files"))

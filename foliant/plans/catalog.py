@@ -13,6 +13,7 @@ from foliant.operators import chains, edits, files, inference, layout, memory, o
 from foliant.plans import views as v
 from foliant.plans.views import with_views
 from foliant.sources import tables
+from foliant.sources.heads import write_files
 from foliant.sources.store import GrowingTable, VersionedStore
 from foliant.streaming import requests
 
@@ -982,10 +983,12 @@ def span_char_spacing(spark, d):
 
 @query(["images"], """SELECT CASE WHEN lower(extension) = 'jpg' THEN 'jpeg' ELSE lower(extension) END AS extension, CASE WHEN image_id % 10 = 0 THEN 'none' ELSE format END AS kind, count(*) AS files FROM images GROUP BY 1, 2""")
 def image_format_audit(spark, d):
-    """Heads of image files as their format writes them, one in ten cut off."""
-    heads = "CASE WHEN image_id % 10 = 0 THEN X'00' WHEN format = 'png' THEN X'89504E470D0A1A0A0000000D' WHEN format = 'jpeg' THEN X'FFD8FFE000104A4649460001' ELSE X'524946460000000057454250' END"
-    ext = F.when(F.lower("extension") == "jpg", "jpeg").otherwise(F.lower("extension"))
-    return v.images(spark, d).select(ext.alias("extension"), files.image_kind(F.expr(heads)).alias("kind")).groupBy("extension", "kind").agg(F.count("*").alias("files"))
+    """Image files with heads as their format writes them, one in ten empty or cut off, written to the shared folder and read from there."""
+    head = "CASE format WHEN 'png' THEN X'89504E470D0A1A0A0000000D' WHEN 'jpeg' THEN X'FFD8FFE000104A4649460001' ELSE X'524946460000000057454250' END"
+    content = f"CASE WHEN image_id % 10 = 0 THEN substring({head}, 1, CAST(image_id DIV 10 % 3 AS INT)) ELSE {head} || encode(repeat('.', 40 + CAST(image_id % 50 AS INT)), 'UTF-8') END AS content"
+    folder = shared_path(spark, "images")
+    write_files(v.images(spark, d).selectExpr("concat(pmod(hash(image_id), 64), '/', image_id, '.', extension) AS path", content), folder)
+    return files.image_format_audit(spark, folder)
 
 
 QUOTAS = "SELECT DISTINCT route, 2 + length(route) % 3 AS quota FROM requests"
