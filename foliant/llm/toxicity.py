@@ -67,37 +67,54 @@ def _value(count: int) -> float:
     return 1.0 + float(np.log(count))
 
 
+@dataclass
+class _Rows:
+    """Labelled rows as one sparse matrix (row, feature and value of each entry) and a grade each."""
+
+    owner: np.ndarray
+    index: np.ndarray
+    value: np.ndarray
+    grade: np.ndarray
+
+
+def loss(p: np.ndarray, rows: _Rows, features: int, grades: int) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood with a ridge on the weights, and its gradient.
+
+    p: weights, the first threshold, and the logarithms of the gaps to the others, so that thresholds keep their order.
+    """
+    n, f, grade = len(rows.grade), features, rows.grade
+    cuts = p[f] + np.append(0, np.cumsum(np.exp(p[f + 1 :])))
+    scores = np.bincount(rows.owner, rows.value * p[rows.index], minlength=n)
+    q = np.hstack([np.ones((n, 1)), 1 / (1 + np.exp(-np.clip(scores[:, None] - cuts[None, :], -700, 700))), np.zeros((n, 1))])
+    at = np.maximum(q[np.arange(n), grade] - q[np.arange(n), grade + 1], 1e-12)
+    slope = q * (1 - q)  # of a column by its score
+    by_score = (slope[np.arange(n), grade] - slope[np.arange(n), grade + 1]) / at
+    by_cut = np.zeros((n, grades + 2))
+    by_cut[np.arange(n), grade] -= slope[np.arange(n), grade] / at
+    by_cut[np.arange(n), grade + 1] += slope[np.arange(n), grade + 1] / at
+    by_cut = by_cut[:, 1:-1].sum(0) / max(n, 1)
+    g = np.zeros_like(p)
+    g[:f] = -np.bincount(rows.index, rows.value * by_score[rows.owner], minlength=f) / max(n, 1) + RIDGE * p[:f]
+    tail = by_cut[::-1].cumsum()[::-1]
+    g[f] = -tail[0]
+    g[f + 1 :] = -tail[1:] * np.exp(p[f + 1 :])
+    return -float(np.log(at).sum()) / max(n, 1) + RIDGE / 2 * float(p[:f] @ p[:f]), g
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], features: dict[bytes, int], grades: int = GRADES) -> OrdinalModel:
     """Maximum likelihood with a ridge, by gradient steps with Adam's scaling; rows: feature indices, values, grade."""
     n = len(rows)
-    ptr = np.append(0, np.cumsum([len(r[0]) for r in rows]))
     index = np.concatenate([r[0] for r in rows]).astype(np.int64) if n else np.zeros(0, np.int64)
     value = np.concatenate([r[1] for r in rows]) if n else np.zeros(0)
-    owner = np.repeat(np.arange(n), np.diff(ptr))
-    grade = np.array([r[2] for r in rows], np.int64)
-    above = grade[:, None] > np.arange(grades)[None, :]
+    own = _Rows(np.repeat(np.arange(n), [len(r[0]) for r in rows]), index, value, np.array([r[2] for r in rows], np.int64))
+    above = own.grade[:, None] > np.arange(grades)[None, :]
     share = np.clip(above.mean(0) if n else np.zeros(grades), 1e-4, 1 - 1e-4)
     start = -np.log(share / (1 - share))
-    # thresholds are a first one and positive gaps, so they keep their order
     gaps = np.log(np.maximum(np.diff(start), 1e-2))
     p = np.concatenate([np.zeros(len(features)), start[:1], gaps])
     m, v, f = np.zeros_like(p), np.zeros_like(p), len(features)
     for t in range(1, STEPS + 1):
-        cuts = p[f] + np.append(0, np.cumsum(np.exp(p[f + 1 :])))
-        scores = np.bincount(owner, value * p[index], minlength=n)
-        q = np.hstack([np.ones((n, 1)), 1 / (1 + np.exp(-np.clip(scores[:, None] - cuts[None, :], -700, 700))), np.zeros((n, 1))])
-        at = np.maximum(q[np.arange(n), grade] - q[np.arange(n), grade + 1], 1e-12)
-        slope = q * (1 - q)  # of a column by its score
-        by_score = (slope[np.arange(n), grade] - slope[np.arange(n), grade + 1]) / at
-        by_cut = np.zeros((n, grades + 2))
-        by_cut[np.arange(n), grade] -= slope[np.arange(n), grade] / at
-        by_cut[np.arange(n), grade + 1] += slope[np.arange(n), grade + 1] / at
-        by_cut = by_cut[:, 1:-1].sum(0) / max(n, 1)
-        g = np.zeros_like(p)
-        g[:f] = -np.bincount(index, value * by_score[owner], minlength=f) / max(n, 1) + RIDGE * p[:f]
-        tail = by_cut[::-1].cumsum()[::-1]
-        g[f] = -tail[0]
-        g[f + 1 :] = -tail[1:] * np.exp(p[f + 1 :])
+        _, g = loss(p, own, f, grades)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return OrdinalModel(features, p[:f], p[f] + np.append(0, np.cumsum(np.exp(p[f + 1 :]))))

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import quality, toxicity
@@ -68,6 +69,29 @@ def test_verdicts_are_controlled(spark):
     assert none.where("kept = base_failed").count() == 0
 
 
+def test_likelihood_and_gradient_against_definition():
+    """The loss of every row by the definition of a cumulative link, and its slopes by differences."""
+    rng = np.random.default_rng(4)
+    f, grades, n = 6, 3, 40
+    entries = [(i, int(x), float(rng.random() + 0.5)) for i in range(n) for x in rng.choice(f, rng.integers(0, 4), replace=False)]
+    owner, index, value = (np.array(x) for x in zip(*entries))
+    grade = np.append(np.arange(grades + 1), rng.integers(0, grades + 1, n - grades - 1))
+    rows, p = toxicity._Rows(owner, index, value, grade), rng.normal(0, 1, f + grades)
+    cuts = [p[f], p[f] + np.exp(p[f + 1]), p[f] + np.exp(p[f + 1]) + np.exp(p[f + 2])]
+    slow = 0.0
+    for i in range(n):
+        score = sum(x * p[j] for o, j, x in entries if o == i)
+        above = [1.0, *(1 / (1 + np.exp(c - score)) for c in cuts), 0.0]
+        slow -= np.log(above[grade[i]] - above[grade[i] + 1]) / n
+    slow += toxicity.RIDGE / 2 * sum(x * x for x in p[:f])
+    found, slopes = toxicity.loss(p, rows, f, grades)
+    assert found == pytest.approx(slow)
+    for i in range(len(p)):
+        step = np.zeros(len(p))
+        step[i] = 1e-6
+        assert slopes[i] == pytest.approx((toxicity.loss(p + step, rows, f, grades)[0] - toxicity.loss(p - step, rows, f, grades)[0]) / 2e-6, abs=1e-7)
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(0)
     rows = []
