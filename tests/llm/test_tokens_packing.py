@@ -107,3 +107,40 @@ def test_packing_in_rounds_is_near_the_bound(spark, monkeypatch):
 def test_packing_empty_and_repeated(docs, empty):
     assert packing.pack_documents(empty, PATH).count() == 0
     assert packing.pack_documents(docs.unionByName(docs), PATH).count() == 2 * packing.pack_documents(docs, PATH).count()
+
+
+def test_orc_stripes_have_indexes_and_filters_that_skip_rows(spark, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    docs = spark.range(0, 40_000, 2).selectExpr("id AS doc_id", "concat('a b c ', id) AS text")  # odd ids lie within the files' ranges
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokens.write_token_files(docs, path, PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    orc, conf = spark._jvm.org.apache.orc, spark._jsc.hadoopConfiguration()
+    stripes = 0
+    for file in sorted((tmp_path / "tokens").glob("part-*.orc")):
+        reader = orc.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(f"file://{file}"), orc.OrcFile.readerOptions(conf))
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            stripes += 1
+            footer = rows.readStripeFooter(stripe)
+            kinds = [(s.getKind().toString(), s.getColumn()) for s in footer.getStreamsList()]
+            assert ("ROW_INDEX", 1) in kinds and ("BLOOM_FILTER_UTF8", 1) in kinds  # column 1 is doc_id
+            assert footer.getColumns(1).getKind().toString() == "DIRECT_V2"  # run lengths
+        rows.close()
+        reader.close()
+    assert stripes >= 4
+
+    def scanned(value):
+        """Rows that the scan hands on for one id, and those that are left."""
+        df = tokens.read_token_files(spark, path).where(F.col("doc_id") == value)
+        left, plan = df.collect(), df._jdf.queryExecution().executedPlan()
+        while plan.children().size():
+            plan = plan.children().head()
+        return plan.metrics().apply("numOutputRows").value(), len(left)
+
+    rows, left = scanned(20_000)
+    assert left == 1 and rows <= 1000  # one group of rows of one file
+    found = [scanned(i) for i in (1001, 15_001, 22_223, 39_001)]
+    assert all(left == 0 for _, left in found) and sum(rows == 0 for rows, _ in found) >= 3  # the filters know that these ids aren't there
