@@ -987,7 +987,8 @@ def image_format_audit(spark, d):
     head = "CASE format WHEN 'png' THEN X'89504E470D0A1A0A0000000D' WHEN 'jpeg' THEN X'FFD8FFE000104A4649460001' ELSE X'524946460000000057454250' END"
     content = f"CASE WHEN image_id % 10 = 0 THEN substring({head}, 1, CAST(image_id DIV 10 % 3 AS INT)) ELSE {head} || encode(repeat('.', 40 + CAST(image_id % 50 AS INT)), 'UTF-8') END AS content"
     folder = shared_path(spark, "images")
-    write_files(v.images(spark, d).selectExpr("concat(pmod(hash(image_id), 64), '/', image_id, '.', extension) AS path", content), folder)
+    own = v.images(spark, d).repartition(F.expr("image_id DIV 1000"))  # a folder of a thousand files, so that tasks grow with the files
+    write_files(own.selectExpr("concat(image_id DIV 1000, '/', image_id, '.', extension) AS path", content), folder)
     return files.image_format_audit(spark, folder)
 
 
