@@ -41,8 +41,14 @@ class Template:
     )
     accepts: frozenset[str] = frozenset({"assistant"})
 
+    def __post_init__(self) -> None:
+        controls = self.controls()
+        inside = [(a, b) for a in controls for b in controls for i in range(a == b, len(b)) if b.startswith(a, i) or a.startswith(b[i:])]
+        if not all(controls) or inside:
+            raise ValueError(f"a control string is empty or begins within another or itself: {inside[:1] or controls}")
+
     def controls(self) -> list[str]:
-        """The control strings, without the spaces around them; none begins inside another."""
+        """The control strings, without the spaces around them; none is empty or begins within another or itself."""
         found = [x.strip() for pair in self.turns.values() for x in pair] + list(self.other)
         return sorted(set(found), key=lambda x: (-len(x), x))
 
@@ -73,20 +79,28 @@ class Format:
         return [(t.other[0] + name + t.other[1], False), (self.escape(text), False), (t.other[2], False)]
 
     def parse(self, whole: str) -> list[tuple[str | None, str]]:
-        """(role, text) of every turn of a formatted conversation: a control opens, the next that may end it closes."""
+        """(role, text) of every turn of a formatted conversation: a control opens, the next that may end it closes.
+
+        A ValueError tells of a text that segments() can't have made, and from which character on.
+        """
         t, turns, at = self.template, [], 0
         opens = {before.strip(): (role, before, after) for role, (before, after) in t.turns.items()}
         while at < len(whole):
-            control = self._control.match(whole, at)[0]
+            found = self._control.match(whole, at)
+            control = found[0] if found else None
+            start, end = -1, -1
             if control == t.other[0]:
-                middle = whole.index(t.other[1], at)
+                middle = whole.find(t.other[1], at)
                 raw = whole[at + len(control) : middle]
                 role = None if raw == "\\0" else self.unescape(raw)
                 start, after = middle + len(t.other[1]), t.other[2]
-            else:
+                end = whole.find(after, start) if middle >= 0 else -1
+            elif control in opens and whole.startswith(opens[control][1], at):
                 role, before, after = opens[control]
                 start = at + len(before)
-            end = whole.index(after, start)
+                end = whole.find(after, start)
+            if end < 0:
+                raise ValueError(f"no turn of this template from character {at} on")
             turns.append((role, self.unescape(whole[start:end])))
             at = end + len(after)
         return turns

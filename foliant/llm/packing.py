@@ -17,8 +17,6 @@ FREE_PER_MILLE = 2
 #: Items a task gets at most, and from which a task of its own is worth its while.
 ITEMS_PER_TASK = 100_000
 ITEMS_WORTH_A_TASK = 10_000
-#: A round that leaves more items per hundred than this has found what fits together.
-LEFT_PERCENT = 90
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 1024, with_ids: bool = False) -> DataFrame:
@@ -107,9 +105,11 @@ def pack_pieces(pieces: DataFrame, length: int = 1024) -> DataFrame:
 
     Each task packs its items by best fit, longest first; bins that are nearly full are emitted, the others are items
     of the next round, which has an eighth of the tasks, or as many as keep a task within ITEMS_PER_TASK items. Items
-    are dealt by a hash, so tasks are alike. The rounds end with one task, or when a round could join next to nothing,
-    as with items that are all over half a sequence; what is left then is emitted as it is. A bin holds at most
-    `length` members, so no row grows.
+    are dealt by a hash, so tasks are alike. A bin that the smallest bin left doesn't fit into fits with none and is
+    emitted as well, so the rounds end with one task or when no two bins of the whole table fit together. Best fit
+    leaves a task one bin of half a sequence or less at most: from the second round on there are no more such bins than
+    tasks, and the smallest fits with every bin it meets, so every round joins some. A bin holds at most `length`
+    members, so no row grows.
     """
     schema = "sequence_id long, size long, done boolean, keys array<long>, sizes array<long>"
     items = pieces.select(F.col("length").alias("size"), F.array("row_key").alias("keys"), F.array("length").alias("sizes"))
@@ -118,12 +118,14 @@ def pack_pieces(pieces: DataFrame, length: int = 1024) -> DataFrame:
     while True:
         spread = items.repartition(tasks, F.xxhash64(F.col("keys")[0], F.lit(number))) if tasks > 1 else items.repartition(1)
         bins = written(map_batches(spread, _round(length, number), schema), "bins")
-        left = bins.where("not done").count() if tasks > 1 else 0
-        if tasks == 1 or 100 * left > LEFT_PERCENT * n:
+        smallest = bins.where("not done").agg(F.min("size")).first()[0] if tasks > 1 else None
+        fits = ~F.col("done") & (F.col("size") <= (length - smallest if smallest is not None else -1))
+        n = bins.where(fits).count() if smallest is not None else 0
+        if n < 2:
             emitted.append(bins)
             break
-        emitted.append(bins.where("done"))
-        items, n, number = bins.where("not done").select("size", "keys", "sizes"), left, number + 1
+        emitted.append(bins.where(~fits))
+        items, number = bins.where(fits).select("size", "keys", "sizes"), number + 1
         tasks = max(1, -(-tasks // 8), -(-n // ITEMS_PER_TASK))
     bins = emitted[0]
     for more in emitted[1:]:

@@ -38,5 +38,17 @@ def test_controls_in_texts_are_not_marks():
         assert fmt.unescape(escaped) == text
 
 
+@pytest.mark.parametrize("whole", ["plain", "</s>", "<s>open", "[INST]no space [/INST]", "<<ROLE>>tool", "<<ROLE>>tool<</ROLE>>open", "<s>a</s>rest"])
+def test_parse_tells_of_other_texts(whole):
+    with pytest.raises(ValueError, match="no turn"):
+        chat.Format(chat.Template()).parse(whole)
+
+
+@pytest.mark.parametrize("pair", [("<s", "s>"), ("", "</s>"), ("<a>", "<a"), ("xyx", "!")])
+def test_templates_of_which_texts_could_not_be_read_back(pair):
+    with pytest.raises(ValueError, match="control"):
+        chat.Template(turns={"user": pair})
+
+
 def test_empty(turns):
     assert chat.formatted_digests(turns.limit(0)).count() == 0

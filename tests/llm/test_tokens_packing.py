@@ -144,3 +144,14 @@ def test_orc_stripes_have_indexes_and_filters_that_skip_rows(spark, tmp_path):
     assert left == 1 and rows <= 1000  # one group of rows of one file
     found = [scanned(i) for i in (1001, 15_001, 22_223, 39_001)]
     assert all(left == 0 for _, left in found) and sum(rows == 0 for rows, _ in found) >= 3  # the filters know that these ids aren't there
+
+
+def test_packing_ends_when_no_two_sequences_fit(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 50)
+    for lengths in ([600] * 400 + [424] * 3 + [1], [700] * 300, [513] * 200 + [511] * 9, [900] * 250 + [100] * 130 + [24] * 2):
+        items = spark.createDataFrame(list(enumerate(lengths)), "row_key long, length long")
+        sums = [r["n"] for r in packing.pack_pieces(items).join(items, "row_key").groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+        assert sum(sums) == sum(lengths) and max(sums) <= 1024
+        least = sorted(sums)[:2]
+        # bins nearly full are emitted at once; no other two could be one
+        assert sum(least) > 1024
