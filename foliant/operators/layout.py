@@ -7,6 +7,8 @@ boxes are on. What is nearest beside a box comes from running minima over one so
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ HAIRLINE, HAIRLINE_GROWS = 1.0, 0.5
 FINEST_CELLS = 16
 #: A level is that across times this and that down.
 DOWN = 4096
+#: Stretches of a line over which running minima are kept on their own; any length gives the same results.
+LINE_BLOCK = 128.0
 
 
 def _sides(low: Column, high: Column) -> tuple[Column, Column]:
@@ -156,7 +160,8 @@ def free_space_limits(spans: DataFrame, obstacles: DataFrame, bounds: DataFrame)
 
     bounds: as text_bounds() has them. What is beside reaches into the middle half of the span's height; what is below
     overlaps its width. Parts of a span lie within it, so they are never beside or below it. Spans of one height and
-    obstacles beside that height stand in one line, over which the nearest is a running minimum or maximum.
+    obstacles beside that height stand in one line, over which the nearest is a running minimum or maximum, kept by
+    blocks of LINE_BLOCK so that a long line is dealt over tasks; one task sees a row per block of a line.
     """
     row = [*PAGE, "y0", "y1"]
     rows, band = spans.select(*row).distinct(), (F.col("y1") - F.col("y0")) * BAND
@@ -164,18 +169,23 @@ def free_space_limits(spans: DataFrame, obstacles: DataFrame, bounds: DataFrame)
     flat = F.lit(0.0)
     middle = (F.col("o_y0") < F.col("y1") - band) & (F.col("o_y1") > F.col("y0") + band)
     lined = meeting(rows, (flat, F.col("y0"), flat, F.col("y1")), o, (flat, F.col("o_y0"), flat, F.col("o_y1"))).where(middle)
-    lined = lined.select(*row, "o_x0", "o_x1").distinct()
+    lined = stored(lined.select(*row, "o_x0", "o_x1").distinct(), "lined")
     none = F.lit(None).cast("double")
     who = [*PAGE, "line", "span", "y0", "y1"]
     ids = [F.lit(None).cast("long").alias(c) for c in ("line", "span")]
 
-    def nearest(at: Column, key: str, side: Column, best) -> DataFrame:
+    def nearest(at: Column, key: str, toward: Callable[[str], Column], first: float, best: Callable[[str], Column]) -> DataFrame:
+        """The best edge that `toward` has before each span's `at`: the best of the blocks before, then a running one within the block."""
         both = spans.select(*who, at.alias("x"), none.alias("o")).unionByName(lined.select(*row, *ids, F.col(key).alias("x"), F.col(key).alias("o")))
-        order = Window.partitionBy(*row).orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        return both.withColumn("near", best("o").over(order)).where("line IS NOT NULL").select(*PAGE, "line", "span", "near")
-
-    right = nearest(F.col("x1") - 0.5, "o_x0", F.desc("x"), F.min).withColumnRenamed("near", "right_near")
-    left = nearest(F.col("x0") + 0.5, "o_x1", F.asc("x"), F.max).withColumnRenamed("near", "left_near")
+        both = both.withColumn("block", F.floor(F.nanvl("x", F.lit(1e300)) / LINE_BLOCK))
+        before = Window.partitionBy(*row).orderBy(toward("block")).rowsBetween(Window.unboundedPreceding, -1)
+        blocks = both.groupBy(*row, "block").agg(best("o").alias("o")).withColumn("o", best("o").over(before)).where("o IS NOT NULL")
+        both = both.unionByName(blocks.select(*row, *ids, F.lit(first).alias("x"), "o", "block"))
+        within = Window.partitionBy(*row, "block").orderBy(toward("x")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return both.withColumn("near", best("o").over(within)).where("line IS NOT NULL").select(*PAGE, "line", "span", "near")
+
+    right = nearest(F.col("x1") - 0.5, "o_x0", F.desc, float("inf"), F.min).withColumnRenamed("near", "right_near")
+    left = nearest(F.col("x0") + 0.5, "o_x1", F.asc, float("-inf"), F.max).withColumnRenamed("near", "left_near")
     key, across = [*PAGE, "line", "span"], (F.col("o_x0") < F.col("x1")) & (F.col("o_x1") > F.col("x0"))
     tops = o.select(*PAGE, "o_x0", "o_x1", "o_y0")
 
