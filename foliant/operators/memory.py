@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.inference import Backend, prefix_backend, translate_batches
@@ -41,15 +41,15 @@ def remember(table: GrowingTable, translations: DataFrame, pair: list[str], vers
     return table.append(table.joined(latest, "left_anti", before=version), version)
 
 
-def translate_through(unique: DataFrame, table: GrowingTable, pair: list[str], version: int, backend: Backend = prefix_backend, size: int = 16) -> DataFrame:
+def translate_through(unique: DataFrame, table: GrowingTable, pair: list[str], version: int, backend: Backend = prefix_backend, size: int = 16, sends: Column | None = None) -> DataFrame:
     """unique with translated and hit: stored translations first, the rest by the backend.
 
     What the memory lacks is batched by length, translated and appended as a version, from which it is then served; the same
-    sentences never reach the backend again. A repeated call of one version finds what that version has stored.
+    sentences never reach the backend again. sends: as in translate_batches(). A repeated call of one version finds what that version has stored.
     """
     if version not in table.versions():
         misses = table.joined(unique, "left_anti", before=version)
-        table.append(translate_batches(length_sorted_batches(misses, pair, ["text"], size), pair, backend), version)
+        table.append(translate_batches(length_sorted_batches(misses, pair, ["text"], size), pair, backend, sends=sends), version)
     before = table.joined(unique, "left_semi", before=version).select(*pair, "text").withColumn("hit", F.lit(True))
     served = table.joined(unique, "left")
     return served.join(before.hint("merge"), [*pair, "text"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
