@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.text import named
 from foliant.sources.store import VersionedStore
 
 KEYS = ["document_id", "key"]
@@ -120,13 +121,26 @@ def place_insertions(segments: DataFrame, insertions: DataFrame) -> DataFrame:
     return body.unionByName(blocks).select("document_id", (F.row_number().over(order) - 1).cast("long").alias("place"), F.col("is_insert").cast("long").alias("is_insert"), "ord")
 
 
-def coalesce_adjacent(runs: DataFrame, keys: list[str], style: str = "style") -> DataFrame:
-    """keys, run, style, text: neighbouring runs of one style made one."""
-    order = Window.partitionBy(*keys).orderBy("ord")
-    new = F.when(F.lag(style).over(order).eqNullSafe(F.col(style)) & (F.row_number().over(order) > 1), 0).otherwise(1)
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
-    grouped = runs.withColumn("run", (F.sum(new).over(order) - 1).cast("long")).groupBy(*keys, "run", style)
-    return grouped.agg(F.array_join(texts, " ").alias("text"))
+def coalesce_adjacent(units: DataFrame, keys: list[str], runs: str = "runs") -> DataFrame:
+    """keys, run, style, text: neighbouring runs of one style made one.
+
+    units: keys and runs, array<struct<text, style>> in order. Each unit is read within its row, so no run is shuffled or
+    sorted.
+    """
+
+    def joined(all_: Column) -> Column:
+        starts = F.filter(F.transform(all_, lambda x, i: F.when((i == 0) | ~x["style"].eqNullSafe(F.get(all_, i - 1)["style"]), i)), lambda i: i.isNotNull())
+
+        def whole(at: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(at, j + 1), F.size(all_))
+            return F.transform(at, lambda s, j: F.struct(
+                F.get(all_, s)["style"].alias("style"), F.array_join(F.transform(F.slice(all_, s + 1, end(j) - s), lambda x: x["text"]), " ").alias("text")
+            ))
+
+        return named(starts, whole)
+
+    found = units.select(*keys, F.posexplode(named(F.col(runs), joined)).alias("run", "joined"))
+    return found.select(*keys, F.col("run").cast("long").alias("run"), "joined.style", "joined.text")
 
 
 def intern_styles(runs: DataFrame, document: str = "document_id") -> DataFrame:
