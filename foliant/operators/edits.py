@@ -143,10 +143,17 @@ def coalesce_adjacent(units: DataFrame, keys: list[str], runs: str = "runs") ->
     return found.select(*keys, F.col("run").cast("long").alias("run"), "joined.style", "joined.text")
 
 
-def intern_styles(runs: DataFrame, document: str = "document_id") -> DataFrame:
-    """document, style, style_id: styles numbered by first appearance."""
-    firsts = runs.groupBy(document, "style").agg(F.min(F.struct("key_ord", "ord")).alias("first"))
-    return firsts.select(document, "style", (F.row_number().over(Window.partitionBy(document).orderBy("first")) - 1).cast("long").alias("style_id"))
+def intern_styles(units: DataFrame, document: str = "document_id", order: str = "ord", runs: str = "runs") -> DataFrame:
+    """document, style, style_id: styles numbered by first appearance.
+
+    units: document, order and runs, array<struct<style>> in order. A unit sends on its first run of each style alone, and
+    what is kept per style are two numbers.
+    """
+    placed = F.sort_array(F.transform(runs, lambda x, i: F.struct(x["style"].alias("style"), i.alias("place"))))
+    firsts = named(placed, lambda all_: F.filter(all_, lambda x, i: (i == 0) | ~x["style"].eqNullSafe(F.get(all_, i - 1)["style"])))
+    each = units.select(document, order, F.inline(firsts)).groupBy(document, "style").agg(F.min(order).alias("first"), F.min_by("place", order).alias("place"))
+    number = F.row_number().over(Window.partitionBy(document).orderBy("first", "place")) - 1
+    return each.select(document, "style", number.cast("long").alias("style_id"))
 
 
 def dominant_format(runs: DataFrame, keys: list[str], fmt: str) -> DataFrame:

@@ -24,3 +24,9 @@ def test_runs_are_coalesced_within_their_row(units):
         ("d", 0, 0, "y", "g"), ("d", 1, 0, "x", "a b"), ("d", 1, 1, None, "c d"), ("d", 1, 2, "y", "e"), ("d", 1, 3, "x", "f"), ("f", 0, 0, None, "h")
     ]
     assert "Exchange" not in plan(found) and "Aggregate" not in plan(found)
+
+
+def test_styles_are_interned_without_a_sort_of_runs(units):
+    found = edits.intern_styles(units)
+    assert [tuple(r) for r in found.orderBy("document_id", "style_id").collect()] == [("d", "y", 0), ("d", "x", 1), ("d", None, 2), ("f", None, 0)]
+    assert "SortAggregate" not in plan(found)
