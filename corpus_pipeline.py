@@ -28,7 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one of the smallest doc_id."""
+    """One document of each near-duplicate group stays, the one of the smallest doc_id: pairs by SimHash, then by shingle prefixes; the sets decide."""
     return similar.keep_one_of_similar(docs, SHINGLE_WORDS, SIMILARITY)
 
 

@@ -29,7 +29,11 @@ def fingerprint(text: bytes, words_per_shingle: int) -> int:
     A-Z are lower-cased; words are what white space (0x20, 0x09-0x0D) separates; shingles keep repeats and are joined
     by one space; a text of fewer words has one, its whole sequence.
     """
-    hashes = shingle_hashes(text, words_per_shingle)
+    return majority(shingle_hashes(text, words_per_shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint() of big-endian shingle hashes, as a signed number."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), AT_ONCE):
         some = hashes[at : at + AT_ONCE]

@@ -1,6 +1,7 @@
-"""Near-duplicates by exact Jaccard similarity of shingle sets: prefix filter, pivots, then connected components.
+"""Near-duplicates: SimHash fingerprints by multi-index hashing, exact Jaccard similarity of shingle sets, connected components.
 
-A pair of sets meets under a shared shingle of their prefixes, is held against what its sizes, places and histograms
+Pairs of near fingerprints come first; their sets decide. As sets that are similar enough may differ in more bits than can be
+looked up, a pair of sets that is not joined yet also meets under a shared shingle of their prefixes, is held against what its sizes, places and histograms
 allow, and only then by the sets themselves. Each test drops pairs that can't be similar, never one that is.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import encode_text, map_batches, sent_if_small, written
 from foliant.llm.graphs import components
-from foliant.llm.simhash import one_of_each, shingle_hashes
+from foliant.llm.simhash import majority, near_links, one_of_each, shingle_hashes
 
 #: Shingles that count as common; they stand last in the order of shingles, and any order gives the same links.
 COMMON = 100_000
@@ -28,6 +29,8 @@ COUNTED_AT_ONCE = 1 << 21
 #: The sets that have a shingle are compared in tasks of their own if they are more, so many at a time.
 CROWD = 64
 CHUNK = 512
+#: Bits that fingerprints may differ in to be looked up.
+DISTANCE = 4
 #: Cells of a set's histogram; a cell holds 255 at most.
 CELLS = 128
 
@@ -88,7 +91,7 @@ def common_shingles(docs: DataFrame, words_per_shingle: int) -> tuple[np.ndarray
 
 def prefixes(docs: DataFrame, words_per_shingle: int, share: Fraction, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """docs' columns without text, and node (the set's id, null without words), n (its size), cells (its histogram),
-    prefix (array of hashes).
+    prefix (array of hashes), fp (the text's fingerprint).
 
     Shingles are ordered by rank among the common ones, the rest first, then by hash. Two sets of a similarity of
     `share` or more have a member in common among their first n - ceil(share * n) + 1.
@@ -96,28 +99,29 @@ def prefixes(docs: DataFrame, words_per_shingle: int, share: Fraction, common: t
     known, ranks = common
 
     def own(text: bytes) -> tuple:
-        values = shingle_set(text, words_per_shingle)
+        hashes = shingle_hashes(text, words_per_shingle)
+        values = np.unique(hashes.astype(np.uint64))
         n = len(values)
         if not n:
-            return None, 0, None, []
+            return None, 0, None, [], 0
         rank = np.zeros(n, np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, values), len(known) - 1)
             rank = np.where(known[at] == values, ranks[at], 0)
         first = np.lexsort((values, rank))[: n - least_overlap(n, share) + 1]
         cells = np.minimum(np.bincount((values % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
-        return set_id(values), n, cells.tobytes(), values[first].view(np.int64)
+        return set_id(values), n, cells.tobytes(), values[first].view(np.int64), majority(hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [own(t) for t in encode_text(batch.column("text"))]
-            node, n, cells, prefix = zip(*rows) if rows else ((), (), (), ())
-            found = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(cells, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.record_batch([*(batch.column(k) for k in kept), *found], names=[*kept, "node", "n", "cells", "prefix"])
+            node, n, cells, prefix, fp = zip(*rows) if rows else ((), (), (), (), ())
+            found = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(cells, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(fp, pa.int64())]
+            yield pa.record_batch([*(batch.column(k) for k in kept), *found], names=[*kept, "node", "n", "cells", "prefix", "fp"])
 
     kept = [c for c in docs.columns if c != "text"]
     kinds = dict(docs.dtypes)
-    return map_batches(docs, run, ", ".join([*(f"`{k}` {kinds[k]}" for k in kept), "node long, n int, cells binary, prefix array<long>"]))
+    return map_batches(docs, run, ", ".join([*(f"`{k}` {kinds[k]}" for k in kept), "node long, n int, cells binary, prefix array<long>, fp long"]))
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, share: Fraction) -> DataFrame:
@@ -204,16 +208,28 @@ def crowd_pairs(rows: DataFrame, share: Fraction) -> DataFrame:
     return left.unionByName(right).groupBy("s", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """node, b: pairs of sets (node, fp) that join all sets whose fingerprints differ in at most DISTANCE bits, not yet held against their sets.
+
+    Sets of one fingerprint are paired with the least of them, which also stands for them in pairs of fingerprints.
+    """
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("b")), "fingerprints")
+    same = nodes.join(least, "fp").where("node <> b").select("node", "b")
+    near = near_links(least.select("fp"), DISTANCE)
+    near = near.join(least.select(F.col("fp").alias("a"), F.col("b").alias("node")), "a").drop("a")
+    return same.unionByName(near.withColumnRenamed("b", "fp").join(least, "fp").select("node", "b"))
+
+
 def similar_groups(docs: DataFrame, prints: DataFrame, words_per_shingle: int, share: Fraction) -> DataFrame:
     """node, root of every distinct set of prints: equal roots are joined by links of a similarity of `share` or more.
 
-    prints: h (hash of the text), node, n, cells, prefix; docs: h, text. Sets that share a shingle of their prefixes may
-    be similar. First each is held against the least and the greatest set under that shingle, which joins large groups
+    prints: h (hash of the text), node, n, cells, prefix, fp; docs: h, text. Sets of near fingerprints, and sets that share a
+    shingle of their prefixes, may be similar. First the former are held against one another, and each of the latter is held against the least and the greatest set under that shingle, which joins large groups
     by few links; then every pair under one shingle that is not joined yet, large groups of them in crowd_pairs(). No
     similar pair is left out, but pairs within a group need no links of their own.
     """
     with_words = prints.where("node IS NOT NULL")
-    nodes = written(with_words.groupBy("node").agg(F.first("n").alias("n"), F.first("cells").alias("cells"), F.min("h").alias("h")), "sets")
+    nodes = written(with_words.groupBy("node").agg(F.first("n").alias("n"), F.first("cells").alias("cells"), F.min("h").alias("h"), F.min("fp").alias("fp")), "sets")
     once = with_words.groupBy("node", "n").agg(F.first("prefix").alias("prefix"))
     every = once.select("node", "n", F.posexplode("prefix").alias("pos", "s")).repartition("s")  # dealt once for both uses
     ends = every.groupBy("s").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
@@ -230,8 +246,9 @@ def similar_groups(docs: DataFrame, prints: DataFrame, words_per_shingle: int, s
         return written(verified(near, _texts(docs, nodes, near), words_per_shingle, share), "similar")
 
     sizes = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"))
-    stars = shared.select("node", "n", F.explode(F.array("low", "high")).alias("b")).where("node <> b").distinct().join(sizes, "b").where(sized("n", "m"))
-    tested = written(alike(ordered(stars), nodes, share), "alike")
+    stars = shared.select("node", "n", F.explode(F.array("low", "high")).alias("b")).where("node <> b").distinct()
+    met = fingerprint_pairs(nodes.select("node", "fp")).join(nodes.select("node", "n"), "node").select("node", "n", "b").unionByName(stars)
+    tested = written(alike(ordered(met.join(sizes, "b").where(sized("n", "m"))), nodes, share), "alike")
     links = linked(tested)
     roots = components(links)
     now = shared.select("s", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

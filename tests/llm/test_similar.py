@@ -70,3 +70,21 @@ def test_any_order_and_any_crowd(spark, monkeypatch, many, common, crowd):
 
 def test_empty(empty):
     assert similar.keep_one_of_similar(empty).count() == 0
+
+
+def test_fingerprints_find_pairs_that_the_sets_decide(spark, near, monkeypatch):
+    """Near fingerprints join similar texts, without a prefix that meets; what is near by fingerprint alone is not joined."""
+    from foliant.llm import simhash
+
+    share = similar.Fraction("0.8")
+    docs = spark.createDataFrame(near, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) AS h", "text")
+    prints = similar.prefixes(docs, 5, share, (similar.np.zeros(0, "uint64"), similar.np.zeros(0, "int64"))).localCheckpoint()
+    texts = {r["doc_id"]: r for r in prints.select("doc_id", "node", "fp").collect()}
+    bits = lambda a, b: bin((texts[a]["fp"] ^ texts[b]["fp"]) & (2**64 - 1)).count("1")
+    own = dict(near)
+    assert all(texts[i]["fp"] == simhash.fingerprint((own[i] or "").encode(), 5) for i in texts)
+    close = {(a, b) for a in texts for b in texts if a < b and texts[a]["node"] and texts[b]["node"] and texts[a]["node"] != texts[b]["node"] and bits(a, b) <= similar.DISTANCE}
+    assert close
+    nodes = prints.where("node IS NOT NULL").groupBy("node").agg({"fp": "min"}).withColumnRenamed("min(fp)", "fp")
+    linked = {frozenset(r) for r in similar.fingerprint_pairs(nodes).collect()}
+    assert linked == {frozenset((texts[a]["node"], texts[b]["node"])) for a, b in close}
