@@ -80,12 +80,12 @@ def update_stored(store: VersionedStore, table: str, updates: DataFrame, key: st
 
 def delete_stored(store: VersionedStore, table: str, ids: DataFrame, key: str) -> int:
     """delete() on a stored table. The new version."""
-    return store.change({table: (ids, lambda old: delete(old, ids, key))})
+    return store.change({table: (ids, lambda old: delete(old, ids, key))}, spread=False)
 
 
 def purge_stored(store: VersionedStore, tables: list[str], ids: DataFrame, key: str = "document_id") -> int:
     """Takes the documents in ids out of all these tables in one version: all of them or, if the job is lost, none."""
-    return store.change({name: (ids, lambda old: delete(old, ids, key)) for name in tables})
+    return store.change({name: (ids, lambda old: delete(old, ids, key)) for name in tables}, spread=False)
 
 
 def purge_counts(tables: dict[str, DataFrame], ids: DataFrame, key: str = "document_id") -> DataFrame:

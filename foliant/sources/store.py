@@ -94,10 +94,11 @@ class VersionedStore:
 
     # changing
 
-    def _put(self, df: DataFrame, name: str, key: str, version: int) -> dict[str, str]:
+    def _put(self, df: DataFrame, name: str, key: str, version: int, spread: bool = True) -> dict[str, str]:
         """Writes rows by partition; the folder of each partition that has rows."""
         own = f"{name}/v{version}-{uuid.uuid4().hex}"
-        df.withColumn("_bucket", self.bucket(key)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.folder}/{own}")
+        rows = df.withColumn("_bucket", self.bucket(key))
+        (rows.hint("rebalance", "_bucket") if spread else rows).write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{self.folder}/{own}")
         return {n.split("=")[1]: f"{own}/{n}" for n in self._names(*own.split("/")) if n.startswith("_bucket=")}
 
     def _commit(self, version: int, tables: dict) -> int:
@@ -125,11 +126,12 @@ class VersionedStore:
         """The number after `now`, past manifests that were never finished."""
         return max([now, *(v for v in self._versions() if v > now and not self._manifest(v))]) + 1
 
-    def change(self, changes: dict[str, Change]) -> int:
+    def change(self, changes: dict[str, Change], spread: bool = True) -> int:
         """Changes tables together: each is given the keys that it touches and what becomes of the rows of their partitions.
 
         Rows of other keys in these partitions must come through unchanged. Conflict is raised, and nothing changed, if
-        another change came first.
+        another change came first. Without spread each task writes the partitions of the rows that it has, which spares a shuffle
+        where the change keeps rows where they were read, as a deletion does.
         """
         now = self.version()
         made, new = dict(self._tables(now)), self._next(now)
@@ -138,7 +140,7 @@ class VersionedStore:
             touched = sorted(r[0] for r in keys.select(self.bucket(entry["key"])).distinct().collect())  # at most `partitions`
             if not touched:
                 continue
-            put = self._put(transform(self.read(name, now, touched)), name, entry["key"], new)
+            put = self._put(transform(self.read(name, now, touched)), name, entry["key"], new, spread)
             if strange := set(map(int, put)) - set(touched):
                 raise ValueError(f"{name}: rows of keys that the change didn't name, in partitions {sorted(strange)}")
             rest = {b: p for b, p in entry["parts"].items() if int(b) not in touched}

@@ -169,3 +169,16 @@ def test_flags_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
         spark.conf.unset(name)
     found = sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").where("request_id >= 0").collect())
     assert found == sorted(tuple(r) for r in requests.rate_limit_flags(own, quotas).collect())
+
+
+def test_a_purge_writes_rows_where_it_reads_them(spark, tmp_path, monkeypatch):
+    """Rows that stay aren't dealt again, and all of them stay."""
+    store = stores.VersionedStore(spark, f"file://{tmp_path}/purge", 4)
+    store.create({"t": (spark.range(1000).selectExpr("concat('d', id % 100) AS document_id", "id"), "document_id")})
+    kind = type(spark.range(1))
+    dealt, hint = [], kind.hint
+    monkeypatch.setattr(kind, "hint", lambda df, name, *p: dealt.append(name) or hint(df, name, *p))
+    records.purge_stored(store, ["t"], spark.range(30).selectExpr("concat('d', id) AS document_id"))
+    assert dealt == [] and sorted(r["id"] for r in store.read("t").collect()) == [i for i in range(1000) if i % 100 >= 30]
+    store.create({"u": (spark.range(10).selectExpr("concat('d', id) AS document_id", "id"), "document_id")})
+    assert dealt == ["rebalance"]
