@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import edits, outline
+from foliant.operators import edits, outline, text
 
 RUNS = "runs array<struct<text: string, style: string>>"
 
@@ -53,3 +53,11 @@ def test_a_long_line_is_bridged_in_one_pass(spark):
     found = outline.bridge_link_spaces(chars)
     assert [r["target"] for r in found.orderBy("ord").collect()] == [f"l{i // 6}" for i in range(3000)]
     assert "unboundedfollowing" not in plan(found)
+
+
+def test_a_chunk_is_folded_once(spark):
+    answers = spark.createDataFrame([(1, '{"people": ["Ann", "BOB", "Cy"], "dates": ["ann"]}', "ann  and Bob")], "id long, a string, chunk_text string")
+    found = text.ground_values(answers, "id", "a", "chunk_text")
+    assert sorted((r["field"], r["value"]) for r in found.collect()) == [("dates", "ann"), ("people", "Ann"), ("people", "BOB")]
+    above = plan(found).split("Generate inline")[0]
+    assert "Generate posexplode" in above and "chunk_text" not in above
