@@ -50,8 +50,16 @@ class PieceModel:
         self.bytes = {int(model.id_to_piece(i)[3:-1], 16): i for i in range(n) if model.is_byte(i)}
         self.costs.update(dict.fromkeys(self.bytes.values(), most))
         self.texts = {i: p.replace(SPACE, " ").encode() for p, i in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
-        #: Every beginning of a piece: the piece's cost, or -1 where only longer pieces begin so.
-        self.prefixes = {p[:k]: -1 for p in self.pieces for k in range(1, len(p))} | {p: self.costs[i] for p, i in self.pieces.items()}
+        #: Pieces sign by sign: each sign has the piece's cost, or -1 where only longer pieces begin so, and the signs that may follow.
+        self.signs: dict[str, list] = {}
+        for p, i in self.pieces.items():
+            node, after = [-1, {}], self.signs
+            for sign in p:
+                node = after.setdefault(sign, [-1, {}])
+                after = node[1]
+            node[0] = self.costs[i]
+        #: Neighbours within a piece; no piece reaches over any other two signs.
+        self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.longest = max(map(len, self.pieces), default=1)
 
     def _signs(self, word: str) -> str:
@@ -67,24 +75,23 @@ class PieceModel:
 
     def forward(self, word: str, signs: str) -> tuple[list[int], list[int], list[int]]:
         """Viterbi: for each place the least cost of reaching it, the next one (_NEVER: no other way), and where the last piece of the best begins."""
-        n, get = len(word), self.prefixes.get
+        n, signs_of_pieces = len(word), self.signs
         best, second, back = [_NEVER] * (n + 1), [_NEVER] * (n + 1), [0] * (n + 1)
         best[0] = 0
         for start in range(n):
-            a, b = best[start], second[start]
-            cost = get(signs[start : start + 1])
-            if cost is None or cost < 0:
-                steps = [(start + 1, self._byte_cost(word[start]))]
-            else:
-                steps = [(start + 1, cost)]
-            if cost is not None:
-                for end in range(start + 2, n + 1):
-                    cost = get(signs[start:end])
-                    if cost is None:
-                        break
-                    if cost >= 0:
-                        steps.append((end, cost))
-            for end, cost in steps:
+            a, b, after = best[start], second[start], signs_of_pieces
+            for end in range(start + 1, n + 1):
+                node = after.get(signs[end - 1])
+                if node is not None:
+                    cost, after = node
+                    if cost < 0:
+                        if end > start + 1:
+                            continue
+                        cost = self._byte_cost(word[start])
+                elif end > start + 1:
+                    break
+                else:
+                    cost, after = self._byte_cost(word[start]), {}
                 x, least = a + cost, best[end]
                 if x < least:
                     y = b + cost
@@ -92,6 +99,8 @@ class PieceModel:
                     best[end], back[end] = x, start
                 elif x < second[end]:
                     second[end] = x
+                if not after:
+                    break
         return best, second, back
 
     def n_best(self, word: str, n: int) -> list[tuple[int, list[int]]]:
@@ -156,6 +165,12 @@ class PieceModel:
         ids.reverse()
         return best[-1], ids, second[-1] - best[-1] if second[-1] < _NEVER else _NEVER
 
+    def parts(self, word: str) -> list[str]:
+        """word, cut wherever no piece reaches over two neighbours: its lattice is its parts' lattices in a row."""
+        signs, pairs = self._signs(word), self.pairs
+        cuts = [k for k in range(1, len(word)) if signs[k - 1 : k + 1] not in pairs]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space put before the first word goes."""
         return b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -185,8 +200,13 @@ class Segmenter:
         self.known: dict[str, tuple[bytes, int, int]] = {}
 
     def _learn(self, word: str) -> tuple[bytes, int, int]:
-        cost, ids, more = self.model.best_two(word)
-        out = (array("I", ids).tobytes(), cost, more)
+        parts = self.model.parts(word)
+        if len(parts) > 1:
+            own = [self.known.get(p) or self._learn(p) for p in parts]
+            out = (b"".join([x[0] for x in own]), sum([x[1] for x in own]), min([x[2] for x in own]))
+        else:
+            cost, ids, more = self.model.best_two(word)
+            out = (array("I", ids).tobytes(), cost, more)
         if len(word) <= LONGEST_REMEMBERED:
             self.known[word] = out
         return out

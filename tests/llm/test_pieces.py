@@ -68,3 +68,19 @@ def test_documents(spark, docs, rows, empty):
         scores = [x["score"] for x in r["n_best"]]
         assert scores == sorted(scores, reverse=True) and len(scores) == len(d["n_best"])
     assert pieces.piece_digests(empty, PATH).count() == 0
+
+
+def test_words_are_learned_by_their_parts(monkeypatch):
+    """Words of many marks are put together from parts that stand alone, with the cost, pieces and next cost of the whole word."""
+    own = pieces.Segmenter(PATH)
+    words = [" hello,", " (hello)", " hello,world", " Straße…x1", " 日本語abc", "  ▁a", " a1b2,,hello", " \U0001f600hello"]
+    for w in words:
+        assert "".join(own.model.parts(w)) == w
+        cost, ids, more = own.model.best_two(w)
+        assert own._learn(w) == (pieces.array("I", ids).tobytes(), cost, more)
+    asked = []
+    monkeypatch.setattr(own.model, "best_two", asked.append)
+    known = [p for w in words for p in own.model.parts(w)]
+    assert len(set(known)) < len(known)
+    own._learn(" hello,,")
+    assert asked == []
