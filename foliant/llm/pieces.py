@@ -198,6 +198,7 @@ class Segmenter:
     def __init__(self, path: str, best: int = BEST):
         self.model, self.best = PieceModel(path), best
         self.known: dict[str, tuple[bytes, int, int]] = {}
+        self.changes: dict[str, list[tuple[int, bytes]]] = {}
 
     def _learn(self, word: str) -> tuple[bytes, int, int]:
         parts = self.model.parts(word)
@@ -221,6 +222,7 @@ class Segmenter:
         """
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
+            self.changes.clear()
         words, get, learn = _words(text), self.known.get, self._learn
         own = [get(w) or learn(w) for w in words]
         parts = [x[0] for x in own]
@@ -229,9 +231,14 @@ class Segmenter:
         change = []
         for extra, k in least:
             if extra < _NEVER:
-                found = self.model.n_best(words[k], self.best)
-                parts[k] = array("I", found[0][1]).tobytes()
-                change.append((k, [(c - found[0][0], array("I", i).tobytes()) for c, i in found[1:]]))
+                found = self.changes.get(words[k])
+                if found is None:
+                    found = [(c, array("I", i).tobytes()) for c, i in self.model.n_best(words[k], self.best)]
+                    found = [(c - found[0][0], i) for c, i in found]
+                    if len(words[k]) <= LONGEST_REMEMBERED:
+                        self.changes[words[k]] = found
+                parts[k] = found[0][1]
+                change.append((k, found[1:]))
         heap: list[tuple[int, tuple[tuple[int, int], ...], int]] = [(0, (), 0)]
         out = []
         while heap and len(out) < self.best:

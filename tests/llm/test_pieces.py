@@ -84,3 +84,11 @@ def test_words_are_learned_by_their_parts(monkeypatch):
     assert len(set(known)) < len(known)
     own._learn(" hello,,")
     assert asked == []
+
+
+def test_changed_words_are_searched_once(own, monkeypatch):
+    """The word of the least to add is searched when first met; its texts' segmentations stay the same."""
+    first = own.segment("some hello words")
+    asked = []
+    monkeypatch.setattr(own.model, "n_best", lambda *a: asked.append(a))
+    assert own.segment("some hello words") == first and asked == []
