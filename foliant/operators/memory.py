@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.operators.inference import Backend, prefix_backend, translate_batches
+from foliant.operators.inference import Backend, prefix_backend, translate_dealt
 from foliant.sources.store import GrowingTable
 
 #: Sentences from this many occurrences on get their translation sent to every task in join_back().
@@ -35,21 +35,29 @@ def stored_memory(spark: SparkSession, name: str, path: str, pair: list[str], bu
     return GrowingTable(spark, name, path, schema, [*pair, "text"], buckets)
 
 
+def stored_unique(spark: SparkSession, name: str, path: str, unique: DataFrame, pair: list[str], buckets: int | None = None) -> DataFrame:
+    """pair, text, occurrences of unique_sentences() as a table bucketed as stored_memory() is, so that neither side of their joins is shuffled."""
+    schema = ", ".join(f"{c} STRING" for c in [*pair, "text"])
+    table = GrowingTable(spark, name, path, f"{schema}, occurrences BIGINT", [*pair, "text"], buckets)
+    table.append(unique, 1, dealt=True)
+    return table.rows()
+
+
 def remember(table: GrowingTable, translations: DataFrame, pair: list[str], version: int) -> bool:
     """Appends translations (pair, text, translated, id), the newest of each, that the memory lacks, as a version."""
     latest = translations.groupBy(*pair, "text").agg(F.max_by("translated", "id").alias("translated"))
-    return table.append(table.joined(latest, "left_anti", before=version), version)
+    return table.append(table.joined(latest, "left_anti", before=version), version, dealt=True)
 
 
 def translate_through(unique: DataFrame, table: GrowingTable, pair: list[str], version: int, backend: Backend = prefix_backend, size: int = 16, sends: Column | None = None) -> DataFrame:
     """unique with translated and hit: stored translations first, the rest by the backend.
 
-    What the memory lacks is batched by length, translated and appended as a version, from which it is then served; the same
-    sentences never reach the backend again. sends: as in translate_batches(). A repeated call of one version finds what that version has stored.
+    What the memory lacks is sorted by length and translated in the tasks that hold the buckets, and appended as a version, from which it is then
+    served; the same sentences never reach the backend again. sends: as in translate_batches(). A repeated call of one version finds what that version has stored.
     """
     if version not in table.versions():
         misses = table.joined(unique, "left_anti", before=version)
-        table.append(translate_batches(length_sorted_batches(misses, pair, ["text"], size), pair, backend, sends=sends), version)
+        table.append(translate_dealt(misses, pair, [*pair, "text"], backend, size, sends=sends), version, dealt=True)
     before = table.joined(unique, "left_semi", before=version).select(*pair, "text").withColumn("hit", F.lit(True))
     served = table.joined(unique, "left")
     return served.join(before.hint("merge"), [*pair, "text"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))

@@ -182,7 +182,7 @@ class GrowingTable:
         files.mkdirs(at)
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} ({schema}, version BIGINT) USING parquet PARTITIONED BY (version) "
-            f"CLUSTERED BY ({columns}) SORTED BY ({columns}) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY ({columns}) SORTED BY ({columns}) INTO {self.buckets} BUCKETS OPTIONS (compression 'zstd') LOCATION '{path}'"
         )
         spark.sql(f"MSCK REPAIR TABLE {name}")
 
@@ -194,12 +194,16 @@ class GrowingTable:
     def versions(self) -> list[int]:
         return sorted(int(r[0].split("=")[1]) for r in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect())
 
-    def append(self, df: DataFrame, version: int) -> bool:
-        """Adds a version; False, without a write, if it is there already. A task writes whole buckets."""
+    def append(self, df: DataFrame, version: int, dealt: bool = False) -> bool:
+        """Adds a version; False, without a write, if it is there already. A task writes whole buckets.
+
+        dealt: df's rows of one key are in one task already, as after joined(), so they aren't moved; if they are not, buckets have more files.
+        """
         if version in self.versions():
             return False
         columns = [c for c in self.spark.table(self.name).columns if c != "version"]
-        rows = df.select(*columns).repartition(self.buckets, *self.keys).withColumn("version", F.lit(version).cast("long"))
+        rows = df.select(*columns) if dealt else df.select(*columns).repartition(self.buckets, *self.keys)
+        rows = rows.withColumn("version", F.lit(version).cast("long"))
         rows.write.mode("append").format("parquet").partitionBy("version").bucketBy(self.buckets, *self.keys).sortBy(*self.keys).saveAsTable(self.name)
         return True
 
