@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.session import stored
 from foliant.operators.inference import Backend, prefix_backend, translate_dealt
 from foliant.sources.store import GrowingTable
 
@@ -107,3 +108,28 @@ def join_back(sentences: DataFrame, translated: DataFrame, pair: list[str], keys
         joined = own.join(translated.select(*columns), [*pair, "text"])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "translated"))), lambda x: x["translated"])
     return joined.where("translated <> ''").groupBy(*keys).agg(F.array_join(ordered, " ").alias("text"))
+
+
+def translate_units(sentences: DataFrame, pair: list[str], keys: list[str], backend: Backend = prefix_backend, size: int = 16, sends: Column | None = None) -> DataFrame:
+    """keys, text: each unit's sentences translated, in order, joined by a space, empty ones skipped. sends: as in translate_batches().
+
+    All occurrences of a sentence meet in one task, which translates it once and gives it to them; no table of sentences is written or joined
+    back. Those of at least FREQUENT occurrences, MOST_FREQUENT at most, are translated apart and broadcast as in join_back(), so that no
+    key dominates a task; which may be so frequent is told by counts of hashes. sentences is read two or three times.
+    """
+    own = sentences.where("text <> ''")
+    code = F.xxhash64(*pair, "text")
+    counts = own.groupBy(code.alias("code")).agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    often = [r["code"] for r in counts.orderBy(F.desc("n"), "code").limit(MOST_FREQUENT).collect()]
+    done = None
+    if often:
+        codes = F.broadcast(own.sparkSession.createDataFrame([(x,) for x in often], "code long"))
+        texts = own.join(codes, code == F.col("code"), "left_semi").select(*pair, "text").distinct()
+        sent = stored(translate_dealt(texts, pair, [*pair, "text"], backend, size, sends=sends), "often")
+        marked = own.join(F.broadcast(sent.withColumnRenamed("translated", "own")), [*pair, "text"], "left")
+        done = marked.where("own IS NOT NULL").select(*keys, "pos", F.col("own").alias("translated"))
+        own = marked.where("own IS NULL").drop("own")
+    joined = translate_dealt(own.repartition(*pair, "text"), pair, [*keys, "pos"], backend, size, sends=sends)
+    joined = joined if done is None else joined.unionByName(done)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "translated"))), lambda x: x["translated"])
+    return joined.where("translated <> ''").groupBy(*keys).agg(F.array_join(ordered, " ").alias("text"))

@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import memory, text
+from foliant.operators import inference, memory, text
 from foliant.plans import views
 
 PAIR = ["s", "t"]
@@ -23,6 +23,34 @@ def units(spark):
     return spark.createDataFrame(rows, "u long, pos long, s string, t string, text string").repartition(3)
 
 
+@pytest.mark.parametrize("frequent, batch", [(1_000, 10_000), (5, 10_000), (1_000, 3)])
+def test_units_are_translated_back_with_one_move_of_sentences(spark, monkeypatch, units, frequent, batch):
+    monkeypatch.setattr(memory, "FREQUENT", frequent)
+    calls, longest = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counting(texts, source, target):
+        calls.add(len(texts))
+        longest.add(len(texts) > 4)
+        assert len(set(texts)) == len(texts) and not any("://" in x for x in texts)
+        return [f"[{target}] {x}" for x in texts]
+
+    unique = memory.unique_sentences(units, PAIR, ["u", "pos"])
+    want = memory.join_back(units, inference.translate_batches(memory.length_sorted_batches(unique, PAIR, ["text"]), PAIR).join(unique, [*PAIR, "text"]), PAIR, ["u"])
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(batch))
+    try:
+        found = memory.translate_units(units, PAIR, ["u"], counting, 4)
+        rows = sorted(tuple(r) for r in found.collect())
+    finally:
+        spark.conf.set(name, before)
+    assert rows == sorted(tuple(r) for r in want.collect()) and len(rows) == 33
+    # a sentence goes to the backend once, but for addresses alone and numbers, however its rows are cut; frequent ones are among them
+    assert calls.value == unique.where("text NOT IN ('12', 'a.b@c.org')").count() and longest.value == 0
+    moved = [x for x in plan(found).split("Initial Plan")[0].split("\n") if "Exchange hashpartitioning" in x]
+    assert len(moved) == 2 and sum("text" in x.split("Exchange")[1] for x in moved) == 1
+
+
 def test_a_stored_list_of_sentences_and_the_memory_meet_without_a_move(spark, units, tmp_path):
     table = memory.stored_memory(spark, f"memory_{uuid.uuid4().hex}", f"file://{tmp_path}/memory", PAIR)
     own = memory.stored_unique(spark, f"unique_{uuid.uuid4().hex}", f"file://{tmp_path}/unique", memory.unique_sentences(units, PAIR, ["u", "pos"]), PAIR)
@@ -37,6 +65,11 @@ def test_a_stored_list_of_sentences_and_the_memory_meet_without_a_move(spark, un
     assert len(buckets) == len(set(buckets))
 
 
+def test_a_backend_must_answer_every_text(spark, units):
+    with pytest.raises(Exception, match="zip"):
+        memory.translate_units(units, PAIR, ["u"], lambda texts, source, target: texts[1:]).collect()
+
+
 def test_lines_are_keyed_within_their_row(spark):
     docs = spark.createDataFrame([("a", "One\n\n12\nTwo 3\n"), ("b", None), ("c", "...\n"), ("d", "é")], "document_id string, text string")
     units = docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
